@@ -1,0 +1,6 @@
+"""Registered queries over the given tables, each with its oracle SQL where SQL can say it."""
+
+from catalog import scalar_queries  # noqa: F401
+from catalog.registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]

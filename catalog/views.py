@@ -32,20 +32,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+CASE_ID = "concat('D', lpad(cast(doc_id as string), 12, '0'))"
+_PHRASE = "element_at(array(" + ", ".join(f"'{p}'" for p in PHRASES) + "), cast(doc_id % 8 + 1 as int))"
+
+
 def _case_id() -> Column:
-    return F.concat(F.lit("D"), F.lpad(F.col("doc_id").cast("string"), 12, "0"))
+    return F.expr(CASE_ID)
 
 
 def reports_with_number(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = F.col("doc_id")
-    phrase = F.element_at(F.array(*(F.lit(p) for p in PHRASES)), (n % 8 + 1).cast("int"))
-    return table(spark, sf_dir, "documents").select(
-        n, _case_id().alias("case_id"), "source", "n_chars",
-        F.concat(_case_id(), F.lit("."), F.col("source")).alias("patient_filename"),
-        phrase.alias("phrase"), F.concat(F.col("text"), F.lit(" "), phrase).alias("text"),
-        F.when(n % 5 != 0, F.concat(F.lit("T"), (n % 4 + 1).cast("string"))).alias("gold_T"),
-        F.when(n % 3 != 0, F.concat(F.lit("N"), (n % 4).cast("string"))).alias("gold_N"),
-        F.when(n % 20 == 0, "M1").when(n % 4 == 0, "M0").alias("gold_M"),
+    return table(spark, sf_dir, "documents").selectExpr(
+        "doc_id", f"{CASE_ID} as case_id", "source", "n_chars",
+        f"concat({CASE_ID}, '.', source) as patient_filename",
+        f"{_PHRASE} as phrase", f"concat(text, ' ', {_PHRASE}) as text",
+        "case when doc_id % 5 <> 0 then concat('T', cast(doc_id % 4 + 1 as string)) end as gold_T",
+        "case when doc_id % 3 <> 0 then concat('N', cast(doc_id % 4 as string)) end as gold_N",
+        "case when doc_id % 20 = 0 then 'M1' when doc_id % 4 = 0 then 'M0' end as gold_M",
     )
 
 
@@ -55,74 +57,67 @@ def reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _answer_columns(number: Column, arm_no: Column, target_no: Column, target: Column, gold: Column) -> dict[str, Column]:
-    sel = (number * 7 + arm_no * 3 + target_no * 5) % 11
-    middle = F.substring(F.col("text"), F.greatest(F.lit(1), F.floor(F.length("text") / 2).cast("int")), F.lit(40))
-    value = (
-        F.when(sel <= 3, F.coalesce(gold, F.concat(target, F.lit("0"))))
-        .when(sel == 4, F.concat(F.lit("p"), target, F.lit("2b")))
-        .when(sel == 5, F.concat(target, F.lit("1")))
-        .when(sel == 6, F.concat(target, F.lit("3")))
-        .when(sel == 8, "Unknown ")
-        .when(sel == 9, "junk")
-        .when(sel == 10, F.concat(F.lit("yp"), target, F.lit("2")))
-    )
-    evidence = (
-        F.when((sel <= 3) | (sel == 9), F.col("phrase"))
-        .when(sel == 4, F.upper("phrase"))
-        .when(sel == 5, middle)
-        .when(sel == 6, "fabricated quote")
-    )
-    confidence = F.when(sel <= 3, "high").when(sel <= 6, "medium").otherwise("low")
-    reason = F.when(sel == 8, "not stated")
-    return {"raw_value": value, "evidence": evidence, "confidence": confidence, "reason": reason}
+# one answer, in terms of sel, target, gold, phrase and text
+ANSWER = {
+    "raw_value": """case when sel <= 3 then coalesce(gold, concat(target, '0'))
+        when sel = 4 then concat('p', target, '2b') when sel = 5 then concat(target, '1')
+        when sel = 6 then concat(target, '3') when sel = 8 then 'Unknown ' when sel = 9 then 'junk'
+        when sel = 10 then concat('yp', target, '2') end""",
+    "evidence": """case when sel <= 3 or sel = 9 then phrase when sel = 4 then upper(phrase)
+        when sel = 5 then substring(text, greatest(1, cast(length(text) div 2 as int)), 40)
+        when sel = 6 then 'fabricated quote' end""",
+    "confidence": "case when sel <= 3 then 'high' when sel <= 6 then 'medium' else 'low' end",
+    "reason": "case when sel = 8 then 'not stated' end",
+}
 
 
 def _arms() -> Column:
-    return F.explode(F.array(*(
-        F.struct(F.lit(i).alias("arm_no"), F.lit(a).alias("arm")) for i, a in enumerate(K.STUDY_ARMS)
-    ))).alias("a")
+    return F.expr("explode(array(" + ", ".join(
+        f"named_struct('arm_no', {i}, 'arm', '{a}')" for i, a in enumerate(K.STUDY_ARMS)) + ")) as a")
+
+
+def _answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers of four arms to every report, one row per (case, arm, target)."""
+    targets = F.expr("explode(array(" + ", ".join(
+        f"named_struct('target_no', {i}, 'target', '{t}', 'gold', gold_{t})" for i, t in enumerate(K.TARGETS)
+    ) + ")) as t")
+    rows = reports_with_number(spark, sf_dir).select("doc_id", "case_id", "phrase", "text",
+                                                     *(f"gold_{t}" for t in K.TARGETS), _arms())
+    numbered = rows.select("doc_id", "case_id", "phrase", "text", "a.*", targets).selectExpr(
+        "*", "t.target", "t.target_no", "t.gold", "(doc_id * 7 + arm_no * 3 + t.target_no * 5) % 11 as sel"
+    )
+    return numbered.selectExpr(
+        "doc_id", "case_id", "arm_no", "arm", "target_no", "target", *(f"{e} as {k}" for k, e in ANSWER.items()),
+        "(doc_id * 7 + arm_no * 3) % 13 <> 10 as shape_valid",
+    )
 
 
 def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Long answers of four arms, one row per (case, arm, target)."""
-    r = reports_with_number(spark, sf_dir)
-    targets = F.explode(F.array(*(
-        F.struct(F.lit(i).alias("target_no"), F.lit(t).alias("target"), F.col(f"gold_{t}").alias("gold"))
-        for i, t in enumerate(K.TARGETS)
-    ))).alias("t")
-    rows = r.select("*", _arms()).select("*", targets)
-    answer = _answer_columns(F.col("doc_id"), F.col("a.arm_no"), F.col("t.target_no"), F.col("t.target"), F.col("t.gold"))
-    return rows.select(
-        "case_id", "a.arm", "t.target", *(c.alias(k) for k, c in answer.items()),
-        ((F.col("doc_id") * 7 + F.col("a.arm_no") * 3) % 13 != 10).alias("shape_valid"),
-    )
+    """Long answers of four arms."""
+    return _answers(spark, sf_dir).drop("doc_id", "arm_no", "target_no")
 
 
 def raw_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Raw JSON answers (case_id, arm, raw), one in a few damaged in one of several ways."""
-    r = reports_with_number(spark, sf_dir).select("*", _arms())
-    fields = {}
-    for i, t in enumerate(K.TARGETS):
-        a = _answer_columns(F.col("doc_id"), F.col("a.arm_no"), F.lit(i), F.lit(t), F.col(f"gold_{t}"))
-        fields[t] = F.struct(a["raw_value"].alias("value"), a["evidence"].alias("evidence"),
-                             a["confidence"].alias("confidence"), a["reason"].alias("reason"))
-    whole = F.to_json(F.struct(*(f.alias(f"{t}_stage") for t, f in fields.items())), {"ignoreNullFields": "false"})
-    damage = (F.col("doc_id") * 5 + F.col("a.arm_no")) % 17
-    raw = (
-        F.when(damage == 0, F.concat(F.lit("sorry: "), whole))
-        .when(damage == 1, F.to_json(F.struct(fields["T"].alias("T_stage"), fields["N"].alias("N_stage")),
-                                     {"ignoreNullFields": "false"}))
-        .when(damage == 2, F.replace(whole, F.lit('"confidence":"low"'), F.lit('"confidence":"maybe"')))
-        .when(damage == 3, F.replace(whole, F.lit('"reason":null'), F.lit('"reason":7')))
-        .when(damage == 4, F.replace(whole, F.lit('"evidence":null'), F.lit('"other":null')))
-        .when(damage == 5, F.concat(F.substring(whole, F.lit(1), F.length(whole) - 1),
-                                    F.lit(',"pathologic_stage":null}')))
-        .when(damage == 6, F.concat(F.substring(whole, F.lit(1), F.length(whole) - 1),
-                                    F.lit(',"pathologic_stage":{"value":"II"}}')))
-        .otherwise(whole)
+    """Raw JSON answers (case_id, arm, raw), some damaged in one of several ways."""
+    fields = _answers(spark, sf_dir).groupBy("doc_id", "case_id", "arm_no", "arm").agg(*(
+        F.expr(f"max(case when target = '{t}' then struct(raw_value as value, evidence, confidence, reason) end)")
+        .alias(f"{t}_stage") for t in K.TARGETS
+    ))
+    options = "map('ignoreNullFields', 'false')"
+    whole = fields.selectExpr(
+        "case_id", "arm", "(doc_id * 5 + arm_no) % 17 as damage",
+        f"to_json(struct(T_stage, N_stage, M_stage), {options}) as whole",
+        f"to_json(struct(T_stage, N_stage), {options}) as partial",
     )
-    return r.select("case_id", "a.arm", raw.alias("raw"))
+    return whole.selectExpr("case_id", "arm", """case damage
+        when 0 then concat('sorry: ', whole)
+        when 1 then partial
+        when 2 then replace(whole, '"confidence":"low"', '"confidence":"maybe"')
+        when 3 then replace(whole, '"reason":null', '"reason":7')
+        when 4 then replace(whole, '"evidence":null', '"other":null')
+        when 5 then concat(substring(whole, 1, length(whole) - 1), ',"pathologic_stage":null}')
+        when 6 then concat(substring(whole, 1, length(whole) - 1), ',"pathologic_stage":{"value":"II"}}')
+        else whole end as raw""")
 
 
 def records(spark: SparkSession, sf_dir: str) -> DataFrame:

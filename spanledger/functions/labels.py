@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -10,6 +11,12 @@ from pyspark.sql import functions as F
 from spanledger import constants as K
 from spanledger.functions.patterns import SPACE, java
 
+
+def literal_map(pairs: Iterable[tuple[str, str]]) -> Column:
+    """A constant string map."""
+    return F.create_map(*(F.lit(x) for pair in pairs for x in pair))
+
+
 _EDGE_SPACE = rf"\A{SPACE}+|{SPACE}+\z"
 _CANONICAL = r"\AP?([TNM])(?:(X)\z|(\p{Nd})[^\n]*\z)"
 
@@ -67,18 +74,18 @@ def in_domain(raw: Column) -> Column:
 
 
 def _token(letter: str, suffix: str) -> str:
-    tail = "(?![A-Za-z0-9])" if suffix == "X" else ""
-    return rf"<L>p?{letter}{suffix}{tail}"
+    tail = "(?![a-z0-9])" if suffix == "X" else ""
+    return java(f"<L>p?{letter.lower()}{suffix.lower()}{tail}", ignore_case=False)
 
 
 def _supported(value: Column, text: Column, suffixes: dict[str, str]) -> Column:
-    cases = [(f"{t}{s}", java(_token(t, s))) for t in suffixes for s in suffixes[t]]
-    branch = reduce(
-        lambda acc, c: acc.when(value == c[0], text.rlike(c[1])),
-        cases[1:],
-        F.when(value == cases[0][0], text.rlike(cases[0][1])),
-    )
-    return F.coalesce(branch, F.lit(False))
+    """Look for the token pattern of the row's value in the lower-cased text.
+
+    A plain substring test comes first: it rejects most texts without starting a regular expression.
+    """
+    patterns = literal_map((f"{t}{s}", _token(t, s)) for t in suffixes for s in suffixes[t])
+    low = F.lower(text)
+    return F.coalesce(F.contains(low, F.lower(value)) & F.rlike(low, patterns[value]), F.lit(False))
 
 
 def value_supported_by_text(value: Column, text: Column) -> Column:
@@ -122,15 +129,11 @@ def domain_violations(target: str, field: Column) -> Column:
     ))
 
 
-def _arm_map(pairs) -> Column:
-    return F.create_map(*[F.lit(x) for pair in pairs for x in pair])
-
-
 def arm_from_legacy(letter: Column) -> Column:
     """Long arm name of a legacy letter; other names pass through."""
-    return F.coalesce(_arm_map([(r[1], r[0]) for r in K.ARM_TABLE if r[1]])[letter], letter)
+    return F.coalesce(literal_map((r[1], r[0]) for r in K.ARM_TABLE if r[1])[letter], letter)
 
 
 def legacy_from_arm(arm: Column) -> Column:
     """Legacy letter of an arm name, NULL for an arm that never had one."""
-    return _arm_map([(r[0], r[1]) for r in K.ARM_TABLE if r[1]])[arm]
+    return literal_map((r[0], r[1]) for r in K.ARM_TABLE if r[1])[arm]

@@ -74,12 +74,12 @@ def semantic_support(prediction: Column, evidence: Column, target: Column) -> Co
     An explicit token decides first.  Prose then supports N0/N1 by node status, T2-T4 by local
     invasion, and M0/M1 by distant metastasis; nothing else.
     """
+    wanted = F.when(prediction.isin("N0", "M0"), NEGATIVE).when(prediction.isin("N1", "M1"), POSITIVE)
     by_prose = (
-        F.when((target == "N") & (prediction == "N0"), node_status(evidence) == NEGATIVE)
-        .when((target == "N") & (prediction == "N1"), node_status(evidence) == POSITIVE)
-        .when((target == "T") & prediction.isin("T2", "T3", "T4"), local_invasion(evidence))
-        .when((target == "M") & (prediction == "M0"), distant_metastasis(evidence) == NEGATIVE)
-        .when((target == "M") & (prediction == "M1"), distant_metastasis(evidence) == POSITIVE)
+        F.when(F.substring(prediction, 1, 1) != target, False)
+        .when(target == "N", node_status(evidence) == wanted)
+        .when(target == "M", distant_metastasis(evidence) == wanted)
+        .when(prediction.isin("T2", "T3", "T4"), local_invasion(evidence))
     )
     usable = (evidence != "") & ~prediction.isin(K.UNKNOWN, K.INVALID)
     return F.when(

@@ -24,20 +24,21 @@ def by_target(columns: dict[str, Column], target: Column) -> Column:
     return F.coalesce(*(F.when(target == t, c) for t, c in columns.items()))
 
 
-def report_features(reports: DataFrame) -> DataFrame:
-    """Everything that depends on the report alone, computed once per report.
+def report_features(reports: DataFrame, flags: tuple[str, ...]) -> DataFrame:
+    """What depends on the report alone, computed once per report: matching form, gold, ``flags``.
 
     The text is normalised and searched here, before any arm or target multiplies the rows; the
     raw text itself does not travel further.
     """
     text = F.col("text")
+    per_target = {
+        "gold_in_text": lambda t: L.value_supported_by_text(F.col(f"gold_{t}"), text),
+        "gold_in_report": lambda t: L.text_supports_gold(F.col(f"gold_{t}"), text),
+        "easy": lambda t: L.has_explicit_token(text, t),
+    }
     return reports.select(
-        "case_id",
-        matching_form(text).alias("text_form"),
-        *(F.col(f"gold_{t}") for t in K.TARGETS),
-        *(L.value_supported_by_text(F.col(f"gold_{t}"), text).alias(f"gold_in_text_{t}") for t in K.TARGETS),
-        *(L.text_supports_gold(F.col(f"gold_{t}"), text).alias(f"gold_in_report_{t}") for t in K.TARGETS),
-        *(L.has_explicit_token(text, t).alias(f"easy_{t}") for t in K.TARGETS),
+        "case_id", matching_form(text).alias("text_form"), *(f"gold_{t}" for t in K.TARGETS),
+        *(per_target[f](t).alias(f"{f}_{t}") for f in flags for t in K.TARGETS),
     )
 
 
@@ -53,7 +54,7 @@ def build_records(reports: DataFrame, responses: DataFrame) -> DataFrame:
     grounding test, so every later operator runs on narrow rows.
     """
     valid = F.col("shape_valid")
-    joined = responses.join(report_features(reports), "case_id", "left").select(
+    joined = responses.join(report_features(reports, ("gold_in_text",)), "case_id", "left").select(
         "case_id", "arm", "target", "raw_value", "confidence", "reason", "shape_valid",
         F.when(valid, F.col("evidence")).alias("evidence"),
         F.when(valid, L.norm_pred(F.col("raw_value"))).otherwise(K.INVALID).alias("prediction"),
@@ -148,7 +149,8 @@ def boundary_rows(reports: DataFrame, responses: DataFrame) -> DataFrame:
     every row, whatever was predicted.
     """
     valid = F.col("shape_valid")
-    rows = responses.join(report_features(reports), "case_id", "left").select(
+    features = report_features(reports, ("gold_in_report", "easy"))
+    rows = responses.join(features, "case_id", "left").select(
         "case_id", "arm", "target", "confidence", "reason",
         F.when(valid, F.col("raw_value")).alias("value"),
         F.when(valid, F.col("evidence")).alias("evidence"),
