@@ -10,6 +10,7 @@ from catalog.registry import query
 from catalog.scalar_queries import stale_records
 from spanledger import constants as K
 from spanledger.operators import classify, compare, metrics, records as R, sampling
+from spanledger.session import materialize
 
 # ------------------------------------------------------------------ the metric bundle
 _EV = "ground_truth IS NOT NULL"
@@ -322,7 +323,7 @@ def _unpivot_sql(name: str, value: str) -> str:
     FROM ({_unpivot_sql('pilot_bundle', 'pilot')}) JOIN ({_unpivot_sql('main_bundle', 'main')}) USING (arm, target, metric)""", *_TWO),
     doubles="pilot main diff")
 def _(spark, d):
-    recs = V.records(spark, d)
+    recs = materialize(V.records(spark, d), "records")
     return compare.metric_differences(metrics.metrics(pilot_records(spark, d, recs)), metrics.metrics(recs))
 
 
@@ -337,7 +338,7 @@ stale AS MATERIALIZED (
     FROM ({_unpivot_sql('old_bundle', 'before')}) JOIN ({_unpivot_sql('bundle', 'after')}) USING (arm, target, metric)""",
     _STALE, bundle_cte("old_bundle", "stale"), _BUNDLE), doubles="before after diff")
 def _(spark, d):
-    stale = stale_records(spark, d)
+    stale = materialize(stale_records(spark, d), "stale")
     return compare.metric_differences(metrics.metrics(stale), metrics.metrics(R.rescore(stale)), names=("before", "after"))
 
 
@@ -378,7 +379,7 @@ both_runs AS (SELECT 'pilot' AS experiment, * FROM {left} UNION ALL SELECT 'main
 @query("a46_replication_claims", with_records(_CLAIMS, *_TWO, _both("pilot_bundle", "main_bundle"), _CLAIM_FACTS),
        bools="holds", doubles="value against")
 def _(spark, d):
-    recs = V.records(spark, d)
+    recs = materialize(V.records(spark, d), "records")
     runs = metrics.metrics(pilot_records(spark, d, recs)).withColumn("experiment", F.lit("pilot")).unionByName(
         metrics.metrics(recs).withColumn("experiment", F.lit("main")))
     return compare.replication_claims(runs)

@@ -206,7 +206,7 @@ def reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def judgments(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """(judgments, answers) for every tagged M row of the boundary table."""
-    rows = boundary(spark, sf_dir).filter("target = 'M' and boundary_tag is not null").withColumn(
+    rows = boundary(spark, sf_dir).filter("target = 'M' and gold is not null").withColumn(
         "number", F.substring("case_id", 2, 12).cast("long")
     )
     key = F.concat_ws("|", "case_id", "arm").alias("case_id")

@@ -18,7 +18,7 @@ def literal_map(pairs: Iterable[tuple[str, str]]) -> Column:
 
 
 _EDGE_SPACE = rf"\A{SPACE}+|{SPACE}+\z"
-_CANONICAL = r"\AP?([TNM])(?:(X)\z|(\p{Nd})[^\n]*\z)"
+_CANONICAL = r"\AP?([TNM](?:X(?=\z)|\p{Nd}(?=[^\n]*\z)))"
 
 
 def strip(value: Column) -> Column:
@@ -37,9 +37,7 @@ def canonicalize(raw: Column) -> Column:
     One leading P is dropped, the letter must be T, N or M, and the rest is either exactly X or
     starts with a digit, which decides the category.
     """
-    value = F.upper(strip(raw))
-    folded = F.concat(*(F.regexp_extract(value, _CANONICAL, g) for g in (1, 2, 3)))
-    return F.when(folded != "", folded)
+    return F.nullif(F.regexp_extract(F.upper(strip(raw)), _CANONICAL, 1), F.lit(""))
 
 
 def canonical_gold(raw: Column, *, strict: bool = True) -> Column:

@@ -65,7 +65,7 @@ def curated_examples(
     def choose(candidate_rows: pd.DataFrame) -> pd.DataFrame:
         return _greedy(candidate_rows, dict(quotas))
 
-    chosen = candidates.groupBy(F.lit(1)).applyInPandas(choose, "position long, case_id string, target string")
+    chosen = candidates.groupBy(F.lit("all")).applyInPandas(choose, "position long, case_id string, target string")
     return chosen.join(tagged, ["case_id", "target"]).select(
         "position",
         F.format_string("case-%02d", "position").alias("id"),

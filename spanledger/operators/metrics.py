@@ -189,7 +189,7 @@ def predicted_distribution(records: DataFrame) -> DataFrame:
 
 def boundary_table(rows: DataFrame) -> DataFrame:
     """Boundary tags per arm and stage, with the share of mismatches that are principled abstentions."""
-    tagged = rows.filter(F.col("boundary_tag").isNotNull())
+    tagged = rows.filter(F.col("gold").isNotNull())
     counts = tagged.groupBy("arm", F.col("target").alias("stage")).agg(
         F.count(F.lit(1)).alias("n"),
         *(F.count_if(F.col("boundary_tag") == t).alias(t) for t in K.BOUNDARY_TAGS),

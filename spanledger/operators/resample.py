@@ -120,6 +120,10 @@ def _multinomial_means(seed: int):
     return run
 
 
+def _range(n: int) -> Column:
+    return F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))
+
+
 def replicate_means(
     counts: DataFrame, keys: list[str], *, seed: int, n_boot: int, max_explicit: int = MAX_EXPLICIT
 ) -> DataFrame:
@@ -129,7 +133,7 @@ def replicate_means(
     spread = (
         counts.filter((F.col("n") > 0) & (F.col("n") <= max_explicit))
         .select(label.alias("label"), "n", "n_pos", "n_neg",
-                F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))).cast("long").alias("replicate"))
+                F.explode(_range(n_boot)).alias("replicate"))
         .repartition(width)
     )
     at = draw_index(F.col("replicate"), F.col("draw"), F.col("n"), seed)
@@ -143,7 +147,7 @@ def replicate_means(
     last = (n_boot - 1) // REPLICATES_PER_ROW
     blocks = counts.filter(F.col("n") > max_explicit).select(
         label.alias("label"), "n", "n_pos", "n_neg",
-        F.explode(F.sequence(F.lit(0), F.lit(last))).cast("long").alias("block"),
+        F.explode(_range(last + 1)).alias("block"),
     ).withColumn(
         "size", F.least(F.lit(REPLICATES_PER_ROW), F.lit(n_boot) - F.col("block") * REPLICATES_PER_ROW)
     ).repartition(width)
@@ -260,7 +264,7 @@ def _explicit_means(held: DataFrame, by: list[str], seed: int, n_boot: int) -> D
         lambda s: F.array_repeat(s["value"], s["times"].cast("int")),
     ))
     groups = held.groupBy(*by).agg(F.first("n").alias("n"), repeated.alias("values"))
-    rows = groups.select("*", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))).cast("long").alias("replicate"))
+    rows = groups.select("*", F.explode(_range(n_boot)).alias("replicate"))
     total = F.aggregate(
         F.sequence(F.lit(0).cast("long"), F.col("n") - 1), F.lit(0.0),
         lambda acc, k: acc + F.get(F.col("values"), draw_index(F.col("replicate"), k, F.col("n"), seed).cast("int")),

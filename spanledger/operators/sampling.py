@@ -40,8 +40,8 @@ def take_first(df: DataFrame, by: list[str], quota: Column | int, *, key: str, a
         *by, "_bucket", (F.col("_take") - F.col("_before")).alias("_left"),
         (F.col("_before") + F.col("_size") <= F.col("_take")).alias("_whole"),
     )
-    conditions = [rows[c].eqNullSafe(plan[c]) for c in (*by, "_bucket")]
-    kept = rows.join(plan, conditions).select(*(rows[c] for c in rows.columns), "_left", "_whole")
+    same = [F.col(f"r.{c}").eqNullSafe(F.col(f"p.{c}")) for c in (*by, "_bucket")]
+    kept = rows.alias("r").join(plan.alias("p"), same).select("r.*", "_left", "_whole")
     rank = F.row_number().over(Window.partitionBy(*by, "_bucket").orderBy(key))
     edge = kept.filter("not _whole").withColumn("_rank", rank).filter("_rank <= _left")
     return kept.filter("_whole").select(*df.columns).unionByName(edge.select(*df.columns))
@@ -81,18 +81,21 @@ def allocation(sizes: DataFrame, strata: list[str], n: int) -> DataFrame:
 
 def stratified_sample(
     df: DataFrame, n: int, seed: int, *, id_col: str = "case_id",
-    gold_cols: tuple[str, ...] = ("gold_T", "gold_N", "gold_M"),
+    gold_cols: tuple[str, ...] = ("gold_T", "gold_N", "gold_M"), small: bool | None = None,
 ) -> DataFrame:
     """min(n, all) rows, proportional over the gold-availability patterns; adds ``sample_key``.
 
-    Sorting by ``sample_key`` gives the shuffled output order.
+    Sorting by ``sample_key`` gives the shuffled output order.  ``small`` overrides the choice
+    between the ranked filter and key buckets, which follows from n.
     """
+    small = n <= SMALL_QUOTA if small is None else small
     pattern = F.concat(*(F.when(F.col(c).isNotNull(), "1").otherwise("0") for c in gold_cols))
     rows = df.withColumn("stratum", pattern).withColumn("sample_key", draw_key(seed, id_col))
     sizes = rows.groupBy("stratum").agg(F.count(F.lit(1)).alias("size"))
     quotas = allocation(sizes, ["stratum"], n).select("stratum", "alloc")
     return take_first(
-        rows.join(F.broadcast(quotas), "stratum"), ["stratum"], F.col("alloc"), key="sample_key", at_most=n
+        rows.join(F.broadcast(quotas), "stratum"), ["stratum"], F.col("alloc"), key="sample_key",
+        at_most=n if small else None,
     ).drop("stratum", "alloc")
 
 
