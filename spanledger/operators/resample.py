@@ -258,18 +258,37 @@ def bootstrap_mean(
 
 
 def _explicit_means(held: DataFrame, by: list[str], seed: int, n_boot: int) -> DataFrame:
-    """Index draws over the sorted values of a group of at most ``max_explicit`` units."""
-    repeated = F.flatten(F.transform(
-        F.sort_array(F.collect_list(F.struct("value", "times"))),
-        lambda s: F.array_repeat(s["value"], s["times"].cast("int")),
-    ))
-    groups = held.groupBy(*by).agg(F.first("n").alias("n"), repeated.alias("values"))
-    rows = groups.select("*", F.explode(_range(n_boot)).alias("replicate"))
-    total = F.aggregate(
-        F.sequence(F.lit(0).cast("long"), F.col("n") - 1), F.lit(0.0),
-        lambda acc, k: acc + F.get(F.col("values"), draw_index(F.col("replicate"), k, F.col("n"), seed).cast("int")),
+    """Index draws over the sorted values of a group of at most ``max_explicit`` units.
+
+    The same integer arithmetic as :func:`draw_index`, over whole arrays of draws.
+    """
+    groups = held.groupBy(*by).agg(
+        F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("value", "times"))).alias("items")
     )
-    return rows.select(*by, "replicate", (total / F.col("n")).alias("mean"))
+    rows = groups.select(
+        *by, "n", F.col("items.value").alias("values"), F.col("items.times").alias("times"),
+        F.explode(_range((n_boot - 1) // REPLICATES_PER_ROW + 1)).alias("block"),
+    ).repartition(held.sparkSession.sparkContext.defaultParallelism)
+
+    def run(batches):
+        for batch in batches:
+            for row in batch.itertuples(index=False):
+                r = row._asdict()
+                n = int(r["n"])
+                units = np.repeat(np.asarray(r["values"], dtype=float), np.asarray(r["times"], dtype=np.int64))
+                first = int(r["block"]) * REPLICATES_PER_ROW
+                replicates = np.arange(first, min(first + REPLICATES_PER_ROW, n_boot), dtype=np.int64)
+                draws = np.arange(n, dtype=np.int64) * 7919 + seed * 104729
+                means = []
+                for b in replicates:
+                    x = (b * 1000003 + draws) % MODULUS
+                    x = (x * x + 48271 * x + 12345) % MODULUS
+                    x = (x * x + 69621 * x + 54321) % MODULUS
+                    means.append(units[x % n].mean())
+                yield pd.DataFrame({**{k: r[k] for k in by}, "replicate": replicates, "mean": means})
+
+    schema = ", ".join([*(f"`{k}` {dict(held.dtypes)[k]}" for k in by), "replicate long, mean double"])
+    return rows.mapInPandas(run, schema)
 
 
 def _block_means(held: DataFrame, by: list[str], seed: int, n_boot: int) -> DataFrame:
