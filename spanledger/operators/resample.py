@@ -29,11 +29,11 @@ VALUES_PER_BLOCK = 100_000
 COMPARISON = ["scope", "metric", "arm_a", "arm_b"]
 
 
-def draw_index(replicate: Column, draw: Column, n: Column, seed: int) -> Column:
-    """Index in [0, n) of one draw; 64-bit integer arithmetic only."""
-    x = (replicate * F.lit(1000003).cast("long") + draw * F.lit(7919) + F.lit(seed * 104729)) % F.lit(MODULUS)
-    x = (x * x + F.lit(48271) * x + F.lit(12345)) % F.lit(MODULUS)
-    x = (x * x + F.lit(69621) * x + F.lit(54321)) % F.lit(MODULUS)
+def draw_indexes(replicate: int, n: int, seed: int) -> np.ndarray:
+    """The n indexes in [0, n) that one replicate draws; 64-bit integer arithmetic only."""
+    x = (replicate * 1000003 + np.arange(n, dtype=np.int64) * 7919 + seed * 104729) % MODULUS
+    x = (x * x + 48271 * x + 12345) % MODULUS
+    x = (x * x + 69621 * x + 54321) % MODULUS
     return x % n
 
 
@@ -102,58 +102,54 @@ def paired_counts(outcomes: DataFrame) -> DataFrame:
 
 
 # ------------------------------------------------------------------ replicates
-def _multinomial_means(seed: int):
-    """Mean of every replicate of a block row: value counts drawn from their multinomial."""
-    def run(batches):
-        for batch in batches:
-            out = []
-            for row in batch.itertuples(index=False):
-                rng = np.random.default_rng([seed, zlib.crc32(row.label.encode()), row.block])
-                p = np.array([row.n_neg, row.n - row.n_neg - row.n_pos, row.n_pos], dtype=float) / row.n
-                drawn = rng.multinomial(row.n, p, size=row.size)
-                out.append(pd.DataFrame({
-                    "label": row.label, "replicate": row.block * REPLICATES_PER_ROW + np.arange(row.size),
-                    "total": drawn[:, 2] - drawn[:, 0],
-                }))
-            if out:
-                yield pd.concat(out)
-    return run
-
-
 def _range(n: int) -> Column:
     return F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))
 
 
+def _block_of(block: int, n_boot: int) -> np.ndarray:
+    first = int(block) * REPLICATES_PER_ROW
+    return np.arange(first, min(first + REPLICATES_PER_ROW, n_boot), dtype=np.int64)
+
+
+def _explicit_totals(row, replicates: np.ndarray, seed: int) -> list[int]:
+    """Sum of the drawn differences when positions run from +1 over 0 to -1."""
+    totals = []
+    for b in replicates:
+        at = draw_indexes(int(b), int(row.n), seed)
+        totals.append(int((at < row.n_pos).sum() - (at >= row.n - row.n_neg).sum()))
+    return totals
+
+
+def _multinomial_totals(row, replicates: np.ndarray, seed: int) -> np.ndarray:
+    """The same sums drawn as counts of the three values."""
+    rng = np.random.default_rng([seed, zlib.crc32(row.label.encode()), int(row.block)])
+    p = np.array([row.n_neg, row.n - row.n_neg - row.n_pos, row.n_pos], dtype=float) / row.n
+    drawn = rng.multinomial(int(row.n), p, size=len(replicates))
+    return drawn[:, 2] - drawn[:, 0]
+
+
 def replicate_means(
     counts: DataFrame, keys: list[str], *, seed: int, n_boot: int, max_explicit: int = MAX_EXPLICIT
 ) -> DataFrame:
-    """(keys, n, observed, replicate, mean) of the difference with values -1, 0 and +1."""
-    label = F.concat_ws("\u0001", *keys)
-    width = counts.sparkSession.sparkContext.defaultParallelism
-    spread = (
-        counts.filter((F.col("n") > 0) & (F.col("n") <= max_explicit))
-        .select(label.alias("label"), "n", "n_pos", "n_neg",
-                F.explode(_range(n_boot)).alias("replicate"))
-        .repartition(width)
-    )
-    at = draw_index(F.col("replicate"), F.col("draw"), F.col("n"), seed)
-    drawn = spread.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("draw")).select(
-        "label", "replicate", "n_pos", (F.col("n") - F.col("n_neg")).alias("neg_from"), at.alias("at")
-    )
-    explicit = drawn.groupBy("label", "replicate").agg(F.sum(
-        F.when(F.col("at") < F.col("n_pos"), 1).when(F.col("at") >= F.col("neg_from"), -1).otherwise(0)
-    ).alias("total"))
+    """(keys, n, observed, replicate, mean) of the difference with values -1, 0 and +1.
 
-    last = (n_boot - 1) // REPLICATES_PER_ROW
-    blocks = counts.filter(F.col("n") > max_explicit).select(
+    The work is spread as (comparison, block of replicates) rows; each is a few integers.
+    """
+    label = F.concat_ws("\u0001", *keys)
+    rows = counts.filter(F.col("n") > 0).select(
         label.alias("label"), "n", "n_pos", "n_neg",
-        F.explode(_range(last + 1)).alias("block"),
-    ).withColumn(
-        "size", F.least(F.lit(REPLICATES_PER_ROW), F.lit(n_boot) - F.col("block") * REPLICATES_PER_ROW)
-    ).repartition(width)
-    counted = blocks.mapInPandas(_multinomial_means(seed), "label string, replicate long, total long")
+        F.explode(_range((n_boot - 1) // REPLICATES_PER_ROW + 1)).alias("block"),
+    ).repartition(counts.sparkSession.sparkContext.defaultParallelism)
+
+    def run(batches):
+        for batch in batches:
+            for row in batch.itertuples(index=False):
+                replicates = _block_of(row.block, n_boot)
+                draw = _explicit_totals if row.n <= max_explicit else _multinomial_totals
+                yield pd.DataFrame(
+                    {"label": row.label, "replicate": replicates, "total": draw(row, replicates, seed)})
 
-    totals = explicit.unionByName(counted)
+    totals = rows.mapInPandas(run, "label string, replicate long, total long")
     head = counts.select(*keys, label.alias("label"), "n",
                          ((F.col("n_pos") - F.col("n_neg")) / F.col("n")).alias("observed"))
     return head.join(totals, "label").select(
@@ -260,7 +256,7 @@ def bootstrap_mean(
 def _explicit_means(held: DataFrame, by: list[str], seed: int, n_boot: int) -> DataFrame:
     """Index draws over the sorted values of a group of at most ``max_explicit`` units.
 
-    The same integer arithmetic as :func:`draw_index`, over whole arrays of draws.
+    Rows are (group, block of replicates) with the group's distinct values and their counts.
     """
     groups = held.groupBy(*by).agg(
         F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("value", "times"))).alias("items")
@@ -274,17 +270,9 @@ def _explicit_means(held: DataFrame, by: list[str], seed: int, n_boot: int) -> D
         for batch in batches:
             for row in batch.itertuples(index=False):
                 r = row._asdict()
-                n = int(r["n"])
                 units = np.repeat(np.asarray(r["values"], dtype=float), np.asarray(r["times"], dtype=np.int64))
-                first = int(r["block"]) * REPLICATES_PER_ROW
-                replicates = np.arange(first, min(first + REPLICATES_PER_ROW, n_boot), dtype=np.int64)
-                draws = np.arange(n, dtype=np.int64) * 7919 + seed * 104729
-                means = []
-                for b in replicates:
-                    x = (b * 1000003 + draws) % MODULUS
-                    x = (x * x + 48271 * x + 12345) % MODULUS
-                    x = (x * x + 69621 * x + 54321) % MODULUS
-                    means.append(units[x % n].mean())
+                replicates = _block_of(r["block"], n_boot)
+                means = [units[draw_indexes(int(b), len(units), seed)].mean() for b in replicates]
                 yield pd.DataFrame({**{k: r[k] for k in by}, "replicate": replicates, "mean": means})
 
     schema = ", ".join([*(f"`{k}` {dict(held.dtypes)[k]}" for k in by), "replicate long, mean double"])
