@@ -275,9 +275,7 @@ _SPAN_PATTERN = f"array_to_string([regexp_escape(w) for w in string_split({norm(
                 WHERE p.evidence IS NOT NULL AND {norm('evidence')} <> ''))
     WHERE hit <> ''"""))
 def _(spark, d):
-    joined = V.responses(spark, d).filter("evidence is not null").join(V.reports(spark, d).select("case_id", "text"), "case_id")
-    spans = joined.select("case_id", "arm", "target", text.locate_span(F.col("text"), F.col("evidence")).alias("s"))
-    return spans.filter("s is not null").select(
+    return R.locate_spans(V.reports(spark, d), V.responses(spark, d)).select(
         "case_id", "arm", "target", F.length("s.before").alias("before_length"), F.col("s.match").alias("match"),
         F.length("s.after").alias("after_length"))
 

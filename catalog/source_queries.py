@@ -6,14 +6,15 @@ from pyspark.sql import functions as F
 
 from catalog import views as V
 from catalog.join_queries import registry_sql
-from catalog.metric_queries import _BUNDLE, _COUNTS, BASE, BUNDLE, bundle
-from catalog.oracle_base import lit, with_boundary, with_records, with_views
+from catalog.metric_queries import _BUNDLE, BASE, bundle
+from catalog.oracle_base import with_boundary, with_records, with_views
 from catalog.registry import query
-from catalog.sample_queries import _GRID, _JUDGED, _PATTERNS, COUNTS, REVIEWS, SEED, grid, judged
+from catalog.sample_queries import _GRID, _JUDGED, _PATTERNS, REVIEWS, agreement_sql, grid
 from catalog.scalar_queries import raw_sql
 from spanledger import constants as K
-from spanledger.operators import audit, metrics, records as R
-from spanledger.session import scratch_path
+from spanledger.operators import metrics
+from spanledger.plans import audits
+from spanledger.session import materialize, scratch_path
 from spanledger.sources import documents, jsonl, tables
 from spanledger.streaming import resume
 
@@ -204,14 +205,17 @@ def _(spark, d):
     return jsonl.read_metrics(spark, path)
 
 
-@query("b12_bundle_write_and_score", with_records("""SELECT count(*) AS n, count(*) FILTER (WHERE span) AS n_span FROM records"""))
+_FULL_PAIRS = """(SELECT unnest(['overall', target]) AS scope, 'evidence_span_found' AS field, span AS a, h_span AS h FROM reviews
+  UNION ALL SELECT unnest(['overall', target]), 'semantic_support', sem, h_sem FROM reviews)"""
+
+
+@query("b12_bundle_write_and_score", with_records(agreement_sql("a", "h", _FULL_PAIRS, "scope, field"), _PATTERNS, REVIEWS),
+       doubles="percent_agreement cohens_kappa precision recall specificity")
 def _(spark, d):
-    """Both sheets of an audit of every record are written apart, read back and joined again."""
-    rows = V.reviews(spark, d)
+    """Both sheets of an audit of every record are written apart, read back, joined and scored."""
+    rows = materialize(V.reviews(spark, d), "reviews")
     reviewer_path, key_path = scratch_path(spark, "reviewer"), scratch_path(spark, "key")
-    key_columns = ["audit_id", "case_id", "arm", "target", "ground_truth", "prediction", "automated_evidence_span_found",
-                   "automated_semantic_support", "arm_pattern"]
-    jsonl.write_lines(rows.drop(*[c for c in key_columns if c not in ("audit_id", "target", "prediction")]), reviewer_path)
-    jsonl.write_lines(rows.select(*key_columns), key_path)
-    joined = audit.unblind(jsonl.read_audit(spark, reviewer_path), jsonl.read_audit(spark, key_path, key=True), "row_no")
-    return joined.agg(F.count(F.lit(1)).alias("n"), F.count_if("automated_evidence_span_found").alias("n_span"))
+    hidden = ["case_id", "arm", "ground_truth", "automated_evidence_span_found", "automated_semantic_support", "arm_pattern"]
+    jsonl.write_lines(rows.drop(*hidden), reviewer_path)
+    jsonl.write_lines(rows.select("audit_id", "target", "prediction", *hidden), key_path)
+    return audits.score(spark, reviewer_path, key_path).agreement

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from spanledger import constants as K
 from spanledger.operators import records as R
-from spanledger.session import apply_recommended
+from spanledger.session import apply_recommended, spread
 
 PHRASES = (
     "pT2N0M0 glued.",
@@ -29,7 +29,7 @@ BASELINE = "baseline"
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     apply_recommended(spark)
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 CASE_ID = "concat('D', lpad(cast(doc_id as string), 12, '0'))"

@@ -35,14 +35,13 @@ def found(text: Column, template: str) -> Column:
 
 
 def first_hit(text: Column, template: str) -> tuple[Column, Column, Column]:
-    """(hit, start, end) of the first occurrence; offsets count characters from 0.
+    """(found, start, end) of the first occurrence; offsets count characters from 0.
 
-    ``hit`` is '' when there is none, and the offsets are then meaningless.
+    Splitting once at the first hit gives both sides of it in one pass over the text.
     """
-    pattern = java(template)
-    hit = F.regexp_extract(text, pattern, 0)
-    start = F.length(F.split(text, pattern, 2)[0])
-    return hit, start, start + F.length(hit)
+    sides = F.split(text, java(template), 2)
+    after = F.get(sides, F.lit(1))
+    return after.isNotNull(), F.length(sides[0]), F.length(text) - F.length(after)
 
 
 def cut(text: Column, start: Column, end: Column) -> Column:

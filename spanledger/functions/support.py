@@ -22,7 +22,7 @@ def node_status(text: Column) -> Column:
     window = cut(text, start - K.EVIDENCE_WINDOW, end + K.EVIDENCE_WINDOW)
     positive_nodes = F.regexp_extract(window, java(K.NODE_COUNT), 1)
     return F.when(
-        hit != "",
+        hit,
         F.when(positive_nodes != "", F.when(positive_nodes.rlike("^0+$"), NEGATIVE).otherwise(POSITIVE))
         .when(found(window, K.NEGATIVE_WORD), NEGATIVE)
         .when(found(window, K.POSITIVE_NODE_WORD), POSITIVE),
@@ -34,9 +34,8 @@ def local_invasion(text: Column) -> Column:
     hit, start, end = first_hit(text, K.INVASION_VERB)
     before = cut(text, start - K.NEGATION_BEFORE_VERB, start)
     around = cut(text, start - K.EVIDENCE_WINDOW, end + K.EVIDENCE_WINDOW)
-    return F.when(hit == "", False).otherwise(
-        ~found(before, K.NEGATION_BEFORE) & found(around, K.DEEP_STRUCTURE)
-    )
+    deep = hit & ~found(before, K.NEGATION_BEFORE) & found(around, K.DEEP_STRUCTURE)
+    return F.when(text.isNotNull(), F.coalesce(deep, F.lit(False)))
 
 
 def tumor_size(text: Column) -> Column:
@@ -47,7 +46,7 @@ def distant_metastasis(text: Column) -> Column:
     """'negative', 'positive' or NULL from the first mention of distant metastasis."""
     hit, start, _ = first_hit(text, K.DISTANT_METASTASIS)
     before = cut(text, start - K.NEGATION_BEFORE_METASTASIS, start)
-    return F.when(hit != "", F.when(found(before, K.NEGATIVE_WORD), NEGATIVE).otherwise(POSITIVE))
+    return F.when(hit, F.when(found(before, K.NEGATIVE_WORD), NEGATIVE).otherwise(POSITIVE))
 
 
 def evidence_categories(evidence: Column, prediction: Column) -> Column:

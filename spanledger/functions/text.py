@@ -50,8 +50,8 @@ def m_excerpt(text: Column) -> Column:
     token, t_start, t_end = first_hit(text, K.M_TOKEN)
     prose, p_start, p_end = first_hit(text, K.METASTATIC_WORD)
     return (
-        F.when(token != "", _with_ellipses(text, t_start - pad, t_end + pad))
-        .when(prose != "", _with_ellipses(text, p_start - pad, p_end + pad))
+        F.when(token, _with_ellipses(text, t_start - pad, t_end + pad))
+        .when(prose, _with_ellipses(text, p_start - pad, p_end + pad))
         .otherwise(F.substring(text, 1, K.M_EXCERPT_HEAD))
     )
 
@@ -83,22 +83,34 @@ def scrub_personal_data(text: Column) -> Column:
     return F.regexp_replace(text, java(K.PERSONAL_DATA), K.PERSONAL_DATA_MARK)
 
 
-def locate_span(text: Column, evidence: Column) -> Column:
-    """Struct(before, match, after) of the first grounded occurrence in the original text.
+def span_in(low: Column, words: Column) -> Column:
+    """Struct(start, size) of the first grounded occurrence; ``low`` is the lower-cased text and
+    ``words`` the matching form of the quote.
 
     The quote becomes a pattern whose words may be apart by any run of stops, commas and white
-    space, so offsets refer to the original text and no position map is needed.  NULL when the
-    quote is blank or not there.
+    space, so the offsets are those of the original text and no position map is needed.
     """
-    words = matching_form(evidence)
     escaped = F.regexp_replace(words, r"([^\p{L}\p{N}\p{M} ])", r"\\$1")
     pattern = F.replace(escaped, F.lit(" "), F.lit(f"[.,{SPACE_CHARS}]+"))
-    lowered = F.lower(text)
-    start = F.length(F.split(lowered, pattern, 2)[0])
-    size = F.length(F.regexp_substr(lowered, pattern))
-    parts = F.struct(
+    sides = F.split(low, pattern, 2)
+    after = F.get(sides, F.lit(1))
+    start = F.length(sides[0])
+    span = F.struct(start.alias("start"), (F.length(low) - start - F.length(after)).alias("size"))
+    return F.when(after.isNotNull(), span)
+
+
+def locate_span(text: Column, evidence: Column) -> Column:
+    """Struct(before, match, after) of the first grounded occurrence in the original text; NULL when
+    the quote is blank or not there."""
+    words = matching_form(evidence)
+    return around_span(text, F.when(words != "", span_in(F.lower(text), words)))
+
+
+def around_span(text: Column, span: Column) -> Column:
+    """The text before, in and after a span."""
+    start, size = span["start"], span["size"]
+    return F.when(span.isNotNull(), F.struct(
         F.substring(text, F.lit(1), start).alias("before"),
         F.substring(text, start + 1, size).alias("match"),
         F.substring(text, start + size + 1, F.length(text)).alias("after"),
-    )
-    return F.when((words != "") & size.isNotNull(), parts)
+    ))

@@ -10,7 +10,7 @@ from spanledger.functions import labels as L
 from spanledger.functions import taxonomy
 from spanledger.functions.shape import parse_document, shape_valid, stage_field
 from spanledger.functions.support import semantic_support
-from spanledger.functions.text import grounded_in, matching_form
+from spanledger.functions.text import around_span, grounded_in, matching_form, span_in
 
 RECORD_COLUMNS = (
     "case_id", "arm", "target", "ground_truth", "prediction", "evidence", "correct", "abstained",
@@ -168,6 +168,21 @@ def boundary_rows(reports: DataFrame, responses: DataFrame) -> DataFrame:
     ).drop("gold_in_report")
 
 
+def locate_spans(reports: DataFrame, responses: DataFrame) -> DataFrame:
+    """Grounded quotes with the struct(before, match, after) of their place in the report.
+
+    Lower-casing and normalising happen once per report; a plain substring test decides which rows
+    need the position at all.
+    """
+    texts = reports.select("case_id", "text", F.lower("text").alias("low"), matching_form(F.col("text")).alias("text_form"))
+    quotes = responses.select("case_id", "arm", "target", matching_form(F.col("evidence")).alias("words"))
+    grounded = quotes.filter(F.col("words") != "").join(texts, "case_id").filter(
+        F.contains(F.col("text_form"), F.col("words"))
+    )
+    spans = grounded.select("case_id", "arm", "target", "text", span_in(F.col("low"), F.col("words")).alias("span"))
+    return spans.select("case_id", "arm", "target", around_span(F.col("text"), F.col("span")).alias("s"))
+
+
 def case_indicators(records: DataFrame) -> DataFrame:
     """Per-record 0/1 indicators of the six compared metrics; NULL where there is no gold."""
     from spanledger.operators.resample import indicator
