@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from spanledger.session import ship_packages
+
+_ROOT = Path(__file__).resolve().parent.parent
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
@@ -30,13 +34,20 @@ def portable(df: DataFrame) -> DataFrame:
     return df.select(*out)
 
 
+def _runner(fn: Query) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        ship_packages(spark, _ROOT / "spanledger", _ROOT / "catalog")
+        return portable(fn(spark, sf_dir))
+    return run
+
+
 def query(name: str, sql: str | None = None, *, bools: str = "", arrays: str = "", doubles: str = "",
           longs: str = "") -> Callable[[Query], Query]:
     """Register a query; its oracle gets the same output form for the named columns."""
     def register(fn: Query) -> Query:
         if name in QUERIES:
             raise ValueError(f"query {name} is registered twice")
-        QUERIES[name] = lambda spark, sf_dir: portable(fn(spark, sf_dir))
+        QUERIES[name] = _runner(fn)
         if sql is not None:
             changes = [f"CAST({c} AS VARCHAR) AS {c}" for c in bools.split()]
             changes += [f"array_to_string({c}, '|') AS {c}" for c in arrays.split()]

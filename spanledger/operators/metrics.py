@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 
 from spanledger import constants as K
 from spanledger.functions.formats import ratio
-from spanledger.functions.labels import in_domain
 
 OVERALL = "overall"
 
@@ -20,79 +19,77 @@ def _true(name: str) -> Column:
     return F.coalesce(F.col(name), F.lit(False))
 
 
-def _conditions() -> dict[str, Column]:
-    span, sem = F.col("evidence_span_found"), F.col("evidence_semantically_supports_prediction")
-    evaluable = F.col("ground_truth").isNotNull()
-    asserted = evaluable & ~F.col("abstained")
-    correct, has_span, has_support = _true("correct"), F.coalesce(span, F.lit(False)), F.coalesce(sem, F.lit(False))
-    no_span = F.coalesce(~span, F.lit(False))
-    unsupported = no_span | F.coalesce(~sem, F.lit(False))
-    both = {
-        "correct": correct,
-        "no_span": no_span,
-        "unsupported": unsupported,
-        "correct_span": correct & has_span,
-        "correct_support": correct & has_span & has_support,
-    }
-    return {
-        "n_evaluable": evaluable,
-        "n_asserted": asserted,
-        "n_abstained": evaluable & F.col("abstained"),
-        "n_compliant": evaluable & in_domain(F.col("raw_model_output")["value"]),
-        "n_span": asserted & has_span,
-        "n_support": asserted & has_support,
-        **{f"n_{k}": evaluable & v for k, v in both.items()},
-        **{f"n_{k}_asserted": asserted & v for k, v in both.items()},
-    }
+_DOMAIN_LIST = ", ".join(f"'{v}'" for v in K.DOMAIN)
+_EVALUABLE = "ground_truth is not null"
+_ASSERTED = f"{_EVALUABLE} and not abstained"
+_SPAN, _SUPPORT = "evidence_span_found", "evidence_semantically_supports_prediction"
+# counted both over evaluable and over asserted records; count_if ignores NULL conditions
+_OUTCOMES = {
+    "n_correct": "correct",
+    "n_no_span": f"not {_SPAN}",
+    "n_unsupported": f"(not {_SPAN} or not {_SUPPORT})",
+    "n_correct_span": f"correct and {_SPAN}",
+    "n_correct_support": f"correct and {_SPAN} and {_SUPPORT}",
+}
+_COUNTED = {
+    "n_evaluable": _EVALUABLE,
+    "n_asserted": _ASSERTED,
+    "n_abstained": f"{_EVALUABLE} and abstained",
+    "n_compliant": f"{_EVALUABLE} and raw_model_output['value'] in ({_DOMAIN_LIST})",
+    "n_span": f"{_ASSERTED} and {_SPAN}",
+    "n_support": f"{_ASSERTED} and {_SUPPORT}",
+    **{name: f"{_EVALUABLE} and {c}" for name, c in _OUTCOMES.items()},
+    **{f"{name}_asserted": f"{_ASSERTED} and {c}" for name, c in _OUTCOMES.items()},
+}
+_RATES = {  # metric, numerator and denominator
+    "accuracy": ("n_correct", "n_evaluable"),
+    "accuracy_over_asserted": ("n_correct_asserted", "n_asserted"),
+    "abstention_rate": ("n_abstained", "n_evaluable"),
+    "coverage": ("n_evaluable - n_abstained", "n_evaluable"),
+    "span_unsupported_rate_over_evaluable": ("n_no_span", "n_evaluable"),
+    "span_unsupported_rate_over_asserted": ("n_no_span_asserted", "n_asserted"),
+    "semantic_unsupported_rate_over_evaluable": ("n_unsupported", "n_evaluable"),
+    "semantic_unsupported_rate_over_asserted": ("n_unsupported_asserted", "n_asserted"),
+    "span_grounded_accuracy_over_evaluable": ("n_correct_span", "n_evaluable"),
+    "span_grounded_accuracy_over_asserted": ("n_correct_span_asserted", "n_asserted"),
+    "semantic_supported_accuracy_over_evaluable": ("n_correct_support", "n_evaluable"),
+    "semantic_supported_accuracy_over_asserted": ("n_correct_support_asserted", "n_asserted"),
+    "allowed_value_compliance": ("n_compliant", "n_evaluable"),
+    "evidence_span_found_rate": ("n_span", "n_asserted"),
+    "evidence_semantic_support_rate": ("n_support", "n_asserted"),
+}
+_OLD_NAMES = {  # deprecated names of span metrics
+    "unsupported_rate_over_evaluable": "span_unsupported_rate_over_evaluable",
+    "unsupported_rate_over_asserted": "span_unsupported_rate_over_asserted",
+    "supported_accuracy_over_evaluable": "span_grounded_accuracy_over_evaluable",
+    "supported_accuracy_over_asserted": "span_grounded_accuracy_over_asserted",
+}
 
 
 def metric_counts(records: DataFrame, by: list[str]) -> DataFrame:
     """All counts that the metrics need, in one aggregation."""
     return records.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("n_total"),
-        *(F.count_if(c).alias(name) for name, c in _conditions().items()),
+        F.expr("count(*) as n_total"), *(F.expr(f"count_if({c}) as {name}") for name, c in _COUNTED.items())
     )
 
 
 def roll_up(counts: DataFrame, keys: list[str], numbers: list[str], *, scope: str = "target") -> DataFrame:
     """Add the pooled scope to per-target counts, and zero rows for targets without records."""
-    def part(name: Column, weight: int) -> Column:
-        return F.struct(name.alias("scope"), F.lit(weight).alias("weight"))
-
-    scopes = [part(F.lit(OVERALL), 1), part(F.col(scope), 1), *(part(F.lit(t), 0) for t in K.TARGETS)]
-    return (
-        counts.select("*", F.explode(F.array(*scopes)).alias("s"))
-        .groupBy(*keys, F.col("s.scope").alias("_scope"))
-        .agg(*(F.sum(F.col(c) * F.col("s.weight")).alias(c) for c in numbers))
-        .withColumnRenamed("_scope", scope)
+    scopes = [f"struct('{OVERALL}' as scope, 1 as weight)", f"struct({scope} as scope, 1 as weight)",
+              *(f"struct('{t}' as scope, 0 as weight)" for t in K.TARGETS)]
+    weighted = counts.selectExpr("*", f"explode(array({', '.join(scopes)})) as s").drop(scope)
+    return weighted.groupBy(*keys, F.expr(f"s.scope as {scope}")).agg(
+        *(F.expr(f"sum({c} * s.weight) as {c}") for c in numbers)
     )
 
 
 def add_metrics(counts: DataFrame) -> DataFrame:
     """Turn counts into the metric bundle; a zero denominator gives NULL."""
-    keep = [c for c in counts.columns if not c.startswith("n_") or c in ("n_total", "n_evaluable", "n_asserted")]
-
-    def over(numerator: str, denominator: str) -> Column:
-        return ratio(F.col(numerator), F.col(denominator))
-
-    bundle = {"accuracy": over("n_correct", "n_evaluable"),
-              "accuracy_over_asserted": over("n_correct_asserted", "n_asserted"),
-              "abstention_rate": over("n_abstained", "n_evaluable"),
-              "coverage": 1 - over("n_abstained", "n_evaluable")}
-    for name, count in (("span_unsupported_rate", "n_no_span"),
-                        ("semantic_unsupported_rate", "n_unsupported"),
-                        ("span_grounded_accuracy", "n_correct_span"),
-                        ("semantic_supported_accuracy", "n_correct_support")):
-        bundle[f"{name}_over_evaluable"] = over(count, "n_evaluable")
-        bundle[f"{name}_over_asserted"] = over(f"{count}_asserted", "n_asserted")
-    bundle["allowed_value_compliance"] = over("n_compliant", "n_evaluable")
-    bundle["evidence_span_found_rate"] = over("n_span", "n_asserted")
-    bundle["evidence_semantic_support_rate"] = over("n_support", "n_asserted")
-    for old, new in (("unsupported_rate", "span_unsupported_rate"),
-                     ("supported_accuracy", "span_grounded_accuracy")):
-        for population in ("evaluable", "asserted"):
-            bundle[f"{old}_over_{population}"] = bundle[f"{new}_over_{population}"]
-    return counts.select(*keep, *(c.alias(name) for name, c in bundle.items()))
+    populations = ("n_total", "n_evaluable", "n_asserted")
+    keep = [c for c in counts.columns if not c.startswith("n_") or c in populations]
+    rates = {name: f"try_divide(cast({a} as double), {b})" for name, (a, b) in _RATES.items()}
+    rates |= {old: rates[new] for old, new in _OLD_NAMES.items()}
+    return counts.selectExpr(*keep, *(f"{rate} as {name}" for name, rate in rates.items()))
 
 
 def metrics(records: DataFrame, keys: list[str] | None = None) -> DataFrame:

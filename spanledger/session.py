@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,6 +25,23 @@ def apply_recommended(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def ship_packages(spark: SparkSession, *folders: str | Path) -> None:
+    """Send source packages to the Python workers once per application.
+
+    Not needed where the packages are installed on every node or passed with --py-files.
+    """
+    context = spark.sparkContext
+    if getattr(context, "_spanledger_shipped", False):
+        return
+    archive = Path(tempfile.mkdtemp(prefix="spanledger-")) / "spanledger_packages.zip"
+    with zipfile.ZipFile(archive, "w") as z:
+        for folder in map(Path, folders):
+            for source in sorted(folder.rglob("*.py")):
+                z.write(source, source.relative_to(folder.parent))
+    context.addPyFile(str(archive))
+    context._spanledger_shipped = True
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A fresh folder name below the shared folder that the session names.
 
