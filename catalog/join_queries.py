@@ -15,7 +15,6 @@ from catalog.scalar_queries import raw_sql
 from spanledger import constants as K
 from spanledger.operators import classify, dataset, records as R, resample
 from spanledger.session import scratch_path
-from spanledger.sources import tables
 from spanledger.streaming import resume
 
 
@@ -88,9 +87,6 @@ def _(spark, d):
         "case_id", "arm", "target", F.md5("text").alias("text_md5"))
 
 
-_CODE = {m: i for i, m in enumerate(K.COMPARISON_METRICS)}
-
-
 def pairs_cte() -> str:
     from catalog.scalar_queries import INDICATORS_SQL
 
@@ -140,9 +136,6 @@ def _(spark, d):
     return dataset.require_complete(table)
 
 
-_RESULTS = with_views("SELECT case_id, arm, invalid, md5(raw) AS raw_md5 FROM shaped", raw_sql())
-
-
 def first_arms(spark, d):
     """Results of two arms, as an interrupted run leaves them."""
     done = R.parse_raw(V.raw_answers(spark, d)).filter(F.col("arm").isin(K.STUDY_ARMS[0], K.STUDY_ARMS[1]))
@@ -208,8 +201,9 @@ def _values(frame):
 @query("k1_resumable_rounds", with_views(_SCORED.replace("{arms}", ", ".join(f"({lit(a)})" for a in K.STUDY_ARMS))), bools="invalid")
 def _(spark, d):
     path = scratch_path(spark, "checkpoint")
-    resume.run_rounds(_requests(spark, d, K.STUDY_ARMS[:2]), path, token_scorer)
-    return _values(resume.run_rounds(_requests(spark, d, K.STUDY_ARMS), path, token_scorer))
+    texts = V.reports(spark, d).select("case_id", "text")
+    resume.run_rounds(texts, K.STUDY_ARMS[:2], path, token_scorer)
+    return _values(resume.run_rounds(texts, K.STUDY_ARMS, path, token_scorer))
 
 
 def _outcome_scorer(arm: str, report: str) -> str:

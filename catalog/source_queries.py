@@ -119,8 +119,8 @@ def _(spark, d):
 @query("s11_json_array", with_boundary("SELECT case_id, judge_tag AS reconstructed_tag, caveat FROM judged", _JUDGED))
 def _(spark, d):
     path = scratch_path(spark, "judgments")
-    jsonl.write_array(V.judgments(spark, d)[0], path)
-    return jsonl.read_array(spark, path, jsonl.JUDGMENT)
+    jsonl.write_arrays(V.judgments(spark, d)[0], path)
+    return jsonl.read_array(spark, path, jsonl.JUDGMENT, multi_line=False)
 
 
 def _case_dataset(spark, d):

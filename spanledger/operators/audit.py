@@ -14,6 +14,7 @@ from spanledger.functions.support import semantic_support
 from spanledger.functions.text import audit_excerpt, head_with_mark, m_evidence_class, m_excerpt
 from spanledger.operators.dataset import last_row_per_key, with_text
 from spanledger.operators.sampling import cell_sample, draw_key, numbered, take_first, uniform_sample
+from spanledger.session import small
 
 RECORD_IDS = ["case_id", "arm", "target"]
 HUMAN_FLAGS = (
@@ -22,12 +23,6 @@ HUMAN_FLAGS = (
     "human_source_sufficient_for_stage",
 )
 SCOPES = ("overall", *K.TARGETS)
-BROADCAST_ROWS = 100_000
-
-
-def _small(df: DataFrame, at_most: int) -> DataFrame:
-    """Broadcast a side whose row bound is known and low; otherwise leave the choice to Spark."""
-    return F.broadcast(df) if at_most <= BROADCAST_ROWS else df
 
 
 # ------------------------------------------------------------------ patterns and samples
@@ -101,7 +96,7 @@ def _tiered(m_records: DataFrame, quota: int, priority: str, comparison: str,
     rows = pick(rows, "semantic_balance", in_pool("supported"), F.col("_each"))
     rows = pick(rows, "random_fill", in_pool("any"), F.lit(quota) - taken)
     chosen = rows.filter(F.col("tier").isNotNull()).select(*RECORD_IDS, "tier")
-    return m_records.join(_small(chosen, quota), RECORD_IDS)
+    return m_records.join(small(chosen, quota), RECORD_IDS)
 
 
 def sampling_report(sample: DataFrame, target_counts: dict[str, int]) -> DataFrame:

@@ -171,15 +171,15 @@ def boundary_rows(reports: DataFrame, responses: DataFrame) -> DataFrame:
 def locate_spans(reports: DataFrame, responses: DataFrame) -> DataFrame:
     """Grounded quotes with the struct(before, match, after) of their place in the report.
 
-    Lower-casing and normalising happen once per report; a plain substring test decides which rows
-    need the position at all.
+    A plain substring test over forms made once per report decides which rows need the position.
     """
-    texts = reports.select("case_id", "text", F.lower("text").alias("low"), matching_form(F.col("text")).alias("text_form"))
+    texts = reports.select("case_id", "text", matching_form(F.col("text")).alias("text_form"))
     quotes = responses.select("case_id", "arm", "target", matching_form(F.col("evidence")).alias("words"))
     grounded = quotes.filter(F.col("words") != "").join(texts, "case_id").filter(
         F.contains(F.col("text_form"), F.col("words"))
     )
-    spans = grounded.select("case_id", "arm", "target", "text", span_in(F.col("low"), F.col("words")).alias("span"))
+    spans = grounded.select("case_id", "arm", "target", "text",
+                            span_in(F.lower("text"), F.col("words")).alias("span"))
     return spans.select("case_id", "arm", "target", around_span(F.col("text"), F.col("span")).alias("s"))
 
 

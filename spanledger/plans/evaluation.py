@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from spanledger import constants as K
 from spanledger.operators import dataset, metrics, resample, sampling
 from spanledger.operators.records import build_records
+from spanledger.session import small
 from spanledger.sources import documents, jsonl, tables
 from spanledger.streaming import resume
 
@@ -51,7 +52,7 @@ def evaluate(reports: DataFrame, responses: DataFrame, settings: Settings, outpu
     """
     spark = reports.sparkSession
     pool, sample = draw_cases(reports, settings)
-    chosen = sample.select("case_id")
+    chosen = small(sample.select("case_id"), settings.sample_size)
     wanted = responses.filter(F.col("arm").isin(*settings.arms)).join(chosen, "case_id", "left_semi")
     records = build_records(reports.join(chosen, "case_id", "left_semi"), wanted)
     tables.write_parquet(records, f"{output}/records")
@@ -63,10 +64,11 @@ def evaluate_with(reports: DataFrame, scorer: Callable[[str, str], str], setting
                   checkpoint: str, **rounds) -> Evaluation:
     """As :func:`evaluate`, asking ``scorer`` for the answers in resumable rounds."""
     _, sample = draw_cases(reports, settings)
-    texts = reports.join(sample.select("case_id"), "case_id", "left_semi").select("case_id", "text")
-    requests = dataset.cases_by_arms(texts, settings.arms)
-    results = resume.run_rounds(requests, checkpoint, scorer, **rounds)
-    every = dataset.lookup_join(requests.select("case_id", "arm"), results, ["case_id", "arm"], "checkpointed result")
+    chosen = small(sample.select("case_id"), settings.sample_size)
+    texts = reports.join(chosen, "case_id", "left_semi").select("case_id", "text")
+    results = resume.run_rounds(texts, settings.arms, checkpoint, scorer, **rounds)
+    wanted = dataset.cases_by_arms(sample.select("case_id"), settings.arms)
+    every = dataset.lookup_join(wanted, results, ["case_id", "arm"], "checkpointed result")
     return evaluate(reports, resume.checkpoint_responses(every), settings, output)
 
 

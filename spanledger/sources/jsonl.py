@@ -62,17 +62,18 @@ def read_audit(spark: SparkSession, path: str, *, key: bool = False, with_gold:
     return with_file_order(df) if key else df
 
 
-def read_array(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """A JSON file that holds one array of objects."""
-    return spark.read.schema(schema).option("multiLine", True).json(path)
+def read_array(spark: SparkSession, path: str, schema: str, *, multi_line: bool = True) -> DataFrame:
+    """Objects out of JSON arrays: one array per file, or one per line if not ``multi_line``."""
+    return spark.read.schema(schema).option("multiLine", multi_line).json(path)
 
 
-def write_array(df: DataFrame, path: str) -> None:
-    """A small sheet as one JSON array (reviewed by people, bounded by its quotas)."""
-    one = df.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("o")).agg(
-        F.concat(F.lit("["), F.array_join(F.sort_array(F.collect_list("o")), ","), F.lit("]")).alias("value")
+def write_arrays(df: DataFrame, path: str, *, rows_per_array: int = 1000) -> None:
+    """Rows as JSON arrays of bounded size, one array per line; no task gathers the whole table."""
+    part = F.floor(F.monotonically_increasing_id() / F.lit(rows_per_array)).alias("part")
+    lines = df.select(part, F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("o")).groupBy("part").agg(
+        F.concat(F.lit("["), F.array_join(F.collect_list("o"), ","), F.lit("]")).alias("value")
     )
-    one.coalesce(1).write.mode("overwrite").text(path)
+    lines.select("value").write.mode("overwrite").text(path)
 
 
 def read_metrics(spark: SparkSession, path: str) -> DataFrame:

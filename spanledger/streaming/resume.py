@@ -1,6 +1,6 @@
 """Resumable scoring: requests not yet in the checkpoint are scored and appended, in rounds.
 
-Every round is one Spark job: anti-join against the checkpoint, call the scorer inside the tasks,
+Every round is one Spark job: leave out what the checkpoint holds, call the scorer inside the tasks,
 write one batch folder.  A batch is committed as a whole, so a lost executor repeats its own calls
 and leaves no half-written rows, and a later run continues from the committed batches.
 """
@@ -8,15 +8,16 @@ and leaves no half-written rows, and a later run continues from the committed ba
 from __future__ import annotations
 
 import time
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanledger import constants as K
-from spanledger.operators.dataset import last_row_per_key, todo
-from spanledger.operators.records import parse_raw
+from spanledger.functions.shape import parse_document, shape_valid, stage_field
+from spanledger.operators.dataset import cases_by_arms, last_row_per_key, todo
+from spanledger.operators.records import long_responses
 from spanledger.sources.jsonl import CHECKPOINT
 from spanledger.sources.tables import with_file_order
 
@@ -64,8 +65,6 @@ def to_results(scored: DataFrame) -> DataFrame:
 
     One pass: a failed call has no document, so its fields are NULL and it is invalid.
     """
-    from spanledger.functions.shape import parse_document, shape_valid, stage_field
-
     rows = scored.withColumn("doc", F.when(~F.col("failed"), parse_document(F.col("raw")))).withColumn(
         "invalid", ~shape_valid(F.col("doc"))
     )
@@ -85,7 +84,7 @@ def read_checkpoint(spark: SparkSession, path: str) -> DataFrame:
     """Latest result per (case_id, arm); an absent checkpoint is empty."""
     if not _exists(spark, path):
         return spark.createDataFrame([], CHECKPOINT)
-    lines = spark.read.schema(f"{CHECKPOINT}, batch int, outcome string").json(path)
+    lines = spark.read.schema(f"{CHECKPOINT}, batch int, outcome string").json(path)  # the last two are folders
     ordered = with_file_order(lines.filter(F.col("outcome") == DONE), "place").withColumn(
         "place", F.struct("batch", "place")
     )
@@ -100,22 +99,41 @@ def append_results(results: DataFrame, path: str, batch: int) -> None:
     kept.write.mode("overwrite").partitionBy("outcome").option("ignoreNullFields", False).json(f"{path}/batch={batch}")
 
 
+def pending_requests(reports: DataFrame, arms: Sequence[str], done: DataFrame | None) -> DataFrame:
+    """(case_id, arm, text) still to be scored.
+
+    Finished arms are first gathered per case, so a report text takes part in one join and only
+    afterwards is repeated for its missing arms.  Without a checkpoint there is no join at all.
+    """
+    every = F.array(*(F.lit(a) for a in arms))
+    texts = reports.select("case_id", "text")
+    if done is None:
+        return texts.withColumn("arm", F.explode(every))
+    finished = done.groupBy("case_id").agg(F.collect_set("arm").alias("finished"))
+    joined = texts.join(finished, "case_id", "left")
+    missing = F.array_except(every, F.coalesce("finished", F.array().cast("array<string>")))
+    return joined.select("case_id", "text", F.explode(missing).alias("arm"))
+
+
 def run_rounds(
-    requests: DataFrame, path: str, scorer: Callable[[str, str], str], *, max_rounds: int = 20,
-    parallelism: int | None = None, pause_seconds: float = 0.0,
+    reports: DataFrame, arms: Sequence[str], path: str, scorer: Callable[[str, str], str], *,
+    max_rounds: int = 20, parallelism: int | None = None, pause_seconds: float = 0.0,
 ) -> DataFrame:
-    """Score ``requests`` (case_id, arm, text) until none is left or the rounds are used up.
+    """Score every (report, arm) until none is left or the rounds are used up.
 
-    ``parallelism`` bounds the concurrent calls.  Returns the checkpoint.
+    ``reports``: case_id, text.  ``parallelism`` bounds the concurrent calls.  Whether anything is
+    left is decided on the keys alone.  Returns the checkpoint.
     """
-    spark = requests.sparkSession
+    spark = reports.sparkSession
+    keys = cases_by_arms(reports.select("case_id"), tuple(arms))
     batch = _next_batch(spark, path)
     for round_no in range(max_rounds):
-        pending = todo(requests, read_checkpoint(spark, path).select("case_id", "arm"))
-        if pending.isEmpty():
+        done = read_checkpoint(spark, path).select("case_id", "arm") if batch else None
+        if done is not None and todo(keys, done).isEmpty():
             break
         if round_no:
             time.sleep(pause_seconds)
+        pending = pending_requests(reports, arms, done)
         pending = pending.repartition(parallelism) if parallelism else pending
         append_results(to_results(score_with(pending, scorer)), path, batch)
         refused = f"{path}/batch={batch}/outcome={FATAL}"
@@ -127,8 +145,6 @@ def run_rounds(
 
 def checkpoint_responses(checkpoint: DataFrame) -> DataFrame:
     """Checkpoint rows as long responses for the record operator."""
-    from spanledger.operators.records import long_responses
-
     fields = checkpoint.select(
         "case_id", "arm", "invalid", *(F.col(f"extraction.{t}_stage").alias(f"{t}_stage") for t in K.TARGETS)
     )
@@ -153,8 +169,3 @@ def _next_batch(spark: SparkSession, path: str) -> int:
     names = [s.getPath().getName() for s in fs.listStatus(where)]
     return max((int(n.split("=")[1]) for n in names if n.startswith("batch=")), default=-1) + 1
 
-
-__all__ = [
-    "DONE", "RETRY", "FATAL", "RetryLater", "Exhausted", "score_with", "to_results", "read_checkpoint",
-    "append_results", "run_rounds", "checkpoint_responses", "parse_raw",
-]

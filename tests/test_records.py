@@ -145,3 +145,16 @@ def test_request_table_arms_differ_as_designed(spark):
     assert "Allowed values" not in rows["A_zero_shot"]["system"] and "Allowed values" in rows["C_constrained"]["system"]
     assert "Rules:" in rows["D_grounded"]["system"] and "rather than guess" in rows["C_plus_unknown"]["system"]
     assert all('"reason" may be null.' in r["system"] for r in rows.values())
+
+
+def test_json_arrays(spark, tmp_path):
+    (tmp_path / "judgments.json").write_text(json.dumps(
+        [{"case_id": "a", "reconstructed_tag": "correct"}, {"case_id": "b", "reconstructed_tag": "x", "caveat": "blurred"}], indent=2))
+    rows = jsonl.read_array(spark, str(tmp_path / "judgments.json"), jsonl.JUDGMENT).collect()
+    assert {(r["case_id"], r["caveat"]) for r in rows} == {("a", None), ("b", "blurred")}
+    path = scratch_path(spark, "arrays")
+    many = spark.range(2500).selectExpr("cast(id as string) as case_id", "'t' as reconstructed_tag", "cast(null as string) as caveat")
+    jsonl.write_arrays(many, path, rows_per_array=100)
+    back = jsonl.read_array(spark, path, jsonl.JUDGMENT, multi_line=False)
+    assert back.count() == 2500 and back.select("case_id").distinct().count() == 2500
+    assert spark.read.text(path).count() >= 25

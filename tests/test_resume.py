@@ -14,8 +14,12 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])  # workers do not im
 ARMS = ("A_zero_shot", "D_grounded")
 
 
-def _requests(spark, n=5):
-    return cases_by_arms(spark.createDataFrame([(f"c{i}", f"report {i}") for i in range(n)], "case_id string, text string"), ARMS)
+def _reports(spark, n=5):
+    return spark.createDataFrame([(f"c{i}", f"report {i}") for i in range(n)], "case_id string, text string")
+
+
+def _run(spark, path, scorer, n=5, **options):
+    return resume.run_rounds(_reports(spark, n), ARMS, path, scorer, **options)
 
 
 def _answer(value="T2"):
@@ -38,10 +42,10 @@ def test_scores_everything_once_and_resumes(spark, tmp_path):
         _log(folder, arm, text)
         return _answer()
 
-    first = _rows(resume.run_rounds(_requests(spark, 3), path, scorer))
+    first = _rows(_run(spark, path, n=3, scorer=scorer))
     assert len(first) == 6 and not any(r["invalid"] for r in first.values())
     assert len(list(tmp_path.iterdir())) == 6
-    again = _rows(resume.run_rounds(_requests(spark, 5), path, scorer))
+    again = _rows(_run(spark, path, n=5, scorer=scorer))
     assert len(again) == 10 and len(list(tmp_path.iterdir())) == 10
     assert again[("c0", ARMS[0])]["extraction"]["T_stage"]["value"] == "T2"
 
@@ -60,15 +64,15 @@ def test_throttled_requests_are_never_written_and_come_later(spark, tmp_path):
             raise resume.RetryLater("later")
         return _answer()
 
-    assert len(_rows(resume.run_rounds(_requests(spark), path, scorer, max_rounds=1))) == 8
-    assert len(_rows(resume.run_rounds(_requests(spark), path, scorer))) == 10
+    assert len(_rows(_run(spark, path, scorer, max_rounds=1))) == 8
+    assert len(_rows(_run(spark, path, scorer))) == 10
 
 
 def test_rounds_are_bounded(spark):
     def never(arm, text):
         raise resume.RetryLater("always")
 
-    assert resume.run_rounds(_requests(spark), scratch_path(spark, "checkpoint"), never, max_rounds=3).count() == 0
+    assert _run(spark, scratch_path(spark, "checkpoint"), never, max_rounds=3).count() == 0
 
 
 def test_real_failures_and_bad_shapes_are_recorded_as_invalid(spark):
@@ -77,7 +81,7 @@ def test_real_failures_and_bad_shapes_are_recorded_as_invalid(spark):
             raise ValueError("broken")
         return "not json" if text.endswith("1") else _answer()
 
-    rows = _rows(resume.run_rounds(_requests(spark), scratch_path(spark, "checkpoint"), scorer))
+    rows = _rows(_run(spark, scratch_path(spark, "checkpoint"), scorer))
     assert [rows[(f"c{i}", ARMS[0])]["invalid"] for i in range(5)] == [True, True, False, False, False]
     assert rows[("c0", ARMS[0])]["raw"].startswith("ERROR: ValueError") and rows[("c0", ARMS[0])]["extraction"] is None
 
@@ -91,21 +95,21 @@ def test_exhausted_scorer_stops_the_run_and_keeps_finished_rows(spark):
         return _answer()
 
     with pytest.raises(resume.Exhausted):
-        resume.run_rounds(_requests(spark).coalesce(1).orderBy("case_id"), path, scorer)
+        resume.run_rounds(_reports(spark).coalesce(1).orderBy("case_id"), ARMS, path, scorer)
     kept = _rows(resume.read_checkpoint(spark, path))
     assert kept and not [k for k in kept if k[0] == "c4"]
-    assert len(_rows(resume.run_rounds(_requests(spark), path, lambda a, t: _answer()))) == 10
+    assert len(_rows(_run(spark, path, lambda a, t: _answer()))) == 10
 
 
 def test_last_result_of_a_key_wins(spark):
     path = scratch_path(spark, "checkpoint")
     for batch, value in enumerate(("T1", "T3")):
-        scored = resume.score_with(_requests(spark, 2), lambda a, t, v=value: _answer(v))
+        scored = resume.score_with(cases_by_arms(_reports(spark, 2), ARMS), lambda a, t, v=value: _answer(v))
         resume.append_results(resume.to_results(scored), path, batch)
     assert {r["extraction"]["T_stage"]["value"] for r in resume.read_checkpoint(spark, path).collect()} == {"T3"}
 
 
 def test_checkpoint_becomes_long_responses(spark):
-    done = resume.run_rounds(_requests(spark, 1), scratch_path(spark, "checkpoint"), lambda a, t: _answer() if a == ARMS[0] else "x")
+    done = _run(spark, scratch_path(spark, "checkpoint"), n=1, scorer=lambda a, t: _answer() if a == ARMS[0] else "x")
     rows = {(r["arm"], r["target"]): (r["raw_value"], r["shape_valid"]) for r in resume.checkpoint_responses(done).collect()}
     assert rows[(ARMS[0], "N")] == ("T2", True) and rows[(ARMS[1], "T")] == (None, False) and len(rows) == 6
