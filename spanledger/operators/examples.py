@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from spanledger import constants as K
 from spanledger.functions import taxonomy
 from spanledger.functions.labels import legacy_from_arm
+from spanledger.session import small
 
 
 def triage_view(rows: DataFrame, target: str = "M") -> DataFrame:
@@ -66,7 +67,7 @@ def curated_examples(
         return _greedy(candidate_rows, dict(quotas))
 
     chosen = candidates.groupBy(F.lit("all")).applyInPandas(choose, "position long, case_id string, target string")
-    return chosen.join(tagged, ["case_id", "target"]).select(
+    return small(chosen, depth).join(tagged, ["case_id", "target"]).select(
         "position",
         F.format_string("case-%02d", "position").alias("id"),
         F.format_string("Case %02d", F.col("position") + 1).alias("display_id"),

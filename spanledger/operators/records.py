@@ -54,16 +54,14 @@ def build_records(reports: DataFrame, responses: DataFrame) -> DataFrame:
     grounding test, so every later operator runs on narrow rows.
     """
     valid = F.col("shape_valid")
-    joined = responses.join(report_features(reports, ("gold_in_text",)), "case_id", "left").select(
+    quoted = responses.withColumn("evidence_form", F.when(valid, matching_form(F.col("evidence"))))
+    joined = quoted.join(report_features(reports, ("gold_in_text",)), "case_id", "left").select(
         "case_id", "arm", "target", "raw_value", "confidence", "reason", "shape_valid",
         F.when(valid, F.col("evidence")).alias("evidence"),
         F.when(valid, L.norm_pred(F.col("raw_value"))).otherwise(K.INVALID).alias("prediction"),
         _target_column("gold").alias("ground_truth"),
         F.coalesce(_target_column("gold_in_text"), F.lit(False)).alias("gold_in_text"),
-        F.when(
-            valid & F.col("evidence").isNotNull(),
-            grounded_in(matching_form(F.col("evidence")), F.col("text_form")),
-        ).otherwise(False).alias("quote_in_text"),
+        grounded_in(F.col("evidence_form"), F.col("text_form")).alias("quote_in_text"),
     )
     spans = joined.withColumn("abstained", L.is_abstention(F.col("prediction"))).withColumn(
         "evidence_span_found", F.when(~F.col("abstained"), F.col("quote_in_text"))
@@ -150,7 +148,8 @@ def boundary_rows(reports: DataFrame, responses: DataFrame) -> DataFrame:
     """
     valid = F.col("shape_valid")
     features = report_features(reports, ("gold_in_report", "easy"))
-    rows = responses.join(features, "case_id", "left").select(
+    quoted = responses.withColumn("evidence_form", F.when(valid, matching_form(F.col("evidence"))))
+    rows = quoted.join(features, "case_id", "left").select(
         "case_id", "arm", "target", "confidence", "reason",
         F.when(valid, F.col("raw_value")).alias("value"),
         F.when(valid, F.col("evidence")).alias("evidence"),
@@ -158,10 +157,8 @@ def boundary_rows(reports: DataFrame, responses: DataFrame) -> DataFrame:
         _target_column("gold").alias("gold"),
         F.coalesce(_target_column("gold_in_report"), F.lit(False)).alias("gold_in_report"),
         F.coalesce(_target_column("easy"), F.lit(False)).alias("easy"),
-        "text_form",
-    ).withColumn(
-        "grounded", grounded_in(matching_form(F.col("evidence")), F.col("text_form"))
-    ).withColumn("value_norm", L.norm_pred(F.col("value"))).drop("text_form")
+        grounded_in(F.col("evidence_form"), F.col("text_form")).alias("grounded"),
+    ).withColumn("value_norm", L.norm_pred(F.col("value")))
     return rows.withColumn(
         "boundary_tag",
         taxonomy.boundary_tag(F.col("gold"), F.col("value_norm"), F.col("grounded"), F.col("gold_in_report")),

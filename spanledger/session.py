@@ -19,6 +19,8 @@ RECOMMENDED = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.session.timeZone": "UTC",
+    # of a repeated JSON key the last one counts
+    "spark.sql.variant.allowDuplicateKeys": "true",
 }
 
 

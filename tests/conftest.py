@@ -22,8 +22,9 @@ def spark(tmp_path_factory):
         .getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")
-    from spanledger.session import ship_packages
+    from spanledger.session import apply_recommended, ship_packages
 
+    apply_recommended(session)
     ship_packages(session, os.path.join(ROOT, "spanledger"), os.path.join(ROOT, "catalog"))
     yield session
     session.stop()

@@ -84,6 +84,7 @@ def test_json_shape(spark):
         (json.dumps(_answer(T_stage=None)), True), (json.dumps({k: v for k, v in _answer().items() if k != "M_stage"}), True),
         (json.dumps(_answer(pathologic_stage=None)), False), (json.dumps(_answer(pathologic_stage=field)), False),
         (json.dumps(_answer(pathologic_stage={"value": "II"})), True),
+        (json.dumps(_answer())[:-1] + ', "T_stage": null}', True), ('{"M_stage": 1, ' + json.dumps(_answer())[1:], False),
     ]
     df = spark.createDataFrame([(f"{i:02d}", "A", d) for i, (d, _) in enumerate(docs)], "case_id string, arm string, raw string")
     got = R.parse_raw(df).orderBy("case_id").collect()
