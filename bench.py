@@ -53,7 +53,9 @@ def main() -> None:
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
-    spark.read.parquet(f"{sf_dir}/documents.parquet").count()  # start the session before the clock
+    # start the session and its Python workers before the clock
+    scan = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id").repartition(int(cpus))
+    scan.mapInPandas(lambda batches: batches, "doc_id long").count()
     names = [n for n in HEADLINE if not sys.argv[1:] or n in sys.argv[1:]]
     seconds = {}
     for name in names:

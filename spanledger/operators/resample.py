@@ -111,13 +111,9 @@ def _block_of(block: int, n_boot: int) -> np.ndarray:
     return np.arange(first, min(first + REPLICATES_PER_ROW, n_boot), dtype=np.int64)
 
 
-def _explicit_totals(row, replicates: np.ndarray, seed: int) -> list[int]:
+def _explicit_totals(row, draws: list[np.ndarray]) -> list[int]:
     """Sum of the drawn differences when positions run from +1 over 0 to -1."""
-    totals = []
-    for b in replicates:
-        at = draw_indexes(int(b), int(row.n), seed)
-        totals.append(int((at < row.n_pos).sum() - (at >= row.n - row.n_neg).sum()))
-    return totals
+    return [int((at < row.n_pos).sum() - (at >= row.n - row.n_neg).sum()) for at in draws]
 
 
 def _multinomial_totals(row, replicates: np.ndarray, seed: int) -> np.ndarray:
@@ -133,21 +129,27 @@ def replicate_means(
 ) -> DataFrame:
     """(keys, n, observed, replicate, mean) of the difference with values -1, 0 and +1.
 
-    The work is spread as (comparison, block of replicates) rows; each is a few integers.
+    The work is spread as (comparison, block of replicates) rows, each a few integers.  Comparisons
+    over the same number of units draw the same indexes, so they go to one task and share them.
     """
     label = F.concat_ws("\u0001", *keys)
     rows = counts.filter(F.col("n") > 0).select(
         label.alias("label"), "n", "n_pos", "n_neg",
         F.explode(_range((n_boot - 1) // REPLICATES_PER_ROW + 1)).alias("block"),
-    ).repartition(counts.sparkSession.sparkContext.defaultParallelism)
+    ).repartition(counts.sparkSession.sparkContext.defaultParallelism, "n", "block").sortWithinPartitions("n", "block")
 
     def run(batches):
+        drawn_for, draws = None, []
         for batch in batches:
             for row in batch.itertuples(index=False):
                 replicates = _block_of(row.block, n_boot)
-                draw = _explicit_totals if row.n <= max_explicit else _multinomial_totals
-                yield pd.DataFrame(
-                    {"label": row.label, "replicate": replicates, "total": draw(row, replicates, seed)})
+                if row.n > max_explicit:
+                    totals = _multinomial_totals(row, replicates, seed)
+                else:
+                    if drawn_for != (row.n, row.block):
+                        drawn_for, draws = (row.n, row.block), [draw_indexes(int(b), int(row.n), seed) for b in replicates]
+                    totals = _explicit_totals(row, draws)
+                yield pd.DataFrame({"label": row.label, "replicate": replicates, "total": totals})
 
     totals = rows.mapInPandas(run, "label string, replicate long, total long")
     head = counts.select(*keys, label.alias("label"), "n",
