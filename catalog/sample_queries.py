@@ -7,12 +7,12 @@ from pyspark.sql import functions as F
 from catalog import views as V
 from catalog.join_queries import pairs_cte
 from catalog.metric_queries import BASE, stratified_sql
-from catalog.oracle_base import lit, norm_pred, semantic, with_boundary, with_records, with_views
+from catalog.oracle_base import has, lit, with_boundary, with_records, with_views
 from catalog.registry import query
 from catalog.scalar_queries import AUDIT_EXCERPT_SQL, AUDIT_TRUNCATED_SQL, _M_CLASS, _M_EXCERPT, _head_sql
 from spanledger import constants as K
-from spanledger.functions.formats import p_value_display
-from spanledger.operators import audit, examples, resample, sampling
+from spanledger.functions.labels import has_explicit_token, legacy_from_arm
+from spanledger.operators import audit, dataset, examples, resample, sampling
 from spanledger.operators.records import case_indicators
 from spanledger.session import materialize
 
@@ -135,11 +135,14 @@ def _(spark, d):
     return sampling.sampling_summary(pool, sampling.stratified_sample(pool, 150, SEED), SEED)
 
 
-@query("b6_per_class_sample", with_views(f"""SELECT case_id, source FROM (SELECT case_id, source,
-      row_number() OVER (PARTITION BY source ORDER BY md5('{SEED}|' || case_id)) AS place, (SELECT count(DISTINCT source) FROM rep) AS k FROM rep)
-    WHERE place <= 200 // k"""))
+@query("b6_per_class_sample", with_views(f"""
+    SELECT case_id, easy_M FROM (SELECT *, row_number() OVER (PARTITION BY easy_M ORDER BY md5('{SEED}|' || case_id)) AS place,
+        (SELECT count(DISTINCT easy_M) FROM labelled) AS k FROM labelled) WHERE place <= 60 // k""", f"""
+labelled AS MATERIALIZED (SELECT case_id, {has('text', '<L>p?M[01X]')} AS easy_M FROM rep
+  WHERE gold_T IS NOT NULL AND gold_N IS NOT NULL AND gold_M IS NOT NULL)"""), bools="easy_M")
 def _(spark, d):
-    return sampling.per_class_sample(V.reports(spark, d).select("case_id", "source"), "source", 200, SEED).select("case_id", "source")
+    labelled = dataset.pool(V.reports(spark, d)).select("case_id", has_explicit_token(F.col("text"), "M").alias("easy_M"))
+    return sampling.per_class_sample(labelled, "easy_M", 60, SEED).select("case_id", "easy_M")
 
 
 _QUOTA_CASE = " ".join(f"WHEN boundary_tag = '{t}' AND letter = '{a}' THEN {n}" for t, a, n in K.BLIND_QUOTAS)
@@ -154,8 +157,6 @@ cells AS MATERIALIZED (
 
 @query("b7_quota_cell_sample", with_boundary("SELECT case_id, arm, letter, boundary_tag FROM cells", _CELLS))
 def _(spark, d):
-    from spanledger.functions.labels import legacy_from_arm
-
     pool = V.boundary(spark, d).filter("target = 'M' and gold is not null").withColumn("letter", legacy_from_arm(F.col("arm")))
     return sampling.cell_sample(pool, ["boundary_tag", "letter"], K.BLIND_QUOTAS, 7, ids=["case_id", "arm"]).select(
         "case_id", "arm", "letter", "boundary_tag")

@@ -12,7 +12,7 @@ from catalog.oracle_base import (
 from catalog.registry import query
 from spanledger import constants as K
 from spanledger.functions import formats, labels, support, text
-from spanledger.operators import dataset, records as R, resample
+from spanledger.operators import dataset, records as R
 
 RAW_VARIANTS = (
     "CASE doc_id % 6 WHEN 0 THEN ' ' || lower(raw_value) || ' ' WHEN 1 THEN raw_value || '(i+)' "

@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 from spanledger import constants as K
 from spanledger.functions import taxonomy
 from spanledger.functions.formats import ratio
+from spanledger.functions.labels import legacy_from_arm
 from spanledger.functions.support import semantic_support
 from spanledger.functions.text import audit_excerpt, head_with_mark, m_evidence_class, m_excerpt
-from spanledger.operators.dataset import last_row_per_key, with_text
+from spanledger.operators.dataset import last_row_per_key, lookup_join, with_text
 from spanledger.operators.sampling import cell_sample, draw_key, numbered, take_first, uniform_sample
 from spanledger.session import small
 
@@ -177,8 +178,6 @@ def m_annotation_sheet(records: DataFrame, reports: DataFrame, target: str = "M"
 def tag_sheet(rows: DataFrame, reports: DataFrame, *, seed: int = 7, shuffle_seed: int = 11,
               quotas=K.BLIND_QUOTAS, target: str = "M") -> tuple[DataFrame, DataFrame]:
     """(blinded sheet, answer key) of a (boundary tag, arm) quota sample of first-generation rows."""
-    from spanledger.functions.labels import legacy_from_arm
-
     pool = rows.filter((F.col("target") == target) & F.col("gold").isNotNull()).withColumn(
         "letter", legacy_from_arm(F.col("arm"))
     )
@@ -325,8 +324,6 @@ def rescore_key(key: DataFrame, reviewer: DataFrame) -> DataFrame:
 
 def judge_rows(judgments: DataFrame, answers: DataFrame) -> DataFrame:
     """Judge tags beside the tags they were given; a judgment without an answer fails the job."""
-    from spanledger.operators.dataset import lookup_join
-
     return lookup_join(judgments, answers, ["case_id"], "answer").select(
         "case_id", "arm", "pipeline_tag", F.col("reconstructed_tag").alias("judge_tag"),
         (F.col("reconstructed_tag") == F.col("pipeline_tag")).alias("agree"), "caveat",

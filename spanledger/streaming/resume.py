@@ -11,6 +11,7 @@ import time
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -80,11 +81,27 @@ def to_results(scored: DataFrame) -> DataFrame:
     )
 
 
+def _lines(spark: SparkSession, path: str) -> DataFrame | None:
+    """All lines of a checkpoint with their folder columns, None when nothing is there."""
+    try:
+        return spark.read.schema(f"{CHECKPOINT}, batch int, outcome string").json(path)
+    except AnalysisException as error:
+        if error.getCondition() == "PATH_NOT_FOUND":
+            return None
+        raise
+
+
+def _folders(spark: SparkSession, path: str) -> list[str]:
+    """Folder names (batch=..., outcome=...) that hold files, from the file listing."""
+    lines = _lines(spark, path)
+    return [] if lines is None else [part for f in lines.inputFiles() for part in f.split("/")[:-1] if "=" in part]
+
+
 def read_checkpoint(spark: SparkSession, path: str) -> DataFrame:
     """Latest result per (case_id, arm); an absent checkpoint is empty."""
-    if not _exists(spark, path):
+    lines = _lines(spark, path)
+    if lines is None:
         return spark.createDataFrame([], CHECKPOINT)
-    lines = spark.read.schema(f"{CHECKPOINT}, batch int, outcome string").json(path)  # the last two are folders
     ordered = with_file_order(lines.filter(F.col("outcome") == DONE), "place").withColumn(
         "place", F.struct("batch", "place")
     )
@@ -126,7 +143,7 @@ def run_rounds(
     """
     spark = reports.sparkSession
     keys = cases_by_arms(reports.select("case_id"), tuple(arms))
-    batch = _next_batch(spark, path)
+    batch = 1 + max((int(f.split("=")[1]) for f in _folders(spark, path) if f.startswith("batch=")), default=-1)
     for round_no in range(max_rounds):
         done = read_checkpoint(spark, path).select("case_id", "arm") if batch else None
         if done is not None and todo(keys, done).isEmpty():
@@ -136,9 +153,9 @@ def run_rounds(
         pending = pending_requests(reports, arms, done)
         pending = pending.repartition(parallelism) if parallelism else pending
         append_results(to_results(score_with(pending, scorer)), path, batch)
-        refused = f"{path}/batch={batch}/outcome={FATAL}"
+        refused = f"outcome={FATAL}" in _folders(spark, f"{path}/batch={batch}")
         batch += 1
-        if _exists(spark, refused):
+        if refused:
             raise Exhausted("the scorer refused for good; finished rows are in the checkpoint")
     return read_checkpoint(spark, path)
 
@@ -149,23 +166,3 @@ def checkpoint_responses(checkpoint: DataFrame) -> DataFrame:
         "case_id", "arm", "invalid", *(F.col(f"extraction.{t}_stage").alias(f"{t}_stage") for t in K.TARGETS)
     )
     return long_responses(fields)
-
-
-def _files(spark: SparkSession, path: str):
-    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()), hadoop_path
-
-
-def _exists(spark: SparkSession, path: str) -> bool:
-    fs, where = _files(spark, path)
-    return bool(fs.exists(where))
-
-
-def _next_batch(spark: SparkSession, path: str) -> int:
-    """One past the highest batch folder of the checkpoint."""
-    fs, where = _files(spark, path)
-    if not fs.exists(where):
-        return 0
-    names = [s.getPath().getName() for s in fs.listStatus(where)]
-    return max((int(n.split("=")[1]) for n in names if n.startswith("batch=")), default=-1) + 1
-

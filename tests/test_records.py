@@ -159,3 +159,13 @@ def test_json_arrays(spark, tmp_path):
     back = jsonl.read_array(spark, path, jsonl.JUDGMENT, multi_line=False)
     assert back.count() == 2500 and back.select("case_id").distinct().count() == 2500
     assert spark.read.text(path).count() >= 25
+
+
+def test_one_case_with_most_rows(spark):
+    """A hot case must not change any row (the join may split it)."""
+    texts = reports(spark, [("hot", REPORT, "T3", None, "M0"), ("cold", "nothing here", "T3", None, None)])
+    hot = [("hot", f"arm{i}", "T", "T3", "pT3 invades") for i in range(3000)]
+    rows = R.build_records(texts, responses(spark, hot + [("cold", "arm0", "T", "T3", "pT3")]))
+    assert rows.count() == 3001
+    assert rows.filter("case_id = 'hot' and evidence_span_found and correct").count() == 3000
+    assert rows.filter("case_id = 'cold' and not evidence_span_found and array_contains(errors, 'evidence_span_not_found')").count() == 1
