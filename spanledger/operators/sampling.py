@@ -120,11 +120,9 @@ def per_class_sample(df: DataFrame, class_col: str, n: int, seed: int, *, id_col
 
 def cell_sample(df: DataFrame, cells: list[str], quotas, seed: int, *, ids: list[str]) -> DataFrame:
     """Rows per cell up to its quota; ``quotas`` lists (cell values..., rows)."""
-    key = F.struct(*cells)
+    limits = F.create_map(*(F.lit(x) for q in quotas for x in ("\u0001".join(q[:-1]), q[-1])))
     rows = df.withColumn("sample_key", draw_key(seed, *ids)).withColumn(
-        "quota", F.coalesce(*(
-            F.when(key == F.struct(*(F.lit(v).alias(c) for c, v in zip(cells, q[:-1]))), q[-1]) for q in quotas
-        ))
+        "quota", limits[F.concat_ws("\u0001", *cells)]
     )
     largest = max(q[-1] for q in quotas)
     return take_first(rows.filter("quota > 0"), cells, F.col("quota"), key="sample_key", at_most=largest).drop("quota")
