@@ -30,6 +30,10 @@ def _over(a: str, b: str) -> str:
     return f"(CAST({a} AS DOUBLE) / nullif({b}, 0))"
 
 
+def four(x: str) -> str:
+    return f"(round_even(CAST({x} AS DOUBLE) * 10000, 0) / 10000)"
+
+
 BUNDLE = {
     "accuracy": _over("n_correct", "n_evaluable"),
     "accuracy_over_asserted": _over("n_correct_asserted", "n_asserted"),
@@ -234,8 +238,8 @@ def _(spark, d):
     return classify.balanced_accuracy(classify.confusion_counts(V.system_rows(spark, d), classify.GROUP))
 
 
-@query("a29_system_metrics", with_records("""SELECT target, system, n, round(accuracy, 4) AS accuracy, round(coverage, 4) AS coverage,
-      round(b.balanced_accuracy, 4) AS balanced_accuracy, round(f.macro_f1, 4) AS macro_f1
+@query("a29_system_metrics", with_records(f"""SELECT target, system, n, {four('accuracy')} AS accuracy, {four('coverage')} AS coverage,
+      {four('b.balanced_accuracy')} AS balanced_accuracy, {four('f.macro_f1')} AS macro_f1
     FROM (SELECT target, system, count(*) AS n, avg(CAST(correct AS INTEGER)) AS accuracy, 1 - avg(CAST(abstained AS INTEGER)) AS coverage
           FROM systems GROUP BY ALL)
     JOIN (SELECT target, system, avg(recall) AS balanced_accuracy FROM (SELECT target, system, gold,
@@ -246,8 +250,8 @@ def _(spark, d):
     return classify.system_metrics(V.system_rows(spark, d))
 
 
-@query("a30_class_metrics", with_records("""SELECT target, system, class, round(coalesce(tp / nullif(support, 0), 0), 4) AS recall,
-      round(coalesce(tp / nullif(predicted, 0), 0), 4) AS precision, support FROM cls""", BASE, CLASSES), doubles="recall precision")
+@query("a30_class_metrics", with_records(f"""SELECT target, system, class, {four('coalesce(tp / nullif(support, 0), 0)')} AS recall,
+      {four('coalesce(tp / nullif(predicted, 0), 0)')} AS precision, support FROM cls""", BASE, CLASSES), doubles="recall precision")
 def _(spark, d):
     return classify.class_metrics(classify.confusion_counts(V.system_rows(spark, d), classify.GROUP))
 
@@ -265,10 +269,10 @@ def _(spark, d):
     return classify.confusion_matrix(classify.confusion_counts(V.system_rows(spark, d), classify.GROUP))
 
 
-@query("a32_truncation_strata", with_records("""
-    SELECT target, was_truncated AS truncated, count(*) AS n, round(avg(CAST(baseline_prediction = gold AS INTEGER)), 4) AS accuracy,
+@query("a32_truncation_strata", with_records(f"""
+    SELECT target, was_truncated AS truncated, count(*) AS n, {four('avg(CAST(baseline_prediction = gold AS INTEGER))')} AS accuracy,
       CASE WHEN target = 'M' THEN count(*) FILTER (WHERE gold = 'M1') END AS n_m1,
-      CASE WHEN target = 'M' THEN round(avg(CAST(baseline_prediction = gold AS INTEGER)) FILTER (WHERE gold = 'M1'), 4) END AS m1_recall,
+      CASE WHEN target = 'M' THEN {four("avg(CAST(baseline_prediction = gold AS INTEGER)) FILTER (WHERE gold = 'M1')")} END AS m1_recall,
       CASE WHEN target = 'M' AND count(*) FILTER (WHERE gold = 'M1') < 5 THEN 'n<5, too small to interpret' END AS m1_recall_note
     FROM base GROUP BY target, was_truncated""", BASE), bools="truncated", doubles="accuracy m1_recall")
 def _(spark, d):

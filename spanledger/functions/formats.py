@@ -27,3 +27,8 @@ def null_if_nan(value: Column) -> Column:
 def ratio(numerator: Column, denominator: Column) -> Column:
     """Double quotient, NULL when the denominator is zero."""
     return F.try_divide(numerator.cast("double"), denominator.cast("double"))
+
+
+def four_decimals(value: Column) -> Column:
+    """Scale, round half to even, scale back: the rounding of numeric array libraries."""
+    return F.rint(value * 10000) / 10000

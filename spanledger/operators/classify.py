@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spanledger import constants as K
-from spanledger.functions.formats import ratio
+from spanledger.functions.formats import four_decimals, ratio
 from spanledger.functions.labels import prediction_bucket
 
 GROUP = ["target", "system"]
@@ -68,7 +68,7 @@ def balanced_accuracy(confusion: DataFrame) -> DataFrame:
 def class_metrics(confusion: DataFrame) -> DataFrame:
     """Recall, precision and support per fixed class, zeros kept, four decimals."""
     def rate(a: str, b: str):
-        return F.round(F.coalesce(ratio(F.col(a), F.col(b)), F.lit(0.0)), 4)
+        return four_decimals(F.coalesce(ratio(F.col(a), F.col(b)), F.lit(0.0)))
 
     return _class_scaffold(class_counts(confusion, GROUP)).select(
         *GROUP, "class", rate("tp", "support").alias("recall"), rate("tp", "predicted").alias("precision"),
@@ -87,7 +87,7 @@ def system_metrics(rows: DataFrame) -> DataFrame:
     table = basic.join(balanced_accuracy(confusion), GROUP).join(macro_f1_fixed(confusion), GROUP)
     return table.select(
         *GROUP, "n",
-        *(F.round(c, 4).alias(c) for c in ("accuracy", "coverage", "balanced_accuracy", "macro_f1")),
+        *(four_decimals(F.col(c)).alias(c) for c in ("accuracy", "coverage", "balanced_accuracy", "macro_f1")),
     )
 
 
@@ -112,7 +112,7 @@ def truncation_strata(baseline: DataFrame) -> DataFrame:
     m1 = (F.col("target") == "M") & (F.col("gold") == "M1")
     counts = baseline.groupBy("target", F.col("was_truncated").alias("truncated")).agg(
         F.count(F.lit(1)).alias("n"),
-        F.round(F.avg(F.col("correct").cast("double")), 4).alias("accuracy"),
+        four_decimals(F.avg(F.col("correct").cast("double"))).alias("accuracy"),
         F.count_if(m1).alias("m1"),
         F.count_if(m1 & F.col("correct")).alias("m1_correct"),
     )
@@ -120,7 +120,7 @@ def truncation_strata(baseline: DataFrame) -> DataFrame:
     return counts.select(
         "target", "truncated", "n", "accuracy",
         F.when(is_m, F.col("m1")).alias("n_m1"),
-        F.when(is_m, F.round(ratio(F.col("m1_correct"), F.col("m1")), 4)).alias("m1_recall"),
+        F.when(is_m, four_decimals(ratio(F.col("m1_correct"), F.col("m1")))).alias("m1_recall"),
         F.when(is_m & (F.col("m1") < 5), "n<5, too small to interpret").alias("m1_recall_note"),
     )
 
