@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from spanledger.session import ship_packages
+from spanledger.session import own_scratch, ship_packages
 
 _ROOT = Path(__file__).resolve().parent.parent
 Query = Callable[[SparkSession, str], DataFrame]
@@ -36,6 +36,7 @@ def portable(df: DataFrame) -> DataFrame:
 
 def _runner(fn: Query) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        own_scratch(spark)
         ship_packages(spark, _ROOT / "spanledger", _ROOT / "catalog")
         return portable(fn(spark, sf_dir))
     return run

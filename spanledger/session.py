@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -38,7 +40,9 @@ def ship_packages(spark: SparkSession, *folders: str | Path) -> None:
     context = spark.sparkContext
     if getattr(context, "_spanledger_shipped", False):
         return
-    archive = Path(tempfile.mkdtemp(prefix="spanledger-")) / "spanledger_packages.zip"
+    folder = tempfile.mkdtemp(prefix="spanledger-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    archive = Path(folder) / "spanledger_packages.zip"
     with zipfile.ZipFile(archive, "w") as z:
         for folder in map(Path, folders):
             for source in sorted(folder.rglob("*.py")):
@@ -48,19 +52,27 @@ def ship_packages(spark: SparkSession, *folders: str | Path) -> None:
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
-    """A fresh folder name below the shared folder that the session names.
-
-    ``spark.checkpoint.dir`` is read from the session.  Only a local session that does not set it
-    gets a temporary folder of its own.
-    """
+    """A fresh folder name below the shared folder that ``spark.checkpoint.dir`` names in the session."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that every executor can reach")
-        root = tempfile.mkdtemp(prefix="spanledger-")
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and every executor can reach")
     return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
+def own_scratch(spark: SparkSession) -> None:
+    """For tests and timings on one machine: a folder of their own where the session names none.
+
+    It goes when the process ends.  Any other session must name a shared folder itself.
+    """
+    if spark.conf.get("spark.checkpoint.dir", None) is not None:
+        return
+    if not spark.sparkContext.master.startswith("local["):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and every executor can reach")
+    root = tempfile.mkdtemp(prefix="spanledger-")
+    atexit.register(shutil.rmtree, root, ignore_errors=True)
+    spark.conf.set("spark.checkpoint.dir", root)
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write a table that several later steps read, and read it back.
 
