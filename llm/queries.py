@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from llm import byte_bpe, minhash, packing, secrets, simhash, token_counts, toxicity
+from llm import byte_bpe, minhash, packing, secrets, simhash, token_counts, toxicity, warc
 from llm.common import prepare, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -62,3 +62,22 @@ def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
+@query("op8_warc")
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
+ORACLES["op8_warc"] = """
+WITH p AS (
+    SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest
+    FROM pages
+), f AS (
+    SELECT *, CASE WHEN payload_bytes >= 100 THEN min(page_id) OVER (PARTITION BY payload_digest) END AS first_id FROM p
+)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN first_id < page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN first_id < page_id THEN first_id END AS refers_to
+FROM f
+"""
