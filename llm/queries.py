@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from llm import byte_bpe, minhash, packing, secrets, simhash, token_counts, toxicity, warc
+from llm import ann, byte_bpe, minhash, packing, secrets, simhash, token_counts, toxicity, warc
 from llm.common import prepare, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -81,3 +81,9 @@ SELECT page_id, payload_bytes, payload_digest,
        CASE WHEN first_id < page_id THEN first_id END AS refers_to
 FROM f
 """
+
+
+@query("op9_neighbours")
+def op9_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return ann.neighbours(vectors, vectors.where("vec_id % 20 = 0"))
