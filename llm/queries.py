@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from llm import ann, byte_bpe, minhash, packing, secrets, simhash, token_counts, toxicity, warc
+from llm import ann, byte_bpe, lm_score, minhash, packing, secrets, simhash, token_counts, toxicity, warc
 from llm.common import prepare, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -87,3 +87,9 @@ FROM f
 def op9_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
     return ann.neighbours(vectors, vectors.where("vec_id % 20 = 0"))
+
+
+@query("op4_lm_score")
+def op4_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return lm_score.score(docs, lm_score.fit(docs))
