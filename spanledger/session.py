@@ -33,22 +33,24 @@ def apply_recommended(spark: SparkSession) -> SparkSession:
 
 
 def ship_packages(spark: SparkSession, *folders: str | Path) -> None:
-    """Send source packages to the Python workers once per application.
+    """Send source packages to the Python workers, each once per application.
 
     Not needed where the packages are installed on every node or passed with --py-files.
     """
     context = spark.sparkContext
-    if getattr(context, "_spanledger_shipped", False):
+    shipped = getattr(context, "_spanledger_shipped", set())
+    new = [f for f in map(Path, folders) if f not in shipped]
+    if not new:
         return
     folder = tempfile.mkdtemp(prefix="spanledger-")
     atexit.register(shutil.rmtree, folder, ignore_errors=True)
-    archive = Path(folder) / "spanledger_packages.zip"
+    archive = Path(folder) / f"packages_{len(shipped)}.zip"
     with zipfile.ZipFile(archive, "w") as z:
-        for folder in map(Path, folders):
-            for source in sorted(folder.rglob("*.py")):
-                z.write(source, source.relative_to(folder.parent))
+        for package in new:
+            for source in sorted(package.rglob("*.py")):
+                z.write(source, source.relative_to(package.parent))
     context.addPyFile(str(archive))
-    context._spanledger_shipped = True
+    context._spanledger_shipped = shipped | set(new)
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:

@@ -11,8 +11,8 @@ SF = os.environ.get("SPANLEDGER_TEST_SF", "/root/testdata/sf0.001")
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations").split()
 
 import __spark_entry__ as entry_module  # noqa: E402
+from catalog import ORACLES, QUERIES  # noqa: E402
 
-QUERIES, ORACLES = entry_module.queries(), entry_module.oracle_sql()
 ROWS_ONLY = {"b2_large_sample_bootstrap"}  # random draws of a distribution, tested in test_resample
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="test tables are not here")
@@ -41,6 +41,10 @@ def test_every_query_has_an_oracle():
     assert set(QUERIES) - set(ORACLES) == ROWS_ONLY and not set(ORACLES) - set(QUERIES)
 
 
+def test_entry_has_all_queries():
+    assert set(QUERIES) <= set(entry_module.queries()) and set(ORACLES) <= set(entry_module.oracle_sql())
+
+
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query_matches_oracle(spark, db, name):
     df = QUERIES[name](spark, SF)
