@@ -73,8 +73,6 @@ def test_groups_above_the_block_lose_no_link(llm_spark):
     prints = np.array(sorted(prints), np.uint64)
     df = llm_spark.createDataFrame([(int(x),) for x in prints.view(np.int64)], "simhash long")
     links = simhash.links(df, 4, block=16)
-    for r in links.collect():
-        assert ((r["a"] ^ r["b"]) & (2**64 - 1)).bit_count() <= 4
     found = {r["node"]: r["root"] for r in components(links).collect()}
     parent = list(range(len(prints)))
 
