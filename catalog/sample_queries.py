@@ -25,7 +25,7 @@ def means_cte(source: str, keys: str, n_boot: int = N_BOOT) -> str:
     return f"""
 means AS MATERIALIZED (
   SELECT {keys}, n, n_pos, n_neg, b, CAST(count(*) FILTER (WHERE pos < n_pos) - count(*) FILTER (WHERE pos >= n - n_neg) AS DOUBLE) / n AS mean
-  FROM (SELECT *, ((x1 * x1 + 69621 * x1 + 54321) % {m}) % n AS pos FROM (
+  FROM (SELECT *, (x1 * {m} + (x1 * x1 + 69621 * x1 + 54321) % {m}) % n AS pos FROM (
     SELECT *, (x0 * x0 + 48271 * x0 + 12345) % {m} AS x1 FROM (
       SELECT *, (b * 1000003 + k * 7919 + {SEED * 104729}) % {m} AS x0 FROM (
         SELECT *, unnest(range(0, n)) AS k FROM (SELECT *, unnest(range(0, {n_boot})) AS b FROM {source})))))
@@ -92,7 +92,7 @@ _M = resample.MODULUS
     SELECT arm, target, n, point AS point_estimate, s[{_index(0.025, N_BOOT)}] AS ci_low, s[{_index(0.975, N_BOOT)}] AS ci_high, {N_BOOT} AS n_boot, {SEED} AS seed
     FROM (SELECT arm, target, n, CAST(yes AS DOUBLE) / n AS point, list_sort(list(mean)) AS s FROM (
       SELECT arm, target, n, yes, b, CAST(count(*) FILTER (WHERE pos >= n - yes) AS DOUBLE) / n AS mean
-      FROM (SELECT *, ((x1 * x1 + 69621 * x1 + 54321) % {_M}) % n AS pos FROM (
+      FROM (SELECT *, (x1 * {_M} + (x1 * x1 + 69621 * x1 + 54321) % {_M}) % n AS pos FROM (
         SELECT *, (x0 * x0 + 48271 * x0 + 12345) % {_M} AS x1 FROM (
           SELECT *, (b * 1000003 + k * 7919 + {SEED * 104729}) % {_M} AS x0 FROM (
             SELECT *, unnest(range(0, n)) AS k FROM (SELECT *, unnest(range(0, {N_BOOT})) AS b FROM (
@@ -103,10 +103,10 @@ def _(spark, d):
     return resample.bootstrap_mean(rows, ["arm", "target"], "accuracy", seed=SEED, n_boot=N_BOOT)
 
 
-@query("b2_large_sample_bootstrap")
+@query("b2_large_sample_bootstrap", with_records("SELECT * FROM grid", *_GRID), doubles="diff ci_low ci_high p_value", longs="n_boot seed")
 def _(spark, d):
-    """The multinomial path, which does not depend on the number of units."""
-    return resample.comparison_grid(V.records(spark, d), seed=SEED, n_boot=N_BOOT, max_explicit=0)
+    """The draws of each replicate cut into many pieces, as for large samples; the rows are the same."""
+    return resample.comparison_grid(V.records(spark, d), seed=SEED, n_boot=N_BOOT, piece=97)
 
 
 # ------------------------------------------------------------------ samples

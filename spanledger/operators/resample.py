@@ -3,38 +3,37 @@
 A replicate mean depends only on how often each distinct value is drawn, so the record table is
 read once to count outcomes; everything after that works on a few rows per comparison.
 
-* Up to ``max_explicit`` units a replicate is made of explicit index draws from integer arithmetic,
-  which any SQL engine reproduces.
-* Above that, the counts of a replicate are drawn from the multinomial distribution those index
-  draws would have, at a cost that does not depend on the number of units.
+There is one method for every size.  Replicate b draws unit ``position(b, k)`` for k = 0 .. n - 1, in
+integer arithmetic that any SQL engine reproduces.  The draws of a replicate are cut into pieces of
+``piece`` positions, so a row of work is small and the number of rows, not their size, grows with n;
+the sums of the pieces are the same however they are cut.
 """
 
 from __future__ import annotations
 
-import zlib
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanledger import constants as K
 from spanledger.functions.formats import p_value_display
 
 MODULUS = 2147483647  # fixed value: draws are taken modulo this prime
-MAX_EXPLICIT = 50_000
+PIECE = 250_000
 REPLICATES_PER_ROW = 50
-VALUES_PER_BLOCK = 100_000
+VALUE_BLOCKS = 16
 COMPARISON = ["scope", "metric", "arm_a", "arm_b"]
 
 
-def draw_indexes(replicate: int, n: int, seed: int) -> np.ndarray:
-    """The n indexes in [0, n) that one replicate draws; 64-bit integer arithmetic only."""
-    x = (replicate * 1000003 + np.arange(n, dtype=np.int64) * 7919 + seed * 104729) % MODULUS
+def draw_indexes(replicate: int, n: int, seed: int, first: int = 0, last: int | None = None) -> np.ndarray:
+    """The indexes in [0, n) that one replicate draws at positions ``first`` to ``last`` (all n by default)."""
+    k = np.arange(first, n if last is None else min(last, n), dtype=np.int64)
+    x = (replicate * 1000003 + k * 7919 + seed * 104729) % MODULUS
     x = (x * x + 48271 * x + 12345) % MODULUS
-    x = (x * x + 69621 * x + 54321) % MODULUS
-    return x % n
+    return (x * MODULUS + (x * x + 69621 * x + 54321) % MODULUS) % n
 
 
 def indicator(metric: str) -> Column:
@@ -102,56 +101,52 @@ def paired_counts(outcomes: DataFrame) -> DataFrame:
 
 
 # ------------------------------------------------------------------ replicates
-def _range(n: int) -> Column:
-    return F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))
+def _work(rows: DataFrame, n: Column, n_boot: int, piece: int) -> DataFrame:
+    """One row for each block of replicates and piece of draws (columns block, at), spread over all cores."""
+    spark = rows.sparkSession
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    blocks = F.sequence(F.lit(0), F.lit((n_boot - 1) // REPLICATES_PER_ROW))
+    cut = rows.withColumn("at", F.explode(F.sequence(F.lit(0).cast("long"), n - 1, F.lit(piece).cast("long"))))
+    return cut.withColumn("block", F.explode(blocks)).repartition(tasks, "n", "block", "at").sortWithinPartitions("n", "block", "at")
 
 
-def _block_of(block: int, n_boot: int) -> np.ndarray:
+def _replicates(block: int, n_boot: int) -> np.ndarray:
     first = int(block) * REPLICATES_PER_ROW
     return np.arange(first, min(first + REPLICATES_PER_ROW, n_boot), dtype=np.int64)
 
 
-def _explicit_totals(row, draws: list[np.ndarray]) -> list[int]:
-    """Sum of the drawn differences when positions run from +1 over 0 to -1."""
-    return [int((at < row.n_pos).sum() - (at >= row.n - row.n_neg).sum()) for at in draws]
+def _same_draws(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows that share their draws, together as far as a batch holds them."""
+    for batch in batches:
+        for _, rows in batch.groupby(["n", "block", "at"], sort=False):
+            yield rows
 
 
-def _multinomial_totals(row, replicates: np.ndarray, seed: int) -> np.ndarray:
-    """The same sums drawn as counts of the three values."""
-    rng = np.random.default_rng([seed, zlib.crc32(row.label.encode()), int(row.block)])
-    p = np.array([row.n_neg, row.n - row.n_neg - row.n_pos, row.n_pos], dtype=float) / row.n
-    drawn = rng.multinomial(int(row.n), p, size=len(replicates))
-    return drawn[:, 2] - drawn[:, 0]
-
-
-def replicate_means(
-    counts: DataFrame, keys: list[str], *, seed: int, n_boot: int, max_explicit: int = MAX_EXPLICIT
-) -> DataFrame:
+def replicate_means(counts: DataFrame, keys: list[str], *, seed: int, n_boot: int, piece: int = PIECE) -> DataFrame:
     """(keys, n, observed, replicate, mean) of the difference with values -1, 0 and +1.
 
-    The work is spread as (comparison, block of replicates) rows, each a few integers.  Comparisons
-    over the same number of units draw the same indexes, so they go to one task and share them.
+    Positions run from +1 over 0 to -1.  Comparisons over the same number of units draw the same
+    indexes; those that meet in a batch share the work.
     """
     label = F.concat_ws("\u0001", *keys)
-    rows = counts.filter(F.col("n") > 0).select(
-        label.alias("label"), "n", "n_pos", "n_neg",
-        F.explode(_range((n_boot - 1) // REPLICATES_PER_ROW + 1)).alias("block"),
-    ).repartition(counts.sparkSession.sparkContext.defaultParallelism, "n", "block").sortWithinPartitions("n", "block")
+    rows = counts.filter(F.col("n") > 0).select(label.alias("label"), "n", "n_pos", "n_neg")
 
     def run(batches):
-        drawn_for, draws = None, []
-        for batch in batches:
-            for row in batch.itertuples(index=False):
-                replicates = _block_of(row.block, n_boot)
-                if row.n > max_explicit:
-                    totals = _multinomial_totals(row, replicates, seed)
-                else:
-                    if drawn_for != (row.n, row.block):
-                        drawn_for, draws = (row.n, row.block), [draw_indexes(int(b), int(row.n), seed) for b in replicates]
-                    totals = _explicit_totals(row, draws)
-                yield pd.DataFrame({"label": row.label, "replicate": replicates, "total": totals})
-
-    totals = rows.mapInPandas(run, "label string, replicate long, total long")
+        for rows in _same_draws(batches):
+            n, block, at = (int(rows[c].iloc[0]) for c in ("n", "block", "at"))
+            pos, neg = rows["n_pos"].to_numpy(), n - rows["n_neg"].to_numpy()
+            replicates = _replicates(block, n_boot)
+            totals = np.empty((len(replicates), len(rows)), dtype=np.int64)
+            for i, b in enumerate(replicates):
+                drawn = np.sort(draw_indexes(int(b), n, seed, at, at + piece))
+                totals[i] = np.searchsorted(drawn, pos) - (len(drawn) - np.searchsorted(drawn, neg))
+            yield pd.DataFrame({"label": np.tile(rows["label"].to_numpy(), len(replicates)),
+                                "replicate": np.repeat(replicates, len(rows)), "total": totals.ravel()})
+
+    totals = (
+        _work(rows, F.col("n"), n_boot, piece).mapInPandas(run, "label string, replicate long, total long")
+        .groupBy("label", "replicate").agg(F.sum("total").alias("total"))
+    )
     head = counts.select(*keys, label.alias("label"), "n",
                          ((F.col("n_pos") - F.col("n_neg")) / F.col("n")).alias("observed"))
     return head.join(totals, "label").select(
@@ -177,13 +172,13 @@ def _summary_frame(means: DataFrame, keys: list[str]) -> DataFrame:
 
 def compare_pairs(
     counts: DataFrame, keys: list[str] | None = None, *, seed: int = 42, n_boot: int = 2000,
-    ci: float = 0.95, max_explicit: int = MAX_EXPLICIT,
+    ci: float = 0.95, piece: int = PIECE,
 ) -> DataFrame:
     """Paired bootstrap: difference, interval by index, two-sided p from the opposite sign."""
     keys = keys or COMPARISON
     low = (1 - ci) / 2
     table = _summary_frame(
-        replicate_means(counts, keys, seed=seed, n_boot=n_boot, max_explicit=max_explicit), keys
+        replicate_means(counts, keys, seed=seed, n_boot=n_boot, piece=piece), keys
     )
     return table.select(
         *keys, "diff",
@@ -200,7 +195,7 @@ def comparison_grid(records: DataFrame, *, pairs=K.COMPARISON_PAIRS, **options)
 
 
 def baseline_comparison(rows: DataFrame, baseline: str, *, seed: int = 42, n_boot: int = 5000,
-                        max_explicit: int = MAX_EXPLICIT) -> DataFrame:
+                        piece: int = PIECE) -> DataFrame:
     """Accuracy of the baseline minus every other system per target, on their shared cases.
 
     Interpolated percentiles, p from the smaller tail, and a flag for intervals without zero.
@@ -214,7 +209,7 @@ def baseline_comparison(rows: DataFrame, baseline: str, *, seed: int = 42, n_boo
         F.count_if(F.col("a") < F.col("b")).alias("n_neg"),
     )
     keys = ["target", "system"]
-    table = _summary_frame(replicate_means(counts, keys, seed=seed, n_boot=n_boot, max_explicit=max_explicit), keys)
+    table = _summary_frame(replicate_means(counts, keys, seed=seed, n_boot=n_boot, piece=piece), keys)
     low, high = F.col("linear")[0], F.col("linear")[1]
     p = F.least(F.lit(1.0), 2 * F.col("n_cross") / F.lit(n_boot))
     return table.select(
@@ -227,13 +222,15 @@ def baseline_comparison(rows: DataFrame, baseline: str, *, seed: int = 42, n_boo
 # ------------------------------------------------------------------ interval of one mean
 def bootstrap_mean(
     df: DataFrame, by: list[str], value: str, *, seed: int = 42, n_boot: int = 2000, ci: float = 0.95,
-    max_explicit: int = MAX_EXPLICIT,
+    piece: int = PIECE,
 ) -> DataFrame:
-    """Percentile interval of the mean of ``value`` per group.
+    """Percentile interval of the mean of ``value`` per group (at least one column in ``by``).
 
     NULL and NaN are dropped; a group with fewer than two values gets its point as both bounds.
     """
-    usable = F.when(F.col(value).isNotNull() & ~F.isnan(F.col(value)), F.col(value))
+    if not by:
+        raise ValueError("name at least one column to group by")
+    usable = F.when(F.col(value).isNotNull() & ~F.isnan(F.col(value)), F.col(value).cast("double"))
     counts = df.groupBy(*by, usable.alias("value")).agg(F.count(F.lit(1)).alias("times"))
     points = counts.groupBy(*by).agg(
         F.coalesce(F.sum(F.when(F.col("value").isNotNull(), F.col("times"))), F.lit(0)).alias("n"),
@@ -241,12 +238,13 @@ def bootstrap_mean(
             F.sum(F.col("value") * F.col("times")),
             F.sum(F.when(F.col("value").isNotNull(), F.col("times"))).cast("double"),
         ).alias("point_estimate"),
+        F.array_sort(F.array_distinct(F.percentile_approx(
+            "value", [k / VALUE_BLOCKS for k in range(1, VALUE_BLOCKS)], 10_000))).alias("cuts"),
     )
-    held = counts.filter("value is not null").join(points, by)
-    small = _explicit_means(held.filter(F.col("n").between(2, max_explicit)), by, seed, n_boot)
-    large = _block_means(held.filter(F.col("n") > max_explicit), by, seed, n_boot)
+    held = counts.filter("value is not null").join(points.filter("n > 1"), by)
+    means = _value_means(held, by, seed, n_boot, piece)
     low = (1 - ci) / 2
-    summary = small.unionByName(large).groupBy(*by).agg(F.sort_array(F.collect_list("mean")).alias("means"))
+    summary = means.groupBy(*by).agg(F.sort_array(F.collect_list("mean")).alias("means"))
     return points.join(summary, by, "left").select(
         *by, "n", "point_estimate",
         F.coalesce(F.element_at("means", _position(low, n_boot)), "point_estimate").alias("ci_low"),
@@ -255,72 +253,38 @@ def bootstrap_mean(
     )
 
 
-def _explicit_means(held: DataFrame, by: list[str], seed: int, n_boot: int) -> DataFrame:
-    """Index draws over the sorted values of a group of at most ``max_explicit`` units.
+def _value_means(held: DataFrame, by: list[str], seed: int, n_boot: int, piece: int) -> DataFrame:
+    """Replicate means over the sorted units of each group.
 
-    Rows are (group, block of replicates) with the group's distinct values and their counts.
+    Percentiles cut a group's distinct values into at most VALUE_BLOCKS blocks, each with the rank of its
+    first unit.  A row of work holds one block's values; it makes a piece of the draws and sums
+    those that fall into its ranks, so no row carries a whole group.
     """
-    groups = held.groupBy(*by).agg(
-        F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("value", "times"))).alias("items")
-    )
-    rows = groups.select(
-        *by, "n", F.col("items.value").alias("values"), F.col("items.times").alias("times"),
-        F.explode(_range((n_boot - 1) // REPLICATES_PER_ROW + 1)).alias("block"),
-    ).repartition(held.sparkSession.sparkContext.defaultParallelism)
+    part = F.size(F.filter("cuts", lambda c: c < F.col("value")))
+    blocks = held.withColumn("part", part).groupBy(*by, "part").agg(
+        F.first("n").alias("n"), F.sum("times").alias("size"),
+        F.sort_array(F.collect_list(F.struct("value", "times"))).alias("items"))
+    before = Window.partitionBy(*by).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    ready = blocks.select(*by, "n", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("first_rank"),
+                          F.col("items.value").alias("values"), F.col("items.times").alias("times"))
 
     def run(batches):
-        for batch in batches:
-            for row in batch.itertuples(index=False):
-                r = row._asdict()
-                units = np.repeat(np.asarray(r["values"], dtype=float), np.asarray(r["times"], dtype=np.int64))
-                replicates = _block_of(r["block"], n_boot)
-                means = [units[draw_indexes(int(b), len(units), seed)].mean() for b in replicates]
-                yield pd.DataFrame({**{k: r[k] for k in by}, "replicate": replicates, "mean": means})
-
-    schema = ", ".join([*(f"`{k}` {dict(held.dtypes)[k]}" for k in by), "replicate long, mean double"])
-    return rows.mapInPandas(run, schema)
-
-
-def _block_means(held: DataFrame, by: list[str], seed: int, n_boot: int) -> DataFrame:
-    """Exact multinomial draws for large groups, split over blocks of distinct values.
-
-    Every block row carries the sizes of all blocks of its group and draws the same split of the
-    replicate over the blocks, then draws inside its own block; sums of the blocks give the means.
-    """
-    label = F.concat_ws("\u0001", *by)
-    sized = held.join(held.groupBy(*by).agg(F.count(F.lit(1)).alias("distinct_values")), by)
-    n_blocks = F.ceil(F.col("distinct_values") / F.lit(VALUES_PER_BLOCK))
-    blocks = (
-        sized.withColumn("block", F.pmod(F.xxhash64("value"), n_blocks))
-        .groupBy(*by, "block")
-        .agg(F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("value", "times"))).alias("items"),
-             F.sum("times").alias("size"))
-    )
-    sizes = blocks.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("block", "size"))).alias("sizes"))
-    ready = blocks.join(sizes, by).select(
-        *by, label.alias("label"), "block", "n", F.col("items.value").alias("values"),
-        F.col("items.times").alias("times"), F.col("sizes.block").alias("ids"), F.col("sizes.size").alias("sizes"),
-    )
-
-    def run(batches):
-        for batch in batches:
-            for row in batch.itertuples(index=False):
-                r = row._asdict()
-                crc = zlib.crc32(r["label"].encode())
-                sizes = np.asarray(r["sizes"], dtype=float)
-                shared = np.random.default_rng([seed, crc])
-                share = shared.multinomial(int(r["n"]), sizes / sizes.sum(), size=n_boot)
-                mine = share[:, list(r["ids"]).index(r["block"])]
-                own = np.random.default_rng([seed, crc, int(r["block"]) + 1])
-                times = np.asarray(r["times"], dtype=float)
-                p, values = times / times.sum(), np.asarray(r["values"], dtype=float)
-                sums = np.array([own.multinomial(int(m), p) @ values for m in mine])
-                yield pd.DataFrame({**{k: r[k] for k in by}, "n": r["n"], "replicate": np.arange(n_boot), "part": sums})
-
-    schema = ", ".join([*(f"`{k}` {dict(held.dtypes)[k]}" for k in by), "n long", "replicate long", "part double"])
-    return ready.mapInPandas(run, schema).groupBy(*by, "replicate").agg(
-        (F.sum("part") / F.first("n")).alias("mean")
-    )
+        for rows in _same_draws(batches):
+            n, block, at = (int(rows[c].iloc[0]) for c in ("n", "block", "at"))
+            replicates, out = _replicates(block, n_boot), []
+            bounds = [r.first_rank + np.concatenate([[0], np.cumsum(r.times)]) for r in rows.itertuples(index=False)]
+            sums = np.empty((len(replicates), len(rows)))
+            for i, b in enumerate(replicates):
+                drawn = np.sort(draw_indexes(int(b), n, seed, at, at + piece))
+                for j, (bound, values) in enumerate(zip(bounds, rows["values"], strict=True)):
+                    sums[i, j] = np.diff(np.searchsorted(drawn, bound)) @ np.asarray(values, dtype=float)
+            for i, b in enumerate(replicates):
+                out.append(rows[by].assign(replicate=b, part_sum=sums[i], n=n))
+            yield pd.concat(out)[[*by, "n", "replicate", "part_sum"]]
+
+    schema = ", ".join([*(f"`{k}` {dict(held.dtypes)[k]}" for k in by), "n long, replicate long, part_sum double"])
+    sums = _work(ready, F.col("n"), n_boot, piece).mapInPandas(run, schema)
+    return sums.groupBy(*by, "replicate").agg((F.sum("part_sum") / F.first("n")).alias("mean"))
 
 
 def arm_pair_table(grid: DataFrame) -> DataFrame:

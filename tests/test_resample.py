@@ -40,15 +40,21 @@ def test_large_consistent_difference(spark):
     assert (row["diff"], row["ci_low"], row["p_value"]) == (1.0, 1.0, 0.0)
 
 
-def test_multinomial_draws_agree_with_index_draws(spark):
+def test_pieces_do_not_change_the_result(spark):
     counts = _counts(spark, 2000, 500, 350)
-    a = B.compare_pairs(counts, ["k"], seed=3, n_boot=1000).first()
-    b = B.compare_pairs(counts, ["k"], seed=3, n_boot=1000, max_explicit=0).first()
-    sd = math.sqrt((850 / 2000 - (150 / 2000) ** 2) / 2000)
-    for name in ("ci_low", "ci_high"):
-        assert abs(a[name] - b[name]) < sd / 2
-    again = B.compare_pairs(counts, ["k"], seed=3, n_boot=1000, max_explicit=0).first()
-    assert b == again
+    whole = B.compare_pairs(counts, ["k"], seed=3, n_boot=300).first()
+    assert whole == B.compare_pairs(counts, ["k"], seed=3, n_boot=300, piece=123).first()
+    means = _brute(2000, 500, 350, 3, 300)
+    assert whole["ci_low"] == pytest.approx(means[int(0.025 * 299)])
+
+
+def test_ten_and_ten_million_units_take_the_same_path(spark):
+    n, pos, neg = 10_000_000, 3_000_000, 2_000_000
+    row = B.compare_pairs(_counts(spark, n, pos, neg), ["k"], seed=3, n_boot=20).first()
+    means = _brute(n, pos, neg, 3, 20)
+    assert (row["ci_low"], row["ci_high"]) == (pytest.approx(means[0]), pytest.approx(means[int(0.975 * 19)]))
+    sd = math.sqrt((0.5 - 0.1**2) / n)
+    assert np.abs(means - 0.1).max() < 5 * sd and means.std() > sd / 3
 
 
 def test_pairs_use_shared_evaluable_cases_only(spark):
@@ -89,14 +95,15 @@ def test_mean_interval(spark):
     assert got["real"]["ci_high"] == pytest.approx(means[int(0.975 * 499)])
 
 
-def test_mean_interval_of_many_values_in_blocks(spark, monkeypatch):
-    monkeypatch.setattr(B, "VALUES_PER_BLOCK", 300)
+def test_mean_interval_of_many_values_in_blocks(spark):
     df = spark.range(2000).selectExpr("'g' as g", "cast(id * id % 977 as double) as v")
-    exact = B.bootstrap_mean(df, ["g"], "v", seed=4, n_boot=600).first()
-    blocks = B.bootstrap_mean(df, ["g"], "v", seed=4, n_boot=600, max_explicit=10).first()
-    sd = np.std([i * i % 977 for i in range(2000)]) / math.sqrt(2000)
-    assert blocks["point_estimate"] == pytest.approx(exact["point_estimate"])
-    assert abs(blocks["ci_low"] - exact["ci_low"]) < sd / 2 and abs(blocks["ci_high"] - exact["ci_high"]) < sd / 2
+    values = np.sort([float(i * i % 977) for i in range(2000)])
+    means = np.sort([values[B.draw_indexes(b, 2000, 4)].mean() for b in range(200)])
+    for piece in (B.PIECE, 300):
+        row = B.bootstrap_mean(df, ["g"], "v", seed=4, n_boot=200, piece=piece).first()
+        assert row["ci_low"] == pytest.approx(means[int(0.025 * 199)]) and row["ci_high"] == pytest.approx(means[int(0.975 * 199)])
+    with pytest.raises(ValueError):
+        B.bootstrap_mean(df, [], "v")
 
 
 def test_baseline_comparison(spark):
