@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+
 import json
 import re
 
@@ -200,9 +202,16 @@ def _values(frame):
 
 @query("k1_resumable_rounds", with_views(_SCORED.replace("{arms}", ", ".join(f"({lit(a)})" for a in K.STUDY_ARMS))), bools="invalid")
 def _(spark, d):
+    """Two arms first, with requests that are throttled in their only round; then all arms."""
+    def throttled(arm: str, report: str) -> str:
+        if len(report) % 3 == 0:
+            raise resume.RetryLater("slow down")
+        return token_scorer(arm, report)
+
     path = scratch_path(spark, "checkpoint")
     texts = V.reports(spark, d).select("case_id", "text")
-    resume.run_rounds(texts, K.STUDY_ARMS[:2], path, token_scorer)
+    with contextlib.suppress(resume.Unfinished):
+        resume.run_rounds(texts, K.STUDY_ARMS[:2], path, throttled, max_rounds=1)
     return _values(resume.run_rounds(texts, K.STUDY_ARMS, path, token_scorer))
 
 

@@ -34,6 +34,10 @@ class Exhausted(Exception):
     """The service refuses for good: the run stops after this round is committed."""
 
 
+class Unfinished(Exception):
+    """The rounds are used up and requests are left; what is finished is in the checkpoint."""
+
+
 def score_with(requests: DataFrame, scorer: Callable[[str, str], str]) -> DataFrame:
     """Call ``scorer(arm, text)`` for every request inside the tasks.
 
@@ -82,29 +86,45 @@ def to_results(scored: DataFrame) -> DataFrame:
 
 
 def _lines(spark: SparkSession, path: str) -> DataFrame | None:
-    """All lines of a checkpoint with their folder columns, None when nothing is there."""
+    """All lines of a checkpoint with their folder columns, None when nothing is there.
+
+    A plain file or folder of lines has no such columns: its rows are finished and come before any batch.
+    """
     try:
-        return spark.read.schema(f"{CHECKPOINT}, batch int, outcome string").json(path)
+        lines = spark.read.schema(f"{CHECKPOINT}, batch int, outcome string").json(path)
     except AnalysisException as error:
         if error.getCondition() == "PATH_NOT_FOUND":
             return None
         raise
+    return with_file_order(lines, "place").withColumns(
+        {"batch": F.coalesce("batch", F.lit(-1)), "outcome": F.coalesce("outcome", F.lit(DONE))})
 
 
-def _folders(spark: SparkSession, path: str) -> list[str]:
-    """Folder names (batch=..., outcome=...) that hold files, from the file listing."""
-    lines = _lines(spark, path)
-    return [] if lines is None else [part for f in lines.inputFiles() for part in f.split("/")[:-1] if "=" in part]
+def _last_batch(spark: SparkSession, path: str) -> tuple[int, bool]:
+    """Number of the last committed batch (-1: none), and whether a request was refused for good in it.
 
+    Every batch leaves one small row in a manifest, so no file of results is listed or read for this.
+    """
+    try:
+        last = spark.read.schema("batch int, refused boolean").json(f"{path}/_manifest/*").orderBy(F.desc("batch")).first()
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        last = None
+    return (last["batch"], last["refused"]) if last else (-1, False)
 
-def read_checkpoint(spark: SparkSession, path: str) -> DataFrame:
-    """Latest result per (case_id, arm); an absent checkpoint is empty."""
-    lines = _lines(spark, path)
-    if lines is None:
+
+def read_checkpoint(spark: SparkSession, path: str, earlier: str | None = None) -> DataFrame:
+    """Latest result per (case_id, arm); an absent checkpoint is empty.
+
+    ``path`` may be a folder of batches or plain lines.  ``earlier`` names plain lines that count as
+    older than all batches.
+    """
+    found = [lines for p in (earlier, path) if p is not None and (lines := _lines(spark, p)) is not None]
+    if not found:
         return spark.createDataFrame([], CHECKPOINT)
-    ordered = with_file_order(lines.filter(F.col("outcome") == DONE), "place").withColumn(
-        "place", F.struct("batch", "place")
-    )
+    lines = found[0] if len(found) == 1 else found[0].withColumn("batch", F.lit(-2)).unionByName(found[1])
+    ordered = lines.filter(F.col("outcome") == DONE).withColumn("place", F.struct("batch", "place"))
     return last_row_per_key(ordered.drop("batch", "outcome"), ["case_id", "arm"], "place").select(
         "case_id", "arm", "invalid", "raw", "extraction"
     )
@@ -112,8 +132,14 @@ def read_checkpoint(spark: SparkSession, path: str) -> DataFrame:
 
 def append_results(results: DataFrame, path: str, batch: int) -> None:
     """Commit one batch: finished rows, and a marker for requests that were refused for good."""
+    folder = f"{path}/batch={batch}"
     kept = results.filter(F.col("outcome") != RETRY)
-    kept.write.mode("overwrite").partitionBy("outcome").option("ignoreNullFields", False).json(f"{path}/batch={batch}")
+    kept.write.mode("overwrite").partitionBy("outcome").option("ignoreNullFields", False).json(folder)
+    spark = results.sparkSession
+    written = spark.read.schema("outcome string").option("basePath", folder).json(folder)
+    refused = not written.filter(F.col("outcome") == FATAL).limit(1).isEmpty()
+    spark.createDataFrame([(batch, refused)], "batch int, refused boolean").coalesce(1).write.mode("overwrite").json(
+        f"{path}/_manifest/{batch}")
 
 
 def pending_requests(reports: DataFrame, arms: Sequence[str], done: DataFrame | None) -> DataFrame:
@@ -134,30 +160,32 @@ def pending_requests(reports: DataFrame, arms: Sequence[str], done: DataFrame |
 
 def run_rounds(
     reports: DataFrame, arms: Sequence[str], path: str, scorer: Callable[[str, str], str], *,
-    max_rounds: int = 20, parallelism: int | None = None, pause_seconds: float = 0.0,
+    max_rounds: int = 20, parallelism: int | None = None, pause_seconds: float = 0.0, earlier: str | None = None,
 ) -> DataFrame:
-    """Score every (report, arm) until none is left or the rounds are used up.
+    """Score every (report, arm) until none is left; Unfinished is raised if the rounds are used up before.
 
-    ``reports``: case_id, text.  ``parallelism`` bounds the concurrent calls.  Whether anything is
-    left is decided on the keys alone.  Returns the checkpoint.
+    ``reports``: case_id, text.  ``parallelism`` bounds the concurrent calls.  ``earlier`` names plain
+    lines of results that are not asked for again.  Whether anything is left is decided on the keys
+    alone.  Returns the checkpoint.
     """
     spark = reports.sparkSession
     keys = cases_by_arms(reports.select("case_id"), tuple(arms))
-    batch = 1 + max((int(f.split("=")[1]) for f in _folders(spark, path) if f.startswith("batch=")), default=-1)
-    for round_no in range(max_rounds):
-        done = read_checkpoint(spark, path).select("case_id", "arm") if batch else None
+    batch = 1 + _last_batch(spark, path)[0]
+    for round_no in range(max_rounds + 1):
+        done = read_checkpoint(spark, path, earlier).select("case_id", "arm") if batch or earlier else None
         if done is not None and todo(keys, done).isEmpty():
+            return read_checkpoint(spark, path, earlier)
+        if round_no == max_rounds:
             break
         if round_no:
             time.sleep(pause_seconds)
         pending = pending_requests(reports, arms, done)
         pending = pending.repartition(parallelism) if parallelism else pending
         append_results(to_results(score_with(pending, scorer)), path, batch)
-        refused = f"outcome={FATAL}" in _folders(spark, f"{path}/batch={batch}")
-        batch += 1
-        if refused:
+        if _last_batch(spark, path)[1]:
             raise Exhausted("the scorer refused for good; finished rows are in the checkpoint")
-    return read_checkpoint(spark, path)
+        batch += 1
+    raise Unfinished(f"requests are left after {max_rounds} rounds; finished rows are in the checkpoint")
 
 
 def checkpoint_responses(checkpoint: DataFrame) -> DataFrame:

@@ -64,7 +64,9 @@ def test_throttled_requests_are_never_written_and_come_later(spark, tmp_path):
             raise resume.RetryLater("later")
         return _answer()
 
-    assert len(_rows(_run(spark, path, scorer, max_rounds=1))) == 8
+    with pytest.raises(resume.Unfinished):
+        _run(spark, path, scorer, max_rounds=1)
+    assert len(_rows(resume.read_checkpoint(spark, path))) == 8
     assert len(_rows(_run(spark, path, scorer))) == 10
 
 
@@ -72,7 +74,18 @@ def test_rounds_are_bounded(spark):
     def never(arm, text):
         raise resume.RetryLater("always")
 
-    assert _run(spark, scratch_path(spark, "checkpoint"), never, max_rounds=3).count() == 0
+    with pytest.raises(resume.Unfinished):
+        _run(spark, scratch_path(spark, "checkpoint"), never, max_rounds=3)
+
+
+def test_plain_lines_are_a_checkpoint(spark, tmp_path):
+    plain = tmp_path / "old.jsonl"
+    line = '{"case_id": "%s", "arm": "%s", "invalid": %s, "raw": "%s", "extraction": null}\n'
+    plain.write_text(line % ("c0", ARMS[0], "true", "first") + line % ("c1", ARMS[0], "false", "x") + line % ("c0", ARMS[0], "false", "last"))
+    rows = _rows(resume.read_checkpoint(spark, str(plain)))
+    assert len(rows) == 2 and rows[("c0", ARMS[0])]["raw"] == "last" and not rows[("c0", ARMS[0])]["invalid"]
+    done = _rows(_run(spark, scratch_path(spark, "checkpoint"), lambda a, t: _answer(), n=2, earlier=str(plain)))
+    assert len(done) == 4 and done[("c0", ARMS[0])]["raw"] == "last" and done[("c0", ARMS[1])]["raw"] == _answer()
 
 
 def test_real_failures_and_bad_shapes_are_recorded_as_invalid(spark):
