@@ -397,22 +397,25 @@ def _(spark, d):
     return compare.metric_differences(metrics.metrics(R.rescore(stale)), metrics.metrics(V.records(spark, d)))
 
 
-@query("a47_figure_points", with_records("""
-    SELECT 'accuracy_vs_span_unsupported' AS figure, arm, target, span_unsupported_rate_over_evaluable AS x, accuracy AS y FROM bundle WHERE target = 'overall'
-    UNION ALL SELECT 'accuracy_vs_semantic_unsupported', arm, target, semantic_unsupported_rate_over_evaluable, accuracy FROM bundle WHERE target = 'overall'
-    UNION ALL SELECT 'coverage_vs_semantic_supported_accuracy', arm, target, coverage, semantic_supported_accuracy_over_evaluable FROM bundle WHERE target = 'overall'
-    UNION ALL SELECT 'semantic_unsupported_by_target', arm, target, NULL, semantic_unsupported_rate_over_evaluable FROM bundle WHERE target <> 'overall'
-    UNION ALL SELECT 'm_accuracy_vs_semantic_supported', arm, target, semantic_supported_accuracy_over_evaluable, accuracy FROM bundle WHERE target = 'M'""",
-    _BUNDLE), doubles="x y")
+_M_TOTAL = f"(SELECT count(*) FROM records WHERE target = 'M' AND {_EV}) >= 10"
+
+
+@query("a47_figure_points", with_records(f"""SELECT *, figure NOT LIKE 'm\\_%' ESCAPE '\\' OR {_M_TOTAL} AS enough FROM (
+    SELECT 'accuracy_vs_span_unsupported' AS figure, arm, target, span_unsupported_rate_over_evaluable AS x, accuracy AS y, n_evaluable FROM bundle WHERE target = 'overall'
+    UNION ALL SELECT 'accuracy_vs_semantic_unsupported', arm, target, semantic_unsupported_rate_over_evaluable, accuracy, n_evaluable FROM bundle WHERE target = 'overall'
+    UNION ALL SELECT 'coverage_vs_semantic_supported_accuracy', arm, target, coverage, semantic_supported_accuracy_over_evaluable, n_evaluable FROM bundle WHERE target = 'overall'
+    UNION ALL SELECT 'semantic_unsupported_by_target', arm, target, NULL, semantic_unsupported_rate_over_evaluable, n_evaluable FROM bundle WHERE target <> 'overall'
+    UNION ALL SELECT 'm_accuracy_vs_semantic_supported', arm, target, semantic_supported_accuracy_over_evaluable, accuracy, n_evaluable FROM bundle WHERE target = 'M')""",
+    _BUNDLE), doubles="x y", bools="enough", longs="n_evaluable")
 def _(spark, d):
     return metrics.figure_points(bundle(spark, d))
 
 
 @query("a47_error_figure", with_records(f"""
-    SELECT arm, t AS target, error_category, count(*) FILTER (WHERE list_contains(errors, error_category)) AS count
-    FROM (SELECT arm, errors, unnest(CASE WHEN target = 'M' THEN ['overall', 'M'] ELSE ['overall'] END) AS t FROM records),
+    SELECT arm, t AS target, error_category, count(*) FILTER (WHERE list_contains(errors, error_category)) AS count,
+      count(*) FILTER (WHERE {_EV}) AS n_evaluable, t = 'overall' OR {_M_TOTAL} AS enough
+    FROM (SELECT arm, errors, target, ground_truth, prediction, unnest(CASE WHEN target = 'M' THEN ['overall', 'M'] ELSE ['overall'] END) AS t FROM records),
          (SELECT unnest([{_FLAGS}]) AS error_category)
-    WHERE t = 'overall' OR (SELECT count(*) FROM records WHERE target = 'M' AND {_EV}) >= 10
-    GROUP BY ALL"""))
+    GROUP BY arm, t, error_category"""), bools="enough", longs="n_evaluable")
 def _(spark, d):
     return metrics.error_figure(V.records(spark, d))

@@ -11,6 +11,7 @@ from catalog.oracle_base import has, lit, with_boundary, with_records, with_view
 from catalog.registry import query
 from catalog.scalar_queries import AUDIT_EXCERPT_SQL, AUDIT_TRUNCATED_SQL, _M_CLASS, _M_EXCERPT, _head_sql
 from spanledger import constants as K
+from spanledger.functions.formats import p_value_display
 from spanledger.functions.labels import has_explicit_token, legacy_from_arm
 from spanledger.operators import audit, dataset, examples, resample, sampling
 from spanledger.operators.records import case_indicators
@@ -61,6 +62,17 @@ def _(spark, d):
     return grid(spark, d)
 
 
+@query("p29_p_value_display", with_records(f"""SELECT scope, metric, arm_a, arm_b,
+    CASE WHEN p_value IS NULL THEN 'n/a' WHEN p_value = 0 THEN '< 0.0050' ELSE printf('%.4f', CAST(p_value AS DOUBLE)) END AS shown,
+    CASE WHEN p_value IS NULL THEN 'n/a' WHEN p_value <= 1.0 / {N_BOOT} THEN '< 0.0050' ELSE printf('%.4f', CAST(p_value AS DOUBLE)) END AS shown_baseline
+    FROM grid""", *_GRID))
+def _(spark, d):
+    n = F.lit(N_BOOT)
+    return grid(spark, d).select(
+        "scope", "metric", "arm_a", "arm_b", p_value_display(F.col("p_value"), n).alias("shown"),
+        p_value_display(F.col("p_value"), n, at_most_one_draw=True).alias("shown_baseline"))
+
+
 @query("b17_arm_pair_table", with_records("""
     SELECT metric, scope, arm_a, arm_b, diff, ci_low, ci_high,
       CASE WHEN p_value = 0 THEN '< 0.0050' ELSE printf('%.4f', CAST(p_value AS DOUBLE)) END AS p_display,

@@ -6,12 +6,12 @@ from pyspark.sql import functions as F
 
 from catalog import views as V
 from catalog.oracle_base import (
-    EVIDENCE, REPORT_FEATURES, WS, canon, has, lit, norm, norm_pred, pattern, supported, with_boundary,
+    EVIDENCE, REPORT_FEATURES, WS, canon, has, lit, norm, norm_pred, pattern, semantic, supported, with_boundary,
     with_records, with_views,
 )
 from catalog.registry import query
 from spanledger import constants as K
-from spanledger.functions import formats, labels, support, text
+from spanledger.functions import labels, support, text
 from spanledger.operators import dataset, records as R
 
 RAW_VARIANTS = (
@@ -99,10 +99,10 @@ def _(spark, d):
 
 
 def _evidence(spark, d):
-    return V.responses(spark, d).filter("evidence is not null").select("case_id", "arm", "target", "raw_value", "evidence")
+    return V.responses(spark, d).select("case_id", "arm", "target", "raw_value", "evidence")
 
 
-_EV = "FROM resp p JOIN ev e USING (evidence)"
+_EV = "FROM resp p LEFT JOIN ev e ON p.evidence = e.evidence"
 
 
 @query("p10_node_status", with_views(f"SELECT case_id, arm, target, nodes AS status {_EV}", EVIDENCE))
@@ -143,10 +143,10 @@ def _(spark, d):
 
 
 @query("p15_semantic_support", with_records(
-    "SELECT case_id, arm, target, sem AS supported FROM records WHERE span"), bools="supported")
+    f"SELECT case_id, arm, target, coalesce({semantic('r.prediction', 'r.target', 'e')}, FALSE) AS supported"
+    " FROM records r LEFT JOIN ev e ON r.evidence = e.evidence"), bools="supported")
 def _(spark, d):
-    found = V.records(spark, d).filter("evidence_span_found")
-    return found.select("case_id", "arm", "target", support.semantic_support(
+    return V.records(spark, d).select("case_id", "arm", "target", support.semantic_support(
         F.col("prediction"), F.col("evidence"), F.col("target")).alias("supported"))
 
 
@@ -178,9 +178,9 @@ def _(spark, d):
         "case_id", "arm", "target", "evidence_span_found", "evidence_semantically_supports_prediction")
 
 
-@query("p18_error_taxonomy", with_records("SELECT case_id, arm, target, errors FROM records WHERE len(errors) > 0"), arrays="errors")
+@query("p18_error_taxonomy", with_records("SELECT case_id, arm, target, errors FROM records"), arrays="errors")
 def _(spark, d):
-    return V.records(spark, d).filter(F.size("errors") > 0).select("case_id", "arm", "target", "errors")
+    return V.records(spark, d).select("case_id", "arm", "target", "errors")
 
 
 @query("p19_source_boundary_tag", with_boundary(
@@ -280,20 +280,6 @@ def _(spark, d):
         F.length("s.after").alias("after_length"))
 
 
-_P_SQL = "CASE WHEN doc_id % 11 = 0 THEN NULL WHEN doc_id % 7 = 0 THEN 0.0 ELSE (doc_id % 5000) / 5000.0 END"
-
-
-@query("p29_p_value_display", f"""SELECT doc_id,
-    CASE WHEN p IS NULL THEN 'n/a' WHEN p = 0 THEN '< 0.0002' ELSE printf('%.4f', p) END AS shown,
-    CASE WHEN p IS NULL THEN 'n/a' WHEN p <= 0.0002 THEN '< 0.0002' ELSE printf('%.4f', p) END AS shown_baseline
-    FROM (SELECT doc_id, CAST({_P_SQL} AS DOUBLE) AS p FROM documents)""")
-def _(spark, d):
-    rows = V.table(spark, d, "documents").select("doc_id", F.expr(f"cast({_P_SQL} as double)").alias("p"))
-    n = F.lit(5000)
-    return rows.select("doc_id", formats.p_value_display(F.col("p"), n).alias("shown"),
-                       formats.p_value_display(F.col("p"), n, at_most_one_draw=True).alias("shown_baseline"))
-
-
 _SYSTEM_MAP = "MAP {" + ", ".join(f"{lit(a)}: {lit(t)}" for a, t in K.SYSTEM_TEXT.items()) + "}"
 
 

@@ -83,19 +83,21 @@ def scrub_personal_data(text: Column) -> Column:
     return F.regexp_replace(text, java(K.PERSONAL_DATA), K.PERSONAL_DATA_MARK)
 
 
-def span_in(low: Column, words: Column) -> Column:
-    """Struct(start, size) of the first grounded occurrence; ``low`` is the lower-cased text and
-    ``words`` the matching form of the quote.
+def span_in(text: Column, words: Column) -> Column:
+    """Struct(start, size) of the first grounded occurrence in the original text; ``words`` is the
+    matching form of the quote.
 
-    The quote becomes a pattern whose words may be apart by any run of stops, commas and white
-    space, so the offsets are those of the original text and no position map is needed.
+    The quote becomes a pattern, in any case, whose words may be apart by any run of stops, commas
+    and white space, so the offsets are those of the text itself and no position map is needed.  A
+    dotted capital I is one letter, its lower-case form two; the pattern takes either.
     """
     escaped = F.regexp_replace(words, r"([^\p{L}\p{N}\p{M} ])", r"\\$1")
-    pattern = F.replace(escaped, F.lit(" "), F.lit(f"[.,{SPACE_CHARS}]+"))
-    sides = F.split(low, pattern, 2)
+    dotted = F.replace(escaped, F.lit("i\u0307"), F.lit("(?:i\u0307|\u0130)"))
+    pattern = F.concat(F.lit("(?iu)"), F.replace(dotted, F.lit(" "), F.lit(f"[.,{SPACE_CHARS}]+")))
+    sides = F.split(text, pattern, 2)
     after = F.get(sides, F.lit(1))
     start = F.length(sides[0])
-    span = F.struct(start.alias("start"), (F.length(low) - start - F.length(after)).alias("size"))
+    span = F.struct(start.alias("start"), (F.length(text) - start - F.length(after)).alias("size"))
     return F.when(after.isNotNull(), span)
 
 
@@ -103,7 +105,7 @@ def locate_span(text: Column, evidence: Column) -> Column:
     """Struct(before, match, after) of the first grounded occurrence in the original text; NULL when
     the quote is blank or not there."""
     words = matching_form(evidence)
-    return around_span(text, F.when(words != "", span_in(F.lower(text), words)))
+    return around_span(text, F.when(words != "", span_in(text, words)))
 
 
 def around_span(text: Column, span: Column) -> Column:

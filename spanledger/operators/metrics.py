@@ -198,10 +198,12 @@ def boundary_table(rows: DataFrame) -> DataFrame:
 
 
 def figure_points(bundle: DataFrame) -> DataFrame:
-    """Data of the scatter and bar figures in long form: figure, arm, target, x, y.
+    """Data of the scatter and bar figures in long form: figure, arm, target, x, y, n_evaluable, enough.
 
-    The M error figure needs enough evaluable M records; its flag is the ``m_figure`` column.
+    All rows are given; ``enough`` says whether the run has the evaluable M records that the M figure
+    asks for (true for the other figures).
     """
+    m_total = bundle.filter(F.col("target") == "M").agg(F.sum("n_evaluable")).scalar()
     overall, m = F.col("target") == OVERALL, F.col("target") == "M"
     figures = [
         ("accuracy_vs_span_unsupported", overall, "span_unsupported_rate_over_evaluable", "accuracy"),
@@ -218,13 +220,16 @@ def figure_points(bundle: DataFrame) -> DataFrame:
             F.col(y).alias("y"),
         )) for name, rows, x, y in figures
     )))
-    return bundle.select("arm", "target", F.explode(points).alias("p")).select("p.figure", "arm", "target", "p.x", "p.y")
+    rows = bundle.select("arm", "target", "n_evaluable", F.explode(points).alias("p"))
+    enough = ~F.col("p.figure").startswith("m_") | F.coalesce(m_total >= K.MIN_EVALUABLE_FOR_M_FIGURE, F.lit(False))
+    return rows.select("p.figure", "arm", "target", "p.x", "p.y", "n_evaluable", enough.alias("enough"))
 
 
 def error_figure(records: DataFrame) -> DataFrame:
-    """Bars of the error figures: every flag per arm, pooled and for M.
+    """Bars of the error figures: every flag per arm, pooled and for M, with n_evaluable and enough.
 
-    The M bars appear only when the whole run has enough evaluable M records.
+    ``enough`` says whether the whole run has the evaluable M records that the M figure asks for
+    (true for the pooled rows).
     """
     counts = _flag_counts(records, F.lit(True))
     rolled = roll_up(counts, ["arm", "error_category"], ["n_evaluable", "count"]).filter(
@@ -232,6 +237,5 @@ def error_figure(records: DataFrame) -> DataFrame:
     )
     m_rows = rolled.filter((F.col("target") == "M") & (F.col("error_category") == K.ERROR_FLAGS[0]))
     m_total = m_rows.agg(F.sum("n_evaluable")).scalar()
-    return rolled.filter(
-        (F.col("target") == OVERALL) | (m_total >= K.MIN_EVALUABLE_FOR_M_FIGURE)
-    ).select("arm", "target", "error_category", "count")
+    enough = (F.col("target") == OVERALL) | F.coalesce(m_total >= K.MIN_EVALUABLE_FOR_M_FIGURE, F.lit(False))
+    return rolled.select("arm", "target", "error_category", "count", "n_evaluable", enough.alias("enough"))

@@ -177,7 +177,7 @@ def locate_spans(reports: DataFrame, responses: DataFrame) -> DataFrame:
         F.contains(F.col("text_form"), F.col("words"))
     )
     spans = grounded.select("case_id", "arm", "target", "text",
-                            span_in(F.lower("text"), F.col("words")).alias("span"))
+                            span_in(F.col("text"), F.col("words")).alias("span"))
     return spans.select("case_id", "arm", "target", around_span(F.col("text"), F.col("span")).alias("s"))
 
 

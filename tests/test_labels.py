@@ -77,6 +77,13 @@ def test_span_location_matches_normalised_search(spark):
             assert _form(quote) not in _form(span["before"] + span["match"][:-1])
 
 
+def test_span_offsets_are_those_of_the_original_text(spark):
+    rows = [("\u0130\u0130 Foo BAR baz", "foo bar"), ("x \u0130zmir, y", "\u0130ZMIR y"), ("\u0130\u0130 end", "END"), ("\u03a3\u03a3 a", "\u03c3\u03c2 A")]
+    got = column(spark, rows, X.locate_span(col("t"), col("e")), "t string, e string")
+    assert [g["match"] for g in got] == ["Foo BAR", "\u0130zmir, y", "end", "\u03a3\u03a3 a"]
+    assert all(g["before"] + g["match"] + g["after"] == t for g, (t, _) in zip(got, rows, strict=True))
+
+
 def test_excerpts(spark):
     long = "x" * 2000 + " Evidence HERE " + "y" * 3000
     cut = column(spark, [("short", "short"), (long, "evidence here"), (long, "absent"), (long, None)],

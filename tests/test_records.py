@@ -128,9 +128,9 @@ def test_value_deep_dive(spark):
 
 def test_error_figure_needs_enough_m_records(spark):
     few = [record(f"c{i}", "X", "M", "M0", "M1", errors=["hallucinated_stage"]) for i in range(9)]
-    assert {r["target"] for r in M.error_figure(records(spark, few)).collect()} == {"overall"}
+    assert {(r["target"], r["enough"]) for r in M.error_figure(records(spark, few)).collect()} == {("overall", True), ("M", False)}
     enough = few + [record("c9", "X", "M", "M0", "M0")]
-    assert {r["target"] for r in M.error_figure(records(spark, enough)).collect()} == {"overall", "M"}
+    assert {(r["target"], r["enough"]) for r in M.error_figure(records(spark, enough)).collect()} == {("overall", True), ("M", True)}
 
 
 def test_p_value_display(spark):
