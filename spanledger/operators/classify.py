@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spanledger import constants as K
@@ -76,18 +78,50 @@ def class_metrics(confusion: DataFrame) -> DataFrame:
     )
 
 
+def _count_where(cells: Column, condition: Callable[[Column], Column]) -> Column:
+    """Sum of n over the cells (struct of gold, prediction, n) that meet a condition."""
+    return F.aggregate(F.filter(cells, condition), F.lit(0).cast("long"), lambda a, x: a + x["n"])
+
+
+def _f1(cells: Column, label: Column) -> Column:
+    both = _count_where(cells, lambda x: (x["gold"] == label) & (x["prediction"] == label))
+    sides = _count_where(cells, lambda x: x["gold"] == label) + _count_where(cells, lambda x: x["prediction"] == label)
+    return F.coalesce(ratio(2 * both, sides), F.lit(0.0))
+
+
+def _recall(cells: Column, label: Column) -> Column:
+    both = _count_where(cells, lambda x: (x["gold"] == label) & (x["prediction"] == label))
+    return ratio(both, _count_where(cells, lambda x: x["gold"] == label))
+
+
+def _mean(values: Column) -> Column:
+    return ratio(F.aggregate(values, F.lit(0.0), lambda a, x: a + x), F.size(values))
+
+
+def _cells() -> Column:
+    """The cells with a gold label, gathered from counts per (gold, prediction): as many as labels squared."""
+    return F.collect_list(F.when(F.col("gold").isNotNull(), F.struct("gold", "prediction", "n")))
+
+
 def system_metrics(rows: DataFrame) -> DataFrame:
-    """n, accuracy, coverage, balanced accuracy and macro F1 per target and system."""
-    confusion = confusion_counts(rows, GROUP)
-    basic = rows.groupBy(*GROUP).agg(
+    """n, accuracy, coverage, balanced accuracy and macro F1 per target and system, from one pass over the rows."""
+    counts = rows.groupBy(*GROUP, "gold", "prediction").agg(
         F.count(F.lit(1)).alias("n"),
-        F.avg(F.col("correct").cast("double")).alias("accuracy"),
-        (1 - F.avg(F.col("abstained").cast("double"))).alias("coverage"),
+        F.count("correct").alias("judged"), F.count_if("correct").alias("correct"),
+        F.count("abstained").alias("answered"), F.count_if("abstained").alias("abstained"),
     )
-    table = basic.join(balanced_accuracy(confusion), GROUP).join(macro_f1_fixed(confusion), GROUP)
+    table = counts.groupBy(*GROUP).agg(
+        F.sum("n").alias("n"), ratio(F.sum("correct"), F.sum("judged")).alias("accuracy"),
+        (1 - ratio(F.sum("abstained"), F.sum("answered"))).alias("coverage"), _cells().alias("cells"),
+    ).filter(F.size("cells") > 0)
+    spaces = F.create_map(*[
+        x for t, cs in K.CLASS_SPACE.items() for x in (F.lit(t), F.array(*(F.lit(c) for c in cs)))
+    ])
+    cells, golds = F.col("cells"), F.array_distinct(F.col("cells.gold"))
     return table.select(
-        *GROUP, "n",
-        *(four_decimals(F.col(c)).alias(c) for c in ("accuracy", "coverage", "balanced_accuracy", "macro_f1")),
+        *GROUP, "n", four_decimals(F.col("accuracy")).alias("accuracy"), four_decimals(F.col("coverage")).alias("coverage"),
+        four_decimals(_mean(F.transform(golds, lambda c: _recall(cells, c)))).alias("balanced_accuracy"),
+        four_decimals(_mean(F.transform(spaces[F.col("target")], lambda c: _f1(cells, c)))).alias("macro_f1"),
     )
 
 
@@ -126,26 +160,35 @@ def truncation_strata(baseline: DataFrame) -> DataFrame:
 
 
 def scorecard(rows: DataFrame) -> DataFrame:
-    """Wide accuracy and grounding scorecard per arm from first-generation rows."""
-    said = F.col("value_norm") != K.UNKNOWN
-    gold = F.col("gold").isNotNull()
-    counts = rows.groupBy("arm", "target").agg(
-        F.count(F.lit(1)).alias("n"),
-        ratio(F.count_if("invalid"), F.count(F.lit(1))).alias("invalid_output_rate"),
-        ratio(F.count_if(gold & (F.col("value_norm") == F.col("gold"))), F.count_if(gold)).alias("accuracy"),
-        ratio(F.count_if(gold & F.coalesce(F.col("value").isin(*K.DOMAIN), F.lit(False))),
-              F.count_if(gold)).alias("allowed_value_rate"),
-        ratio(F.count_if(~said), F.count(F.lit(1))).alias("abstention_rate"),
-        ratio(F.count_if(said & F.col("grounded")), F.count_if(said)).alias("evidence_grounding_rate"),
-        ratio(F.count_if(said & ~F.col("grounded")), F.count(F.lit(1))).alias("unsupported_assertion_rate"),
-        ratio(F.count_if(~said & ~F.col("easy")), F.count_if(~F.col("easy"))).alias("hard_abstention_rate"),
-    )
-    f1 = macro_f1_open(
-        confusion_counts(rows.withColumn("prediction", F.col("value_norm")), ["arm", "target"]), ["arm", "target"]
+    """Wide accuracy and grounding scorecard per arm from first-generation rows, read once.
+
+    Rows are first counted by everything that the figures ask for; all figures come from these counts.
+    """
+    counts = rows.withColumn("prediction", F.col("value_norm")).groupBy(
+        "arm", "target", "gold", "prediction", "invalid", "grounded", "easy",
+        F.coalesce(F.col("value").isin(*K.DOMAIN), F.lit(False)).alias("legal"),
+    ).agg(F.count(F.lit(1)).alias("n"))
+
+    def total(condition: Column) -> Column:
+        return F.coalesce(F.sum(F.when(condition, F.col("n"))), F.lit(0))
+
+    said, gold = F.col("prediction") != K.UNKNOWN, F.col("gold").isNotNull()
+    grounded, easy, every = F.col("grounded"), F.col("easy"), F.lit(True)
+    table = counts.groupBy("arm", "target").agg(
+        F.sum("n").alias("n"),
+        ratio(total(F.col("invalid")), total(every)).alias("invalid_output_rate"),
+        ratio(total(gold & (F.col("prediction") == F.col("gold"))), total(gold)).alias("accuracy"),
+        ratio(total(gold & F.col("legal")), total(gold)).alias("allowed_value_rate"),
+        ratio(total(~said), total(every)).alias("abstention_rate"),
+        ratio(total(said & grounded), total(said)).alias("evidence_grounding_rate"),
+        ratio(total(said & ~grounded), total(every)).alias("unsupported_assertion_rate"),
+        ratio(total(~said & ~easy), total(~easy)).alias("hard_abstention_rate"),
+        _cells().alias("cells"),
     )
+    labels = F.array_distinct(F.concat(F.col("cells.gold"), F.col("cells.prediction")))
+    table = table.withColumn("macro_f1", _mean(F.transform(labels, lambda c: _f1(F.col("cells"), c)))).drop("cells")
     per_stage = ("accuracy", "macro_f1", "allowed_value_rate", "abstention_rate",
                  "evidence_grounding_rate", "unsupported_assertion_rate", "hard_abstention_rate")
-    table = counts.join(f1, ["arm", "target"], "left")
     return table.groupBy("arm").agg(
         F.max("n").alias("n"), F.max("invalid_output_rate").alias("invalid_output_rate"),
         *(F.max(F.when(F.col("target") == t, F.col(c))).alias(f"{t}_{c}") for t in K.TARGETS for c in per_stage),
