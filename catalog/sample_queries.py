@@ -135,7 +135,7 @@ def _(spark, d):
 @query("b5_stratified_sample_by_buckets", with_views("SELECT case_id, gold_T, gold_N, gold_M, sample_key FROM picked", stratified_sql(400, SEED)))
 def _(spark, d):
     """The same operator on the path that large samples take."""
-    return sampling.stratified_sample(_gold_reports(spark, d), 400, SEED, small=False).select(
+    return sampling.stratified_sample(_gold_reports(spark, d), 400, SEED).select(
         "case_id", "gold_T", "gold_N", "gold_M", "sample_key")
 
 

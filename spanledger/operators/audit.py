@@ -55,7 +55,7 @@ def audit_sample(
         quota = F.coalesce(*(F.when(F.col("target") == t, n) for t, n in plain.items()))
         parts.append(take_first(
             keyed.filter(F.col("target").isin(*plain)), ["target"], quota,
-            key="sample_key", at_most=max(plain.values()),
+            key="sample_key",
         ).withColumn("tier", F.lit("uniform")))
     if "M" in target_counts:
         parts.append(_tiered(keyed.filter(F.col("target") == "M"), target_counts["M"], priority, comparison,
@@ -74,7 +74,7 @@ def _tiered(m_records: DataFrame, quota: int, priority: str, comparison: str,
     ))
     columns = [c for c in m_records.columns]
     pooled = patterned.select(*columns, F.explode(pools).alias("pool"))
-    first = take_first(pooled, ["pool"], 2 * quota, key="sample_key", at_most=2 * quota)
+    first = take_first(pooled, ["pool"], 2 * quota, key="sample_key")
     # from here on at most four pools of 2 * quota rows
     everything = Window.partitionBy()
     rows = first.groupBy(*RECORD_IDS, "sample_key").agg(F.collect_set("pool").alias("pools"))

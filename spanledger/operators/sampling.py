@@ -11,8 +11,6 @@ from pyspark.sql import functions as F
 
 from spanledger import constants as K
 
-# Up to this many rows per group Spark keeps only the top rows of every task before it shuffles.
-SMALL_QUOTA = 1000
 BUCKET_DIGITS = 4
 
 
@@ -20,31 +18,35 @@ def draw_key(seed: int, *ids: str) -> Column:
     return F.md5(F.concat_ws("|", F.lit(str(seed)), *(F.col(c).cast("string") for c in ids)))
 
 
-def take_first(df: DataFrame, by: list[str], quota: Column | int, *, key: str, at_most: int | None) -> DataFrame:
+def take_first(df: DataFrame, by: list[str], quota: Column | int, *, key: str) -> DataFrame:
     """The first ``quota`` rows of every group in order of ``key`` (a hex digest column).
 
-    ``at_most`` bounds the quota when the caller knows a bound.  A small bound is a ranked filter,
-    which Spark limits inside every task.  Otherwise the key prefix splits each group into buckets:
-    their counts decide which buckets are taken whole, and only the one bucket per group where
-    the quota falls is ranked, so no task ever holds a group.
+    The key's first digits cut each group into buckets.  Their counts say in which bucket the quota
+    falls; the keys of that bucket alone are ranked, which gives the group's last key, and one filter
+    takes the rows up to it.  No task ever holds a group, whatever the quota, and the two narrow passes
+    read only the key.  Keys come from ids that are unique; rows that share an id are taken together.
     """
-    quota = F.lit(quota) if isinstance(quota, int) else quota
-    if at_most is not None and at_most <= SMALL_QUOTA:
-        rank = F.row_number().over(Window.partitionBy(*by).orderBy(key))
-        ranked = df.withColumn("_rank", rank).filter(F.col("_rank") <= at_most)
-        return ranked.filter(F.col("_rank") <= quota).drop("_rank")
-    rows = df.withColumn("_bucket", F.substring(key, 1, BUCKET_DIGITS)).withColumn("_quota", quota)
-    sizes = rows.groupBy(*by, "_bucket").agg(F.count(F.lit(1)).alias("_size"), F.max("_quota").alias("_take"))
+    rows = df.withColumn("_quota", F.lit(quota) if isinstance(quota, int) else quota).filter("_quota > 0")
+    narrow = rows.select(*by, "_quota", F.col(key).alias("_key"), F.substring(key, 1, BUCKET_DIGITS).alias("_bucket"))
+    sizes = narrow.groupBy(*by, "_bucket").agg(F.count(F.lit(1)).alias("_size"), F.max("_quota").alias("_take"))
     upto = F.sum("_size").over(Window.partitionBy(*by).orderBy("_bucket"))
-    plan = sizes.withColumn("_before", upto - F.col("_size")).filter("_before < _take").select(
-        *by, "_bucket", (F.col("_take") - F.col("_before")).alias("_left"),
-        (F.col("_before") + F.col("_size") <= F.col("_take")).alias("_whole"),
-    )
-    same = [F.col(f"r.{c}").eqNullSafe(F.col(f"p.{c}")) for c in (*by, "_bucket")]
-    kept = rows.alias("r").join(plan.alias("p"), same).select("r.*", "_left", "_whole")
-    rank = F.row_number().over(Window.partitionBy(*by, "_bucket").orderBy(key))
-    edge = kept.filter("not _whole").withColumn("_rank", rank).filter("_rank <= _left")
-    return kept.filter("_whole").select(*df.columns).unionByName(edge.select(*df.columns))
+    edge = sizes.withColumn("_before", upto - F.col("_size")).filter("_before < _take and _before + _size >= _take").select(
+        *by, "_bucket", (F.col("_take") - F.col("_before")).alias("_left"))
+    rank = F.row_number().over(Window.partitionBy(*by, "_bucket").orderBy("_key"))
+    last = _join_groups(narrow.select(*by, "_bucket", "_key"), edge, [*by, "_bucket"], "inner").withColumn("_rank", rank)
+    last = last.filter("_rank = _left").select(*by, F.col("_key").alias("_last"))
+    kept = _join_groups(rows, last, by, "left")  # a group without a last key is taken whole
+    return kept.filter(F.col("_last").isNull() | (F.col(key) <= F.col("_last"))).select(*df.columns)
+
+
+def _join_groups(rows: DataFrame, groups: DataFrame, by: list[str], how: str) -> DataFrame:
+    """Join on columns that may be NULL, or on none at all."""
+    r, g = rows.withColumn("_one", F.lit(1)).alias("r"), groups.withColumn("_one", F.lit(1)).alias("g")
+    same = F.col("r._one") == F.col("g._one")
+    for c in by:
+        same = same & F.col(f"r.{c}").eqNullSafe(F.col(f"g.{c}"))
+    return r.join(g, same, how).select(
+        *(f"r.{c}" for c in rows.columns), *(f"g.{c}" for c in groups.columns if c not in by))
 
 
 def numbered(df: DataFrame, key: str, name: str) -> DataFrame:
@@ -81,21 +83,18 @@ def allocation(sizes: DataFrame, strata: list[str], n: int) -> DataFrame:
 
 def stratified_sample(
     df: DataFrame, n: int, seed: int, *, id_col: str = "case_id",
-    gold_cols: tuple[str, ...] = ("gold_T", "gold_N", "gold_M"), small: bool | None = None,
+    gold_cols: tuple[str, ...] = ("gold_T", "gold_N", "gold_M"),
 ) -> DataFrame:
     """min(n, all) rows, proportional over the gold-availability patterns; adds ``sample_key``.
 
-    Sorting by ``sample_key`` gives the shuffled output order.  ``small`` overrides the choice
-    between the ranked filter and key buckets, which follows from n.
+    Sorting by ``sample_key`` gives the shuffled output order.
     """
-    small = n <= SMALL_QUOTA if small is None else small
     pattern = F.concat(*(F.when(F.col(c).isNotNull(), "1").otherwise("0") for c in gold_cols))
     rows = df.withColumn("stratum", pattern).withColumn("sample_key", draw_key(seed, id_col))
     sizes = rows.groupBy("stratum").agg(F.count(F.lit(1)).alias("size"))
     quotas = allocation(sizes, ["stratum"], n).select("stratum", "alloc")
     return take_first(
         rows.join(F.broadcast(quotas), "stratum"), ["stratum"], F.col("alloc"), key="sample_key",
-        at_most=n if small else None,
     ).drop("stratum", "alloc")
 
 
@@ -115,7 +114,7 @@ def per_class_sample(df: DataFrame, class_col: str, n: int, seed: int, *, id_col
     rows = df.filter(F.col(class_col).isNotNull()).withColumn("sample_key", draw_key(seed, id_col))
     classes = rows.agg(F.count_distinct(class_col).alias("k")).select(F.expr(f"{n} div k").alias("quota"))
     quoted = rows.withColumn("quota", classes.scalar())
-    return take_first(quoted, [class_col], F.col("quota"), key="sample_key", at_most=n).drop("quota")
+    return take_first(quoted, [class_col], F.col("quota"), key="sample_key").drop("quota")
 
 
 def cell_sample(df: DataFrame, cells: list[str], quotas, seed: int, *, ids: list[str]) -> DataFrame:
@@ -124,10 +123,9 @@ def cell_sample(df: DataFrame, cells: list[str], quotas, seed: int, *, ids: list
     rows = df.withColumn("sample_key", draw_key(seed, *ids)).withColumn(
         "quota", limits[F.concat_ws("\u0001", *cells)]
     )
-    largest = max(q[-1] for q in quotas)
-    return take_first(rows.filter("quota > 0"), cells, F.col("quota"), key="sample_key", at_most=largest).drop("quota")
+    return take_first(rows.filter("quota > 0"), cells, F.col("quota"), key="sample_key").drop("quota")
 
 
 def uniform_sample(df: DataFrame, n: int, seed: int, *, ids: list[str]) -> DataFrame:
     """min(n, all) rows, each row equally likely."""
-    return take_first(df.withColumn("sample_key", draw_key(seed, *ids)), [], n, key="sample_key", at_most=n)
+    return take_first(df.withColumn("sample_key", draw_key(seed, *ids)), [], n, key="sample_key")
