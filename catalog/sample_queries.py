@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from catalog import views as V
 from catalog.join_queries import pairs_cte
 from catalog.metric_queries import BASE, stratified_sql
-from catalog.oracle_base import has, lit, with_boundary, with_records, with_views
+from catalog.oracle_base import has, lit, pattern, with_boundary, with_records, with_views
 from catalog.registry import query
 from catalog.scalar_queries import AUDIT_EXCERPT_SQL, AUDIT_TRUNCATED_SQL, _M_CLASS, _M_EXCERPT, _head_sql
 from spanledger import constants as K
@@ -463,8 +463,10 @@ def _greedy_sql() -> str:
     return ",\n".join(steps)
 
 
-@query("b16_curated_examples", with_records("""SELECT position, printf('case-%02d', position) AS id, printf('Case %02d', position + 1) AS display_id,
-    title, case_id, target, gold, tags AS categories FROM chosen JOIN tagged USING (case_id, target)""", _TAGGED, _greedy_sql()), arrays="categories")
+@query("b16_curated_examples", with_records(f"""SELECT position, printf('case-%02d', position) AS id, printf('Case %02d', position + 1) AS display_id,
+    title, case_id, target, gold, tags AS categories, md5(regexp_replace(text, {pattern(K.PERSONAL_DATA)}, '[redacted]', 'g')) AS report_md5
+    FROM chosen JOIN tagged USING (case_id, target) JOIN (SELECT case_id, text FROM rep) USING (case_id)""", _TAGGED, _greedy_sql()), arrays="categories")
 def _(spark, d):
     tagged = materialize(examples.tagged_cases(V.records(spark, d)), "tagged")
-    return examples.curated_examples(tagged, ("D000000000000", "M")).drop(*K.STUDY_ARMS)
+    chosen = examples.curated_examples(tagged, ("D000000000000", "M"), reports=V.reports(spark, d))
+    return chosen.withColumn("report_md5", F.md5("report")).drop("report", *K.STUDY_ARMS)

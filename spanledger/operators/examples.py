@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from spanledger import constants as K
 from spanledger.functions import taxonomy
 from spanledger.functions.labels import legacy_from_arm
+from spanledger.functions.text import scrub_personal_data
 from spanledger.session import small
 
 
@@ -40,14 +41,21 @@ def tagged_cases(records: DataFrame) -> DataFrame:
 
 
 def curated_examples(
-    tagged: DataFrame, default_case: tuple[str, str] | None = None, quotas=K.EXAMPLE_QUOTAS
+    tagged: DataFrame, default_case: tuple[str, str] | None = None, quotas=K.EXAMPLE_QUOTAS,
+    reports: DataFrame | None = None,
 ) -> DataFrame:
     """A few cases per tag, diverse over targets, each case once, the default case first.
 
+    With ``reports`` (case_id, text) only cases that have a report are chosen, and the chosen ones carry its
+    text with personal data replaced (column report).
+
     A pick can displace only as many candidates as there are picks in all, so that many first cases
     per (tag, target) suffice.  The ranked filter bounds the candidates by the quotas inside every
     task, and only this bounded set (quotas, not data, decide its size) goes through the choice.
     """
+    if reports is not None:
+        texts = reports.filter(F.col("text").isNotNull()).select("case_id", "text")
+        tagged = tagged.join(texts.select("case_id"), "case_id", "left_semi")
     depth = sum(q for _, q in quotas) + 1
     names = [t for t, _ in quotas]
     memberships = tagged.select("case_id", "target", "tags", F.explode("tags").alias("tag")).filter(
@@ -67,12 +75,17 @@ def curated_examples(
         return _greedy(candidate_rows, dict(quotas))
 
     chosen = candidates.groupBy(F.lit("all")).applyInPandas(choose, "position long, case_id string, target string")
-    return small(chosen, depth).join(tagged, ["case_id", "target"]).select(
+    out = small(chosen, depth).join(tagged, ["case_id", "target"])
+    report = []
+    if reports is not None:
+        out = out.join(texts, "case_id")
+        report = [scrub_personal_data(F.col("text")).alias("report")]
+    return out.select(
         "position",
         F.format_string("case-%02d", "position").alias("id"),
         F.format_string("Case %02d", F.col("position") + 1).alias("display_id"),
         "title", "case_id", "target", "gold", F.col("tags").alias("categories"),
-        *(F.col(a) for a in K.STUDY_ARMS),
+        *(F.col(a) for a in K.STUDY_ARMS), *report,
     )
 
 

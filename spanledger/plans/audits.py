@@ -33,10 +33,15 @@ def build(records: DataFrame, reports: DataFrame, target_counts: dict[str, int],
 
 
 def score(spark: SparkSession, reviewer_path: str, key_path: str, *, with_gold: bool = False,
-          priority: str = K.ARM_CONSTRAINED) -> AuditScores:
-    """Unblind a reviewed audit and score it."""
+          priority: str = K.ARM_CONSTRAINED, output: str | None = None) -> AuditScores:
+    """Unblind a reviewed audit and score it; with ``output`` the scores are written there and read back."""
     reviewer = jsonl.read_audit(spark, reviewer_path, with_gold=with_gold)
     joined = audit.unblind(reviewer, jsonl.read_audit(spark, key_path, key=True), "row_no")
-    return AuditScores(
+    scores = AuditScores(
         audit.review_scores(joined), audit.source_sufficiency(joined), audit.prior_predictions(joined, priority)
     )
+    if output is None:
+        return scores
+    for name, df in vars(scores).items():
+        tables.write_parquet(df, f"{output}/{name}")
+    return AuditScores(*(spark.read.parquet(f"{output}/{name}") for name in vars(scores)))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from spanledger import constants as K
 from spanledger.operators import dataset, metrics, resample, sampling
 from spanledger.operators.records import build_records
+from spanledger.plans import comparison
 from spanledger.session import small
 from spanledger.sources import documents, jsonl, tables
 from spanledger.streaming import resume
@@ -23,6 +24,7 @@ class Settings:
     seed: int = 42
     pool: str = "all-three"
     n_boot: int = 2000
+    allow_short: bool = False  # take what there is when the pool holds fewer cases than asked for
 
 
 @dataclass(frozen=True)
@@ -62,7 +64,12 @@ def evaluate(reports: DataFrame, responses: DataFrame, settings: Settings, outpu
 
 def evaluate_with(reports: DataFrame, scorer: Callable[[str, str], str], settings: Settings, output: str,
                   checkpoint: str, **rounds) -> Evaluation:
-    """As :func:`evaluate`, asking ``scorer`` for the answers in resumable rounds."""
+    """As :func:`evaluate`, asking ``scorer`` for the answers in resumable rounds.
+
+    A pool that is smaller than the sample is refused before anything is asked.
+    """
+    dataset.preflight(reports, sample_size=settings.sample_size, arms=settings.arms, mode=settings.pool,
+                      strict=not settings.allow_short).collect()
     _, sample = draw_cases(reports, settings)
     chosen = small(sample.select("case_id"), settings.sample_size)
     texts = reports.join(chosen, "case_id", "left_semi").select("case_id", "text")
@@ -88,4 +95,6 @@ def report(records: DataFrame, summary: DataFrame, settings: Settings, output: s
     documents.write_documents(documents.bootstrap_document(comparisons), f"{output}/bootstrap_json")
     tables.write_csv(metrics.comparison_table(bundle).orderBy("target", "arm"), f"{output}/tables_csv", single_file=True)
     jsonl.write_lines(records, f"{output}/predictions_jsonl")
-    return Evaluation(records, summary, bundle, errors, metrics.error_rates(records), comparisons)
+    tables.write_parquet(summary, f"{output}/sampling_summary")
+    analysis = comparison.analysis_tables(records, bundle, f"{output}/analysis")
+    return Evaluation(records, spark.read.parquet(f"{output}/sampling_summary"), bundle, errors, analysis["error_rates"], comparisons)

@@ -75,3 +75,15 @@ def test_tags_titles_and_greedy_choice(spark):
         chosen = X.curated_examples(tagged, ("c001", "M")).orderBy("position").collect()
         assert [(r["case_id"], r["target"]) for r in chosen] == _choose(expected, ("c001", "M"))
         assert chosen[0]["id"] == "case-00" and chosen[1]["display_id"] == "Case 02"
+
+
+def test_examples_carry_scrubbed_reports_and_need_one(spark):
+    rows = _records(40, 3)  # more cases than the candidates kept per tag and target
+    cases = sorted({r[0] for r in rows})
+    reports = spark.createDataFrame([(c, f"{c} seen by Dr. Brown" if i % 3 else None) for i, c in enumerate(cases)], "case_id string, text string")
+    tagged = X.tagged_cases(records(spark, rows))
+    got = X.curated_examples(tagged, reports=reports).collect()
+    assert got and all(r["report"] == f"{r['case_id']} seen by [redacted]" for r in got)
+    with_text = {c for i, c in enumerate(cases) if i % 3}
+    same = X.curated_examples(tagged.filter(tagged["case_id"].isin(*with_text))).collect()
+    assert {(r["position"], r["case_id"], r["target"]) for r in got} == {(r["position"], r["case_id"], r["target"]) for r in same}

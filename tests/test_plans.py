@@ -5,10 +5,11 @@ import sys
 import pytest
 from helpers import responses
 from pyspark import cloudpickle
+from pyspark.sql import functions as F
 
 from spanledger import constants as K
 from spanledger.operators import compare, dataset, metrics, records as R
-from spanledger.plans import baseline, evaluation
+from spanledger.plans import baseline, comparison, evaluation
 from spanledger.session import scratch_path
 from spanledger.sources import documents, tables
 
@@ -53,6 +54,31 @@ def test_end_to_end(spark):
     assert {r["case_id"] for r in again.records.collect()} == {r["case_id"] for r in run.records.collect()}
 
 
+def test_short_pool_is_refused_before_anything_is_asked(spark):
+    def never(arm, text):
+        raise AssertionError("asked")
+
+    settings = evaluation.Settings(sample_size=20, n_boot=10)
+    with pytest.raises(Exception, match="asked for 20 cases"):
+        evaluation.evaluate_with(_dataset(spark, 6), never, settings, scratch_path(spark, "run"), scratch_path(spark, "checkpoint"))
+
+
+def test_written_analysis_and_comparison_tables(spark):
+    reports, out = _dataset(spark, 24), scratch_path(spark, "jobs")
+    answers = [(r["case_id"], a, t, r[f"gold_{t}"], r[f"gold_{t}"]) for r in reports.collect() for a in K.STUDY_ARMS for t in "TNM"]
+    recs = R.build_records(reports, responses(spark, answers))
+    comparison.analysis_tables(recs, metrics.metrics(recs), out)
+    assert spark.read.parquet(f"{out}/error_rates").columns == metrics.error_rates(recs).columns
+    assert spark.read.parquet(f"{out}/gold_distribution").count() == metrics.gold_distribution(recs).count()
+    card = comparison.first_generation(reports, responses(spark, answers), f"{out}/first")
+    assert {r["arm"] for r in card.collect()} == set(K.STUDY_ARMS) and documents.read_cases(spark, f"{out}/first/cases").count() > 0
+    stale = recs.withColumn("evidence_semantically_supports_prediction", F.lit(False))
+    changes = comparison.rescored(stale, f"{out}/again").filter("metric = 'semantic_supported_accuracy_over_evaluable' and target = 'overall'")
+    assert all(r["before"] == 0 and r["diff"] == r["after"] for r in changes.collect())
+    pair = comparison.pilot_against_main(stale, recs, f"{out}/pair", rescored_pilot=spark.read.parquet(f"{out}/again/records"))
+    assert pair.filter("diff <> 0").count() == 0
+
+
 def test_registry_join_and_file_order(spark):
     path = {}
     for t in "TNM":
