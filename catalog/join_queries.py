@@ -59,12 +59,7 @@ def _(spark, d):
 @query("j2_predictions_to_dataset", with_boundary(
     "SELECT case_id, arm, target, value, gold FROM bnd"))
 def _(spark, d):
-    golds = F.explode(F.array(*(
-        F.struct(F.lit(t).alias("target"), F.col(f"gold_{t}").alias("gold")) for t in K.TARGETS))).alias("g")
-    long = V.reports(spark, d).select("case_id", golds).select("case_id", "g.*")
-    rows = V.responses(spark, d).select(
-        "case_id", "arm", "target", F.when(F.col("shape_valid"), F.col("raw_value")).alias("value"))
-    return rows.join(long, ["case_id", "target"], "left").select("case_id", "arm", "target", "value", "gold")
+    return dataset.predictions_with_gold(V.reports(spark, d), V.responses(spark, d))
 
 
 _WIDE = ", ".join(

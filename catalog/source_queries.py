@@ -135,6 +135,14 @@ def _(spark, d):
     return jsonl.read_array(spark, path, jsonl.JUDGMENT, multi_line=False)
 
 
+@query("s11_json_array_files", with_boundary("SELECT case_id, judge_tag AS reconstructed_tag, caveat FROM judged", _JUDGED))
+def _(spark, d):
+    """One array per file, over many lines each."""
+    path = scratch_path(spark, "judgment-files")
+    jsonl.write_arrays(V.judgments(spark, d)[0], path, rows_per_array=200, one_per_file=True)
+    return jsonl.read_array(spark, path, jsonl.JUDGMENT)
+
+
 def _case_dataset(spark, d):
     path = scratch_path(spark, "cases")
     documents.write_documents(documents.case_documents(V.reports(spark, d), V.boundary(spark, d)), path)

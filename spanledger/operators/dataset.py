@@ -55,6 +55,20 @@ def pool(df: DataFrame, mode: str = "all-three") -> DataFrame:
     return df.filter(reduce((lambda a, b: a & b) if mode == "all-three" else (lambda a, b: a | b), golds))
 
 
+def long_gold(reports: DataFrame) -> DataFrame:
+    """case_id, target, gold: one row per target of every case."""
+    golds = F.explode(F.array(*(
+        F.struct(F.lit(t).alias("target"), F.col(f"gold_{t}").alias("gold")) for t in K.TARGETS))).alias("g")
+    return reports.select("case_id", golds).select("case_id", "g.*")
+
+
+def predictions_with_gold(reports: DataFrame, responses: DataFrame) -> DataFrame:
+    """Answers beside the gold of their case and target; one of an invalid shape has no value, one without a case no gold."""
+    rows = responses.select(
+        "case_id", "arm", "target", F.when(F.col("shape_valid"), F.col("raw_value")).alias("value"))
+    return rows.join(long_gold(reports), ["case_id", "target"], "left").select("case_id", "arm", "target", "value", "gold")
+
+
 def dataset_counts(df: DataFrame) -> DataFrame:
     """Rows, gold coverage per target, and rows with gold for all targets and for any."""
     golds = [F.col(f"gold_{t}").isNotNull() for t in K.TARGETS]

@@ -64,16 +64,20 @@ def read_audit(spark: SparkSession, path: str, *, key: bool = False, with_gold:
 
 def read_array(spark: SparkSession, path: str, schema: str, *, multi_line: bool = True) -> DataFrame:
     """Objects out of JSON arrays: one array per file, or one per line if not ``multi_line``."""
-    return spark.read.schema(schema).option("multiLine", multi_line).json(path)
+    rows = spark.read.schema(schema).option("multiLine", multi_line).option("recursiveFileLookup", True)
+    return rows.json(path)
 
 
-def write_arrays(df: DataFrame, path: str, *, rows_per_array: int = 1000) -> None:
-    """Rows as JSON arrays of bounded size, one array per line; no task gathers the whole table."""
+def write_arrays(df: DataFrame, path: str, *, rows_per_array: int = 1000, one_per_file: bool = False) -> None:
+    """Rows as JSON arrays of bounded size, one array per line or per file; no task gathers the whole table."""
     part = F.floor(F.monotonically_increasing_id() / F.lit(rows_per_array)).alias("part")
     lines = df.select(part, F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("o")).groupBy("part").agg(
         F.concat(F.lit("["), F.array_join(F.collect_list("o"), ","), F.lit("]")).alias("value")
     )
-    lines.select("value").write.mode("overwrite").text(path)
+    if one_per_file:
+        lines.write.mode("overwrite").partitionBy("part").text(path)
+    else:
+        lines.select("value").write.mode("overwrite").text(path)
 
 
 def read_metrics(spark: SparkSession, path: str) -> DataFrame:

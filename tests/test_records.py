@@ -169,3 +169,12 @@ def test_one_case_with_most_rows(spark):
     assert rows.count() == 3001
     assert rows.filter("case_id = 'hot' and evidence_span_found and correct").count() == 3000
     assert rows.filter("case_id = 'cold' and not evidence_span_found and array_contains(errors, 'evidence_span_not_found')").count() == 1
+
+
+def test_predictions_meet_their_gold(spark):
+    from spanledger.operators import dataset
+
+    cases = reports(spark, [("a", "t", "T1", None, "M0")])
+    rows = [("a", "A", "T", "T1", None), ("a", "A", "N", "N0", None), ("a", "B", "M", "M1", None, False), ("z", "A", "T", "T2", None)]
+    got = {(r["case_id"], r["arm"], r["target"]): (r["value"], r["gold"]) for r in dataset.predictions_with_gold(cases, responses(spark, rows)).collect()}
+    assert got == {("a", "A", "T"): ("T1", "T1"), ("a", "A", "N"): ("N0", None), ("a", "B", "M"): (None, "M0"), ("z", "A", "T"): ("T2", None)}
