@@ -44,28 +44,28 @@ def _with_ellipses(text: Column, start: Column, end: Column) -> Column:
     )
 
 
-def m_excerpt(text: Column) -> Column:
+def m_excerpt(text: Column, *, pad: int = K.M_EXCERPT_WINDOW, head: int = K.M_EXCERPT_HEAD) -> Column:
     """Context around the first M token, else around the first metastasis word, else the head."""
-    pad = K.M_EXCERPT_WINDOW
     token, t_start, t_end = first_hit(text, K.M_TOKEN)
     prose, p_start, p_end = first_hit(text, K.METASTATIC_WORD)
     return (
         F.when(token, _with_ellipses(text, t_start - pad, t_end + pad))
         .when(prose, _with_ellipses(text, p_start - pad, p_end + pad))
-        .otherwise(F.substring(text, 1, K.M_EXCERPT_HEAD))
+        .otherwise(F.substring(text, 1, head))
     )
 
 
-def audit_excerpt(text: Column, evidence: Column) -> Column:
+def audit_excerpt(text: Column, evidence: Column, *, longest: int = K.AUDIT_EXCERPT_MAX,
+                  pad: int = K.AUDIT_EXCERPT_WINDOW) -> Column:
     """Struct(report_excerpt, report_truncated) for a reviewer.
 
     A short report is shown whole; a long one as a window around the evidence when that can be
     located, otherwise whole, so that nothing a reviewer needs is hidden.
     """
     at = F.instr(F.lower(text), F.lower(evidence))
-    windowed = (F.length(text) > K.AUDIT_EXCERPT_MAX) & (evidence != "") & (at > 0)
-    start = at - 1 - K.AUDIT_EXCERPT_WINDOW
-    end = at - 1 + F.length(evidence) + K.AUDIT_EXCERPT_WINDOW
+    windowed = (F.length(text) > longest) & (evidence != "") & (at > 0)
+    start = at - 1 - pad
+    end = at - 1 + F.length(evidence) + pad
     return F.struct(
         F.when(windowed, _with_ellipses(text, start, end)).otherwise(text).alias("report_excerpt"),
         F.coalesce(windowed, F.lit(False)).alias("report_truncated"),

@@ -15,7 +15,6 @@ from spanledger.functions.support import semantic_support
 from spanledger.functions.text import audit_excerpt, head_with_mark, m_evidence_class, m_excerpt
 from spanledger.operators.dataset import last_row_per_key, lookup_join, with_text
 from spanledger.operators.sampling import cell_sample, draw_key, numbered, take_first, uniform_sample
-from spanledger.session import small
 
 RECORD_IDS = ["case_id", "arm", "target"]
 HUMAN_FLAGS = (
@@ -97,7 +96,7 @@ def _tiered(m_records: DataFrame, quota: int, priority: str, comparison: str,
     rows = pick(rows, "semantic_balance", in_pool("supported"), F.col("_each"))
     rows = pick(rows, "random_fill", in_pool("any"), F.lit(quota) - taken)
     chosen = rows.filter(F.col("tier").isNotNull()).select(*RECORD_IDS, "tier")
-    return m_records.join(small(chosen, quota), RECORD_IDS)
+    return m_records.join(chosen, RECORD_IDS)
 
 
 def sampling_report(sample: DataFrame, target_counts: dict[str, int]) -> DataFrame:

@@ -28,15 +28,16 @@ def build_dataset(reports: DataFrame, registries: dict[str, DataFrame], *, stric
     ``reports``: patient_filename, text.  A registry: case_submitter_id, ajcc_pathologic_{t,n,m},
     project_id and an order column ``row_no``; its first row per id counts.
     """
-    df = reports.withColumn("submitter_id", L.submitter_id(F.col("patient_filename")))
-    for t, registry in registries.items():
-        raw = f"ajcc_pathologic_{t.lower()}"
-        kept = first_row_per_key(registry, "case_submitter_id", "row_no", [raw, "project_id"])
-        df = df.join(
-            kept.select(F.col("case_submitter_id").alias("submitter_id"), F.col(raw).alias(f"raw_{t}"),
-                        F.col("project_id").alias(f"project_{t}")),
-            "submitter_id", "left",
-        )
+    # the registries meet first, so the texts take part in one join
+    rows = reduce(DataFrame.unionByName, (
+        registry.select(F.col("case_submitter_id").alias("submitter_id"), F.lit(t).alias("target"),
+                        F.col(f"ajcc_pathologic_{t.lower()}").alias("raw"), "project_id", "row_no")
+        for t, registry in registries.items()))
+    first = rows.groupBy("submitter_id").agg(*(
+        F.min_by(F.struct("raw", "project_id"), F.when(F.col("target") == t, F.col("row_no"))).alias(t) for t in registries))
+    df = reports.withColumn("submitter_id", L.submitter_id(F.col("patient_filename"))).join(
+        first.select("submitter_id", *(F.col(f"{t}.raw").alias(f"raw_{t}") for t in registries),
+                     *(F.col(f"{t}.project_id").alias(f"project_{t}") for t in registries)), "submitter_id", "left")
     targets = list(registries)
     return df.select(
         "patient_filename", "submitter_id", "text",

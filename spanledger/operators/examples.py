@@ -10,7 +10,6 @@ from spanledger import constants as K
 from spanledger.functions import taxonomy
 from spanledger.functions.labels import legacy_from_arm
 from spanledger.functions.text import scrub_personal_data
-from spanledger.session import small
 
 
 def triage_view(rows: DataFrame, target: str = "M") -> DataFrame:
@@ -75,7 +74,7 @@ def curated_examples(
         return _greedy(candidate_rows, dict(quotas))
 
     chosen = candidates.groupBy(F.lit("all")).applyInPandas(choose, "position long, case_id string, target string")
-    out = small(chosen, depth).join(tagged, ["case_id", "target"])
+    out = chosen.join(tagged, ["case_id", "target"])
     report = []
     if reports is not None:
         out = out.join(texts, "case_id")

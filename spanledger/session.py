@@ -10,9 +10,6 @@ import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-BROADCAST_ROWS = 100_000
 
 # Runtime settings that the operators rely on for large inputs.  A wide-text join that meets a
 # case holding a large part of all rows must be split even when that costs one more exchange.
@@ -93,8 +90,3 @@ def spread(df: DataFrame) -> DataFrame:
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
-def small(df: DataFrame, at_most: int) -> DataFrame:
-    """Broadcast a narrow side whose row bound is known and low; else leave the choice to Spark."""
-    return F.broadcast(df) if at_most <= BROADCAST_ROWS else df
