@@ -21,7 +21,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from llm.common import batch_rows, load_ranks, once, texts
+from llm.common import batch_rows, load_ranks, one_cache, texts
 from llm.stretches import stretches
 
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
@@ -184,4 +184,4 @@ def round_trip(docs: DataFrame, ranks_path: str) -> DataFrame:
 
 
 def _codec(ranks_path: str) -> TreeCodec:
-    return once(f"codec {ranks_path}", lambda: TreeCodec(load_ranks(ranks_path)))
+    return one_cache(f"codec {ranks_path}", lambda: TreeCodec(load_ranks(ranks_path)))

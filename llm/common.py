@@ -15,7 +15,7 @@ from spanledger.session import materialize, own_scratch, scratch_path, ship_pack
 
 _ROOT = Path(__file__).resolve().parent.parent
 
-__all__ = ["batch_rows", "byte_letters", "load_ranks", "load_tokenizer", "materialize", "once", "partitions", "prepare",
+__all__ = ["batch_rows", "byte_letters", "load_ranks", "load_tokenizer", "materialize", "once", "one_cache", "partitions", "prepare",
            "scratch_path", "table", "texts"]
 
 
@@ -55,6 +55,18 @@ def once(key: str, make: Callable[[], object]) -> object:
     return _LOADED[key]
 
 
+_CACHE: list = ["", None]
+
+
+def one_cache(key: str, make: Callable[[], object]) -> object:
+    """The object of this name that a worker keeps between tasks.  A worker keeps one: another name's takes its place, so
+    that the caches of earlier queries and stages don't add up."""
+    if _CACHE[0] != key:
+        _CACHE[:] = ["", None]
+        _CACHE[:] = [key, make()]
+    return _CACHE[1]
+
+
 def load_tokenizer(path: str):
     """A tokenizer of the tokenizers library, single-threaded: Spark runs a task for every core."""
     def make():

@@ -21,7 +21,7 @@ import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from llm.common import batch_rows, byte_letters, load_tokenizer, materialize, once, texts
+from llm.common import batch_rows, byte_letters, load_tokenizer, materialize, one_cache, texts
 
 CAPACITY = 2048
 END_ID = 0
@@ -86,7 +86,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: in
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encode, part = once(f"words {tokenizer}", lambda: WordEncoder(tokenizer)), TaskContext.get().partitionId()
+        encode, part = one_cache(f"words {tokenizer}", lambda: WordEncoder(tokenizer)), TaskContext.get().partitionId()
         places = np.zeros(capacity + 1, np.int64)
         for batch in batch_rows(batches, 256):
             rows = []

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from llm.common import batch_rows, materialize, once, texts
+from llm.common import batch_rows, materialize, one_cache, texts
 
 LENGTH = 4
 DECAY = 0.8
@@ -346,7 +346,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     name = f"toxicity {uuid.uuid4().hex}"
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = once(name, lambda: Scorer(model))
+        scorer = one_cache(name, lambda: Scorer(model))
         for batch in batch_rows(batches, 256):
             p = [model.probability(m) for m in scorer.margins(batch["text"].to_pylist())]
             yield pa.RecordBatch.from_arrays(
@@ -361,7 +361,7 @@ def reject(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
     name = f"toxicity {uuid.uuid4().hex}"
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = once(name, lambda: Scorer(model))
+        scorer = one_cache(name, lambda: Scorer(model))
         for batch in batch_rows(batches, 256):
             margins = scorer.margins([t or "" for t in batch["text"].to_pylist()])
             yield batch.filter(pa.array([model.probability(m) < threshold for m in margins], pa.bool_()))
