@@ -20,6 +20,7 @@ import uuid
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain, compress
 
 import numpy as np
 import pyarrow as pa
@@ -30,13 +31,14 @@ from llm.common import batch_rows, materialize, one_cache, texts
 
 LENGTH = 4
 DECAY = 0.8
+FLOOR = 0.3  # a smaller share of a landmark's kernel is no response
 WIDTH = 24  # letters of a token that are compared at once; longer tokens are read in overlapping windows
 LANDMARK = (4, 12)
 LANDMARKS = 64
 CANDIDATES = 3_000
 AGAIN = 0.5  # what a document counts for, for each landmark that accounts for it already
 FIT_ROWS = 4_000
-CACHE_ENTRIES = 700_000
+CACHE_ENTRIES = 300_000
 SCHEMA = "doc_id long, held_out boolean, score double, predicted int"
 _SENTENCE = re.compile(r"(?<=[.!?])\s|\n")
 _SPACED = re.compile(r"(?<!\S)\w(?:[ .*_-]\w){2,}(?!\S)")
@@ -101,8 +103,8 @@ class Responses:
         self.codes = _codes(landmarks)
         self.sets = _letters(self.codes)
         self.own = kernel(self.codes, self.codes)
-        # a token that lacks more than a quarter of a landmark's letters has no response to it
-        self.least = np.maximum(3, np.ceil(0.75 * np.bitwise_count(self.sets))).astype(int)
+        # a token without all letters of a landmark (of a long one, all but one) has no response to it
+        self.least = np.bitwise_count(self.sets).astype(int) - np.array([len(x) >= 8 for x in landmarks])
 
     def __call__(self, strings: list[str]) -> np.ndarray:
         """One row for each string, one column for each landmark, between 0 and 1."""
@@ -116,7 +118,8 @@ class Responses:
             a, b = np.nonzero(shared >= self.least[None, :])
             for k in range(0, len(a), 20_000):
                 x, y = a[k:k + 20_000], b[k:k + 20_000]
-                np.maximum.at(out, (rows[x], y), np.minimum(1.0, kernel(codes[x], self.codes[y]) / self.own[y]))
+                share = np.minimum(1.0, kernel(codes[x], self.codes[y]) / self.own[y])
+                np.maximum.at(out, (rows[x], y), np.maximum(0.0, (share - FLOOR) / (1 - FLOOR)))
         return out
 
 
@@ -140,34 +143,38 @@ class Scorer:
         self.responses = Responses(model.landmarks) if model.landmarks else None
         self.kept: dict[str, np.ndarray | None] = {}
 
-    def learn(self, batch: list[str]) -> None:
-        """Find the responses of all new tokens of a batch at once."""
+    def learn(self, batch: list[str]) -> list[bool]:
+        """Find the responses of all new tokens of a batch at once; tells which texts have any."""
         if len(self.kept) > self.entries:
             self.kept.clear()
-        new = {t for text in batch for t in tokens(text)}.difference(self.kept)
-        if new:
-            names = list(new)
-            found = self.responses(names)
-            some = found.any(axis=1)
-            self.kept.update(dict.fromkeys(names))
-            self.kept.update((names[k], found[k]) for k in np.flatnonzero(some))
+        found = [tokens(t) for t in batch]
+        names = list(set(chain.from_iterable(found)).difference(self.kept))
+        for at in range(0, len(names), 20_000):
+            part = names[at:at + 20_000]
+            seen = self.responses(part)
+            self.kept.update(dict.fromkeys(part))
+            self.kept.update((part[k], seen[k]) for k in np.flatnonzero(seen.any(axis=1)))
+        return [any(map(_some, map(self.kept.get, x))) for x in found]
 
     def sentences(self, text: str) -> np.ndarray:
         """Responses of the sentences that have any."""
         get, out = self.kept.get, []
-        if any([get(t) is not None for t in tokens(text)]):
-            for s in _SENTENCE.split(text):
-                found = [r for t in tokens(s) if (r := get(t)) is not None]
-                if found:
-                    out.append(np.max(found, axis=0))
+        for s in _SENTENCE.split(text):
+            found = [r for t in tokens(s) if (r := get(t)) is not None]
+            if found:
+                out.append(np.max(found, axis=0))
         return np.array(out).reshape(-1, len(self.model.landmarks))
 
     def margins(self, batch: list[str]) -> list[float]:
-        if self.responses is None:
-            return [self.model.bias] * len(batch)
-        self.learn(batch)
         bias, weights = self.model.bias, self.model.weights
-        return [bias + max(0.0, float((r @ weights).max(initial=0.0))) if len(r := self.sentences(t)) else bias for t in batch]
+        if self.responses is None:
+            return [bias] * len(batch)
+        return [bias + max(0.0, float((self.sentences(t) @ weights).max(initial=0.0))) if some else bias
+                for t, some in zip(batch, self.learn(batch), strict=True)]
+
+
+def _some(response: np.ndarray | None) -> bool:
+    return response is not None
 
 
 def fit_sample(docs: DataFrame, labels: DataFrame, fit_rows: int) -> DataFrame:
@@ -276,11 +283,11 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
 
     def respond(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(empty)
-        for batch in batch_rows(batches, 256):
+        for batch in batch_rows(batches, 128):
             out = []
             wanted = batch["text"].to_pylist()
-            scorer.learn(wanted)
-            for text, toxic in zip(wanted, batch["toxic"].to_pylist(), strict=True):
+            some = scorer.learn(wanted)
+            for text, toxic in compress(zip(wanted, batch["toxic"].to_pylist(), strict=True), some):
                 found = scorer.sentences(text)
                 if toxic and len(found):
                     found = found[[found.max(axis=1).argmax()]]
@@ -309,7 +316,7 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
 
     def margins(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(model)
-        for batch in batch_rows(batches, 256):
+        for batch in batch_rows(batches, 128):
             found = scorer.margins(batch["text"].to_pylist())
             yield pa.RecordBatch.from_arrays([batch["toxic"].cast(pa.int32()), pa.array(found, pa.float64())],
                                              names=["toxic", "margin"])
@@ -347,7 +354,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = one_cache(name, lambda: Scorer(model))
-        for batch in batch_rows(batches, 256):
+        for batch in batch_rows(batches, 128):
             p = [model.probability(m) for m in scorer.margins(batch["text"].to_pylist())]
             yield pa.RecordBatch.from_arrays(
                 [batch["doc_id"], batch["held_out"], pa.array(p, pa.float64()), pa.array([int(x >= 0.5) for x in p], pa.int32())],
@@ -362,7 +369,7 @@ def reject(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = one_cache(name, lambda: Scorer(model))
-        for batch in batch_rows(batches, 256):
+        for batch in batch_rows(batches, 128):
             margins = scorer.margins([t or "" for t in batch["text"].to_pylist()])
             yield batch.filter(pa.array([model.probability(m) < threshold for m in margins], pa.bool_()))
 
