@@ -36,6 +36,7 @@ WIDTH = 24  # letters of a token that are compared at once; longer tokens are re
 LANDMARK = (4, 12)
 LANDMARKS = 64
 CANDIDATES = 3_000
+MIN_SHARE = 0.002  # of the sampled toxic documents (two at least) that a landmark accounts for
 AGAIN = 0.5  # what a document counts for, for each landmark that accounts for it already
 FIT_ROWS = 4_000
 CACHE_ENTRIES = 300_000
@@ -177,13 +178,18 @@ def _some(response: np.ndarray | None) -> bool:
     return response is not None
 
 
+def known_labels(labels: DataFrame) -> DataFrame:
+    """doc_id and toxic of the rows that may be learned from."""
+    known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
+    return known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+
+
 def fit_sample(docs: DataFrame, labels: DataFrame, fit_rows: int) -> DataFrame:
     """text and toxic of at most ``fit_rows`` labelled rows of each class, near copies mostly once.
 
     Rows are taken in the order of a hash of doc_id; the labels of those rows are all that is broadcast.
     """
-    known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
-    known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    known = known_labels(labels)
     order = (F.xxhash64("doc_id"), F.col("doc_id"))
     chosen = known.where("toxic = 1").orderBy(*order).limit(fit_rows).union(
         known.where("toxic = 0").orderBy(*order).limit(fit_rows))
@@ -239,6 +245,7 @@ def choose_landmarks(sample: DataFrame, n: int = LANDMARKS) -> list[str]:
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.int32()))], names=["held"])
 
     bags = [set(r["held"]) for r in sample.where("toxic = 1").select("text").mapInArrow(held, "held array<int>").collect()]
+    least = max(2.0, MIN_SHARE * sizes[1])
     names, chosen, worth = list(clean), [], [1.0] * len(bags)
     while len(chosen) < n:
         gain: Counter = Counter()
@@ -246,7 +253,7 @@ def choose_landmarks(sample: DataFrame, n: int = LANDMARKS) -> list[str]:
             for k in bag:
                 gain[k] += w
         best = max(gain, key=lambda k: (gain[k] - 3 * clean[names[k]], len(names[k]), names[k]), default=None)
-        if best is None or gain[best] - 3 * clean[names[best]] < 2:
+        if best is None or gain[best] - 3 * clean[names[best]] < least:
             break
         chosen.append(names[best])
         worth = [w * AGAIN if best in bag else w for bag, w in zip(bags, worth, strict=True)]
@@ -322,23 +329,27 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
                                              names=["toxic", "margin"])
 
     seen = sample.select("text", "toxic").mapInArrow(margins, "toxic int, margin double").collect()
-    border, spread = boundary(np.array([r["margin"] for r in seen]), np.array([r["toxic"] == 1 for r in seen]))
+    margin, is_toxic = np.array([r["margin"] for r in seen]), np.array([r["toxic"] == 1 for r in seen])
+    total = {r["toxic"]: r["n"] for r in known_labels(labels).groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    border, spread = boundary(margin, is_toxic, np.where(is_toxic, total[1] / max(1, is_toxic.sum()), total[0] / max(1, (~is_toxic).sum())))
     model.slope = math.log(9.0) / spread
     model.shift = -model.slope * border
     return model
 
 
-def boundary(margins: np.ndarray, toxic: np.ndarray) -> tuple[float, float]:
-    """The margin that parts the sampled documents with the fewest errors (of several, the middle of the
-    widest gap), and half of the distance between the classes' medians (at least 0.05)."""
+def boundary(margins: np.ndarray, toxic: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
+    """The margin that parts the sampled documents with the least error, and half of the distance between the classes'
+    medians (at least 0.05).  Each document weighs as many labelled rows as it stands for; of several margins the middle
+    of the widest gap is taken."""
     order = np.argsort(margins, kind="stable")
-    m, y = margins[order], toxic[order]
-    error = (np.cumsum(y) + (~y).sum() - np.cumsum(~y))[:-1].astype(float)
+    m, y, weight = margins[order], toxic[order], weight[order]
+    wrong = np.where(y, 0.0, weight)
+    error = (np.cumsum(np.where(y, weight, 0.0)) + wrong.sum() - np.cumsum(wrong))[:-1]
     gap = np.diff(m)
     error = np.where(gap > 0, error, np.inf)
     if not len(error) or not np.isfinite(error.min()):
         return 0.0, 1.0
-    best = np.flatnonzero(error <= error.min() + 1e-12)
+    best = np.flatnonzero(error <= error.min() + 1e-9)
     k = best[gap[best].argmax()]
     return float(m[k] + m[k + 1]) / 2, max(0.05, float(np.median(m[y]) - np.median(m[~y])) / 2)
 
