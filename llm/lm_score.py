@@ -106,8 +106,12 @@ class Network:
             back[rows] += p @ self.words[c].T
         back *= 1 - hidden ** 2
         down = (back @ self.inner.T).reshape(-1, WIDTH)
-        flat = (context.reshape(-1, 1) * WIDTH + np.arange(WIDTH)).ravel()
-        embed = np.bincount(flat, weights=down.ravel(), minlength=self.embed.size).reshape(self.embed.shape)
+        ids = context.ravel().astype(np.int16)
+        order = np.argsort(ids, kind="stable")  # of short integers: a radix sort
+        ids = ids[order]
+        starts = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
+        embed = np.zeros_like(self.embed)
+        embed[ids[starts]] = np.add.reduceat(down[order], starts, axis=0)
         found = [embed, seen["x"].T @ back, back.sum(axis=0), hidden.T @ error, error.sum(axis=0), words, word_bias]
         return [g.astype(np.float32) / n for g in found]
 
