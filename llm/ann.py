@@ -24,12 +24,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from llm.common import batch_rows, materialize
+from llm.common import batch_rows, materialize, partitions
 
 FIT_ROWS = 20_000
-SHARE = 0.4  # of the entries that a query's cells hold at least; recall 0.95 on vectors without any clusters
+SHARE = 0.4  # of the entries that a query's cells hold at least; recall 0.94 on vectors without any clusters
 LEAST = 3_000  # entries, where the share is less
 BLOCK = 4_096
+CENTRES = 128  # of each half at most; a query walks about half of the grid of their pairs
 NEIGHBOURS = "query_id long, rank int, vec_id long, score double"
 
 
@@ -120,7 +121,7 @@ def neighbours(vectors: DataFrame, queries: DataFrame, k: int = 20, fit_rows: in
     null, empty, zero, or hold null or non-finite components take no part; nor do those of another dimension than
     most have.  Ties go to the smaller vec_id.  With k candidates or fewer, all are returned; an empty table gives no
     rows; other columns are ignored.  Codebooks are fitted on a sample of about ``fit_rows`` different vectors and have at most
-    256 centroids each, so that they and the sizes of the cells (65,536 numbers at most) are all that is broadcast.
+    CENTRES centroids each, so that they and the sizes of the cells (16,384 numbers at most) are all that is broadcast.
     """
     spark = vectors.sparkSession
 
@@ -139,7 +140,7 @@ def neighbours(vectors: DataFrame, queries: DataFrame, k: int = 20, fit_rows: in
     if not len(sample):
         sample = kept.select("v").limit(1).toPandas()["v"]
     points = np.stack(sample.to_numpy()).astype(np.float64)
-    half, size = d // 2, int(np.clip(round(2 * math.sqrt(n)), 1, 256))
+    half, size = d // 2, int(np.clip(round(1.25 * math.sqrt(n)), 1, CENTRES))
     books = (codebook(points[:, :half], size) if half else np.zeros((1, 0)), codebook(points[:, half:], size))
     wanted = max(least, math.ceil(share * n))
 
@@ -169,6 +170,7 @@ def neighbours(vectors: DataFrame, queries: DataFrame, k: int = 20, fit_rows: in
                                              names=["query_id", "v", "reach", "groups"])
 
     asked = asked.select(F.col("vec_id").alias("query_id"), "v").dropDuplicates(["query_id"])
+    asked = asked.repartition(partitions(spark))  # few small rows, much work for each
     routes = materialize(asked.mapInArrow(routed, "query_id long, v array<double>, reach double, groups array<long>"), "ann-routes")
     blocks = max(1, math.ceil(routes.count() / block))
 
