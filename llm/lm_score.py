@@ -3,16 +3,22 @@
 A small network, trained in numpy, predicts each token from the WINDOW tokens before and after it, the token itself being
 masked.  The sum of the logarithms of these conditional probabilities is a document's score.  Tokens are words in lower case: the most
 frequent ones of the corpus have an id each, the others share ids by a hash.  The output is a class of ids, then an id
-of the class, so that a prediction costs the square root of the vocabulary.
+of the class, so that a prediction costs the square root of the ids; their number grows with the square root of the
+corpus's tokens.
+
+A word that shares its id has the id's probability times its own part of the id's occurrences in the corpus.  The counts of
+all words are a table: tasks hold those of the HELD most frequent ones, the others are joined.  For words that
+the corpus lacks an id sets aside the part that words seen once have in it, times a code of the word's bytes.
 
 Word counts and training cover all documents.  Every task trains a copy of the network on its own rows and sends it, in pieces, to
 tasks that sum them, weighted by tokens; the mean is the next round's start.  The first round sees a share of the rows,
-which brings the copies to the same ground, and the last one sees all.  What reaches the driver is the vocabulary and
-the summed pieces, whose size the network alone decides.
+which brings the copies to the same ground, and the last one sees all.  What reaches the driver is the vocabulary, the
+HELD words, a row for each shared id and the summed pieces, whose size the network alone decides.
 """
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -23,10 +29,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from llm.common import batch_rows, partitions, texts
+from llm.common import batch_rows, materialize, partitions, texts
 
-WORDS = 768
-CLASSES = CLASS_SIZE = 32
+SIDE = 32  # least number of classes, and of ids of a class
+OWN = 0.75  # part of the ids that belong to one word
+HELD = 50_000
 WINDOW = 3
 WIDTH, HIDDEN = 12, 32
 BATCH = 4_096
@@ -34,9 +41,9 @@ RATE = 0.08
 ROUNDS = (16, 1)  # of every so many documents, one is learned from
 PIECE, SALTS = 1_024, 8
 COUNT_ENTRIES = 400_000
-SCHEMA = "doc_id long, n_tokens long, score double, mean double"
-IDS = CLASSES * CLASS_SIZE
-_EDGE = IDS  # stands before and after a document
+IDS = SIDE * SIDE
+_EDGE = IDS  # stands before and after a document (in a larger network: its number of ids)
+_BYTE = math.log(257)  # a byte, or the end, of a word that the corpus lacks
 _OFFSETS = np.array([k for k in range(-WINDOW, WINDOW + 1) if k])
 
 
@@ -51,16 +58,20 @@ class Network:
     word_bias: np.ndarray
 
     @classmethod
-    def fresh(cls, seed: int = 11) -> Network:
+    def fresh(cls, seed: int = 11, side: int = SIDE) -> Network:
         rng = np.random.default_rng(seed)
         wide = 2 * WINDOW * WIDTH
 
         def normal(*shape: int, scale: float) -> np.ndarray:
             return (rng.standard_normal(shape) * scale).astype(np.float32)
 
-        return cls(normal(IDS + 1, WIDTH, scale=0.3), normal(wide, HIDDEN, scale=wide ** -0.5), np.zeros(HIDDEN, np.float32),
-                   normal(HIDDEN, CLASSES, scale=0.1), np.zeros(CLASSES, np.float32),
-                   normal(CLASSES, HIDDEN, CLASS_SIZE, scale=0.1), np.zeros((CLASSES, CLASS_SIZE), np.float32))
+        return cls(normal(side * side + 1, WIDTH, scale=0.3), normal(wide, HIDDEN, scale=wide ** -0.5),
+                   np.zeros(HIDDEN, np.float32), normal(HIDDEN, side, scale=0.1), np.zeros(side, np.float32),
+                   normal(side, HIDDEN, side, scale=0.1), np.zeros((side, side), np.float32))
+
+    @property
+    def edge(self) -> int:
+        return len(self.embed) - 1
 
     def parts(self) -> list[np.ndarray]:
         return [getattr(self, f.name) for f in fields(self)]
@@ -71,7 +82,10 @@ class Network:
     @classmethod
     def unflat(cls, flat: np.ndarray) -> Network:
         out, at = [], 0
-        for p in cls.fresh().parts():
+        side = SIDE
+        while _size(side) < len(flat):
+            side += 1
+        for p in cls.fresh(side=side).parts():
             out.append(flat[at:at + p.size].astype(np.float32).reshape(p.shape))
             at += p.size
         return cls(*out)
@@ -80,13 +94,13 @@ class Network:
         """Log-probability of each target given its context (ids, one row each), and what the gradient needs."""
         x = self.embed[context].reshape(len(context), -1)
         hidden = np.tanh(x @ self.inner + self.inner_bias)
-        kind, word = np.divmod(target, CLASS_SIZE)
+        kind, word = np.divmod(target, len(self.class_bias))
         log_class, p_class = _softmax(hidden @ self.classes + self.class_bias, kind)
         log_word = np.empty(len(target), np.float32)
         order = np.argsort(kind, kind="stable")
-        cuts = np.searchsorted(kind[order], np.arange(CLASSES + 1))
+        cuts = np.searchsorted(kind[order], np.arange(len(self.class_bias) + 1))
         inside = []
-        for c in range(CLASSES):
+        for c in range(len(self.class_bias)):
             rows = order[cuts[c]:cuts[c + 1]]
             if len(rows):
                 log_word[rows], p = _softmax(hidden[rows] @ self.words[c] + self.word_bias[c], word[rows])
@@ -106,7 +120,7 @@ class Network:
             back[rows] += p @ self.words[c].T
         back *= 1 - hidden ** 2
         down = (back @ self.inner.T).reshape(-1, WIDTH)
-        ids = context.ravel().astype(np.int16)
+        ids = context.ravel().astype(np.int16 if self.edge < 1 << 15 else np.int64)
         order = np.argsort(ids, kind="stable")  # of short integers: a radix sort
         ids = ids[order]
         starts = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
@@ -116,6 +130,16 @@ class Network:
         return [g.astype(np.float32) / n for g in found]
 
 
+def _size(side: int) -> int:
+    """Numbers in a network."""
+    return (side * side + 1) * WIDTH + (2 * WINDOW * WIDTH + 1) * HIDDEN + (HIDDEN + 1) * (side + side * side)
+
+
+def side_for(tokens: int) -> int:
+    """Classes, and ids of a class, for a corpus of so many tokens: the ids grow with the square root of the tokens."""
+    return max(SIDE, int(tokens ** 0.25 / 2))
+
+
 def _softmax(logits: np.ndarray, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     logits -= logits.max(axis=1, keepdims=True)
     p = np.exp(logits)
@@ -124,15 +148,17 @@ def _softmax(logits: np.ndarray, chosen: np.ndarray) -> tuple[np.ndarray, np.nda
 
 
 class Vocabulary:
-    """Ids of words: frequent ones their own, others one of the rest by a hash."""
+    """Ids of words: frequent ones their own, others one of the rest (of ``size`` ids) by a hash."""
 
-    def __init__(self, words: list[str], entries: int = 300_000):
-        self.known, self.entries = {w: k for k, w in enumerate(words)}, entries
+    def __init__(self, words: list[str], size: int = IDS, entries: int = 300_000):
+        self.known, self.size, self.entries = {w: k for k, w in enumerate(words)}, size, entries
         self.first = len(words)
         self.kept: dict[str, int] = {}
 
     def ids(self, text: str) -> np.ndarray:
-        words = text.lower().split()
+        return self.of(text.lower().split())
+
+    def of(self, words: list[str]) -> np.ndarray:
         found = list(map(self.kept.get, words))
         if None in found:
             if len(self.kept) > self.entries:
@@ -142,16 +168,16 @@ class Vocabulary:
                     w = words[k]
                     known = self.known.get(w)
                     if known is None:
-                        known = self.first + zlib.crc32(w.encode("utf-8", "surrogatepass")) % (IDS - self.first)
+                        known = self.first + zlib.crc32(w.encode("utf-8", "surrogatepass")) % (self.size - self.first)
                     found[k] = self.kept[w] = known
         return np.array(found, np.int64)
 
 
-def windows(ids: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+def windows(ids: list[np.ndarray], outside: int = _EDGE) -> tuple[np.ndarray, np.ndarray]:
     """Contexts and targets of all tokens of some documents; no window reaches into a neighbour."""
-    edge = np.full(WINDOW, _EDGE, np.int64)
+    edge = np.full(WINDOW, outside, np.int64)
     joined = np.concatenate([p for i in ids for p in (edge, i)] + [edge])
-    at = np.flatnonzero(joined != _EDGE)
+    at = np.flatnonzero(joined != outside)
     return joined[at[:, None] + _OFFSETS[None, :]], joined[at]
 
 
@@ -180,14 +206,15 @@ def trained(docs: DataFrame, vocabulary: list[str], start: np.ndarray, every: in
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        words, net = Vocabulary(vocabulary), Network.unflat(start)
+        net = Network.unflat(start)
+        words = Vocabulary(vocabulary, net.edge)
         memory = [np.full(p.shape, 1e-4, np.float32) for p in net.parts()]
         waiting: list[np.ndarray] = []
         held = total = 0
 
         def step(last: bool = False) -> None:
             nonlocal waiting, held, total
-            context, target = windows(waiting)
+            context, target = windows(waiting, net.edge)
             order = np.random.default_rng(len(target)).permutation(len(target))
             for at in range(0, len(order), BATCH):
                 rows = order[at:at + BATCH]
@@ -247,23 +274,46 @@ def trained(docs: DataFrame, vocabulary: list[str], start: np.ndarray, every: in
 
 @dataclass
 class Model:
+    """counts: word, n of all words that share an id; the counts of the most frequent ones of them are in ``held``.
+    shared: of each shared id the occurrences, and those among them of words seen once."""
+
     vocabulary: list[str]
     flat: np.ndarray
-
-
-def fit(docs: DataFrame, rounds: tuple[int, ...] = ROUNDS) -> Model:
-    """Vocabulary and network from all documents; with no word in them, the untrained network."""
-    top = word_counts(docs).orderBy(F.desc("n"), "word").limit(WORDS).collect()
-    vocabulary = [r["word"] for r in top]
-    flat = Network.fresh().flat()
+    counts: DataFrame
+    held: dict[str, int]
+    shared: dict[int, tuple[int, int]]
+
+
+def fit(docs: DataFrame, rounds: tuple[int, ...] = ROUNDS, side: int | None = None, held: int = HELD) -> Model:
+    """Vocabulary, counts and network from all documents; with no word in them, the untrained network."""
+    counts = materialize(word_counts(docs), "word-counts")
+    side = side or side_for(counts.agg(F.sum("n")).first()[0] or 0)
+    size = side * side
+    vocabulary = [r["word"] for r in counts.orderBy(F.desc("n"), "word").limit(int(OWN * size)).collect()]
+    first = len(vocabulary)
+    own = docs.sparkSession.createDataFrame([(w,) for w in vocabulary], "word string")
+    tail = materialize(counts.join(own, "word", "left_anti"), "tail-counts")
+    bucket = F.crc32(F.col("word").cast("binary")) % F.lit(size - first) + F.lit(first)
+    shared = {r["id"]: (r["n"], r["once"]) for r in
+              tail.groupBy(bucket.alias("id")).agg(F.sum("n").alias("n"), F.count_if(F.col("n") == 1).alias("once")).collect()}
+    # steps of counts, from the top down, as long as their words are no more than may be held
+    step = F.floor(8 * F.log2("n"))
+    least, total = None, 0
+    for r in sorted(tail.groupBy(step.alias("step")).agg(F.count("*").alias("words")).collect(), reverse=True):
+        total += r["words"]
+        if total > held:
+            break
+        least = r["step"]
+    near = {} if least is None else {r["word"]: r["n"] for r in tail.where(step >= least).collect()}
+    flat = Network.fresh(side=side).flat()
     for every in rounds:
         flat = trained(docs, vocabulary, flat, every)
-    return Model(vocabulary, flat)
+    return Model(vocabulary, flat, tail, near, shared)
 
 
 def log_probabilities(net: Network, ids: list[np.ndarray]) -> list[float]:
     """The summed log-probability of each of some documents."""
-    context, target = windows(ids)
+    context, target = windows(ids, net.edge)
     each = np.concatenate([net.forward(context[a:a + BATCH], target[a:a + BATCH])[0].astype(np.float64)
                            for a in range(0, len(target), BATCH)] or [np.zeros(0)])
     ends = np.cumsum([0] + [len(i) for i in ids])
@@ -277,14 +327,57 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     Without a word (null texts too) the score is 0 and the mean null.  Repeated rows are scored each on its own, an empty
     table gives no rows, other columns are ignored.
     """
+    vocabulary, flat, held, shared = model.vocabulary, model.flat, model.held, model.shared
+    names = ["row", "doc_id", "n_tokens", "score", "word", "times", "base", "lacking"]
+
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, net = Vocabulary(model.vocabulary), Network.unflat(model.flat)
+        from pyspark import TaskContext
+
+        net = Network.unflat(flat)
+        words, first = Vocabulary(vocabulary, net.edge), len(vocabulary)
+        # of an id: the logarithm of its occurrences with those set aside, and that of the latter's part
+        whole, lack = np.zeros(net.edge), np.zeros(net.edge)
+        for i, (n, once) in shared.items():
+            whole[i], lack[i] = math.log(n + once + 1), math.log(once + 1) - math.log(n + once + 1)
+        near = {w: math.log(n) for w, n in held.items()}
+        row = TaskContext.get().partitionId() << 33
         for batch in batch_rows(batches, 64):
-            ids = [words.ids(t) for t in batch["text"].to_pylist()]
+            split = [t.lower().split() for t in batch["text"].to_pylist()]
+            ids = [words.of(w) for w in split]
             found = log_probabilities(net, ids)
+            rest: list[tuple] = []
+            for k, (own, i) in enumerate(zip(split, ids, strict=True)):
+                at = np.flatnonzero(i >= first)
+                if not len(at):
+                    continue
+                logs = list(map(near.get, [own[j] for j in at.tolist()]))
+                known = np.array([math.nan if x is None else x for x in logs])
+                found[k] += float(np.nansum(known - whole[i[at]]))
+                if None in logs:
+                    ask = Counter(own[j] for j in at[np.isnan(known)].tolist())
+                    for w, b in zip(ask, words.of(list(ask)).tolist(), strict=True):
+                        spelled = (len(w.encode("utf-8", "surrogatepass")) + 1) * _BYTE
+                        rest.append((row + k, w, ask[w], whole[b], lack[b] - spelled))
+            n = len(ids)
             yield pa.RecordBatch.from_arrays(
-                [batch["doc_id"], pa.array([len(i) for i in ids], pa.int64()), pa.array(found, pa.float64()),
-                 pa.array([s / len(i) if len(i) else None for s, i in zip(found, ids, strict=True)], pa.float64())],
-                names=["doc_id", "n_tokens", "score", "mean"])
-
-    return texts(docs).select(F.col("doc_id").cast("long"), "text").mapInArrow(scored, SCHEMA)
+                [pa.array(range(row, row + n), pa.int64()), batch["doc_id"], pa.array([len(i) for i in ids], pa.int64()),
+                 pa.array(found, pa.float64()), pa.nulls(n, pa.string()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.float64()),
+                 pa.nulls(n, pa.float64())], names=names)
+            if rest:
+                m = len(rest)
+                at, asked, times, base, lacking = zip(*rest, strict=True)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(at, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.float64()),
+                     pa.array(asked, pa.string()), pa.array(times, pa.int64()), pa.array(base, pa.float64()),
+                     pa.array(lacking, pa.float64())], names=names)
+            row += n
+
+    rows = texts(docs).select(F.col("doc_id").cast("long"), "text")
+    rows = rows.mapInArrow(scored, "row long, doc_id long, n_tokens long, score double, word string, times long, base double, lacking double")
+    found = materialize(rows, "lm-scores")  # numbers of rows must not change between the two readings
+    asked = found.where("word is not null").join(model.counts, "word", "left")
+    part = F.col("times") * F.coalesce(F.log("n") - F.col("base"), F.col("lacking"))
+    more = asked.groupBy("row").agg(F.sum(part).alias("more"))
+    out = found.where("word is null").select("row", "doc_id", "n_tokens", "score").join(more, "row", "left")
+    out = out.withColumn("score", F.col("score") + F.coalesce("more", F.lit(0.0)))
+    return out.select("doc_id", "n_tokens", "score", F.when(F.col("n_tokens") > 0, F.col("score") / F.col("n_tokens")).alias("mean"))

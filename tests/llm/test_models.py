@@ -134,3 +134,46 @@ def test_order_of_words_counts(llm_spark, make_docs):
 def test_nothing_to_learn_from(make_docs):
     docs = make_docs([(1, None)])
     assert lm_score.score(docs, lm_score.fit(docs)).first()["score"] == 0.0
+
+
+def test_words_that_share_an_id_have_their_own_part_of_it(llm_spark, make_docs):
+    rng = random.Random(4)
+    rare = [f"r{k}" for k in range(2500)]
+    rows = [(k, " ".join(rng.choices(rare, [1 / (1 + i) for i in range(2500)], k=60))) for k in range(150)]
+    docs = make_docs(rows)
+    counts = {}
+    for _, t in rows:
+        for w in t.split():
+            counts[w] = counts.get(w, 0) + 1
+    text = rows[0][1] + " qzxv " + " ".join(w for w in list(counts)[-40:])
+    test = make_docs([(1, text), (1, text), (2, "qzxv"), (3, None)])
+    for held in (0, 100):
+        model = lm_score.fit(docs, rounds=(1,), held=held)
+        assert len(model.vocabulary) == 768 < len(counts) and len(model.held) <= held
+        words, net = lm_score.Vocabulary(model.vocabulary), lm_score.Network.unflat(model.flat)
+        bucket, once = {}, {}
+        for w, n in counts.items():
+            i = int(words.ids(w)[0])
+            bucket[i], once[i] = bucket.get(i, 0) + n, once.get(i, 0) + (n == 1)
+
+        def plain(t):
+            total = lm_score.log_probabilities(net, [words.ids(t)])[0]
+            for w in t.split():
+                i = int(words.ids(w)[0])
+                if i >= 768:
+                    whole = bucket[i] + once[i] + 1
+                    total += np.log(counts[w] / whole) if w in counts else np.log((once[i] + 1) / whole) - 5 * np.log(257)
+            return total
+
+        got = sorted((r["doc_id"], r["n_tokens"], r["score"]) for r in lm_score.score(test, model).collect())
+        assert [g[:2] for g in got] == [(1, len(text.split()))] * 2 + [(2, 1), (3, 0)]
+        assert [g[2] for g in got] == pytest.approx([plain(text), plain(text), plain("qzxv"), 0.0], rel=1e-4)
+
+
+def test_ids_follow_the_corpus():
+    sides = [lm_score.side_for(10 ** k) for k in range(12)]
+    assert sides == sorted(sides) and sides[7] < sides[8] < sides[10]
+    net = lm_score.Network.fresh(side=40)
+    assert net.edge == 1600 and all((a == b).all() for a, b in zip(net.parts(), lm_score.Network.unflat(net.flat()).parts(), strict=True))
+    context, target = lm_score.windows([np.array([5, 1599])], net.edge)
+    assert context[0].tolist() == [1600] * 3 + [1599, 1600, 1600] and np.isfinite(net.forward(context, target)[0]).all()
