@@ -2,11 +2,11 @@
 
 The kernel of two strings sums, over all subsequences of ``LENGTH`` letters, the product of their weights in both; a
 weight is DECAY to the power of the span, so letters put in between lower the kernel instead of breaking the match.
-Landmarks are beginnings of words that, together, account for the toxic documents of the fitting sample.  A sentence's
-response to a landmark is the largest kernel of one of its tokens with the landmark, as a share of the landmark's kernel
+Landmarks are beginnings of words that, together, account for the toxic documents of the fitting sample.  Landmarks of ``SHORT`` letters
+or fewer are compared by ``SHORT_LENGTH`` letters.  A sentence's response to a landmark is the largest kernel of one of its tokens with the landmark, as a share of the landmark's kernel
 with itself.  The inverse root of the landmarks' kernel matrix turns responses into Nyström features, on which a
 linear machine is trained: clean documents give negative sentences, a toxic one gives its strongest sentence, and
-each landmark with inserted letters is a further positive one.  A document scores as its strongest sentence.
+each landmark with an inserted, dropped or swapped letter is a further positive one.  A document scores as its strongest sentence.
 
 The model is fitted on a bounded sample of labelled rows (``fit_rows`` of each class) and is some kilobytes; scoring is
 one pass in which each worker remembers its tokens' responses.
@@ -20,7 +20,7 @@ import uuid
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import chain, compress
+from itertools import chain, combinations, compress
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +31,8 @@ from llm.common import batch_rows, materialize, one_cache, texts
 
 LENGTH = 4
 DECAY = 0.8
-FLOOR = 0.3  # a smaller share of a landmark's kernel is no response
+SHORT, SHORT_LENGTH = 5, 3  # landmarks of so few letters are compared by shorter subsequences
+FLOOR = 0.2  # a smaller share of a landmark's kernel is no response
 WIDTH = 24  # letters of a token that are compared at once; longer tokens are read in overlapping windows
 LANDMARK = (4, 12)
 LANDMARKS = 64
@@ -68,12 +69,6 @@ def _codes(strings: list[str]) -> np.ndarray:
     return np.array(strings, f"U{WIDTH}").view(np.uint32).reshape(len(strings), WIDTH).astype(np.int64)
 
 
-def _letters(codes: np.ndarray) -> np.ndarray:
-    """A set of letters in 63 bits: those of the alphabet have their own bit, others share."""
-    bit = np.where((codes >= 97) & (codes < 123), codes - 97, 26 + codes % 37)
-    return np.bitwise_or.reduce(np.where(codes > 0, np.int64(1) << bit, 0), axis=1)
-
-
 def kernel(strings: np.ndarray, others: np.ndarray, length: int = LENGTH, decay: float = DECAY) -> np.ndarray:
     """The subsequence kernel of row k of ``strings`` with row k of ``others`` (code points, padded with 0)."""
     strings = strings[:, :max(1, int((strings > 0).sum(axis=1).max(initial=0)))]
@@ -97,33 +92,69 @@ def kernel(strings: np.ndarray, others: np.ndarray, length: int = LENGTH, decay:
 
 
 class Responses:
-    """Responses of tokens to landmarks."""
+    """Responses of tokens to landmarks.
+
+    A pair's kernel is computed unless a bound on its share is below FLOOR: subsequences of letters that the token lacks give
+    nothing, and each of the others occurs in the token in a bounded number of ways, of LENGTH letters' span at least.
+    """
 
     def __init__(self, landmarks: list[str]):
         self.landmarks = landmarks
         self.codes = _codes(landmarks)
-        self.sets = _letters(self.codes)
-        self.own = kernel(self.codes, self.codes)
-        # a token without all letters of a landmark (of a long one, all but one) has no response to it
-        self.least = np.bitwise_count(self.sets).astype(int) - np.array([len(x) >= 8 for x in landmarks])
+        self.lengths = np.array([SHORT_LENGTH if len(x) <= SHORT else LENGTH for x in landmarks])
+        self.own = np.array([kernel(c[None], c[None], n)[0] for c, n in zip(self.codes, self.lengths, strict=True)])
+        self.letters = sorted(set("".join(landmarks)))
+        self.places = [np.array([self.letters.index(c) for c in sorted(set(x))]) for x in landmarks]
+        self.bounds = [_bounds(x, int(n)) / own for x, n, own in zip(landmarks, self.lengths, self.own, strict=True)]
+
+    def pairs(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rows of strings and landmarks whose share may reach FLOOR."""
+        counts = np.stack([(codes == ord(c)).sum(axis=1) for c in self.letters], axis=1)
+        ways = np.concatenate([np.maximum(0, counts - k) / (k + 1) for k in range(LENGTH)], axis=1)
+        ways = np.maximum(1.0, -np.partition(-ways, LENGTH - 1, axis=1)[:, :LENGTH])
+        ways = np.cumprod(-np.sort(-ways, axis=1), axis=1)
+        has = counts > 0
+        a, b = [], []
+        for k, (places, bound) in enumerate(zip(self.places, self.bounds, strict=True)):
+            share = bound[has[:, places] @ (1 << np.arange(len(places)))] * ways[:, self.lengths[k] - 1]
+            a.append(np.flatnonzero(share >= FLOOR - 1e-9))
+            b.append(np.full(len(a[-1]), k))
+        return np.concatenate(a), np.concatenate(b)
 
     def __call__(self, strings: list[str]) -> np.ndarray:
         """One row for each string, one column for each landmark, between 0 and 1."""
-        parts = [(k, v) for k, s in enumerate(strings) for v in views(s) if len(v) >= LENGTH]
+        parts = [(k, v) for k, s in enumerate(strings) for v in views(s) if len(v) >= SHORT_LENGTH]
         out = np.zeros((len(strings), len(self.landmarks)))
         for at in range(0, len(parts), 20_000):
             chunk = parts[at:at + 20_000]
             rows = np.array([k for k, _ in chunk])
             codes = _codes([v for _, v in chunk])
-            shared = np.bitwise_count(_letters(codes)[:, None] & self.sets[None, :])
-            a, b = np.nonzero(shared >= self.least[None, :])
-            for k in range(0, len(a), 20_000):
-                x, y = a[k:k + 20_000], b[k:k + 20_000]
-                share = np.minimum(1.0, kernel(codes[x], self.codes[y]) / self.own[y])
-                np.maximum.at(out, (rows[x], y), np.maximum(0.0, (share - FLOOR) / (1 - FLOOR)))
+            a, b = self.pairs(codes)
+            for length in np.unique(self.lengths):
+                of = np.flatnonzero(self.lengths[b] == length)
+                for k in range(0, len(of), 20_000):
+                    x, y = a[of[k:k + 20_000]], b[of[k:k + 20_000]]
+                    share = np.minimum(1.0, kernel(codes[x], self.codes[y], int(length)) / self.own[y])
+                    np.maximum.at(out, (rows[x], y), np.maximum(0.0, (share - FLOOR) / (1 - FLOOR)))
         return out
 
 
+def _bounds(landmark: str, length: int) -> np.ndarray:
+    """For each set of the landmark's letters (bits, in sorted order): the kernel with a string in which each subsequence
+    of these letters occurs once, without gaps."""
+    bit = {c: 1 << k for k, c in enumerate(sorted(set(landmark)))}
+    out = np.zeros(1 << len(bit))
+    for at in combinations(range(len(landmark)), length):
+        mask = 0
+        for i in at:
+            mask |= bit[landmark[i]]
+        out[mask] += DECAY ** (at[-1] - at[0] + 1 + length)
+    for b in bit.values():
+        held = np.flatnonzero(np.arange(len(out)) & b)
+        out[held] += out[held - b]
+    return out
+
+
 @dataclass
 class Model:
     landmarks: list[str]
@@ -308,6 +339,7 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
     for name in landmarks:
         for at in range(1, len(name)):
             spoiled.append(name[:at] + chr(97 + int(rng.integers(26))) + name[at:])
+            spoiled += [name[:at] + name[at + 1:], name[:at - 1] + name[at] + name[at - 1] + name[at + 1:]]
     r = np.vstack([*(np.frombuffer(bytes(x["r"]), np.uint8)[None, :] / 100 for x in seen), responses(spoiled),
                    np.zeros((1, len(landmarks)))])
     toxic = np.array([x["toxic"] == 1 for x in seen] + [True] * len(spoiled) + [False])
@@ -315,7 +347,7 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
     n[-1] = max(1.0, 0.2 * n[~toxic].sum())  # sentences without any response
     pairs = np.array([(i, j) for i in range(len(landmarks)) for j in range(len(landmarks))])
     gram = kernel(responses.codes[pairs[:, 0]], responses.codes[pairs[:, 1]]).reshape(len(landmarks), -1)
-    gram /= np.sqrt(np.outer(responses.own, responses.own))
+    gram /= np.sqrt(np.outer(np.diag(gram), np.diag(gram)))
     values, vectors = np.linalg.eigh(gram)
     nystroem = vectors / np.sqrt(np.maximum(values, 0.05)) @ vectors.T
     w, bias = train(r @ nystroem, toxic, n)

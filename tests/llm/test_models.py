@@ -1,4 +1,5 @@
 import random
+import zlib
 from itertools import combinations
 
 import numpy as np
@@ -177,3 +178,42 @@ def test_ids_follow_the_corpus():
     assert net.edge == 1600 and all((a == b).all() for a, b in zip(net.parts(), lm_score.Network.unflat(net.flat()).parts(), strict=True))
     context, target = lm_score.windows([np.array([5, 1599])], net.edge)
     assert context[0].tolist() == [1600] * 3 + [1599, 1600, 1600] and np.isfinite(net.forward(context, target)[0]).all()
+
+
+def test_spoiled_words_have_responses():
+    pairs = [("stpid", "stupid"), ("st*pid", "stupid"), ("scmbag", "scumbag"), ("dumass", "dumbass"), ("m*ron", "moron"),
+             ("idot", "idiot"), ("stuipd", "stupid"), ("st1pid", "stupid"), ("mornoo", "moron"), ("du-mbass", "dumbass")]
+    responses = toxicity.Responses([b for _, b in pairs])
+    got = responses([a for a, _ in pairs])
+    assert all(got[k, k] > 0 for k in range(len(pairs))), np.diag(got)
+
+
+def test_no_pair_above_the_floor_is_skipped():
+    rng = random.Random(8)
+    names = ["moron", "idiot", "stupid", "dumbass", "assassin", "aabb", "grumblor", "snazzigster"]
+    responses = toxicity.Responses(names)
+    tokens = ["".join(rng.choices("aabbdimnoprstu", k=rng.randint(3, 14))) for _ in range(400)]
+    for n in names:
+        for _ in range(40):
+            t = list(n)
+            for _ in range(rng.randint(1, 3)):
+                at = rng.randrange(len(t))
+                t[at:at + 1] = rng.choice([[], [t[at]] * 2, [rng.choice("aeioust")], [t[at], "x"]])
+            tokens.append("".join(t))
+    got = responses(tokens)
+    for k, n in enumerate(names):
+        length = 3 if len(n) <= 5 else 4
+        own = _plain_kernel(n, n, length, toxicity.DECAY)
+        share = np.array([min(1.0, _plain_kernel(t, n, length, toxicity.DECAY) / own) for t in tokens])
+        assert got[:, k] == pytest.approx(np.maximum(0, (share - toxicity.FLOOR) / (1 - toxicity.FLOOR)), abs=1e-9)
+
+
+def test_held_out_rows_with_spoiled_letters(toxic_model):
+    rows, _, model = toxic_model
+    scorer = toxicity.Scorer(model)
+    held = [t for i, t, y in rows if y and zlib.crc32(str(i).encode()) % 5 == 0]
+    assert len(held) > 10
+    clean = max(scorer.margins([t for _, t, y in rows if not y]))
+    for old, new in [("grumblor", "gr*mblor"), ("snazzig", "sna*zig"), ("vilterk", "vitlerk"), ("grumblor", "gru3blor")]:
+        seen = [t.replace(old, new) for t in held if old in t]
+        assert seen and min(scorer.margins(seen)) > clean
