@@ -4,8 +4,10 @@ A worklist holds layers of a document: the text itself, and each text that decod
 layer is scanned with the same patterns, and every layer is unwrapped again, until nothing new appears:
 
 * percent escapes and Unicode escapes are decoded in place, so that a match may lie across escaped and plain characters;
-* stretches of base64 (both alphabets) become layers of their own, after decompression if they hold gzip, zlib, bzip2,
-  xz or zstd data.
+* stretches of base64 (both alphabets; lines of equal width are joined) become layers of their own, after decompression if
+  they hold gzip, zlib, bzip2, xz or zstd data.  They are read from each of the first four letters on, so that letters
+  glued to the front don't matter, and compressed data from each place where it may start.  Bytes that are no text
+  stand for themselves; a layer without ASCII characters enough for a secret is left out.  UTF-16 is a layer too.
 
 Each character of a layer knows the span of the document that it came from, so each match is reported as a span of
 the document; of compressed data it is the whole stretch.  A layer that was seen before is not opened again, which ends
@@ -15,7 +17,6 @@ cycles.  ``max_bytes`` bounds what a document's compressed parts may unfold to;
 from __future__ import annotations
 
 import base64
-import binascii
 import bz2
 import hashlib
 import lzma
@@ -45,6 +46,10 @@ _WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 _PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 _UNICODE = re.compile(r"\\u\{([0-9A-Fa-f]{1,6})\}|\\u([0-9A-Fa-f]{4})|\\U([0-9A-Fa-f]{8})|\\x([0-9A-Fa-f]{2})")
 _BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}={0,2}")
+_WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}(?:\r?\n[ \t]*[A-Za-z0-9+/_-]+)+")
+_LETTERS = re.compile(r"[A-Za-z0-9+/_-]+")
+_PACKED = re.compile(r"H4sI|Qlpo|/Td6WFoA|KLUv/|(?:(?<=[/+])|^)e[A-P]")  # beginnings of compressed data; zlib's after a mark only
+_ENOUGH = re.compile(rb"[\x09-\x0d\x20-\x7e]{12}")  # no secret, open or encoded, is shorter
 
 
 @dataclass
@@ -122,69 +127,118 @@ def _replaced(layer: Layer, parts: list[tuple[int, int, str, list[int], list[int
 
 
 def unfolded(data: bytes, limit: int) -> bytes | None:
-    """Decompressed data; the data as it is if it is not compressed; None if it unfolds to more than ``limit`` bytes."""
-    if data[:2] == b"\x1f\x8b" or data[:1] == b"\x78" and len(data) > 6 and int.from_bytes(data[:2], "big") % 31 == 0:
-        opener = zlib.decompressobj(zlib.MAX_WBITS | 32)
-    elif data[:3] == b"BZh":
-        opener = bz2.BZ2Decompressor()
-    elif data[:6] == b"\xfd7zXZ\x00":
-        opener = lzma.LZMADecompressor()
-    elif data[:4] == b"\x28\xb5\x2f\xfd":
+    """Decompressed data (of all its members); the data as it is if it is not compressed; None if it unfolds to more than
+    ``limit`` bytes."""
+    if data[:4] == b"\x28\xb5\x2f\xfd":
         import zstandard
 
+        out, size = [], 0
         try:
-            with zstandard.ZstdDecompressor().stream_reader(data) as stream:
-                out = stream.read(limit + 1)
+            with zstandard.ZstdDecompressor().stream_reader(data, read_across_frames=True) as stream:
+                while size <= limit and (part := stream.read(min(1 << 16, limit + 1 - size))):
+                    out.append(part)
+                    size += len(part)
         except zstandard.ZstdError:
-            return data
-        return out if len(out) <= limit else None
-    else:
-        return data
-    try:
-        out = opener.decompress(data, limit + 1)
-    except (zlib.error, OSError, lzma.LZMAError, EOFError):
-        return data
-    return out if len(out) <= limit else None
+            pass  # what came before it stays
+        return None if size > limit else b"".join(out) or data
+    out, size, rest = [], 0, data
+    while opener := _opener(rest):
+        try:
+            part = opener.decompress(rest, limit + 1 - size)
+        except (zlib.error, OSError, lzma.LZMAError, EOFError):
+            break
+        out.append(part)
+        size += len(part)
+        if size > limit:
+            return None
+        if not opener.eof:
+            break
+        rest = opener.unused_data
+    return b"".join(out) or data
+
+
+def _opener(data: bytes):
+    if data[:2] == b"\x1f\x8b" or data[:1] == b"\x78" and len(data) > 6 and int.from_bytes(data[:2], "big") % 31 == 0:
+        return zlib.decompressobj(zlib.MAX_WBITS | 32)
+    if data[:3] == b"BZh":
+        return bz2.BZ2Decompressor()
+    if data[:6] == b"\xfd7zXZ\x00":
+        return lzma.LZMADecompressor()
+    return None
+
+
+def stretches(text: str) -> Iterator[tuple[str, np.ndarray]]:
+    """Letters of base64 in the standard alphabet, and where each stands: of each run, and of runs on lines of equal width."""
+    alphabet = {0x2D: "+", 0x5F: "/"}
+    for m in _BASE64.finditer(text):
+        body = m[0].rstrip("=")
+        yield body.translate(alphabet), np.arange(m.start(), m.start() + len(body))
+    if "\n" not in text:
+        return
+    for m in _WRAPPED.finditer(text):
+        lines = [(m.start() + x.start(), x[0]) for x in _LETTERS.finditer(m[0])]
+        k = 0
+        while k + 1 < len(lines):
+            last, wide = k, len(lines[k][1])
+            while last + 1 < len(lines) and len(lines[last][1]) == wide >= len(lines[last + 1][1]):
+                last += 1
+            if last > k and wide >= 16:
+                part = lines[k:last + 1]
+                yield ("".join(x for _, x in part).translate(alphabet),
+                       np.concatenate([np.arange(at, at + len(x)) for at, x in part]))
+            k = max(last, k + 1)
+
+
+def _bytes(letters: str) -> bytes:
+    letters = letters[:-1] if len(letters) % 4 == 1 else letters
+    return base64.b64decode(letters + "=" * (-len(letters) % 4))
+
+
+def _wide(data: bytes) -> Iterator[tuple[bytes, int]]:
+    """ASCII text that stands in every second byte between zeros (UTF-16), and the place of its first byte."""
+    if data.count(0) * 4 >= len(data):
+        for m in re.finditer(rb"(?:[\x09-\x0d\x20-\x7e]\x00){12,}", data):
+            yield m[0][::2], m.start()
+        for m in re.finditer(rb"(?:\x00[\x09-\x0d\x20-\x7e]){12,}", data):
+            yield m[0][1::2], m.start()
 
 
 def decoded(layer: Layer, budget: list[int]) -> Iterator[Layer]:
     """The texts in the layer's stretches of base64.  budget: bytes that may still be unfolded, and parts left closed."""
-    for m in _BASE64.finditer(layer.text):
-        body = m[0].rstrip("=").translate({0x2D: "+", 0x5F: "/"})
-        if len(body) % 4 == 1:
-            continue
-        try:
-            data = base64.b64decode(body + "=" * (-len(body) % 4))
-        except binascii.Error:
-            continue
-        whole = data
-        while True:  # compressed data may be compressed again
-            opened = unfolded(whole, budget[0])
-            if opened is None:
-                budget[1] += 1
-                break
-            if opened is whole:
-                break
-            budget[0] -= len(opened)
-            whole = opened
-        if opened is None:
-            continue
-        try:
-            text = whole.decode()
-        except UnicodeDecodeError:
-            continue
-        if not text or sum(c < " " and c not in "\t\r\n\f\v" for c in text):
-            continue
-        if whole is not data:
-            a, b = layer.span(m.start(), m.end())
-            n = len(text)
-            yield Layer(text, np.full(n, a), np.full(n, b))
-            continue
-        _, starts, ends = _characters(data)
-        start, end = layer.places()
-        first = m.start() + np.array(starts) * 8 // 6
-        last = m.start() + -(-np.array(ends) * 8 // 6) - 1
-        yield Layer(text, start[first], end[last])
+    start, end = layer.start, layer.end
+    for letters, where in stretches(layer.text):
+        if start is None:
+            start, end = layer.places()
+        for at in sorted({m.start() for m in _PACKED.finditer(letters)}):
+            data = whole = _bytes(letters[at:])
+            while True:  # compressed data may be compressed again
+                opened = unfolded(whole, budget[0])
+                if opened is None:
+                    budget[1] += 1
+                    break
+                if opened is whole:
+                    break
+                budget[0] -= len(opened)
+                whole = opened
+            if opened is None or whole is data:
+                continue
+            a, b = int(start[where[at]]), int(end[where[-1]])
+            for part in [whole] * bool(_ENOUGH.search(whole)) + [x for x, _ in _wide(whole)]:
+                text = _characters(part)[0]
+                yield Layer(text, np.full(len(text), a), np.full(len(text), b))
+        for at in range(4):
+            data = _bytes(letters[at:])
+            if _ENOUGH.search(data):
+                text, starts, ends = _characters(data)
+                yield _placed(text, np.array(starts), np.array(ends), start, end, where[at:])
+            for part, first in _wide(data):
+                starts = first + 2 * np.arange(len(part))
+                yield _placed(part.decode(), starts, starts + 2, start, end, where[at:])
+
+
+def _placed(text: str, starts: np.ndarray, ends: np.ndarray, start: np.ndarray, end: np.ndarray, where: np.ndarray) -> Layer:
+    """A layer whose characters are these bytes of decoded base64, whose letters stand at ``where``."""
+    return Layer(text, start[where[starts * 8 // 6]], end[where[-(-ends * 8 // 6) - 1]])
 
 
 def scan(text: str, max_bytes: int = MAX_BYTES) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]], int, int]:

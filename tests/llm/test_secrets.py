@@ -107,3 +107,39 @@ def test_clean_text_stays(llm_spark, make_docs):
     got = {r["doc_id"]: (r["text"], r["n_chars"]) for r in secrets.redact(df).collect()}
     assert got == {1: (rows[0][1], len(rows[0][1])), 2: (None, 0), 3: ("key [secret].", 13)}
     assert secrets.redact(make_docs([])).columns == make_docs([]).columns and secrets.secret_spans(make_docs([])).count() == 0
+
+
+def _found(text):
+    return [text[a:b] for a, k, b in secrets.scan(text)[1] if k == 0]
+
+
+def test_base64_glued_to_a_path_or_wrapped_in_lines():
+    coded = base64.b64encode(b"password=hunter22secret").decode()
+    for text in (f"https://h.example/data/{coded}", f"/{coded} x", f"a-b_c/{coded}/more/path", f"x1/{coded.rstrip('=')}"):
+        assert _found(text), text
+        assert coded[:12] not in secrets.redacted(text)
+    packed = base64.b64encode(gzip.compress(b"xx password=hunter22 yy")).decode()
+    assert _found(f"https://h.example/data/{packed} x")
+    rng = random.Random(7)
+    filler = "".join(rng.choice("abcdefgh ijkl") for _ in range(400))
+    for width in (64, 76):
+        for end in ("\n", "\r\n", "\n  "):
+            for at in range(30, 60):
+                inner = f"{filler[:at]} password=hunter22hunter22 {filler}".encode()
+                for data in (inner, gzip.compress(inner)):
+                    letters = base64.b64encode(data).decode()
+                    lines = end.join(letters[k:k + width] for k in range(0, len(letters), width))
+                    text = f"before\n{lines}\nafter it"
+                    assert _found(text), (width, end, at)
+                    assert text.index(lines) <= secrets.scan(text)[1][0][0]
+
+
+def test_layers_that_are_partly_text_and_data_of_several_members():
+    word = b"password=hunter22"
+    for data in (b"\xff\xfe\x00 " + word, word + b" \x01\x80 end", "\ufeffxx password=hunter22".encode("utf-16-le"),
+                 "xx password=hunter22".encode("utf-16-be")):
+        for packed in (data, zlib.compress(data)):
+            assert _found("q " + base64.b64encode(packed).decode() + " end"), data
+    two = b"first member of it, " * 3, b"xx " + word
+    for pack in (gzip.compress, bz2.compress, lzma.compress, zstandard.compress):
+        assert _found(base64.b64encode(pack(two[0]) + pack(two[1])).decode()), pack
