@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from llm import ann, byte_bpe, lm_score, minhash, packing, secrets, simhash, token_counts, toxicity, warc
+from llm import ann, byte_bpe, lm_score, minhash, packing, pii, secrets, simhash, token_counts, toxicity, warc
 from llm.common import prepare, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -93,3 +93,8 @@ def op9_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return lm_score.score(docs, lm_score.fit(docs))
+
+
+@query("op13_pii")
+def op13_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.personal_spans(table(spark, sf_dir, "documents"))
