@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from llm import ann, byte_bpe, lm_score, minhash, packing, pii, secrets, simhash, token_counts, toxicity, warc
+from llm import ann, byte_bpe, collocations, lm_score, minhash, packing, pii, secrets, simhash, token_counts, toxicity, warc
 from llm.common import prepare, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -98,3 +98,47 @@ def op4_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op13_pii")
 def op13_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.personal_spans(table(spark, sf_dir, "documents"))
+
+
+@query("op12_collocations")
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op12_collocations"] = r"""
+WITH p AS (
+    SELECT coalesce(lang, 'und') AS lang,
+           unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                     '[.,;:!?\x0A-\x0D]')) AS piece
+    FROM documents
+), w AS (
+    SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM p
+), s AS (
+    SELECT lang, ws, unnest(range(1, len(ws) + 1)) AS i FROM w
+), g AS MATERIALIZED (
+    SELECT lang, k, array_to_string(ws[i:i + k - 1], ' ') AS phrase, count(*) AS f
+    FROM s, (VALUES (1), (2), (3)) AS sizes(k) WHERE i + k - 1 <= len(ws) GROUP BY ALL
+), c AS (
+    SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS ws FROM g WHERE k >= 2 AND f >= 10
+), h AS (
+    SELECT *, unnest(range(1, k)) AS cut FROM c
+), y AS MATERIALIZED (
+    SELECT lang, phrase, a, cut, array_to_string(ws[1:cut], ' ') AS head, array_to_string(ws[cut + 1:k], ' ') AS rest FROM h
+), x AS (
+    SELECT y.lang, y.phrase, a, cut, l.f AS l, r.f AS r,
+           CAST(1000000::HUGEINT * a * a // (l.f::HUGEINT * r.f) AS BIGINT) AS score
+    FROM y JOIN g l ON l.lang = y.lang AND l.phrase = head JOIN g r ON r.lang = y.lang AND r.phrase = rest
+), b AS (
+    SELECT * FROM x QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1
+), q AS (
+    SELECT lang, unnest([array_to_string(ws[1:2], ' '), array_to_string(ws[2:3], ' ')]) AS phrase, a FROM c WHERE k = 3
+), d AS (
+    SELECT lang, phrase, max(a) AS longer FROM q GROUP BY ALL
+), n AS (
+    SELECT lang, sum(len(ws))::BIGINT AS n FROM w GROUP BY lang
+)
+SELECT b.lang, row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+FROM b LEFT JOIN d USING (lang, phrase) JOIN n ON n.lang = b.lang
+WHERE longer IS NULL OR 100 * longer < 50 * a
+QUALIFY rank <= 2000
+"""
