@@ -5,11 +5,14 @@ piece of the text ends.  A task counts the windows of many texts as sorted numbe
 All counts of shorter phrases are sums over the windows with that beginning; one Spark ROLLUP over (lang, first, second)
 gives them, and its level of the language is the number of its words.  No shorter n-gram is ever exploded.
 
-Every exchange is by whole windows or whole phrases after a sum, so a very frequent word or pair makes no large group.
+Windows are dealt by ranges of their words, whose borders come from a small sample (they change the speed alone).  Windows with
+the same beginning so meet in one task, which sums them before the ROLLUP's exchange; those of a very frequent word or pair
+spread over several ranges.
 """
 
 from __future__ import annotations
 
+import bisect
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,7 +27,10 @@ MIN_COUNT = 10  # occurrences that a phrase needs
 SHARE = 50  # per cent of a phrase's occurrences that lie in one longer phrase and so drop it
 TOP = 2000
 LONGEST = 3
-WINDOWS = "lang string, phrase string, f long"
+RANGES = 1024
+SAMPLE = 2048  # documents, of each of which SPOTS windows at most help to set the borders
+SPOTS = 32
+WINDOWS = "part int, lang string, phrase string, f long"
 
 _CHUNK = 1 << 24  # bytes of text whose windows a task sums at a time
 _ROWS = 1 << 16
@@ -60,8 +66,8 @@ def _numbered(data: bytes) -> tuple[pa.Array, np.ndarray]:
     return pa.chunked_array([pa.array([None], pa.large_binary()), names]).combine_chunks(), rank[coded.indices.to_numpy()]
 
 
-def window_counts(lang: str, data: bytes) -> Iterator[pa.RecordBatch]:
-    """The different windows of prepared texts in one language, in order, and their numbers."""
+def window_counts(lang: str, data: bytes, borders: list[bytes]) -> Iterator[pa.RecordBatch]:
+    """The different windows of prepared texts in one language, in order, their numbers, and the range that each lies in."""
     names, ids = _numbered(data)
     first, second, third = ids[:-2], ids[1:-1], ids[2:]
     base, whole = len(names), first > 0
@@ -75,16 +81,31 @@ def window_counts(lang: str, data: bytes) -> Iterator[pa.RecordBatch]:
         which, third = np.divmod(keys, base)
         pairs = kinds[which]
     first, second = np.divmod(pairs, base)
+    words = [w or b"" for w in names.to_pylist()]
+    cuts = [_place(words, (first, second, third), _by_words(b)) for b in borders]
+    part = np.searchsorted(cuts, np.arange(len(f)), side="right").astype(np.int32)
     names = names.cast(pa.large_string())
     for at in range(0, len(f), _ROWS):
-        part = slice(at, at + _ROWS)
-        words = [names.take(pa.array(x[part])) for x in (first, second, third)]
-        phrase = pc.binary_join_element_wise(*words, pa.scalar(" ", pa.large_string()), null_handling="skip")
+        rows = slice(at, at + _ROWS)
+        taken = [names.take(pa.array(x[rows])) for x in (first, second, third)]
+        phrase = pc.binary_join_element_wise(*taken, pa.scalar(" ", pa.large_string()), null_handling="skip")
         langs = pa.DictionaryArray.from_arrays(pa.array(np.zeros(len(phrase), np.int32)), pa.array([lang])).cast(pa.string())
-        yield pa.RecordBatch.from_arrays([langs, phrase.cast(pa.string()), pa.array(f[part])], names=["lang", "phrase", "f"])
+        yield pa.RecordBatch.from_arrays([pa.array(part[rows]), langs, phrase.cast(pa.string()), pa.array(f[rows])],
+                                         names=["part", "lang", "phrase", "f"])
 
 
-def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _place(words: list[bytes], numbers: tuple[np.ndarray, ...], border: list[bytes]) -> int:
+    """How many of the windows, which are in order, come before the border."""
+    low, high = 0, len(numbers[0])
+    for column, word in zip(numbers, border, strict=False):
+        at = bisect.bisect_left(words, word)
+        low, high = (low + int(np.searchsorted(column[low:high], at, side=s)) for s in ("left", "right"))
+        if at == len(words) or words[at] != word:
+            break
+    return low
+
+
+def _counted(batches: Iterator[pa.RecordBatch], borders: list[bytes]) -> Iterator[pa.RecordBatch]:
     parts: dict[str, list[bytes]] = {}
     size: dict[str, int] = {}
     for batch in batches:
@@ -100,9 +121,32 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if sum(size.values()) >= _CHUNK:
                     largest = max(size, key=size.get)
                     del size[largest]
-                    yield from window_counts(largest, b"".join(parts.pop(largest)))
+                    yield from window_counts(largest, b"".join(parts.pop(largest)), borders)
     for lang, data in parts.items():
-        yield from window_counts(lang, b"".join(data))
+        yield from window_counts(lang, b"".join(data), borders)
+
+
+def _by_words(window: bytes) -> list[bytes]:
+    return window.split(b" ")
+
+
+def _spots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        found = []
+        for text in batch["text"].to_pylist():
+            words = _prepared(text).split()
+            starts = [k for k, w in enumerate(words) if w != _PAD]
+            found += [b" ".join(w for w in words[k:k + 3] if w != _PAD) for k in starts[::len(starts) // SPOTS + 1]]
+        yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary())], names=["window"])
+
+
+def borders(texts: DataFrame, ranges: int = RANGES) -> list[bytes]:
+    """Windows that part all windows into about equal ranges, from a sample of documents; at most SAMPLE x SPOTS reach the
+    driver in expectation."""
+    n = texts.count()
+    some = texts.select("text").sample(fraction=min(1.0, SAMPLE / n), seed=42) if n else texts
+    found = sorted((bytes(r[0]) for r in some.mapInArrow(_spots, "window binary").collect()), key=_by_words)
+    return sorted({found[len(found) * k // ranges] for k in range(1, ranges)}, key=_by_words) if found else []
 
 
 def phrase_counts(docs: DataFrame, min_count: int = MIN_COUNT) -> DataFrame:
@@ -112,9 +156,12 @@ def phrase_counts(docs: DataFrame, min_count: int = MIN_COUNT) -> DataFrame:
     One shuffle of summed windows, one of the sums over their beginnings.
     """
     texts = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
-    windows = texts.mapInArrow(_counted, WINDOWS).groupBy("lang", "phrase").agg(F.sum("f").alias("f"))
+    limits = borders(texts)
+    windows = texts.mapInArrow(lambda batches: _counted(batches, limits), WINDOWS).repartition("part")
+    windows = windows.groupBy("part", "lang", "phrase").agg(F.sum("f").alias("f"))
     word = F.split("phrase", " ")
-    longest = windows.where((F.col("f") >= min_count) & (F.size(word) == LONGEST)).select(
+    # one condition over the sum too, so that it stays above it and both branches share one exchange
+    longest = windows.where(F.when(F.col("f") >= min_count, F.size(word)) == LONGEST).select(
         "lang", F.lit(LONGEST).alias("words"), "phrase", "f")
     lead = windows.select("lang", F.get(word, F.lit(0)).alias("w1"), F.get(word, F.lit(1)).alias("w2"), "f")
     level = F.grouping_id()  # 3: the language, 1: the first word, 0: two words, of which the second may be a pad
