@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from llm import ann, byte_bpe, collocations, lm_score, minhash, packing, pii, secrets, simhash, token_counts, toxicity, warc
+from llm import ann, byte_bpe, collocations, lm_score, minhash, packing, pii, ranked_search, secrets, simhash, token_counts, toxicity, warc
 from llm.common import prepare, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -142,3 +142,42 @@ FROM b LEFT JOIN d USING (lang, phrase) JOIN n ON n.lang = b.lang
 WHERE longer IS NULL OR 100 * longer < 50 * a
 QUALIFY rank <= 2000
 """
+
+
+@query("op11_ranked_search")
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return ranked_search.search(docs, ranked_search.build(docs), table(spark, sf_dir, "benchmark"))
+
+
+ORACLES["op11_ranked_search"] = r"""
+WITH d AS (
+    SELECT row_number() OVER () AS r, doc_id,
+           regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{80}-\x{10FFFF}]+') AS ws
+    FROM documents
+), l AS (
+    SELECT r, doc_id, len(ws) AS n, ws FROM d WHERE len(ws) > 0
+), c AS (
+    SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS total FROM l
+), u AS (
+    SELECT r, unnest(ws) AS term FROM l
+), tf AS MATERIALIZED (
+    SELECT r, term, count(*) AS tf FROM u GROUP BY r, term
+), df AS (
+    SELECT term, CAST(floor(1000 * ln((2 * any_value(docs) + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM tf, c GROUP BY term
+), i AS (
+    SELECT row_number() OVER () AS k, item_id,
+           regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{80}-\x{10FFFF}]+') AS ws
+    FROM benchmark
+), q AS (
+    SELECT k, any_value(item_id) AS item_id, term, count(*) AS times FROM (SELECT k, item_id, unnest(ws) AS term FROM i) GROUP BY k, term
+), m AS (
+    SELECT r, doc_id, 100 - 25 + (25 * n * docs) // total AS m FROM l, c
+), s AS (
+    SELECT k, r, any_value(item_id) AS item_id, any_value(doc_id) AS doc_id,
+           CAST(sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * m))) AS BIGINT) AS score
+    FROM q JOIN df USING (term) JOIN tf USING (term) JOIN m USING (r) GROUP BY k, r
+)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY k ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score
+FROM s WHERE score > 0 QUALIFY rank <= 20
+"""
