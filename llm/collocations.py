@@ -33,6 +33,7 @@ SPOTS = 32
 WINDOWS = "part int, lang string, phrase string, f long"
 
 _CHUNK = 1 << 24  # bytes of text whose windows a task sums at a time
+_KINDS = 1 << 21  # three smaller numbers fit 64 bits
 _ROWS = 1 << 16
 _PAD = b"."  # a separator after translation, so never part of a word
 _SEPARATORS = b".,;:!?\n\x0b\x0c\r"
@@ -72,7 +73,7 @@ def window_counts(lang: str, data: bytes, borders: list[bytes]) -> Iterator[pa.R
     first, second, third = ids[:-2], ids[1:-1], ids[2:]
     base, whole = len(names), first > 0
     pairs = (first * base + second)[whole]
-    if base < 1 << 21:  # three numbers fit 64 bits
+    if base < _KINDS:
         keys, f = np.unique(pairs * base + third[whole], return_counts=True)
         pairs, third = np.divmod(keys, base)
     else:
