@@ -115,6 +115,70 @@ def _(spark, d):
     return resample.bootstrap_mean(rows, ["arm", "target"], "accuracy", seed=SEED, n_boot=N_BOOT)
 
 
+def drawn_positions(source: str, n_boot: int = N_BOOT) -> str:
+    """Rows of ``source`` (with a size n) for each replicate b and draw, with the drawn position pos."""
+    return f"""(SELECT *, (x1 * {_M} + (x1 * x1 + 69621 * x1 + 54321) % {_M}) % n AS pos FROM (
+      SELECT *, (x0 * x0 + 48271 * x0 + 12345) % {_M} AS x1 FROM (
+        SELECT *, (b * 1000003 + k * 7919 + {SEED * 104729}) % {_M} AS x0 FROM (
+          SELECT *, unnest(range(0, n)) AS k FROM (SELECT *, unnest(range(0, {n_boot})) AS b FROM {source})))))"""
+
+
+_REAL_BOOT = 40
+
+
+def _real_values_sql(table: str, group: str, value: str) -> str:
+    drawn = drawn_positions("sizes", _REAL_BOOT)
+    return f"""
+    WITH units AS MATERIALIZED (
+      SELECT {group} AS grp, CAST({value} AS DOUBLE) AS value, row_number() OVER (PARTITION BY {group} ORDER BY {value}) - 1 AS pos
+      FROM {table} WHERE {group} IS NOT NULL AND {value} IS NOT NULL),
+    sizes AS (SELECT grp, count(*) AS n, avg(value) AS point FROM units GROUP BY grp),
+    drawn AS (SELECT grp, b, n, point, pos FROM {drawn}),
+    means AS (SELECT d.grp, d.n, d.point, d.b, avg(u.value) AS mean FROM drawn d JOIN units u ON u.grp = d.grp AND u.pos = d.pos GROUP BY d.grp, d.n, d.point, d.b)
+    SELECT grp, n, round(point, 3) AS point_estimate, round(s[{_index(0.025, _REAL_BOOT)}], 3) AS ci_low,
+      round(s[{_index(0.975, _REAL_BOOT)}], 3) AS ci_high
+    FROM (SELECT grp, n, point, list_sort(list(mean)) AS s FROM means GROUP BY ALL)"""
+
+
+@query("b1_bootstrap_mean_of_values", _real_values_sql("lineitem", "l_returnflag", "l_extendedprice"))
+def _(spark, d):
+    """Prices of all lines: nearly all values differ, so each group is cut into blocks of ranks."""
+    rows = V.table(spark, d, "lineitem").select(F.col("l_returnflag").alias("grp"), F.col("l_extendedprice").cast("double").alias("price"))
+    found = resample.bootstrap_mean(rows, ["grp"], "price", seed=SEED, n_boot=_REAL_BOOT, block=4096)
+    return found.select("grp", "n", *(F.round(c, 3).alias(c) for c in ("point_estimate", "ci_low", "ci_high")))
+
+
+_CLUSTER_KEYS = "scope, metric, arm_a, arm_b"
+_CLUSTERS = (pairs_cte(), f"""
+clusters AS MATERIALIZED (
+  SELECT {_CLUSTER_KEYS}, case_id, count(*) AS size, CAST(sum(d) AS BIGINT) AS total
+  FROM (SELECT case_id, arm_a, arm_b, v.metric AS metric, v.d AS d, unnest(['overall', target]) AS scope FROM paired) GROUP BY ALL
+),
+placed AS MATERIALIZED (
+  SELECT *, row_number() OVER (PARTITION BY {_CLUSTER_KEYS} ORDER BY total DESC, size) - 1 AS pos FROM clusters
+),
+cluster_sizes AS MATERIALIZED (
+  SELECT {_CLUSTER_KEYS}, count(*) AS n, sum(size) AS units, CAST(sum(total) AS DOUBLE) / sum(size) AS diff FROM clusters GROUP BY ALL
+),
+cluster_means AS MATERIALIZED (
+  SELECT {_CLUSTER_KEYS}, units, diff, b, CAST(sum(total) AS DOUBLE) / sum(size) AS mean
+  FROM {drawn_positions("cluster_sizes")} d JOIN placed USING ({_CLUSTER_KEYS}, pos) GROUP BY ALL
+),
+cluster_grid AS (
+  SELECT {_CLUSTER_KEYS}, diff, s[{_index((1 - 0.95) / 2, N_BOOT)}] AS ci_low, s[{_index(1 - (1 - 0.95) / 2, N_BOOT)}] AS ci_high,
+    least(1.0, 2.0 * opposite / {N_BOOT}) AS p_value, {N_BOOT} AS n_boot, {SEED} AS seed, CAST(units AS BIGINT) AS n_paired_cases
+  FROM (SELECT {_CLUSTER_KEYS}, units, diff, list_sort(list(mean)) AS s,
+          count(*) FILTER (WHERE diff > 0 AND mean <= 0 OR diff < 0 AND mean >= 0 OR diff = 0) AS opposite
+        FROM cluster_means GROUP BY ALL)
+)""")
+
+
+@query("b3_clustered_bootstrap_grid", with_records("SELECT * FROM cluster_grid", *_CLUSTERS), doubles="diff ci_low ci_high p_value", longs="n_boot seed")
+def _(spark, d):
+    """The grid with whole cases drawn: their targets stay together."""
+    return resample.comparison_grid(V.records(spark, d), cluster="case_id", seed=SEED, n_boot=N_BOOT)
+
+
 @query("b2_large_sample_bootstrap", with_records("SELECT * FROM grid", *_GRID), doubles="diff ci_low ci_high p_value", longs="n_boot seed")
 def _(spark, d):
     """The draws of each replicate cut into many pieces, as for large samples; the rows are the same."""

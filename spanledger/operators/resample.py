@@ -20,11 +20,12 @@ from pyspark.sql import functions as F
 
 from spanledger import constants as K
 from spanledger.functions.formats import p_value_display
+from spanledger.session import materialize
 
 MODULUS = 2147483647  # fixed value: draws are taken modulo this prime
 PIECE = 250_000
 REPLICATES_PER_ROW = 50
-VALUE_BLOCKS = 16
+RANK_BLOCK = 1 << 16
 COMPARISON = ["scope", "metric", "arm_a", "arm_b"]
 
 
@@ -58,13 +59,19 @@ def paired_outcomes(records: DataFrame, pairs: Iterable[tuple[str, str]] = K.COM
     Each record is reduced to a bit code of its indicators; one grouping by (case, target) places
     the arms side by side without a self-join, for any number of arms.
     """
-    pairs = list(pairs)
+    return paired_sides(records, pairs).groupBy("target", "arm_a", "arm_b", "code_a", "code_b").agg(F.count(F.lit(1)).alias("n"))
+
+
+def paired_sides(records: DataFrame, pairs: Iterable[tuple[str, str]], carried: Iterable[str] = ()) -> DataFrame:
+    """(carried, target, arm_a, arm_b, code_a, code_b) of every unit that both arms of a pair have."""
+    pairs, carried = list(pairs), list(carried)
     arms = sorted({a for p in pairs for a in p})
+    unit = list(dict.fromkeys(["case_id", *carried, "target"]))
     code = sum((indicator(m).cast("int") * (1 << i) for i, m in enumerate(K.COMPARISON_METRICS)), F.lit(0))
     sides = (
         records.filter(F.col("ground_truth").isNotNull() & F.col("arm").isin(*arms))
-        .select("case_id", "target", "arm", code.alias("code"))
-        .groupBy("case_id", "target")
+        .select(*unit, "arm", code.alias("code"))
+        .groupBy(*unit)
         .agg(*(F.max(F.when(F.col("arm") == a, F.col("code"))).alias(f"code_{i}") for i, a in enumerate(arms)))
     )
     options = F.explode(F.array(*(
@@ -73,11 +80,8 @@ def paired_outcomes(records: DataFrame, pairs: Iterable[tuple[str, str]] = K.COM
             F.col(f"code_{arms.index(a)}").alias("code_a"), F.col(f"code_{arms.index(b)}").alias("code_b"),
         ) for a, b in pairs
     ))).alias("p")
-    return (
-        sides.select("target", options).select("target", "p.*")
-        .filter("code_a is not null and code_b is not null")
-        .groupBy("target", "arm_a", "arm_b", "code_a", "code_b").agg(F.count(F.lit(1)).alias("n"))
-    )
+    return sides.select(*carried, "target", options).select(*carried, "target", "p.*").filter(
+        "code_a is not null and code_b is not null")
 
 
 def paired_counts(outcomes: DataFrame) -> DataFrame:
@@ -100,6 +104,23 @@ def paired_counts(outcomes: DataFrame) -> DataFrame:
     )
 
 
+def cluster_counts(records: DataFrame, cluster: str = "case_id",
+                   pairs: Iterable[tuple[str, str]] = K.COMPARISON_PAIRS) -> DataFrame:
+    """Per scope, metric and pair: how many clusters have ``size`` units and a sum of differences ``total``.
+
+    The units of a case are its targets.  They are not independent, so resampling draws cases and
+    carries all of their units along.
+    """
+    sides = paired_sides(records, pairs, [cluster]).withColumn("scope", F.explode(F.array(F.lit("overall"), F.col("target"))))
+    keys = ["scope", "arm_a", "arm_b"]
+    per_cluster = sides.groupBy(*keys, cluster).agg(F.count(F.lit(1)).alias("size"), F.array(*(
+        F.struct(F.lit(m).alias("metric"), F.sum(
+            F.shiftright("code_a", i).bitwiseAND(1) - F.shiftright("code_b", i).bitwiseAND(1)).alias("total"))
+        for i, m in enumerate(K.COMPARISON_METRICS))).alias("metrics"))
+    return per_cluster.select(*keys, "size", F.explode("metrics").alias("m")).groupBy(
+        *keys, F.col("m.metric").alias("metric"), "size", F.col("m.total").alias("total")).agg(F.count(F.lit(1)).alias("n_clusters"))
+
+
 # ------------------------------------------------------------------ replicates
 def _work(rows: DataFrame, n: Column, n_boot: int, piece: int) -> DataFrame:
     """One row for each block of replicates and piece of draws (columns block, at), spread over all cores."""
@@ -154,6 +175,40 @@ def replicate_means(counts: DataFrame, keys: list[str], *, seed: int, n_boot: in
     )
 
 
+def cluster_means(counts: DataFrame, keys: list[str], *, seed: int, n_boot: int, piece: int = PIECE) -> DataFrame:
+    """(keys, n, n_clusters, observed, replicate, mean) when whole clusters are drawn, from ``cluster_counts``.
+
+    Clusters stand in order of falling total, then of rising size, so clusters of one unit draw as single units do.  A
+    replicate's mean is the sum of its totals over the sum of its sizes.
+    """
+    label = F.concat_ws("\u0001", *keys)
+    kinds = counts.groupBy(*keys).agg(
+        F.sum("n_clusters").alias("n_clusters"), F.sum(F.col("n_clusters") * F.col("size")).alias("n"),
+        F.sum(F.col("n_clusters") * F.col("total")).alias("sum"),
+        F.sort_array(F.collect_list(F.struct((-F.col("total")).alias("minus"), "size", "n_clusters"))).alias("kinds"))
+    rows = kinds.select(label.alias("label"), F.col("n_clusters").alias("n"), F.col("kinds.minus").alias("minus"),
+                        F.col("kinds.size").alias("sizes"), F.col("kinds.n_clusters").alias("times"))
+
+    def run(batches):
+        for rows in _same_draws(batches):
+            n, block, at = (int(rows[c].iloc[0]) for c in ("n", "block", "at"))
+            replicates, out = _replicates(block, n_boot), []
+            kinds = [(np.concatenate([[0], np.cumsum(r.times)]), np.stack([-np.asarray(r.minus), np.asarray(r.sizes)]), r.label)
+                     for r in rows.itertuples(index=False)]
+            for b in replicates:
+                drawn = np.sort(draw_indexes(int(b), n, seed, at, at + piece))
+                out += [(name, b, *(numbers @ np.diff(np.searchsorted(drawn, bound))).tolist()) for bound, numbers, name in kinds]
+            yield pd.DataFrame(out, columns=["label", "replicate", "total", "size"])
+
+    sums = (
+        _work(rows, F.col("n"), n_boot, piece).mapInPandas(run, "label string, replicate long, total long, size long")
+        .groupBy("label", "replicate").agg(F.sum("total").alias("total"), F.sum("size").alias("size"))
+    )
+    head = kinds.select(*keys, label.alias("label"), "n", "n_clusters", (F.col("sum") / F.col("n")).alias("observed"))
+    return head.join(sums, "label").select(
+        *keys, "n", "n_clusters", "observed", "replicate", (F.col("total") / F.col("size")).alias("mean"))
+
+
 def _position(p: float, n_boot: int) -> int:
     return int(p * (n_boot - 1)) + 1
 
@@ -176,10 +231,21 @@ def compare_pairs(
 ) -> DataFrame:
     """Paired bootstrap: difference, interval by index, two-sided p from the opposite sign."""
     keys = keys or COMPARISON
+    return _compared(replicate_means(counts, keys, seed=seed, n_boot=n_boot, piece=piece), keys, seed, n_boot, ci)
+
+
+def compare_clusters(
+    counts: DataFrame, keys: list[str] | None = None, *, seed: int = 42, n_boot: int = 2000,
+    ci: float = 0.95, piece: int = PIECE,
+) -> DataFrame:
+    """As :func:`compare_pairs` from ``cluster_counts``: whole clusters are drawn."""
+    keys = keys or COMPARISON
+    return _compared(cluster_means(counts, keys, seed=seed, n_boot=n_boot, piece=piece), keys, seed, n_boot, ci)
+
+
+def _compared(means: DataFrame, keys: list[str], seed: int, n_boot: int, ci: float) -> DataFrame:
     low = (1 - ci) / 2
-    table = _summary_frame(
-        replicate_means(counts, keys, seed=seed, n_boot=n_boot, piece=piece), keys
-    )
+    table = _summary_frame(means, keys)
     return table.select(
         *keys, "diff",
         F.element_at("means", _position(low, n_boot)).alias("ci_low"),
@@ -189,8 +255,13 @@ def compare_pairs(
     )
 
 
-def comparison_grid(records: DataFrame, *, pairs=K.COMPARISON_PAIRS, **options) -> DataFrame:
-    """Every scope, metric and arm pair in one job; a pair with a missing arm gives no rows."""
+def comparison_grid(records: DataFrame, *, pairs=K.COMPARISON_PAIRS, cluster: str | None = None, **options) -> DataFrame:
+    """Every scope, metric and arm pair in one job; a pair with a missing arm gives no rows.
+
+    With ``cluster`` (a column, say case_id) the units of a cluster are drawn together.
+    """
+    if cluster:
+        return compare_clusters(cluster_counts(records, cluster, pairs), **options)
     return compare_pairs(paired_counts(paired_outcomes(records, pairs)), **options)
 
 
@@ -222,14 +293,17 @@ def baseline_comparison(rows: DataFrame, baseline: str, *, seed: int = 42, n_boo
 # ------------------------------------------------------------------ interval of one mean
 def bootstrap_mean(
     df: DataFrame, by: list[str], value: str, *, seed: int = 42, n_boot: int = 2000, ci: float = 0.95,
-    piece: int = PIECE,
+    piece: int = PIECE, block: int = RANK_BLOCK,
 ) -> DataFrame:
     """Percentile interval of the mean of ``value`` per group (at least one column in ``by``).
 
-    NULL and NaN are dropped; a group with fewer than two values gets its point as both bounds.
+    NULL and NaN are dropped; a group with fewer than two values gets its point as both bounds.  A group
+    with more than ``block`` different values is cut into blocks of ranks; the draws are the same.
     """
     if not by:
         raise ValueError("name at least one column to group by")
+    if block > RANK_BLOCK:
+        raise ValueError(f"places in a block of ranks have two bytes: block can be {RANK_BLOCK} at most")
     usable = F.when(F.col(value).isNotNull() & ~F.isnan(F.col(value)), F.col(value).cast("double"))
     counts = df.groupBy(*by, usable.alias("value")).agg(F.count(F.lit(1)).alias("times"))
     points = counts.groupBy(*by).agg(
@@ -238,11 +312,12 @@ def bootstrap_mean(
             F.sum(F.col("value") * F.col("times")),
             F.sum(F.when(F.col("value").isNotNull(), F.col("times"))).cast("double"),
         ).alias("point_estimate"),
-        F.array_sort(F.array_distinct(F.percentile_approx(
-            "value", [k / VALUE_BLOCKS for k in range(1, VALUE_BLOCKS)], 10_000))).alias("cuts"),
+        F.count("value").alias("n_values"),
     )
     held = counts.filter("value is not null").join(points.filter("n > 1"), by)
-    means = _value_means(held, by, seed, n_boot, piece)
+    few = _means_of_few(held.filter(F.col("n_values") <= block), by, seed, n_boot, piece)
+    many = _means_of_many(held.filter(F.col("n_values") > block), by, seed, n_boot, piece, block)
+    means = few.unionByName(many).groupBy(*by, "replicate").agg((F.sum("part_sum") / F.first("n")).alias("mean"))
     low = (1 - ci) / 2
     summary = means.groupBy(*by).agg(F.sort_array(F.collect_list("mean")).alias("means"))
     return points.join(summary, by, "left").select(
@@ -253,26 +328,21 @@ def bootstrap_mean(
     )
 
 
-def _value_means(held: DataFrame, by: list[str], seed: int, n_boot: int, piece: int) -> DataFrame:
-    """Replicate means over the sorted units of each group.
+def _typed(df: DataFrame, by: list[str], more: str) -> str:
+    return ", ".join([*(f"`{k}` {dict(df.dtypes)[k]}" for k in by), more])
 
-    Percentiles cut a group's distinct values into at most VALUE_BLOCKS blocks, each with the rank of its
-    first unit.  A row of work holds one block's values; it makes a piece of the draws and sums
-    those that fall into its ranks, so no row carries a whole group.
-    """
-    part = F.size(F.filter("cuts", lambda c: c < F.col("value")))
-    blocks = held.withColumn("part", part).groupBy(*by, "part").agg(
-        F.first("n").alias("n"), F.sum("times").alias("size"),
-        F.sort_array(F.collect_list(F.struct("value", "times"))).alias("items"))
-    before = Window.partitionBy(*by).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    ready = blocks.select(*by, "n", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("first_rank"),
-                          F.col("items.value").alias("values"), F.col("items.times").alias("times"))
+
+def _means_of_few(held: DataFrame, by: list[str], seed: int, n_boot: int, piece: int) -> DataFrame:
+    """Sums of the draws of groups whose different values fit one row: each piece counts its draws among the values' ranks."""
+    ready = held.groupBy(*by).agg(
+        F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("value", "times"))).alias("items"),
+    ).select(*by, "n", F.col("items.value").alias("values"), F.col("items.times").alias("times"))
 
     def run(batches):
         for rows in _same_draws(batches):
             n, block, at = (int(rows[c].iloc[0]) for c in ("n", "block", "at"))
             replicates, out = _replicates(block, n_boot), []
-            bounds = [r.first_rank + np.concatenate([[0], np.cumsum(r.times)]) for r in rows.itertuples(index=False)]
+            bounds = [np.concatenate([[0], np.cumsum(t)]) for t in rows["times"]]
             sums = np.empty((len(replicates), len(rows)))
             for i, b in enumerate(replicates):
                 drawn = np.sort(draw_indexes(int(b), n, seed, at, at + piece))
@@ -282,9 +352,76 @@ def _value_means(held: DataFrame, by: list[str], seed: int, n_boot: int, piece:
                 out.append(rows[by].assign(replicate=b, part_sum=sums[i], n=n))
             yield pd.concat(out)[[*by, "n", "replicate", "part_sum"]]
 
-    schema = ", ".join([*(f"`{k}` {dict(held.dtypes)[k]}" for k in by), "n long, replicate long, part_sum double"])
-    sums = _work(ready, F.col("n"), n_boot, piece).mapInPandas(run, schema)
-    return sums.groupBy(*by, "replicate").agg((F.sum("part_sum") / F.first("n")).alias("mean"))
+    schema = _typed(held, by, "n long, replicate long, part_sum double")
+    return _work(ready, F.col("n"), n_boot, piece).mapInPandas(run, schema)
+
+
+def rank_blocks(held: DataFrame, by: list[str], block: int) -> DataFrame:
+    """(by, n, rank_block, starts, values): the sorted units of each group in blocks of ``block`` ranks.
+
+    ``held`` has one row for each different value and how many ``times`` it occurs.  Values are dealt by ranges; the sizes of the
+    ranges give each one the rank of its first unit, and a value that spans blocks has a row in each of them.  A
+    block lists its values and where in the block each starts, so it has ``block`` entries at most.
+    """
+    spread = materialize(held.repartitionByRange(*by, "value").withColumn("range", F.spark_partition_id()), "values")
+    sizes = spread.groupBy(*by, "range").agg(F.sum("times").alias("size"))
+    ahead = Window.partitionBy(*by).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select(*by, "range", F.coalesce(F.sum("size").over(ahead), F.lit(0)).alias("before"))
+    inside = Window.partitionBy(*by, "range").orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
+    first = F.col("before") + F.coalesce(F.sum("times").over(inside), F.lit(0))
+    ranked = spread.join(offsets, [*by, "range"]).withColumn("first", first)
+    whole = F.lit(block).cast("long")
+    cut = ranked.withColumn("rank_block", F.explode(F.sequence(
+        F.floor(F.col("first") / whole), F.floor((F.col("first") + F.col("times") - 1) / whole))))
+    start = F.greatest(F.col("first") - F.col("rank_block") * whole, F.lit(0))
+    return cut.groupBy(*by, "rank_block").agg(
+        F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct(start.alias("start"), "value"))).alias("items"),
+    ).select(*by, "n", "rank_block", F.col("items.start").alias("starts"), F.col("items.value").alias("values"))
+
+
+def _means_of_many(held: DataFrame, by: list[str], seed: int, n_boot: int, piece: int, block: int) -> DataFrame:
+    """Sums of the draws of groups with many different values: drawn ranks meet the blocks of values that hold them.
+
+    A piece of draws sends each block the places that it draws there, two bytes each; the draws of one block and 50
+    replicates are ``50 x block`` places on average, whatever the size of the group.
+    """
+    blocks = materialize(rank_blocks(held, by, block), "value-blocks")
+    groups = blocks.filter("rank_block = 0").select(*by, "n")
+
+    def draw(batches):
+        for rows in _same_draws(batches):
+            n, part, at = (int(rows[c].iloc[0]) for c in ("n", "block", "at"))
+            out = {"rank_block": [], "replicate": [], "places": []}
+            for b in _replicates(part, n_boot):
+                drawn = np.sort(draw_indexes(int(b), n, seed, at, at + piece))
+                of, places = drawn // block, (drawn % block).astype("<u2")
+                edges = np.flatnonzero(np.diff(of, prepend=-1, append=of[-1] + 1))
+                for lo, hi in zip(edges[:-1], edges[1:], strict=True):
+                    out["rank_block"].append(int(of[lo]))
+                    out["replicate"].append(int(b))
+                    out["places"].append(places[lo:hi].tobytes())
+            drawn = pd.DataFrame(out)
+            for _, row in rows[by].iterrows():
+                yield drawn.assign(block=part, **row)[[*by, "block", "rank_block", "replicate", "places"]]
+
+    drawn = _work(groups, F.col("n"), n_boot, piece).mapInPandas(
+        draw, _typed(held, by, "block int, rank_block long, replicate long, places binary"))
+    met = drawn.groupBy(*by, "block", "rank_block").agg(F.collect_list(F.struct("replicate", "places")).alias("draws")).join(
+        blocks, [*by, "rank_block"])
+
+    def add(batches):
+        for batch in batches:
+            for _, row in batch.iterrows():
+                starts, values = np.asarray(row["starts"]), np.asarray(row["values"], dtype=float)
+                sums: dict[int, float] = {}
+                for d in row["draws"]:
+                    places = np.frombuffer(d["places"], "<u2")
+                    found = values[np.searchsorted(starts, places, side="right") - 1].sum()
+                    sums[d["replicate"]] = sums.get(d["replicate"], 0.0) + found
+                out = pd.DataFrame({"replicate": list(sums), "part_sum": list(sums.values())})
+                yield out.assign(n=row["n"], **row[by])[[*by, "n", "replicate", "part_sum"]]
+
+    return met.mapInPandas(add, _typed(held, by, "n long, replicate long, part_sum double"))
 
 
 def arm_pair_table(grid: DataFrame) -> DataFrame:

@@ -117,3 +117,83 @@ def test_baseline_comparison(spark):
     assert (row["ci_low"], row["ci_high"]) == (pytest.approx(low), pytest.approx(high))
     assert row["p_value"] == pytest.approx(min(1, 2 * min((means <= 0).sum(), (means >= 0).sum()) / 400))
     assert row["significant"] == (not low <= 0 <= high)
+
+
+def _values(spark, groups):
+    rows = [(g, float(v)) for g, values in groups.items() for v in values]
+    return spark.createDataFrame(rows, "g string, v double")
+
+
+def test_real_values_in_blocks_of_ranks_against_brute_force(spark):
+    rng = np.random.default_rng(5)
+    groups = {"a": rng.normal(size=1500), "b": np.round(rng.normal(size=900), 1), "c": [*rng.normal(size=40), *[0.5] * 700], "one": [3.0], "two": [1.0, 2.0]}
+    rows = {}
+    for block in (1 << 16, 64, 7):
+        got = B.bootstrap_mean(_values(spark, groups), ["g"], "v", seed=9, n_boot=120, block=block, piece=333)
+        rows[block] = {r["g"]: r for r in got.collect()}
+    for g, values in groups.items():
+        v = np.sort(values)
+        means = np.sort([v[B.draw_indexes(b, len(v), 9)].mean() for b in range(120)]) if len(v) > 1 else [v[0]] * 120
+        for block, found in rows.items():
+            assert found[g]["n"] == len(v) and found[g]["point_estimate"] == pytest.approx(v.mean())
+            assert found[g]["ci_low"] == pytest.approx(means[int(0.025 * 119)]), (g, block)
+            assert found[g]["ci_high"] == pytest.approx(means[int(0.975 * 119)]), (g, block)
+
+
+def test_no_block_of_ranks_holds_more_than_its_size(spark):
+    values = _values(spark, {"a": np.arange(5000) % 3700, "b": np.arange(900)})
+    held = values.groupBy("g", "v").count().selectExpr("g", "v as value", "count as times", "case g when 'a' then 5000 else 900 end as n")
+    blocks = B.rank_blocks(held, ["g"], 256).collect()
+    assert sorted((r["g"], r["rank_block"]) for r in blocks) == [*(("a", k) for k in range(20)), *(("b", k) for k in range(4))]
+    assert all(len(r["values"]) <= 256 and r["starts"][0] == 0 for r in blocks)
+    expected = np.sort(np.arange(5000) % 3700)
+    for r in blocks:
+        if r["g"] == "a":
+            assert r["values"][0] == expected[256 * r["rank_block"]]
+
+
+def test_ten_million_different_values_in_one_group(spark):
+    n = 10_000_000
+    values = spark.range(n).selectExpr("'x' as g", "cast(id as double) as v")
+    row = B.bootstrap_mean(values, ["g"], "v", seed=3, n_boot=3).first()
+    means = np.sort([B.draw_indexes(b, n, 3).mean() for b in range(3)])
+    assert row["n"] == n and row["point_estimate"] == pytest.approx((n - 1) / 2)
+    assert (row["ci_low"], row["ci_high"]) == (pytest.approx(means[0]), pytest.approx(means[int(0.975 * 2)]))
+
+
+def _case_records(spark, outcomes):
+    """outcomes: per case, whether each target is right under D and under C."""
+    rows = []
+    for k, targets in enumerate(outcomes):
+        for t, (d, c) in zip("TNM", targets, strict=False):
+            rows += [record(f"c{k}", arm, t, gold=f"{t}1", pred=f"{t}1" if right else f"{t}2") for arm, right in ((D, d), (C, c))]
+    return records(spark, rows)
+
+
+def _clustered(outcomes, seed, n_boot):
+    totals = sorted(((-sum(d - c for d, c in case), len(case)) for case in outcomes))
+    total, size = -np.array([t for t, _ in totals]), np.array([s for _, s in totals])
+    drawn = [B.draw_indexes(b, len(totals), seed) for b in range(n_boot)]
+    return np.sort([total[x].sum() / size[x].sum() for x in drawn])
+
+
+def test_clusters_carry_all_their_units(spark):
+    rng = np.random.default_rng(2)
+    outcomes = [[(bool(a), bool(b)) for a, b in rng.integers(0, 2, (rng.integers(1, 4), 2))] for _ in range(60)]
+    recs = _case_records(spark, outcomes)
+    got = {(r["scope"], r["metric"]): r for r in B.comparison_grid(recs, pairs=[(D, C)], cluster="case_id", seed=4, n_boot=150, piece=17).collect()}
+    row, means = got[("overall", "accuracy")], _clustered(outcomes, 4, 150)
+    assert row["n_paired_cases"] == sum(map(len, outcomes))
+    assert (row["ci_low"], row["ci_high"]) == (pytest.approx(means[int(0.025 * 149)]), pytest.approx(means[int(0.975 * 149)]))
+
+
+def test_clusters_of_one_unit_draw_as_units_do_and_correlated_targets_widen_the_interval(spark):
+    outcomes = [[(k % 3 != 0, k % 2 == 0)] * 3 for k in range(80)]  # all targets of a case agree
+    recs = _case_records(spark, outcomes)
+    options = {"pairs": [(D, C)], "seed": 4, "n_boot": 300}
+    units = {(r["scope"], r["metric"]): r for r in B.comparison_grid(recs, **options).collect()}
+    cases = {(r["scope"], r["metric"]): r for r in B.comparison_grid(recs, cluster="case_id", **options).collect()}
+    assert set(units) == set(cases) and all(units[k] == cases[k] for k in units if k[0] != "overall")
+    wide, narrow = (r[("overall", "accuracy")] for r in (cases, units))
+    assert wide["diff"] == narrow["diff"]
+    assert wide["ci_high"] - wide["ci_low"] > 1.3 * (narrow["ci_high"] - narrow["ci_low"])
