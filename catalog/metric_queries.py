@@ -85,6 +85,27 @@ def _(spark, d):
     return bundle(spark, d)
 
 
+_TYPE = "CASE WHEN source <> 'src3' THEN 'P-' || source END"
+_SPLIT_COUNTS = ", ".join(f"count(*) FILTER (WHERE {c}) AS {n}" for n, c in _COUNTS.items())
+
+
+@query("a17_metric_splits", with_records(f"""
+    SELECT arm, target, difficulty, cancer_type, pooled_target, pooled_difficulty, pooled_cancer_type, n_total, n_evaluable, n_asserted,
+      {', '.join(f'{e} AS {m}' for m, e in BUNDLE.items())}
+    FROM (SELECT arm, target, difficulty, cancer_type, grouping(target) = 1 AS pooled_target, grouping(difficulty) = 1 AS pooled_difficulty,
+            grouping(cancer_type) = 1 AS pooled_cancer_type, {_SPLIT_COUNTS}
+          FROM (SELECT r.*, CASE WHEN CASE r.target WHEN 'T' THEN easy_T WHEN 'N' THEN easy_N ELSE easy_M END THEN 'easy' ELSE 'hard' END AS difficulty,
+                  {_TYPE} AS cancer_type
+                FROM records r JOIN feat f ON f.case_id = r.case_id JOIN (SELECT case_id, source FROM rep) p ON p.case_id = r.case_id)
+          GROUP BY arm, CUBE (target, difficulty, cancer_type))"""),
+       bools="pooled_target pooled_difficulty pooled_cancer_type", doubles=_DOUBLES)
+def _(spark, d):
+    """Easy and hard reports and types of cancer; some reports have no type, which is no subtotal."""
+    reports = V.reports(spark, d).withColumn("type", F.when(F.col("source") != "src3", F.concat(F.lit("P-"), F.col("source"))))
+    rows = V.records(spark, d).join(metrics.case_splits(reports, "type"), ["case_id", "target"])
+    return metrics.split_metrics(rows, ["difficulty", "cancer_type"])
+
+
 _TABLE = """SELECT arm, target, n_evaluable, accuracy, semantic_supported_accuracy_over_evaluable AS semantic_supported_accuracy,
   span_unsupported_rate_over_evaluable AS span_unsupported_rate,
   semantic_unsupported_rate_over_evaluable AS semantic_unsupported_rate, abstention_rate, coverage FROM bundle"""

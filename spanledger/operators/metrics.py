@@ -6,11 +6,14 @@ pooled rows are sums of that small result, not a second pass over the records.
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spanledger import constants as K
 from spanledger.functions.formats import ratio
+from spanledger.functions.labels import has_explicit_token
 
 OVERALL = "overall"
 
@@ -100,6 +103,33 @@ def metrics(records: DataFrame, keys: list[str] | None = None) -> DataFrame:
     return add_metrics(roll_up(counts, keys, numbers))
 
 
+def case_splits(reports: DataFrame, cancer_type: str) -> DataFrame:
+    """(case_id, target, difficulty, cancer_type): ``easy`` where the report names some stage of the target, else ``hard``.
+
+    One row per case and target; the text is read once and goes no further.  A NULL text has no difficulty.
+    """
+    tags = F.explode(F.array(*(F.struct(
+        F.lit(t).alias("target"),
+        F.when(has_explicit_token(F.col("text"), t), "easy").when(F.col("text").isNotNull(), "hard").alias("difficulty"),
+    ) for t in K.TARGETS))).alias("t")
+    return reports.select("case_id", F.col(cancer_type).alias("cancer_type"), tags).select("case_id", "t.*", "cancer_type")
+
+
+def split_metrics(records: DataFrame, splits: list[str], keys: list[str] | None = None) -> DataFrame:
+    """Metric bundle per arm for every combination of target and ``splits``, with all subtotals.
+
+    The records are counted once, by the finest combination; one CUBE sums these counts.  ``pooled_*`` says which columns
+    a row sums over, so a value that is missing in the data and a subtotal stay apart, though both are NULL.
+    """
+    keys, axes = keys or ["arm"], ["target", *splits]
+    counts = metric_counts(records, [*keys, *axes])
+    numbers = [c for c in counts.columns if c.startswith("n_")]
+    sets = [[*keys, *chosen] for n in range(len(axes) + 1) for chosen in combinations(axes, n)]
+    cube = counts.groupingSets([[F.col(c) for c in s] for s in sets], *(F.col(c) for c in (*keys, *axes)))
+    summed = cube.agg(*(F.sum(c).alias(c) for c in numbers), *((F.grouping(c) == 1).alias(f"pooled_{c}") for c in axes))
+    return add_metrics(summed)
+
+
 def comparison_table(bundle: DataFrame, target: str | None = None) -> DataFrame:
     """Headline columns per arm for one scope, or for all scopes."""
     rows = bundle if target is None else bundle.filter(F.col("target") == target)
