@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -70,10 +69,7 @@ def curated_examples(
             first.select("case_id", "target", "tags", F.lit("").alias("tag"), F.lit(1).cast("long").alias("pool"))
         )
 
-    def choose(candidate_rows: pd.DataFrame) -> pd.DataFrame:
-        return _greedy(candidate_rows, dict(quotas))
-
-    chosen = candidates.groupBy(F.lit("all")).applyInPandas(choose, "position long, case_id string, target string")
+    chosen = _choose(candidates, quotas)
     out = chosen.join(tagged, ["case_id", "target"])
     report = []
     if reports is not None:
@@ -88,19 +84,31 @@ def curated_examples(
     )
 
 
-def _greedy(rows: pd.DataFrame, quotas: dict[str, int]) -> pd.DataFrame:
-    """Fill the quotas in order: first one case of every target, then the rest in pool order."""
-    rows = rows.sort_values(["target", "case_id"])
-    tags_of = {(r.case_id, r.target): set(r.tags) for r in rows.itertuples()}
-    chosen = [(r.case_id, r.target) for r in rows[rows["tag"] == ""].itertuples()]
-    for tag, quota in quotas.items():
-        of_tag = rows[rows["tag"] == tag]
-        open_keys = [(r.case_id, r.target) for r in of_tag.itertuples() if (r.case_id, r.target) not in chosen]
-        size = int(of_tag["pool"].max()) if len(of_tag) else 0
-        scarce = size - sum(tag in tags_of[k] for k in chosen) <= quota
-        turns = pd.Series([k[1] for k in open_keys], dtype=object).groupby(lambda i: open_keys[i][1]).cumcount()
-        order = sorted(range(len(open_keys)), key=lambda i: (not scarce and turns[i] > 0, i))
-        chosen += [open_keys[i] for i in order[:quota]]
-    return pd.DataFrame(
-        [(i, case, target) for i, (case, target) in enumerate(chosen)], columns=["position", "case_id", "target"]
-    )
+def _choose(candidates: DataFrame, quotas) -> DataFrame:
+    """(position, case_id, target): the quotas filled in order, one ranked round for each tag.
+
+    A round ranks the cases of its tag that no earlier round took: first one case of every target, then the rest, by target and
+    case; a scarce tag (no more cases than its quota) goes straight through.  Only the bounded candidates are ranked.
+    """
+    state = candidates.groupBy("case_id", "target").agg(
+        F.first("tags").alias("tags"), F.collect_set("tag").alias("candidate_for"),
+        F.map_from_entries(F.collect_list(F.struct("tag", "pool"))).alias("pools"))
+    given = F.array_contains("candidate_for", "")
+    state = state.select("*", F.when(given, 0).alias("round"), F.when(given, 1).alias("place"))
+    everyone = Window.partitionBy()
+    for number, (tag, quota) in enumerate(quotas, 1):
+        taken = F.count_if(F.col("round").isNotNull() & F.array_contains("tags", tag)).over(everyone)
+        pool = F.coalesce(F.max(F.try_element_at("pools", F.lit(tag))).over(everyone), F.lit(0))
+        state = state.select("*", (F.col("round").isNull() & F.array_contains("candidate_for", tag)).alias("open"),
+                             (pool - taken <= quota).alias("scarce"))
+        turn = F.row_number().over(Window.partitionBy("open", "target").orderBy("case_id"))
+        state = state.withColumn("later", ~F.col("scarce") & (turn > 1))
+        rank = F.row_number().over(Window.partitionBy("open").orderBy("later", "target", "case_id"))
+        state = state.withColumn("rank", rank)
+        picked = F.col("open") & (F.col("rank") <= quota)
+        state = state.select("case_id", "target", "tags", "candidate_for", "pools",
+                             F.when(picked, number).otherwise(F.col("round")).alias("round"),
+                             F.when(picked, F.col("rank")).otherwise(F.col("place")).alias("place"))
+    order = Window.orderBy("round", "place")
+    return state.filter("round is not null").select(
+        (F.row_number().over(order) - 1).cast("long").alias("position"), "case_id", "target")
