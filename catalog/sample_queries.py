@@ -15,7 +15,9 @@ from spanledger.functions.formats import p_value_display
 from spanledger.functions.labels import has_explicit_token, legacy_from_arm
 from spanledger.operators import audit, dataset, examples, resample, sampling
 from spanledger.operators.records import case_indicators
-from spanledger.session import materialize
+from spanledger.plans import audits
+from spanledger.session import materialize, scratch_path
+from spanledger.sources import jsonl
 
 SEED, N_BOOT = 42, 200
 
@@ -382,6 +384,26 @@ _PAIRS = """(SELECT unnest(['overall', target]) AS scope, 'evidence_span_found'
   UNION ALL SELECT unnest(['overall', target]), 'semantic_support', sem, h_sem FROM reviews)"""
 
 
+_SHEET_PAIRS = """(SELECT unnest(['overall', target]) AS scope, field, a, h FROM (
+  SELECT target, 'evidence_span_found' AS field, span AS a, CASE WHEN evidence IS NOT NULL THEN length(evidence) % 3 <> 0 END AS h FROM named
+  UNION ALL SELECT target, 'semantic_support', sem, CASE WHEN evidence IS NOT NULL THEN prediction <> 'INVALID' AND length(evidence) % 2 = 0 END FROM named))"""
+
+
+@query("b12_audit_job", with_records(agreement_sql("a", "h", _SHEET_PAIRS, "scope, field"), _PATTERNS, _SAMPLE, _NAMED), doubles=_AGREE_DOUBLES)
+def _(spark, d):
+    """The job draws the sample and writes the bundle; the sheet is filled in by what a reviewer sees; the job scores it."""
+    output = scratch_path(spark, "audit-job")
+    audits.build(materialize(V.records(spark, d), "records"), V.reports(spark, d), COUNTS, SEED, output)
+    sheet = jsonl.read_audit(spark, f"{output}/reviewer")
+    seen = F.col("evidence").isNotNull()
+    filled = sheet.withColumns({
+        "human_evidence_span_found": F.when(seen, F.length("evidence") % 3 != 0),
+        "human_semantic_support": F.when(seen, (F.col("prediction") != "INVALID") & (F.length("evidence") % 2 == 0)),
+    })
+    jsonl.write_lines(filled, f"{output}/filled")
+    return audits.score(spark, f"{output}/filled", f"{output}/key", output=f"{output}/scores").agreement
+
+
 @query("a36_review_scores", with_records(agreement_sql("a", "h", _PAIRS, "scope, field"), _PATTERNS, REVIEWS), doubles=_AGREE_DOUBLES)
 def _(spark, d):
     return audit.review_scores(V.reviews(spark, d))
