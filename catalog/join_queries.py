@@ -17,7 +17,7 @@ from catalog.scalar_queries import raw_sql
 from spanledger import constants as K
 from spanledger.operators import classify, dataset, records as R, resample
 from spanledger.session import scratch_path
-from spanledger.streaming import resume
+from spanledger.streaming import requests, resume
 
 
 def registry_sql(target: str) -> str:
@@ -210,6 +210,43 @@ def _(spark, d):
     return _values(resume.run_rounds(texts, K.STUDY_ARMS, path, token_scorer))
 
 
+@query("k1_request_stream", with_views(_SCORED.replace("{arms}", ", ".join(f"({lit(a)})" for a in K.STUDY_ARMS))), bools="invalid")
+def _(spark, d):
+    """Requests of all arms as files of a stream; every ninth text is throttled in the first round and queued again."""
+    queue, path, state = (scratch_path(spark, name) for name in ("queue", "stream-results", "stream-state"))
+    requests.add_requests(V.reports(spark, d).select("case_id", "text"), K.STUDY_ARMS, queue)
+
+    def throttled(arm: str, report: str) -> str:
+        if len(report) % 9 == 0:
+            raise resume.RetryLater("slow down")
+        return token_scorer(arm, report)
+
+    with contextlib.suppress(resume.Unfinished):
+        requests.score_stream(spark, queue, path, state, throttled, max_rounds=1)
+    return _values(requests.score_stream(spark, queue, path, state, token_scorer))
+
+
+_HELD_OUT = "held AS (SELECT case_id, gold_T, gold_N, gold_M FROM rep WHERE doc_id % 10 >= 7 AND doc_id % 2 = 0)"
+
+
+@query("s3_leak_free_overlap", with_views("""SELECT 'T' AS target, case_id, gold_T AS gold FROM held WHERE gold_T IS NOT NULL
+    UNION ALL SELECT 'N', case_id, gold_N FROM held WHERE gold_N IS NOT NULL
+    UNION ALL SELECT 'M', case_id, gold_M FROM held WHERE gold_M IS NOT NULL""", _HELD_OUT))
+def _(spark, d):
+    """Overlap lists of all targets: sampled cases that the classifier held out, none of which it was trained on."""
+    ids = V.reports_with_number(spark, d).select("case_id", (F.col("doc_id") % 10).alias("part"), (F.col("doc_id") % 2).alias("odd"))
+    golds = dataset.long_gold(V.reports(spark, d)).filter("gold is not null")
+    sampled = golds.join(ids.filter("odd = 0").select("case_id"), "case_id", "left_semi")
+    return dataset.overlap_lists(sampled, ids.filter("part >= 7"), ids.filter("part < 7")).select("target", "case_id", "gold")
+
+
+@query("s3_overlap_leaks", with_views("SELECT case_id FROM rep WHERE doc_id % 10 >= 7 AND doc_id % 7 < 3"))
+def _(spark, d):
+    """The held-out cases that a careless split left in the train list."""
+    ids = V.reports_with_number(spark, d).select("case_id", (F.col("doc_id") % 10).alias("part"), (F.col("doc_id") % 7).alias("seventh"))
+    return dataset.overlap_leaks(ids.filter("part >= 7"), ids.filter("seventh < 3"))
+
+
 def _outcome_scorer(arm: str, report: str) -> str:
     size = len(report) % 10
     if size == 0:

@@ -95,6 +95,25 @@ def with_text(rows: DataFrame, reports: DataFrame) -> DataFrame:
     )
 
 
+def overlap_leaks(overlap: DataFrame, train: DataFrame) -> DataFrame:
+    """The ids of ``overlap`` that ``train`` holds too.
+
+    Train ids are first met by 8-byte keys; whole ids are compared only where a key agrees.
+    """
+    keys = overlap.select(F.xxhash64("case_id").alias("_key")).distinct()
+    alike = train.select("case_id", F.xxhash64("case_id").alias("_key")).join(keys, "_key", "left_semi")
+    return overlap.join(alike, "case_id", "left_semi").select("case_id").distinct()
+
+
+def overlap_lists(sampled: DataFrame, held_out: DataFrame, train: DataFrame) -> DataFrame:
+    """Sampled rows (case_id and any columns) whose case is held out; a case that is in ``train`` fails the job."""
+    overlap = sampled.join(held_out.select("case_id").distinct(), "case_id", "left_semi")
+    leaks = overlap_leaks(overlap, train).withColumn("_leak", F.lit(True))
+    failed = F.raise_error(F.concat(F.lit("a train case is in the overlap: "), F.col("case_id"))).cast("boolean")
+    marked = overlap.join(leaks, "case_id", "left").withColumn("_leak", F.when(F.col("_leak"), failed).otherwise(False))
+    return marked.filter(~F.col("_leak")).drop("_leak")
+
+
 def cases_by_arms(cases: DataFrame, arms: tuple[str, ...]) -> DataFrame:
     """All (case, arm) requests; the arms are a literal list, so nothing is shuffled."""
     return cases.withColumn("arm", F.explode(F.array(*(F.lit(a) for a in arms))))
