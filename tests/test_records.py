@@ -10,18 +10,18 @@ from spanledger.operators import records as R
 from spanledger.session import scratch_path
 from spanledger.sources import jsonl
 
-REPORT = "Primary tumor pT3 invades pericolic fat. No distant metastasis identified (pM0). Nodes 0/12."
+REPORT = "Sigmoid resection, 14 cm. The growth is staged pT2 and reaches the muscle coat; margins clear. Two of nine nodes hold tumour. Scan: M0."
 CASES = [  # raw, evidence, target, gold, shape_valid -> prediction, correct, abstained, span, support, errors
-    ("T3", "pT3 invades pericolic fat", "T", "T3", True, ("T3", True, False, True, True, [])),
-    ("M1", "pM0", "M", "M0", True, ("M1", False, False, True, False, ["evidence_does_not_support_prediction", "wrong_stage_with_supporting_evidence"])),
-    ("N0", None, "N", None, True, ("N0", None, False, False, False, ["evidence_span_not_found"])),
-    ("unknown", None, "M", "M0", True, ("unknown", False, True, None, None, ["over_abstention", "missed_explicit_stage"])),
-    (None, None, "N", "N2", True, ("unknown", False, True, None, None, [])),
-    ("T3", "pT3", "T", "T3", False, ("INVALID", False, False, False, False, ["invalid_schema_output"])),
-    ("garbage", "pT3", "T", "T3", True, ("INVALID", False, False, True, False, ["invalid_normalization"])),
-    ("M1", "widespread deposits", "M", "M0", True, ("M1", False, False, False, False, ["evidence_span_not_found", "hallucinated_stage"])),
-    ("T3", "Nodes 0/12", "T", "T3", True, ("T3", True, False, True, False, ["evidence_does_not_support_prediction"])),
     ("M0", None, "M", "M0", True, ("M0", True, False, False, False, ["evidence_span_not_found"])),
+    ("T2", "staged pT2 and reaches the muscle coat", "T", "T2", True, ("T2", True, False, True, True, [])),
+    ("T2", "margins clear", "T", "T2", True, ("T2", True, False, True, False, ["evidence_does_not_support_prediction"])),
+    ("N3", None, "N", None, True, ("N3", None, False, False, False, ["evidence_span_not_found"])),
+    (None, None, "N", "N1", True, ("unknown", False, True, None, None, [])),
+    ("T2", "staged pT2", "T", "T2", False, ("INVALID", False, False, False, False, ["invalid_schema_output"])),
+    ("bulky", "staged pT2", "T", "T2", True, ("INVALID", False, False, True, False, ["invalid_normalization"])),
+    ("unknown", None, "M", "M0", True, ("unknown", False, True, None, None, ["over_abstention", "missed_explicit_stage"])),
+    ("M1", "Scan: M0", "M", "M0", True, ("M1", False, False, True, False, ["evidence_does_not_support_prediction", "wrong_stage_with_supporting_evidence"])),
+    ("M1", "nodules all over the liver", "M", "M0", True, ("M1", False, False, False, False, ["evidence_span_not_found", "hallucinated_stage"])),
 ]
 
 
@@ -43,7 +43,7 @@ def test_build_record_rules(spark):
         assert (r["prediction"], r["correct"], r["abstained"], r["evidence_span_found"],
                 r["evidence_semantically_supports_prediction"], r["errors"]) == case[-1], case
     assert got["c5"]["raw_model_output"] == {} and got["c5"]["evidence"] is None
-    assert got["c0"]["raw_model_output"] == {"value": "T3", "evidence": "pT3 invades pericolic fat", "confidence": "high", "reason": None}
+    assert got["c2"]["raw_model_output"] == {"value": "T2", "evidence": "margins clear", "confidence": "high", "reason": None}
 
 
 def test_rescore_touches_one_column(spark):
@@ -163,9 +163,9 @@ def test_json_arrays(spark, tmp_path):
 
 def test_one_case_with_most_rows(spark):
     """A hot case must not change any row (the join may split it)."""
-    texts = reports(spark, [("hot", REPORT, "T3", None, "M0"), ("cold", "nothing here", "T3", None, None)])
-    hot = [("hot", f"arm{i}", "T", "T3", "pT3 invades") for i in range(3000)]
-    rows = R.build_records(texts, responses(spark, hot + [("cold", "arm0", "T", "T3", "pT3")]))
+    texts = reports(spark, [("hot", REPORT, "T2", None, "M0"), ("cold", "nothing here", "T2", None, None)])
+    hot = [("hot", f"arm{i}", "T", "T2", "staged pT2") for i in range(3000)]
+    rows = R.build_records(texts, responses(spark, hot + [("cold", "arm0", "T", "T2", "pT2")]))
     assert rows.count() == 3001
     assert rows.filter("case_id = 'hot' and evidence_span_found and correct").count() == 3000
     assert rows.filter("case_id = 'cold' and not evidence_span_found and array_contains(errors, 'evidence_span_not_found')").count() == 1
