@@ -210,6 +210,17 @@ def _(spark, d):
     return _values(resume.run_rounds(texts, K.STUDY_ARMS, path, token_scorer))
 
 
+@query("k1_compacted_checkpoint", with_views(_SCORED.replace("{arms}", ", ".join(f"({lit(a)})" for a in K.STUDY_ARMS))), bools="invalid")
+def _(spark, d):
+    """The arms one after the other, each round followed by a merge of its batch; merged batches are then removed."""
+    path = scratch_path(spark, "compacted")
+    texts = V.reports(spark, d).select("case_id", "text")
+    for n in range(1, len(K.STUDY_ARMS) + 1):
+        resume.run_rounds(texts, K.STUDY_ARMS[:n], path, token_scorer, compact_every=1)
+    resume.drop_merged(spark, path)
+    return _values(resume.read_checkpoint(spark, path))
+
+
 @query("k1_request_stream", with_views(_SCORED.replace("{arms}", ", ".join(f"({lit(a)})" for a in K.STUDY_ARMS))), bools="invalid")
 def _(spark, d):
     """Requests of all arms as files of a stream; every ninth text is throttled in the first round and queued again."""

@@ -168,6 +168,18 @@ def _(spark, d):
     return documents.case_summaries(_case_dataset(spark, d))
 
 
+@query("s17_case_lookup", with_boundary(f"""SELECT case_id AS id, max(gold) AS gold_M, """ + ", ".join(
+    f"max(value_norm) FILTER (WHERE letter = '{a}') AS {a}_M, max(boundary_tag) FILTER (WHERE letter = '{a}') AS {a}_tag" for a in K.LEGACY_ARMS)
+    + f""" FROM (SELECT *, {_LETTER_OR_ARM} AS letter FROM bnd WHERE target = 'M')
+    WHERE case_id IN (SELECT 'D' || lpad(CAST(doc_id AS VARCHAR), 12, '0') FROM labels WHERE toxic = 1) GROUP BY case_id"""))
+def _(spark, d):
+    """Cases of labelled documents, looked up in a store that is laid out by the hash of the id."""
+    path = scratch_path(spark, "case-store")
+    documents.write_case_store(_case_dataset(spark, d), path, buckets=64)
+    ids = V.table(spark, d, "labels").filter("toxic = 1").select(F.expr(V.CASE_ID).alias("patient_id"))
+    return documents.case_summaries(documents.look_up_cases(documents.read_case_store(spark, path), ids))
+
+
 @query("s13_csv_table", with_records("SELECT arm, target, n_evaluable, accuracy, coverage FROM bundle", _BUNDLE), doubles="accuracy coverage")
 def _(spark, d):
     path = scratch_path(spark, "table-csv")

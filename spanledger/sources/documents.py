@@ -56,6 +56,35 @@ def get_case(cases: DataFrame, case_id: str) -> DataFrame:
     return cases.filter(F.col("patient_id") == case_id)
 
 
+def write_case_store(cases: DataFrame, path: str, buckets: int = 256) -> None:
+    """Cases laid out for lookups by id: a folder per hash bucket, parquet with Bloom filters on the id.
+
+    The number of buckets stands in the path, so a reader needs no parameter.
+    """
+    bucket = F.pmod(F.xxhash64("patient_id"), F.lit(buckets)).cast("int")
+    laid = cases.withColumns({"buckets": F.lit(buckets), "bucket": bucket}).repartition("bucket").sortWithinPartitions("bucket", "patient_id")
+    laid.write.mode("overwrite").partitionBy("buckets", "bucket").option("parquet.bloom.filter.enabled#patient_id", "true").option(
+        "parquet.bloom.filter.expected.ndv#patient_id", "100000").parquet(path)
+
+
+def read_case_store(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path)
+
+
+def look_up_case(store: DataFrame, case_id: str) -> DataFrame:
+    """One case out of a store: the condition on the bucket prunes all other folders before a file is opened."""
+    at = F.pmod(F.xxhash64(F.lit(case_id)), F.col("buckets")).cast("int")
+    return store.filter((F.col("bucket") == at) & (F.col("patient_id") == case_id)).drop("buckets", "bucket")
+
+
+def look_up_cases(store: DataFrame, ids: DataFrame) -> DataFrame:
+    """Many cases (ids: patient_id): joined on the bucket too, so few ids prune folders while the job runs."""
+    first = store.select("buckets").first()
+    at = F.pmod(F.xxhash64("patient_id"), F.lit(first["buckets"] if first else 1)).cast("int")
+    wanted = ids.select("patient_id", at.alias("bucket")).distinct()
+    return store.join(wanted, ["bucket", "patient_id"], "left_semi").drop("buckets", "bucket")
+
+
 def case_summaries(cases: DataFrame, target: str = "M") -> DataFrame:
     """Triage rows out of case documents."""
     def at(arm: str, name: str) -> Column:

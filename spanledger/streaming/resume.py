@@ -8,7 +8,9 @@ and leaves no half-written rows, and a later run continues from the committed ba
 from __future__ import annotations
 
 import time
+import uuid
 from collections.abc import Callable, Iterator, Sequence
+from functools import reduce
 
 import pandas as pd
 from pyspark.errors import AnalysisException
@@ -85,13 +87,16 @@ def to_results(scored: DataFrame) -> DataFrame:
     )
 
 
-def _lines(spark: SparkSession, path: str) -> DataFrame | None:
+def _lines(spark: SparkSession, path: str, after: int | None = None) -> DataFrame | None:
     """All lines of a checkpoint with their folder columns, None when nothing is there.
 
-    A plain file or folder of lines has no such columns: its rows are finished and come before any batch.
+    A plain file or folder of lines has no such columns: its rows are finished and come before any batch.  With
+    ``after`` only later batches are read, as folders.
     """
     try:
         lines = spark.read.schema(f"{CHECKPOINT}, batch int, outcome string").json(path)
+        if after is not None:
+            lines = lines.filter(F.col("batch") > after)
     except AnalysisException as error:
         if error.getCondition() == "PATH_NOT_FOUND":
             return None
@@ -114,22 +119,72 @@ def _last_batch(spark: SparkSession, path: str) -> tuple[int, bool]:
     return (last["batch"], last["refused"]) if last else (-1, False)
 
 
+def _live(spark: SparkSession, path: str) -> tuple[str, int] | None:
+    """The compacted run that stands for all batches up to a number: (folder, number).  The newest entry counts."""
+    try:
+        last = spark.read.schema("run string, upto int").json(f"{path}/_live/*").orderBy(F.desc("upto"), F.desc("run")).first()
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        last = None
+    return (last["run"], last["upto"]) if last else None
+
+
 def read_checkpoint(spark: SparkSession, path: str, earlier: str | None = None) -> DataFrame:
     """Latest result per (case_id, arm); an absent checkpoint is empty.
 
     ``path`` may be a folder of batches or plain lines.  ``earlier`` names plain lines that count as
-    older than all batches.
+    older than all batches.  Batches that a compacted run stands for are not read.
     """
-    found = [lines for p in (earlier, path) if p is not None and (lines := _lines(spark, p)) is not None]
+    found = [] if earlier is None or (old := _lines(spark, earlier)) is None else [old.withColumn("batch", F.lit(-3))]
+    live = _live(spark, path)
+    if live and (run := _lines(spark, live[0])) is not None:
+        found.append(run.withColumn("batch", F.lit(-2)))
+    if (lines := _lines(spark, path, live[1] if live else None)) is not None:
+        found.append(lines)
     if not found:
         return spark.createDataFrame([], CHECKPOINT)
-    lines = found[0] if len(found) == 1 else found[0].withColumn("batch", F.lit(-2)).unionByName(found[1])
+    lines = reduce(DataFrame.unionByName, found)
     ordered = lines.filter(F.col("outcome") == DONE).withColumn("place", F.struct("batch", "place"))
     return last_row_per_key(ordered.drop("batch", "outcome"), ["case_id", "arm"], "place").select(
         "case_id", "arm", "invalid", "raw", "extraction"
     )
 
 
+def compact(spark: SparkSession, path: str) -> None:
+    """Merge all committed batches into one run with the latest result of each key.
+
+    The run is written first; the entry that makes it live is one small file, which its commit moves into place.
+    Whoever reads before that sees the batches, whoever reads after it the run and later batches, so a crash at any
+    point loses nothing.  Merged batches stay on disk until ``drop_merged``.
+    """
+    last, live = _last_batch(spark, path)[0], _live(spark, path)
+    if last < 0 or live and live[1] >= last:
+        return
+    run = f"{path}/_runs/{last:09d}-{uuid.uuid4().hex}"
+    read_checkpoint(spark, path).sortWithinPartitions("case_id", "arm").write.option("ignoreNullFields", False).json(run)
+    _make_live(spark, path, run, last)
+
+
+def _make_live(spark: SparkSession, path: str, run: str, upto: int) -> None:
+    spark.createDataFrame([(run, upto)], "run string, upto int").coalesce(1).write.mode("overwrite").json(f"{path}/_live/{upto:09d}")
+
+
+def drop_merged(spark: SparkSession, path: str) -> list[int]:
+    """Remove the folders of batches that the live run stands for; returns their numbers.  For times without readers."""
+    live = _live(spark, path)
+    if live is None:
+        return []
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    files = hadoop.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    gone = []
+    for status in files.globStatus(hadoop.Path(f"{path}/batch=*")):
+        number = int(status.getPath().getName().split("=")[1])
+        if number <= live[1] and files.delete(status.getPath(), True):
+            gone.append(number)
+    return sorted(gone)
+
+
 def append_results(results: DataFrame, path: str, batch: int) -> None:
     """Commit one batch: finished rows, and a marker for requests that were refused for good."""
     folder = f"{path}/batch={batch}"
@@ -161,6 +216,7 @@ def pending_requests(reports: DataFrame, arms: Sequence[str], done: DataFrame |
 def run_rounds(
     reports: DataFrame, arms: Sequence[str], path: str, scorer: Callable[[str, str], str], *,
     max_rounds: int = 20, parallelism: int | None = None, pause_seconds: float = 0.0, earlier: str | None = None,
+    compact_every: int = 8,
 ) -> DataFrame:
     """Score every (report, arm) until none is left; Unfinished is raised if the rounds are used up before.
 
@@ -185,6 +241,8 @@ def run_rounds(
         if _last_batch(spark, path)[1]:
             raise Exhausted("the scorer refused for good; finished rows are in the checkpoint")
         batch += 1
+        if batch % compact_every == 0:
+            compact(spark, path)
     raise Unfinished(f"requests are left after {max_rounds} rounds; finished rows are in the checkpoint")
 
 

@@ -126,3 +126,51 @@ def test_checkpoint_becomes_long_responses(spark):
     done = _run(spark, scratch_path(spark, "checkpoint"), n=1, scorer=lambda a, t: _answer() if a == ARMS[0] else "x")
     rows = {(r["arm"], r["target"]): (r["raw_value"], r["shape_valid"]) for r in resume.checkpoint_responses(done).collect()}
     assert rows[(ARMS[0], "N")] == ("T2", True) and rows[(ARMS[1], "T")] == (None, False) and len(rows) == 6
+
+
+def _batches(spark, path, values, n=3):
+    for batch, value in enumerate(values):
+        scored = resume.score_with(cases_by_arms(_reports(spark, n), ARMS), lambda a, t, v=value: _answer(v))
+        resume.append_results(resume.to_results(scored), path, batch)
+
+
+def _found(spark, path):
+    return {(k, r["extraction"]["T_stage"]["value"]) for k, r in _rows(resume.read_checkpoint(spark, path)).items()}
+
+
+def test_compaction_keeps_the_last_result_and_reads_the_run_alone(spark):
+    path = scratch_path(spark, "checkpoint")
+    _batches(spark, path, ("T1", "T2", "T3"))
+    before = _found(spark, path)
+    resume.compact(spark, path)
+    resume.compact(spark, path)  # nothing new: no second run
+    assert _found(spark, path) == before and len(spark.read.json(f"{path}/_live/*").collect()) == 1
+    assert resume.drop_merged(spark, path) == [0, 1, 2] and _found(spark, path) == before
+    scored = resume.score_with(cases_by_arms(_reports(spark, 1), ARMS), lambda a, t: _answer("T4"))
+    resume.append_results(resume.to_results(scored), path, 3)
+    assert {v for (case, _), v in _found(spark, path) if case == "c0"} == {"T4"} and len(_found(spark, path)) == 6
+    resume.compact(spark, path)
+    assert {v for (case, _), v in _found(spark, path) if case == "c0"} == {"T4"} and len(_found(spark, path)) == 6
+    assert spark.read.text(resume._live(spark, path)[0]).count() == 6  # bounded by the keys, whatever the batches
+
+
+def test_a_crash_between_the_run_and_the_swap_loses_nothing(spark, monkeypatch):
+    path = scratch_path(spark, "checkpoint")
+    _batches(spark, path, ("T1", "T2"))
+
+    def crash(*args):
+        raise RuntimeError("killed")
+
+    with monkeypatch.context() as m, pytest.raises(RuntimeError):
+        m.setattr(resume, "_make_live", crash)
+        resume.compact(spark, path)
+    assert {v for _, v in _found(spark, path)} == {"T2"} and resume.drop_merged(spark, path) == []
+    resume.compact(spark, path)
+    assert {v for _, v in _found(spark, path)} == {"T2"}
+
+
+def test_rounds_go_on_after_a_compaction(spark):
+    path = scratch_path(spark, "checkpoint")
+    assert len(_rows(_run(spark, path, lambda a, t: _answer(), n=2, compact_every=1))) == 4
+    resume.drop_merged(spark, path)
+    assert len(_rows(_run(spark, path, lambda a, t: _answer(), n=4, compact_every=1))) == 8
