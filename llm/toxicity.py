@@ -6,7 +6,8 @@ Landmarks are beginnings of words that, together, account for the toxic document
 or fewer are compared by ``SHORT_LENGTH`` letters.  A sentence's response to a landmark is the largest kernel of one of its tokens with the landmark, as a share of the landmark's kernel
 with itself.  The inverse root of the landmarks' kernel matrix turns responses into Nyström features, on which a
 linear machine is trained: clean documents give negative sentences, a toxic one gives its strongest sentence, and
-each landmark with an inserted, dropped or swapped letter is a further positive one.  A document scores as its strongest sentence.
+each landmark with an inserted, dropped or swapped letter is a further positive one.  A document scores as its STRONGEST
+sentences together, so several weak ones count as a strong one does.
 
 The model is fitted on a bounded sample of labelled rows (``fit_rows`` of each class) and is some kilobytes; scoring is
 one pass in which each worker remembers its tokens' responses.
@@ -32,7 +33,9 @@ from llm.common import batch_rows, materialize, one_cache, texts
 LENGTH = 4
 DECAY = 0.8
 SHORT, SHORT_LENGTH = 5, 3  # landmarks of so few letters are compared by shorter subsequences
-FLOOR = 0.2  # a smaller share of a landmark's kernel is no response
+FLOOR = 0.3  # a smaller share of a landmark's kernel is no response
+PART = 16  # tokens of a sentence that are read as one; longer ones are cut
+STRONGEST = 3  # sentences that a document is scored by
 WIDTH = 24  # letters of a token that are compared at once; longer tokens are read in overlapping windows
 LANDMARK = (4, 12)
 LANDMARKS = 64
@@ -40,6 +43,7 @@ CANDIDATES = 3_000
 MIN_SHARE = 0.002  # of the sampled toxic documents (two at least) that a landmark accounts for
 AGAIN = 0.5  # what a document counts for, for each landmark that accounts for it already
 FIT_ROWS = 4_000
+CARE = 2.0  # what a clean document taken for toxic weighs, against a toxic one that is missed
 CACHE_ENTRIES = 300_000
 SCHEMA = "doc_id long, held_out boolean, score double, predicted int"
 _SENTENCE = re.compile(r"(?<=[.!?])\s|\n")
@@ -192,17 +196,22 @@ class Scorer:
         """Responses of the sentences that have any."""
         get, out = self.kept.get, []
         for s in _SENTENCE.split(text):
-            found = [r for t in tokens(s) if (r := get(t)) is not None]
-            if found:
-                out.append(np.max(found, axis=0))
+            words = tokens(s)
+            for at in range(0, len(words), PART):
+                found = [r for t in words[at:at + PART] if (r := get(t)) is not None]
+                if found:
+                    out.append(np.max(found, axis=0))
         return np.array(out).reshape(-1, len(self.model.landmarks))
 
     def margins(self, batch: list[str]) -> list[float]:
-        bias, weights = self.model.bias, self.model.weights
+        bias = self.model.bias
         if self.responses is None:
             return [bias] * len(batch)
-        return [bias + max(0.0, float((self.sentences(t) @ weights).max(initial=0.0))) if some else bias
-                for t, some in zip(batch, self.learn(batch), strict=True)]
+        return [bias + self.strongest(t) if some else bias for t, some in zip(batch, self.learn(batch), strict=True)]
+
+    def strongest(self, text: str) -> float:
+        found = np.maximum(0.0, self.sentences(text) @ self.model.weights)
+        return float(np.sort(found)[-STRONGEST:].sum())
 
 
 def _some(response: np.ndarray | None) -> bool:
@@ -345,9 +354,8 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
     toxic = np.array([x["toxic"] == 1 for x in seen] + [True] * len(spoiled) + [False])
     n = np.array([float(x["n"]) for x in seen] + [1.0] * len(spoiled) + [1.0])
     n[-1] = max(1.0, 0.2 * n[~toxic].sum())  # sentences without any response
-    pairs = np.array([(i, j) for i in range(len(landmarks)) for j in range(len(landmarks))])
-    gram = kernel(responses.codes[pairs[:, 0]], responses.codes[pairs[:, 1]]).reshape(len(landmarks), -1)
-    gram /= np.sqrt(np.outer(np.diag(gram), np.diag(gram)))
+    gram = responses(landmarks)  # the responses' own kernel, with its floor
+    gram = (gram + gram.T) / 2
     values, vectors = np.linalg.eigh(gram)
     nystroem = vectors / np.sqrt(np.maximum(values, 0.05)) @ vectors.T
     w, bias = train(r @ nystroem, toxic, n)
@@ -363,7 +371,7 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
     seen = sample.select("text", "toxic").mapInArrow(margins, "toxic int, margin double").collect()
     margin, is_toxic = np.array([r["margin"] for r in seen]), np.array([r["toxic"] == 1 for r in seen])
     total = {r["toxic"]: r["n"] for r in known_labels(labels).groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    border, spread = boundary(margin, is_toxic, np.where(is_toxic, total[1] / max(1, is_toxic.sum()), total[0] / max(1, (~is_toxic).sum())))
+    border, spread = boundary(margin, is_toxic, np.where(is_toxic, total[1] / max(1, is_toxic.sum()), CARE * total[0] / max(1, (~is_toxic).sum())))
     model.slope = math.log(9.0) / spread
     model.shift = -model.slope * border
     return model
