@@ -11,7 +11,6 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
-from string import ascii_lowercase, ascii_uppercase
 
 import numpy as np
 import pyarrow as pa
@@ -19,13 +18,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from llm.common import batch_rows, materialize, partitions, texts
-from llm.components import components
+from llm.common import batch_rows, partitions, texts
 
 LANES = 128
 WORDS = 5
 CHUNK = 1024
-BANDS, ROWS = 25, 5
+BANDS, ROWS = 25, 5  # of near.py: texts of likeness 0.8 share no band with a probability of 0.00005
 NO_SHINGLE = np.full(LANES, np.iinfo(np.uint64).max, np.uint64)
 EDITED = ("doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, "
           "near_edited double, near_next double")
@@ -168,49 +166,3 @@ def edit_fingerprints(docs: DataFrame) -> DataFrame:
     dealt = rows.mapInArrow(deal, "doc_id long, text string, part int, ahead int")
     dealt = dealt.withColumn("mark", F.xxhash64("text")).repartitionById(len(splits) + 1, F.col("part"))
     return dealt.sortWithinPartitions("ahead", F.col("doc_id").asc_nulls_first(), "mark").mapInArrow(pair, EDITED)
-
-
-def near_copies(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
-    """doc_id, class_id, copy_of, jaccard of every row.
-
-    Signatures are cut into BANDS bands of ROWS lanes; documents with an equal band share a bucket.  Each document is
-    compared with the first one (by doc_id) of each of its buckets, and the Jaccard likeness of the five-word shingle sets
-    decides: copy_of is the smallest of these that is at least ``threshold`` alike (null: none), jaccard its likeness, and
-    class_id the smallest doc_id that such links connect.  A bucket is only ever reduced to its first document, so a
-    bucket that holds a large part of all rows costs no more than its rows.  Two texts of likeness 0.8 miss all buckets
-    with a probability of 0.00005; two members of a bucket are compared with its first document, not with each other.
-
-    A null text is empty; texts without a word are copies of each other.  Rows without doc_id are left out; of rows that
-    repeat a doc_id the text with the smallest hash counts.  An empty table gives no rows, other columns are ignored.
-    """
-    rows = texts(docs).select(F.col("doc_id").cast("long"), "text").where("doc_id is not null")
-
-    def banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batch_rows(batches, 512):
-            low = np.stack([lowest(shingles(word_hashes(t.encode()))) for t in batch["text"].to_pylist()])
-            keys = [[xxhash.xxh64_intdigest(part.tobytes(), band) - (1 << 63) for band, part in enumerate(np.split(x[:BANDS * ROWS], BANDS))]
-                    for x in low]
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "bands"])
-
-    bands = materialize(rows.mapInArrow(banded, "doc_id long, bands array<long>"), "minhash-bands")
-    keys = bands.select("doc_id", F.posexplode("bands").alias("band", "key"))
-    first = keys.groupBy("band", "key").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
-    pairs = keys.join(first, ["band", "key"]).where("doc_id > first").select("doc_id", "first").distinct()
-
-    def sets(name: str) -> DataFrame:
-        words = F.filter(F.split(F.translate("text", ascii_uppercase, ascii_lowercase), r"[\x20\x09-\x0D]+"), lambda w: w != "")
-        n = F.greatest(F.size("words") - (WORDS - 1), F.lit(1))
-        runs = F.transform(F.sequence(F.lit(1), n), lambda k: F.xxhash64(F.array_join(F.slice("words", k, WORDS), " ")))
-        one = rows.groupBy("doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
-        return one.select(F.col("doc_id").alias(name), words.alias("words")).select(
-            name, F.when(F.size("words") > 0, F.array_distinct(runs)).otherwise(F.array().cast("array<long>")).alias(f"{name}_set"))
-
-    joined = pairs.join(sets("doc_id"), "doc_id").join(sets("first"), "first")
-    shared = F.size(F.array_intersect("doc_id_set", "first_set"))
-    total = F.size("doc_id_set") + F.size("first_set") - shared
-    verified = joined.select("doc_id", "first", F.when(total == 0, 1.0).otherwise(shared / total).alias("jaccard"))
-    verified = materialize(verified.where(F.col("jaccard") >= threshold), "minhash-links")
-    best = verified.groupBy("doc_id").agg(F.min("first").alias("copy_of"), F.min_by("jaccard", "first").alias("jaccard"))
-    roots = components(verified.select(F.col("doc_id").alias("a"), F.col("first").alias("b"))).withColumnsRenamed({"node": "doc_id"})
-    out = bands.select("doc_id").join(roots, "doc_id", "left").join(best, "doc_id", "left")
-    return out.select("doc_id", F.coalesce("root", "doc_id").alias("class_id"), "copy_of", "jaccard")

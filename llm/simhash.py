@@ -277,7 +277,11 @@ def near_duplicates(docs: DataFrame, bits: int = BITS, words: int = WORDS) -> Da
 def keep_one(docs: DataFrame, bits: int = BITS, words: int = WORDS) -> DataFrame:
     """The rows of ``docs``, one for each component: that of the smallest doc_id (rows without one come last, then by
     the hash of the text; of rows equal in both, any one).  All columns stay."""
-    found = materialize(near_duplicates(docs, bits, words), "simhash-classes")
+    return keep_first(docs, materialize(near_duplicates(docs, bits, words), "simhash-classes"))
+
+
+def keep_first(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """The rows of ``docs``, one for each root of ``found`` (doc_id, mark, root of every row)."""
     first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "mark"))
     keep = found.groupBy("root").agg(first.alias("best")).select("best.doc_id", "best.mark")
     marked = docs.withColumn("__mark", F.xxhash64(F.coalesce(F.col("text"), F.lit(""))))

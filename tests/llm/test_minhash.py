@@ -61,32 +61,3 @@ def test_likeness_estimates_jaccard():
         x, y = " ".join(a), " ".join(b)
         errors.append(minhash.likeness(minhash.signature(x), minhash.signature(y)) - _plain_jaccard(x, y))
     assert abs(np.mean(errors)) < 0.02 and np.abs(errors).max() < 0.2
-
-
-def test_near_copies_are_verified(llm_spark, make_docs):
-    rng = random.Random(5)
-    words = [f"w{k}" for k in range(3000)]
-    rows, family = [], {}
-    for k in range(25):
-        base = [rng.choice(words) for _ in range(120)]
-        for c in range(rng.randint(1, 4)):
-            text = list(base)
-            for at in rng.sample(range(120), rng.choice([0, 1, 2])):
-                text[at] = "changed"
-            family[len(rows)] = k
-            rows.append((len(rows), " ".join(text)))
-    rows += [(900, None), (901, " \n"), (902, "one two"), (903, "ONE two"), (None, "one two"), (904, "alone it is"), (904, "alone it is")]
-    got = {r["doc_id"]: r for r in minhash.near_copies(make_docs(rows)).collect()}
-    texts = {i: t or "" for i, t in rows}
-    assert set(got) == {i for i in texts if i is not None}
-    for i, r in got.items():
-        if r["copy_of"] is not None:
-            assert r["copy_of"] < i and r["jaccard"] >= 0.8
-            assert abs(r["jaccard"] - _plain_jaccard(texts[i], texts[r["copy_of"]])) < 1e-9
-    for i, k in family.items():
-        firsts = [j for j in family if family[j] == k]
-        assert got[i]["class_id"] == min(j for j in firsts if got[j]["class_id"] == got[i]["class_id"])
-        if _plain_jaccard(texts[i], texts[firsts[0]]) >= 0.8:
-            assert got[i]["class_id"] == firsts[0]
-    assert got[901]["class_id"] == 900 and got[903]["class_id"] == 902 and got[904]["class_id"] == 904
-    assert minhash.near_copies(make_docs([])).count() == 0

@@ -4,10 +4,12 @@ import public_tokenizers
 import pytest
 
 import corpus_pipeline
-from llm import packing, secrets, simhash, toxicity
+from llm import packing, secrets, toxicity
 from llm.common import scratch_path
 from llm.queries import ORACLES, QUERIES
 
+from test_near import plain_classes, plain_links
+
 SF = os.environ.get("SPANLEDGER_TEST_SF", "/root/testdata/sf0.001")
 
 
@@ -46,20 +48,8 @@ def test_stages_match_brute_force(llm_spark):
         outs.append(docs)
     assert all(o.columns == ["doc_id", "text", "lang", "source", "n_chars"] for o in outs[:-1])
     assert {r["doc_id"] for r in outs[0].collect()} == stay
-    prints = {i: simhash.fingerprint(rows[i]["text"] or "") for i in stay}
-    parent = {i: i for i in stay}
-
-    def root(i):
-        while parent[i] != i:
-            i = parent[i]
-        return i
-
-    for i in stay:
-        for j in stay:
-            if i < j and (prints[i] ^ prints[j]).bit_count() <= 4:
-                a, b = sorted((root(i), root(j)))
-                parent[b] = a
-    kept = {i for i in stay if root(i) == i}
+    links = plain_links({i: rows[i]["text"] for i in stay})
+    kept = {i for i, c in plain_classes(links).items() if i == c}
     assert {r["doc_id"] for r in outs[1].collect()} == kept
     clean = {i: secrets.redacted(rows[i]["text"]) for i in kept}
     assert {r["doc_id"]: (r["text"], r["n_chars"]) for r in outs[2].collect()} == {i: (t, len(t)) for i, t in clean.items()}
