@@ -6,7 +6,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from llm import packing, secrets, simhash, toxicity
+from llm import near, packing, secrets, toxicity
 from llm.common import prepare, scratch_path, table
 
 
@@ -17,9 +17,10 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group that links of the SimHash operator connect: that of the smallest doc_id."""
+    """One document of each group that links connect, that of the smallest doc_id.  Candidates come from the keys of the SimHash
+    operator and from MinHash bands, and are links if their five-word shingles have a Jaccard likeness of 0.8 or more."""
     prepare(spark)
-    return simhash.keep_one(docs)
+    return near.keep_one(docs)
 
 
 def blotted(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
