@@ -270,7 +270,8 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, use_simhash: bool = T
                          .join(nodes.select("node", "least", "mark", "weight", "size"), "node"), "near-families")
     cut = groups.groupBy("family").agg(F.ceil(F.greatest(F.count("*") / members, F.sum("size") / SHINGLES)).alias("blocks"))
     dealt = groups.join(cut, "family").withColumn("blocks", F.greatest("blocks", F.lit(1).cast("long")))
-    dealt = dealt.withColumn("x", F.pmod(F.xxhash64("node"), "blocks"))
+    # written, so that Spark knows its size when it plans the join: few texts have a loose link
+    dealt = materialize(dealt.withColumn("x", F.pmod(F.xxhash64("node"), "blocks")), "near-dealt")
     text = texts(docs).select(F.col("doc_id").cast("long").alias("__id"), "text", F.xxhash64("text").alias("__mark"))
     dealt = dealt.join(text, F.col("least").eqNullSafe(F.col("__id")) & (F.col("mark") == F.col("__mark")))
     dealt = dealt.withColumn("y", F.explode(F.expr("sequence(0L, blocks - 1)")))
