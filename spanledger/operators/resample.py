@@ -305,7 +305,7 @@ def bootstrap_mean(
     if block > RANK_BLOCK:
         raise ValueError(f"places in a block of ranks have two bytes: block can be {RANK_BLOCK} at most")
     usable = F.when(F.col(value).isNotNull() & ~F.isnan(F.col(value)), F.col(value).cast("double"))
-    counts = df.groupBy(*by, usable.alias("value")).agg(F.count(F.lit(1)).alias("times"))
+    counts = materialize(df.groupBy(*by, usable.alias("value")).agg(F.count(F.lit(1)).alias("times")), "value-counts")
     points = counts.groupBy(*by).agg(
         F.coalesce(F.sum(F.when(F.col("value").isNotNull(), F.col("times"))), F.lit(0)).alias("n"),
         F.try_divide(
@@ -382,8 +382,9 @@ def rank_blocks(held: DataFrame, by: list[str], block: int) -> DataFrame:
 def _means_of_many(held: DataFrame, by: list[str], seed: int, n_boot: int, piece: int, block: int) -> DataFrame:
     """Sums of the draws of groups with many different values: drawn ranks meet the blocks of values that hold them.
 
-    A piece of draws sends each block the places that it draws there, two bytes each; the draws of one block and 50
-    replicates are ``50 x block`` places on average, whatever the size of the group.
+    A piece of draws sends each block one row: the places that its 50 replicates draw there, two bytes each, and how many
+    each replicate draws.  All rows of a block and 50 replicates hold ``50 x block`` places on average, whatever the size of
+    the group.  The planner takes the draws for as small as the list of groups and would broadcast them, so the join is named.
     """
     blocks = materialize(rank_blocks(held, by, block), "value-blocks")
     groups = blocks.filter("rank_block = 0").select(*by, "n")
@@ -391,34 +392,39 @@ def _means_of_many(held: DataFrame, by: list[str], seed: int, n_boot: int, piece
     def draw(batches):
         for rows in _same_draws(batches):
             n, part, at = (int(rows[c].iloc[0]) for c in ("n", "block", "at"))
-            out = {"rank_block": [], "replicate": [], "places": []}
-            for b in _replicates(part, n_boot):
-                drawn = np.sort(draw_indexes(int(b), n, seed, at, at + piece))
-                of, places = drawn // block, (drawn % block).astype("<u2")
-                edges = np.flatnonzero(np.diff(of, prepend=-1, append=of[-1] + 1))
-                for lo, hi in zip(edges[:-1], edges[1:], strict=True):
-                    out["rank_block"].append(int(of[lo]))
-                    out["replicate"].append(int(b))
-                    out["places"].append(places[lo:hi].tobytes())
-            drawn = pd.DataFrame(out)
+            draws = [np.sort(draw_indexes(int(b), n, seed, at, at + piece)) for b in _replicates(part, n_boot)]
+            bounds = np.arange(-(-n // block) + 1, dtype=np.int64) * block
+            edges = np.stack([np.searchsorted(d, bounds) for d in draws])
+            sizes = np.diff(edges).T.astype("<u4", order="C")  # a row for each block, a column for each replicate
+            ends = np.cumsum(sizes, dtype=np.int64).reshape(sizes.shape)
+            places = np.empty(sum(map(len, draws)), dtype="<u2")
+            for i, d in enumerate(draws):
+                shift = ends[:, i] - sizes[:, i] - edges[i, :-1]
+                places[np.arange(len(d)) + np.repeat(shift, sizes[:, i])] = d % block
+            met = np.flatnonzero(sizes.any(axis=1))
+            first = np.concatenate([[0], ends[:, -1]])
+            drawn = pd.DataFrame({
+                "block": part, "rank_block": met, "sizes": [sizes[k].tobytes() for k in met],
+                "places": [places[first[k]:first[k + 1]].tobytes() for k in met]})
             for _, row in rows[by].iterrows():
-                yield drawn.assign(block=part, **row)[[*by, "block", "rank_block", "replicate", "places"]]
+                yield drawn.assign(**row)[[*by, "block", "rank_block", "sizes", "places"]]
 
     drawn = _work(groups, F.col("n"), n_boot, piece).mapInPandas(
-        draw, _typed(held, by, "block int, rank_block long, replicate long, places binary"))
-    met = drawn.groupBy(*by, "block", "rank_block").agg(F.collect_list(F.struct("replicate", "places")).alias("draws")).join(
-        blocks, [*by, "rank_block"])
+        draw, _typed(held, by, "block int, rank_block long, sizes binary, places binary"))
+    met = drawn.repartition(*by, "rank_block").groupBy(*by, "rank_block", "block").agg(
+        F.collect_list(F.struct("sizes", "places")).alias("draws")).join(blocks.hint("merge"), [*by, "rank_block"])
 
     def add(batches):
         for batch in batches:
             for _, row in batch.iterrows():
                 starts, values = np.asarray(row["starts"]), np.asarray(row["values"], dtype=float)
-                sums: dict[int, float] = {}
+                replicates = _replicates(row["block"], n_boot)
+                sums = np.zeros(len(replicates))
                 for d in row["draws"]:
-                    places = np.frombuffer(d["places"], "<u2")
-                    found = values[np.searchsorted(starts, places, side="right") - 1].sum()
-                    sums[d["replicate"]] = sums.get(d["replicate"], 0.0) + found
-                out = pd.DataFrame({"replicate": list(sums), "part_sum": list(sums.values())})
+                    found = values[np.searchsorted(starts, np.frombuffer(d["places"], "<u2"), side="right") - 1]
+                    sizes = np.frombuffer(d["sizes"], "<u4")
+                    sums += np.bincount(np.repeat(np.arange(len(sizes)), sizes), weights=found, minlength=len(sizes))
+                out = pd.DataFrame({"replicate": replicates, "part_sum": sums})
                 yield out.assign(n=row["n"], **row[by])[[*by, "n", "replicate", "part_sum"]]
 
     return met.mapInPandas(add, _typed(held, by, "n long, replicate long, part_sum double"))

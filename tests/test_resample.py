@@ -2,6 +2,7 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from helpers import record, records
 
 from spanledger import constants as K
@@ -197,3 +198,14 @@ def test_clusters_of_one_unit_draw_as_units_do_and_correlated_targets_widen_the_
     wide, narrow = (r[("overall", "accuracy")] for r in (cases, units))
     assert wide["diff"] == narrow["diff"]
     assert wide["ci_high"] - wide["ci_low"] > 1.3 * (narrow["ci_high"] - narrow["ci_low"])
+
+
+def test_draws_of_many_values_are_never_broadcast(spark):
+    """The planner's size of the draws is that of the list of groups; the join with the blocks of values moves them by key."""
+    held = spark.range(2000).selectExpr("'g' as g", "cast(id as double) as value", "1L as times", "2000L as n", "2000L as n_values")
+    sums = B._means_of_many(held, ["g"], 3, 60, 500, 256)
+    plan = sums._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+    values = np.arange(2000.0)
+    got = {r["replicate"]: r["s"] for r in sums.groupBy("replicate").agg(F.sum("part_sum").alias("s")).collect()}
+    assert got == {b: values[B.draw_indexes(b, 2000, 3)].sum() for b in range(60)}
