@@ -108,12 +108,12 @@ def _(spark, d):
 
 @query("s9_plain_checkpoint", with_views("SELECT case_id, arm, invalid, md5(raw) AS raw_md5 FROM shaped", raw_sql()), bools="invalid")
 def _(spark, d):
-    """One plain file of lines with every key twice; the later line counts."""
+    """A plain folder of lines with every key twice, in the order of its files; the later line counts."""
     path = scratch_path(spark, "plain-checkpoint")
     scored = V.raw_answers(spark, d).withColumn("failed", F.lit(False)).withColumn("outcome", F.lit(resume.DONE))
     good = resume.to_results(scored).withColumn("turn", F.lit(1))
     old = good.withColumns({"raw": F.lit("old"), "invalid": ~F.col("invalid"), "turn": F.lit(0)})
-    lines = old.unionByName(good).repartition(1).sortWithinPartitions("turn").drop("turn", "outcome")
+    lines = old.unionByName(good).orderBy("turn", "case_id", "arm").drop("turn", "outcome")
     lines.write.option("ignoreNullFields", False).json(path)
     return resume.read_checkpoint(spark, path).select("case_id", "arm", "invalid", F.md5("raw").alias("raw_md5"))
 

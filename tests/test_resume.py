@@ -4,6 +4,7 @@ from pathlib import Path
 
 import pytest
 from pyspark import cloudpickle
+from pyspark.sql import functions as F
 
 from spanledger.operators.dataset import cases_by_arms
 from spanledger.session import scratch_path
@@ -174,3 +175,17 @@ def test_rounds_go_on_after_a_compaction(spark):
     assert len(_rows(_run(spark, path, lambda a, t: _answer(), n=2, compact_every=1))) == 4
     resume.drop_merged(spark, path)
     assert len(_rows(_run(spark, path, lambda a, t: _answer(), n=4, compact_every=1))) == 8
+
+
+def test_plain_checkpoint_query_writes_no_file_in_one_task(spark, tmp_path, monkeypatch):
+    """The lines of s9 stand in the order of several files; the later of two lines with a key counts across files."""
+    from catalog import QUERIES
+
+    monkeypatch.setattr("catalog.source_queries.scratch_path", lambda session, label: str(tmp_path / label))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        rows = QUERIES["s9_plain_checkpoint"](spark, "/root/testdata/sf0.001")
+        assert rows.filter(F.col("raw_md5") == F.md5(F.lit("old"))).isEmpty() and rows.count() > 0
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(list((tmp_path / "plain-checkpoint").glob("part-*"))) > 1
