@@ -96,7 +96,7 @@ def _tiered(m_records: DataFrame, quota: int, priority: str, comparison: str,
     rows = pick(rows, "semantic_balance", in_pool("supported"), F.col("_each"))
     rows = pick(rows, "random_fill", in_pool("any"), F.lit(quota) - taken)
     chosen = rows.filter(F.col("tier").isNotNull()).select(*RECORD_IDS, "tier")
-    return m_records.join(chosen, RECORD_IDS)
+    return m_records.join(F.broadcast(chosen), RECORD_IDS)  # at most the quota
 
 
 def sampling_report(sample: DataFrame, target_counts: dict[str, int]) -> DataFrame:
@@ -123,7 +123,10 @@ def blinded_bundle(
     if mode not in K.AUDIT_MODES:
         raise ValueError(f"unknown audit mode: {mode!r}, expected one of {K.AUDIT_MODES}")
     shuffled = numbered(sample.withColumn("_order", draw_key(seed + 1, *RECORD_IDS)), "_order", "number")
-    rows = with_text(shuffled.withColumn("audit_id", F.format_string("A%04d", "number")), reports)
+    # an audit's quota is what people can read, so its case ids go to the reports and records and not these to them
+    cases = sample.select("case_id").distinct()
+    texts = reports.join(F.broadcast(cases), "case_id", "left_semi")
+    rows = with_text(shuffled.withColumn("audit_id", F.format_string("A%04d", "number")), texts)
     blank = [F.lit(None).cast("boolean").alias(h) for h in HUMAN_FLAGS]
     reviewer = rows.withColumn("excerpt", audit_excerpt(F.col("text"), F.col("evidence"))).select(
         "audit_id", "target", "excerpt.report_excerpt", "excerpt.report_truncated", "prediction", "evidence",
@@ -131,7 +134,7 @@ def blinded_bundle(
         F.lit("").alias("reviewer_notes"), *(["ground_truth"] if mode == "with-gold" else []),
     )
     m_cases = records.filter(F.col("target") == "M").join(
-        sample.filter(F.col("target") == "M").select("case_id").distinct(), "case_id", "left_semi"
+        F.broadcast(sample.filter(F.col("target") == "M").select("case_id").distinct()), "case_id", "left_semi"
     )
     patterns = arm_patterns(m_cases, priority, comparison)
     key = shuffled.withColumn("audit_id", F.format_string("A%04d", "number")).join(

@@ -23,8 +23,8 @@ def take_first(df: DataFrame, by: list[str], quota: Column | int, *, key: str) -
 
     The key's first digits cut each group into buckets.  Their counts say in which bucket the quota
     falls; the keys of that bucket alone are ranked, which gives the group's last key, and one filter
-    takes the rows up to it.  No task ever holds a group, whatever the quota, and the two narrow passes
-    read only the key.  Keys come from ids that are unique; rows that share an id are taken together.
+    takes the rows up to it.  What the rows meet is one line per group, which is broadcast: dealing the rows by
+    a handful of groups would put a whole group into one task.  The two narrow passes read only the key.  Keys come from ids that are unique; rows that share an id are taken together.
     """
     rows = df.withColumn("_quota", F.lit(quota) if isinstance(quota, int) else quota).filter("_quota > 0")
     narrow = rows.select(*by, "_quota", F.col(key).alias("_key"), F.substring(key, 1, BUCKET_DIGITS).alias("_bucket"))
@@ -40,12 +40,12 @@ def take_first(df: DataFrame, by: list[str], quota: Column | int, *, key: str) -
 
 
 def _join_groups(rows: DataFrame, groups: DataFrame, by: list[str], how: str) -> DataFrame:
-    """Join on columns that may be NULL, or on none at all."""
+    """Join with one row per group, on columns that may be NULL, or on none at all."""
     r, g = rows.withColumn("_one", F.lit(1)).alias("r"), groups.withColumn("_one", F.lit(1)).alias("g")
     same = F.col("r._one") == F.col("g._one")
     for c in by:
         same = same & F.col(f"r.{c}").eqNullSafe(F.col(f"g.{c}"))
-    return r.join(g, same, how).select(
+    return r.join(F.broadcast(g), same, how).select(
         *(f"r.{c}" for c in rows.columns), *(f"g.{c}" for c in groups.columns if c not in by))
 
 

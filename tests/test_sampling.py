@@ -92,3 +92,19 @@ def test_numbering_follows_the_key(spark):
 def test_draw_keys_are_spread(spark):
     heads = Counter(r["h"] for r in spark.range(16000).select(S.draw_key(9, "id").substr(1, 1).alias("h")).collect())
     assert len(heads) == 16 and max(abs(c - 1000) for c in heads.values()) < 6 * math.sqrt(1000)
+
+
+def test_rows_are_not_dealt_by_the_few_groups_of_a_sample(spark):
+    """Dealt by group, all rows of a group would be read by one task; only narrow counts and one bucket's keys may move."""
+    rows = spark.range(4000).selectExpr("id", "cast(id % 2 as string) as g", "md5(cast(id as string)) as k", "repeat('x', 500) as wide")
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        taken = S.take_first(rows, ["g"], 30, key="k")
+        plan = taken._jdf.queryExecution().executedPlan().toString()
+        got = {(r["g"], r["id"]) for r in taken.collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert "SortMergeJoin" not in plan
+    first = {g: sorted((r["k"], r["id"]) for r in rows.filter(f"g = '{g}'").select("k", "id").collect())[:30] for g in "01"}
+    assert got == {(g, i) for g, keys in first.items() for _, i in keys}
