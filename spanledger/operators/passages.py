@@ -2,8 +2,8 @@
 
 Grounding is containment of matching forms, so a passage of three or more words can only lie in a report that holds each of its
 inner words as a word.  Each passage is looked up by the inner word that the fewest reports hold.  Shorter passages may
-begin or end inside a word; they are looked up by all words of the reports that end with their first word, or hold it.
-Candidates are verified in the text.  No pair of a passage and a report without such a word is ever made.
+begin or end inside a word; they are looked up by all words of the reports that end with their first word, or hold it.  A report
+with a word that holds a passage of one word grounds it; all other candidates are verified in the text.  No pair of a passage and a report without such a word is ever made.
 
 Word counts are summed before they move.  The reports of a frequent word are dealt by their ids to as many parts as its
 count asks for, and the passages that look for the word are copied to these parts.
@@ -36,26 +36,28 @@ def _rarest_words(passages: DataFrame, counts: DataFrame) -> DataFrame:
     looked_up = passages.filter(F.size("words") >= 3).select("passage_id", inner.alias("word"))
     known = looked_up.join(counts, "word", "left")
     rarest = F.min(F.struct(F.coalesce("n_reports", F.lit(0)).alias("n_reports"), "word")).alias("rarest")
-    return known.groupBy("passage_id").agg(rarest).select("passage_id", "rarest.word", "rarest.n_reports").filter("n_reports > 0")
+    return known.groupBy("passage_id").agg(rarest).select(
+        "passage_id", "rarest.word", "rarest.n_reports", F.lit(False).alias("certain")).filter("n_reports > 0")
 
 
 def _words_around(passages: DataFrame, counts: DataFrame) -> DataFrame:
-    """The words of the reports in which a passage of one or two words may begin."""
+    """The words of the reports in which a passage of one or two words may begin; one word lies in them for certain."""
     short = passages.filter(F.size("words") < 3).select(
         "passage_id", F.col("words")[0].alias("first"), (F.size("words") == 1).alias("alone"),
         F.least(F.length(F.col("words")[0]), F.lit(AFFIX)).alias("letters"))
     short = short.withColumn("affix", F.when(F.col("alone"), F.substring("first", F.lit(1), F.col("letters")))
                              .otherwise(F.expr("right(first, letters)")))
     lengths = short.select("alone", "letters").distinct()  # 2 x AFFIX rows at most
-    places = F.when(F.col("alone"), F.sequence(F.lit(1), F.length("word") - F.col("letters") + 1)).otherwise(
-        F.array(F.length("word") - F.col("letters") + 1))
+    last = F.length("word") - F.col("letters") + 1
+    places = F.when(F.col("alone"), F.sequence(F.lit(1), last)).otherwise(F.array(last))
     affixes = counts.select("word", "n_reports", F.explode(F.sequence(F.lit(1), F.least(F.length("word"), F.lit(AFFIX)))).alias("letters"))
     affixes = affixes.withColumn("alone", F.explode(F.array(F.lit(False), F.lit(True))))
-    parts = affixes.join(lengths, ["alone", "letters"], "left_semi").withColumn("at", F.explode(places))
-    parts = parts.select("word", "n_reports", "alone", "letters", F.expr("substring(word, at, letters)").alias("affix")).distinct()
+    # each affix of a word once, found inside its row: what moves is at most what some passage has the length for
+    inside = F.array_distinct(F.transform(places, lambda at: F.substring(F.col("word"), at, F.col("letters"))))
+    parts = affixes.join(lengths, ["alone", "letters"], "left_semi").withColumn("affix", F.explode(inside))
     met = parts.join(short, ["alone", "letters", "affix"])
     fits = F.when(F.col("alone"), F.contains("word", "first")).otherwise(F.endswith("word", "first"))
-    return met.filter(fits).select("passage_id", "word", "n_reports")
+    return met.filter(fits).select("passage_id", "word", "n_reports", F.col("alone").alias("certain"))
 
 
 def find_passages(passages: DataFrame, reports: DataFrame, *, part: int = PART) -> DataFrame:
@@ -64,7 +66,9 @@ def find_passages(passages: DataFrame, reports: DataFrame, *, part: int = PART)
     Blank and NULL passages are grounded nowhere, as in ``functions.text.grounded``.  Reports that share a case_id are searched
     each on its own; of passages that share a passage_id, name them apart first.
     """
-    forms = reports.select("case_id", matching_form(F.col("text")).alias("form")).filter("form <> ''")
+    forms = materialize(
+        reports.select("case_id", matching_form(F.col("text")).alias("form")).filter("form <> ''")
+        .withColumn("report", F.monotonically_increasing_id()), "report-forms")
     form = matching_form(F.col("text"))
     asked = materialize(
         passages.select("passage_id", form.alias("passage")).filter("passage <> ''").withColumn("words", _words(F.col("passage"))),
@@ -73,9 +77,14 @@ def find_passages(passages: DataFrame, reports: DataFrame, *, part: int = PART)
     keys = materialize(_rarest_words(asked, counts).unionByName(_words_around(asked, counts))
                        .withColumn("parts", F.ceil(F.col("n_reports") / F.lit(part)).cast("int")), "passage-words")
     wanted = keys.select("word", "parts").distinct()
-    held = forms.select("case_id", F.explode(F.array_distinct(_words(F.col("form")))).alias("word")).join(wanted, "word").select(
-        "case_id", "word", F.pmod(F.xxhash64("case_id"), F.col("parts")).cast("int").alias("part"))
-    dealt = keys.select("passage_id", "word", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
-    pairs = held.join(dealt, ["word", "part"]).select("passage_id", "case_id").distinct()
-    named = pairs.join(asked.select("passage_id", "passage"), "passage_id")
-    return forms.join(named, "case_id").filter(F.contains("form", "passage")).select("passage_id", "case_id")
+    held = forms.select("report", "case_id", F.explode(F.array_distinct(_words(F.col("form")))).alias("word")).join(wanted, "word").select(
+        "report", "case_id", "word", F.pmod(F.xxhash64("report"), F.col("parts")).cast("int").alias("part"))
+    dealt = keys.select("passage_id", "word", "certain", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+
+    def pairs(certain: bool) -> DataFrame:
+        met = held.join(dealt.filter("certain" if certain else "not certain"), ["word", "part"])
+        return met.select("passage_id", "report", "case_id").distinct()
+
+    named = pairs(False).select("passage_id", "report").join(asked.select("passage_id", "passage"), "passage_id")
+    verified = forms.join(named, "report").filter(F.contains("form", "passage"))
+    return verified.select("passage_id", "case_id").unionByName(pairs(True).select("passage_id", "case_id"))

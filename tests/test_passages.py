@@ -2,6 +2,7 @@ import random
 
 import pytest
 
+from spanledger.operators import passages
 from spanledger.operators.passages import find_passages
 
 WORDS = ["tumor", "tumors", "of", "the", "node", "nodes", "pT2", "margin", "a", "free", "É", "x.y"]
@@ -46,3 +47,19 @@ def test_empty_tables(spark):
     assert find_passages(none, reports).count() == 0
     one = spark.createDataFrame([(1, "some text")], "passage_id long, text string")
     assert find_passages(one, reports.limit(0)).count() == 0
+
+
+def test_affixes_of_words_are_not_dealt_and_one_word_needs_no_text(spark):
+    """All letters of a word come from its own row; words of the vocabulary with all their affixes never move to be made distinct."""
+    counts = spark.createDataFrame([("banana", 3), ("an", 2), ("cab", 1)], "word string, n_reports long")
+    asked = spark.createDataFrame([(1, ["an"]), (2, ["nana", "x"]), (3, ["q"])], "passage_id long, words array<string>")
+    around = passages._words_around(asked, counts)
+    assert sorted(map(tuple, around.collect())) == [(1, "an", 2, True), (1, "banana", 3, True), (2, "banana", 3, False)]
+    assert "hashpartitioning(word" not in around._jdf.queryExecution().executedPlan().toString()
+
+
+def test_reports_that_share_a_case_are_searched_apart_for_one_word_too(spark):
+    reports = spark.createDataFrame([("a", "bananas x"), ("a", "an an anb"), ("a", "none"), ("b", "ban")], "case_id string, text string")
+    asked = spark.createDataFrame([(1, "an"), (2, "s x")], "passage_id long, text string")
+    found = sorted(map(tuple, passages.find_passages(asked, reports).collect()))
+    assert found == [(1, "a"), (1, "a"), (1, "b"), (2, "a")]
