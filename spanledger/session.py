@@ -20,6 +20,8 @@ RECOMMENDED = {
     "spark.sql.session.timeZone": "UTC",
     # of a repeated JSON key the last one counts
     "spark.sql.variant.allowDuplicateKeys": "true",
+    # long texts go to Python in batches of bytes, not of 10,000 rows whatever their length
+    "spark.sql.execution.arrow.maxBytesPerBatch": "4m",
 }
 
 

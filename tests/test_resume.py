@@ -189,3 +189,13 @@ def test_plain_checkpoint_query_writes_no_file_in_one_task(spark, tmp_path, monk
     finally:
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     assert len(list((tmp_path / "plain-checkpoint").glob("part-*"))) > 1
+
+
+def test_long_texts_reach_a_scorer_in_batches_of_bytes(spark):
+    def sizes(batches):
+        for batch in batches:
+            yield batch.assign(size=batch["text"].str.len().sum())[["size"]].head(1)
+
+    texts = spark.range(0, 400, 1, 1).selectExpr("repeat('x', 100000) as text")
+    seen = [r["size"] for r in texts.mapInPandas(sizes, "size long").collect()]
+    assert sum(seen) == 40_000_000 and max(seen) <= 5_000_000
