@@ -13,14 +13,21 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import DataFrame, SparkSession
 
 from spanledger.operators.dataset import todo
+from spanledger.session import materialize
 from spanledger.streaming import resume
 
 REQUEST = "case_id string, arm string, text string"
+FILE_ROWS = 20_000
 
 
 def add_requests(reports: DataFrame, arms: Sequence[str], queue: str) -> None:
-    """Put a request for every report (case_id, text) and arm into the queue folder."""
-    resume.pending_requests(reports, arms, None).write.json(f"{queue}/new-{uuid.uuid4().hex}")
+    """Put a request for every report (case_id, text) and arm into the queue folder.
+
+    The requests of a report stand one after the other, so compressed files hold its text about once.  Such a file is
+    read by one task, hence the limit on its rows.
+    """
+    pending = resume.pending_requests(reports, arms, None)
+    pending.write.options(compression="gzip", maxRecordsPerFile=FILE_ROWS).json(f"{queue}/new-{uuid.uuid4().hex}")
 
 
 def queued(spark: SparkSession, queue: str) -> DataFrame:
@@ -40,7 +47,10 @@ def score_stream(spark: SparkSession, queue: str, path: str, state: str, scorer:
         session = batch.sparkSession
         resume.append_results(resume.to_results(resume.score_with(batch, scorer)), path, number)
         written = session.read.schema("case_id string, arm string").json(f"{path}/batch={number}/*")
-        todo(batch, written).write.mode("overwrite").json(f"{queue}/again-{number}")
+        # the keys alone say what was throttled; texts meet only these
+        throttled = materialize(todo(batch.select("case_id", "arm"), written), "throttled")
+        again = batch.join(throttled, ["case_id", "arm"], "left_semi")
+        again.write.mode("overwrite").options(compression="gzip", maxRecordsPerFile=FILE_ROWS).json(f"{queue}/again-{number}")
 
     for round_no in range(max_rounds):
         if round_no:

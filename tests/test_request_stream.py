@@ -84,3 +84,13 @@ def test_a_train_case_in_the_overlap_fails(spark):
     with pytest.raises(Exception, match="a train case is in the overlap: c"):
         overlap_lists(sampled, held_out, ids("c")).collect()
     assert overlap_lists(sampled, held_out, ids()).count() == 2
+
+
+def test_the_queue_holds_a_text_about_once_whatever_the_arms(spark, tmp_path):
+    reports = spark.range(0, 20, 1, 2).selectExpr("concat('c', id) as case_id", "array_join(transform(sequence(1, 200), i -> md5(concat(id, i))), '') as text")
+    queue = str(tmp_path / "queue")
+    arms = ("A_zero_shot", "C_constrained", "D_grounded", "E_other")
+    requests.add_requests(reports, arms, queue)
+    written = sum(f.stat().st_size for f in (tmp_path / "queue").rglob("part-*"))
+    assert written < 2 * 20 * 6400
+    assert requests.queued(spark, queue).count() == 80
