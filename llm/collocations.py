@@ -7,7 +7,7 @@ gives them, and its level of the language is the number of its words.  No shorte
 
 Windows are dealt by ranges of their words, whose borders come from a small sample (they change the speed alone).  Windows with
 the same beginning so meet in one task, which sums them before the ROLLUP's exchange; those of a very frequent word or pair
-spread over several ranges.
+spread over several ranges.  A rare pair that no border cuts goes no further than its task.
 """
 
 from __future__ import annotations
@@ -150,23 +150,35 @@ def borders(texts: DataFrame, ranges: int = RANGES) -> list[bytes]:
     return sorted({found[len(found) * k // ranges] for k in range(1, ranges)}, key=_by_words) if found else []
 
 
+def leads(dealt: DataFrame, limits: list[bytes], min_count: int) -> DataFrame:
+    """part, lang, w1, w2, f: sums of the windows of each range by their first two words.
+
+    Only a pair that begins a border has windows in several ranges; any other one is whole in its range.  If it is too rare
+    there, it counts for its first word alone, as a padded one does: w2 is null.
+    """
+    cut = [b" ".join(_by_words(b)[:2]).decode() for b in limits]
+    pairs = dealt.groupBy("part", "lang", F.substring_index("phrase", " ", 2).alias("pair")).agg(F.sum("f").alias("f"))
+    kept = (F.col("f") >= min_count) | F.col("pair").isin(cut)
+    rows = pairs.select("part", "lang", F.substring_index("pair", " ", 1).alias("w1"),
+                        F.when(kept, F.get(F.split("pair", " "), F.lit(1))).alias("w2"), "f")
+    return rows.groupBy("part", "lang", "w1", "w2").agg(F.sum("f").alias("f"))
+
+
 def phrase_counts(docs: DataFrame, min_count: int = MIN_COUNT) -> DataFrame:
     """lang, words, phrase, f: all contiguous occurrences of each phrase of 1 to 3 words that has at least ``min_count``; the
     rows with no words have each language's number of words.
 
-    One shuffle of summed windows, one of the sums over their beginnings.
+    One shuffle of summed windows, one of the words and those sums over two words that can reach ``min_count``.
     """
     texts = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
     limits = borders(texts)
-    windows = texts.mapInArrow(lambda batches: _counted(batches, limits), WINDOWS).repartition("part")
-    windows = windows.groupBy("part", "lang", "phrase").agg(F.sum("f").alias("f"))
-    word = F.split("phrase", " ")
+    dealt = texts.mapInArrow(lambda batches: _counted(batches, limits), WINDOWS).repartition("part")
+    windows = dealt.groupBy("part", "lang", "phrase").agg(F.sum("f").alias("f"))
     # one condition over the sum too, so that it stays above it and both branches share one exchange
-    longest = windows.where(F.when(F.col("f") >= min_count, F.size(word)) == LONGEST).select(
+    longest = windows.where(F.when(F.col("f") >= min_count, F.size(F.split("phrase", " "))) == LONGEST).select(
         "lang", F.lit(LONGEST).alias("words"), "phrase", "f")
-    lead = windows.select("lang", F.get(word, F.lit(0)).alias("w1"), F.get(word, F.lit(1)).alias("w2"), "f")
-    level = F.grouping_id()  # 3: the language, 1: the first word, 0: two words, of which the second may be a pad
-    shorter = lead.rollup("lang", "w1", "w2").agg(F.sum("f").alias("f"), level.alias("level")).where(
+    level = F.grouping_id()  # 3: the language, 1: the first word, 0: two words, of which the second may be null
+    shorter = leads(dealt, limits, min_count).rollup("lang", "w1", "w2").agg(F.sum("f").alias("f"), level.alias("level")).where(
         ((F.col("level") == 3) | (F.col("f") >= min_count)) & (F.col("level") < 7) & ((F.col("level") > 0) | F.col("w2").isNotNull()))
     shorter = shorter.select("lang", F.when(F.col("level") == 3, 0).when(F.col("level") == 1, 1).otherwise(2).alias("words"),
                              F.concat_ws(" ", "w1", "w2").alias("phrase"), "f")

@@ -75,3 +75,20 @@ def test_scores_beyond_64_bits(llm_spark):
     exact = llm_spark.sql("SELECT (cast(1000000 AS decimal(7, 0)) * (cast(a AS decimal(19, 0)) * cast(a AS decimal(19, 0)))) div "
                           "(cast(l AS decimal(19, 0)) * cast(r AS decimal(19, 0))) AS s FROM VALUES (900000000000L, 1000000000001L, 950000000003L) t(a, l, r)")
     assert exact.first()["s"] == 10**6 * 900000000000**2 // (1000000000001 * 950000000003)
+
+
+def test_rare_pairs_that_no_border_cuts_stay_in_their_range(llm_spark):
+    rng = random.Random(5)
+    text = "".join(f"{rng.choice('abcd')} w{rng.randrange(400)} z. " for _ in range(4000))
+    docs = llm_spark.createDataFrame([("en", text), ("de", text)], "lang string, text string").repartition(2)
+    limits = [b"a w5 z", b"a w7", b"b", b"w1 z"]
+    dealt = docs.mapInArrow(lambda batches: collocations._counted(batches, limits), collocations.WINDOWS).repartition("part")
+    found = collocations.leads(dealt, limits, 10).collect()
+    pairs = {(r["lang"], r["w1"], r["w2"]) for r in found if r["w2"] is not None}
+    counts = Counter(re.findall(r"[abcd] w\d+", text)) + Counter(re.findall(r"w\d+ z", text))
+    wanted = {p for p, f in counts.items() if f >= 10} | {"a w5", "a w7", "w1 z"} & set(counts)
+    assert pairs == {(lang, *p.split()) for lang in ("en", "de") for p in wanted} and len(wanted) < len(counts) / 2
+    words = Counter()
+    for r in found:
+        words[r["lang"], r["w1"]] += r["f"]
+    assert words == Counter({(lang, w): n for lang in ("en", "de") for w, n in Counter(text.replace(".", "").split()).items()})
