@@ -166,16 +166,31 @@ def _(spark, d):
 
 
 # ------------------------------------------------------------------ resumable scoring
-_TOKEN = {t: re.compile(rf"(?<![^\W_])(?<!_)p?{t}[{K.TOKEN_SUFFIXES[t]}]", re.IGNORECASE) for t in K.TARGETS}
+# a token's last character is far rarer than its letter, so it is looked for first, and what stands before it afterwards
+_LETTERS = "".join(K.TARGETS) + "".join(K.TARGETS).lower()
+_TOKEN = re.compile(rf"[{''.join(sorted(set(''.join(K.TOKEN_SUFFIXES.values()))))}x](?:(?<=(?<!\w)([{_LETTERS}].))|(?<=(?<!\w)([Pp][{_LETTERS}].)))")
+
+
+def first_tokens(report: str) -> dict[str, str]:
+    """The first stage token of each target, in one pass over the text."""
+    found: dict[str, str] = {}
+    for hit in _TOKEN.finditer(report):
+        token = hit[hit.lastindex]
+        target, suffix = token[-2:].upper()
+        if suffix in K.TOKEN_SUFFIXES[target] and target not in found:
+            found[target] = token
+            if len(found) == len(K.TARGETS):
+                break
+    return found
 
 
 def token_scorer(arm: str, report: str) -> str:
     """Stand-in for a model: the first stage token of the text, or an abstention."""
     out = {}
+    found = first_tokens(report)
     for t in K.TARGETS:
-        hit = _TOKEN[t].search(report)
-        value = hit.group(0) if hit else None
-        out[f"{t}_stage"] = {"value": value, "evidence": value, "confidence": "high" if hit else "low", "reason": None}
+        value = found.get(t)
+        out[f"{t}_stage"] = {"value": value, "evidence": value, "confidence": "high" if value else "low", "reason": None}
     return json.dumps(out)
 
 

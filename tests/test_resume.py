@@ -199,3 +199,17 @@ def test_long_texts_reach_a_scorer_in_batches_of_bytes(spark):
     texts = spark.range(0, 400, 1, 1).selectExpr("repeat('x', 100000) as text")
     seen = [r["size"] for r in texts.mapInPandas(sizes, "size long").collect()]
     assert sum(seen) == 40_000_000 and max(seen) <= 5_000_000
+
+
+def test_first_tokens_of_a_text_in_one_pass():
+    import random
+    import re
+
+    from catalog.join_queries import first_tokens
+    from spanledger import constants as K
+
+    plain = {t: re.compile(rf"(?<![^\W_])(?<!_)p?{t}[{K.TOKEN_SUFFIXES[t]}]", re.IGNORECASE) for t in K.TARGETS}
+    rng = random.Random(1)
+    texts = ["".join(rng.choice("pPTtNnMm0123456xXé_ .y²ı\n") for _ in range(rng.randrange(14))) for _ in range(20_000)]
+    for text in [*texts, "", "T", "pT2N0M0", "PN1 m1"]:
+        assert first_tokens(text) == {t: hit[0] for t, p in plain.items() if (hit := p.search(text))}
