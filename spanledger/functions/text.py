@@ -83,9 +83,18 @@ def scrub_personal_data(text: Column) -> Column:
     return F.regexp_replace(text, java(K.PERSONAL_DATA), K.PERSONAL_DATA_MARK)
 
 
-def span_in(text: Column, words: Column) -> Column:
-    """Struct(start, size) of the first grounded occurrence in the original text; ``words`` is the
-    matching form of the quote.
+def least_start(text_form: Column, words: Column, growth: Column) -> Column:
+    """A number of characters that lie before the first grounded occurrence in the original text.
+
+    The matching form drops characters; it adds none but for those letters that grow in lower case, by ``growth`` in
+    all.  So the text's place is the form's or a later one, and a search need not begin earlier.
+    """
+    return F.greatest(F.instr(text_form, words) - 1 - growth, F.lit(0))
+
+
+def span_sides(text: Column, words: Column, skip: Column | int = 0) -> Column:
+    """The text before and after the first grounded occurrence, one element alone where there is none; ``words`` is the
+    matching form of the quote.  The first ``skip`` characters are neither searched nor returned.
 
     The quote becomes a pattern, in any case, whose words may be apart by any run of stops, commas
     and white space, so the offsets are those of the text itself and no position map is needed.  A
@@ -94,13 +103,23 @@ def span_in(text: Column, words: Column) -> Column:
     escaped = F.regexp_replace(words, r"([^\p{L}\p{N}\p{M} ])", r"\\$1")
     dotted = F.replace(escaped, F.lit("i\u0307"), F.lit("(?:i\u0307|\u0130)"))
     pattern = F.concat(F.lit("(?iu)"), F.replace(dotted, F.lit(" "), F.lit(f"[.,{SPACE_CHARS}]+")))
-    sides = F.split(text, pattern, 2)
+    skip = F.lit(skip) if isinstance(skip, int) else skip
+    return F.split(F.substring(text, skip + 1, F.length(text)), pattern, 2)
+
+
+def span_between(text: Column, sides: Column, skip: Column | int = 0) -> Column:
+    """Struct(start, size) in the original text of what lies between the two sides; NULL without a second one."""
     after = F.get(sides, F.lit(1))
-    start = F.length(sides[0])
+    start = F.length(sides[0]) + skip
     span = F.struct(start.alias("start"), (F.length(text) - start - F.length(after)).alias("size"))
     return F.when(after.isNotNull(), span)
 
 
+def span_in(text: Column, words: Column) -> Column:
+    """Struct(start, size) of the first grounded occurrence in the original text."""
+    return span_between(text, span_sides(text, words))
+
+
 def locate_span(text: Column, evidence: Column) -> Column:
     """Struct(before, match, after) of the first grounded occurrence in the original text; NULL when
     the quote is blank or not there."""

@@ -10,7 +10,7 @@ from spanledger.functions import labels as L
 from spanledger.functions import taxonomy
 from spanledger.functions.shape import parse_document, shape_valid, stage_field
 from spanledger.functions.support import semantic_support
-from spanledger.functions.text import around_span, grounded_in, matching_form, span_in
+from spanledger.functions.text import around_span, grounded_in, least_start, matching_form, span_between, span_sides
 from spanledger.operators.resample import indicator
 
 RECORD_COLUMNS = (
@@ -169,16 +169,23 @@ def boundary_rows(reports: DataFrame, responses: DataFrame) -> DataFrame:
 def locate_spans(reports: DataFrame, responses: DataFrame) -> DataFrame:
     """Grounded quotes with the struct(before, match, after) of their place in the report.
 
-    A plain substring test over forms made once per report decides which rows need the position.
+    A plain substring test over forms made once per report decides which rows need the position, and its place in the
+    form where the pattern begins to look in the text.  Answers with the same quote from a report, at most one for each
+    arm and target, are looked up together.
     """
-    texts = reports.select("case_id", "text", matching_form(F.col("text")).alias("text_form"))
-    quotes = responses.select("case_id", "arm", "target", matching_form(F.col("evidence")).alias("words"))
-    grounded = quotes.filter(F.col("words") != "").join(texts, "case_id").filter(
-        F.contains(F.col("text_form"), F.col("words"))
-    )
-    spans = grounded.select("case_id", "arm", "target", "text",
-                            span_in(F.col("text"), F.col("words")).alias("span"))
-    return spans.select("case_id", "arm", "target", around_span(F.col("text"), F.col("span")).alias("s"))
+    growth = F.length(F.lower("text")) - F.length("text")
+    texts = reports.select("case_id", "text", matching_form(F.col("text")).alias("text_form"), growth.alias("growth"))
+    words = responses.select("case_id", "arm", "target", matching_form(F.col("evidence")).alias("words"))
+    quotes = words.filter(F.col("words") != "").groupBy("case_id", "words").agg(F.collect_list(F.struct("arm", "target")).alias("answers"))
+    # grounded_in is never NULL, so that no test for NULL makes the form of every text a second time
+    grounded = quotes.join(texts, "case_id").filter(grounded_in(F.col("words"), F.col("text_form")))
+    # each step is a projection of its own, as what several expressions use is else computed in each of them
+    placed = grounded.select("case_id", "answers", "text", "words",
+                             least_start(F.col("text_form"), F.col("words"), F.col("growth")).alias("skip"))
+    parted = placed.select("case_id", "answers", "text", "skip", span_sides(F.col("text"), F.col("words"), F.col("skip")).alias("sides"))
+    spans = parted.select("case_id", "answers", "text", span_between(F.col("text"), F.col("sides"), F.col("skip")).alias("span"))
+    found = spans.select("case_id", "answers", around_span(F.col("text"), F.col("span")).alias("s"))
+    return found.select("case_id", F.explode("answers").alias("a"), "s").select("case_id", "a.arm", "a.target", "s")
 
 
 def case_indicators(records: DataFrame) -> DataFrame:

@@ -178,3 +178,18 @@ def test_predictions_meet_their_gold(spark):
     rows = [("a", "A", "T", "T1", None), ("a", "A", "N", "N0", None), ("a", "B", "M", "M1", None, False), ("z", "A", "T", "T2", None)]
     got = {(r["case_id"], r["arm"], r["target"]): (r["value"], r["gold"]) for r in dataset.predictions_with_gold(cases, responses(spark, rows)).collect()}
     assert got == {("a", "A", "T"): ("T1", "T1"), ("a", "A", "N"): ("N0", None), ("a", "B", "M"): (None, "M0"), ("z", "A", "T"): ("T2", None)}
+
+
+def test_spans_are_found_from_the_place_in_the_form(spark):
+    from spanledger.functions.text import locate_span
+
+    texts = ["İİ a.,. b\nİ c. Tumor  invades. it; tumor invades, İx", "a a a. b", "..  a b", "Straße pT2", "", None, "x.\n.\ny x y", "İİi̇ q Q"]
+    quotes = ["tumor invades", "a b", "A. B", "b i̇ c", "i̇x", "x y", "PT2.", "q", "nothing", "", None, "(a", "y x"]
+    reps = spark.createDataFrame([(f"c{i}", t) for i, t in enumerate(texts)], "case_id string, text string")
+    rows = [(f"c{i}", arm, f"{k}", q) for i in range(len(texts)) for k, q in enumerate(quotes) for arm in ("A", "B")]
+    answers = spark.createDataFrame(rows, "case_id string, arm string, target string, evidence string")
+    plain = answers.join(reps, "case_id").select("case_id", "arm", "target", locate_span(F.col("text"), F.col("evidence")).alias("s")).filter("s is not null")
+    placed = R.locate_spans(reps, answers)
+    assert sorted(map(str, placed.collect())) == sorted(map(str, plain.collect())) and plain.count() >= 20
+    plan = placed._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_replace(lower(text") == 1  # one form of every text
