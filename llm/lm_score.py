@@ -7,7 +7,8 @@ of the class, so that a prediction costs the square root of the ids; their numbe
 corpus's tokens.
 
 A word that shares its id has the id's probability times its own part of the id's occurrences in the corpus.  The counts of
-all words are a table: tasks hold those of the HELD most frequent ones, the others are joined.  For words that
+all words are a table: tasks hold those of the HELD most frequent ones, the others are joined.  Texts become ids once, in a table
+that both training and scoring read.  For words that
 the corpus lacks an id sets aside the part that words seen once have in it, times a code of the word's bytes.
 
 Word counts and training cover all documents.  Every task trains a copy of the network on its own rows and sends it, in pieces, to
@@ -20,12 +21,12 @@ from __future__ import annotations
 
 import math
 import zlib
-from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, fields
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -40,7 +41,8 @@ BATCH = 4_096
 RATE = 0.08
 ROUNDS = (16, 1)  # of every so many documents, one is learned from
 PIECE, SALTS = 1_024, 8
-COUNT_ENTRIES = 400_000
+COUNT_WORDS = 4_000_000
+BYTES = 1 << 20  # of texts that a task takes at once
 IDS = SIDE * SIDE
 _EDGE = IDS  # stands before and after a document (in a larger network: its number of ids)
 _BYTE = math.log(257)  # a byte, or the end, of a word that the corpus lacks
@@ -90,44 +92,53 @@ class Network:
             at += p.size
         return cls(*out)
 
-    def forward(self, context: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, dict]:
-        """Log-probability of each target given its context (ids, one row each), and what the gradient needs."""
-        x = self.embed[context].reshape(len(context), -1)
-        hidden = np.tanh(x @ self.inner + self.inner_bias)
-        kind, word = np.divmod(target, len(self.class_bias))
-        log_class, p_class = _softmax(hidden @ self.classes + self.class_bias, kind)
-        log_word = np.empty(len(target), np.float32)
-        order = np.argsort(kind, kind="stable")
-        cuts = np.searchsorted(kind[order], np.arange(len(self.class_bias) + 1))
-        inside = []
-        for c in range(len(self.class_bias)):
-            rows = order[cuts[c]:cuts[c + 1]]
-            if len(rows):
-                log_word[rows], p = _softmax(hidden[rows] @ self.words[c] + self.word_bias[c], word[rows])
-                inside.append((c, rows, p))
-        return log_class + log_word, {"x": x, "hidden": hidden, "kind": kind, "word": word, "p": p_class, "inside": inside}
+    def forward(self, context: np.ndarray, target: np.ndarray, learn: bool = True) -> tuple[np.ndarray, dict]:
+        """Log-probability of each target given its context (ids, one row each), and what the gradient needs.
+
+        Tokens go through in the order of their classes, so that a class is one slice; logits have a row for each class, or
+        each id of one, and a column for each token."""
+        side = len(self.class_bias)
+        kind = target // side
+        order = np.argsort(kind.astype(np.int16) if side < 1 << 15 else kind, kind="stable")  # of short integers: a radix sort
+        context, kind, word = context.take(order, axis=0), kind[order], (target % side)[order]
+        x = self.embed.take(context, axis=0).reshape(len(context), -1)
+        inner = x @ self.inner
+        inner += self.inner_bias
+        hidden = np.ones((len(x), HIDDEN + 1), np.float32)  # the last one meets the biases
+        np.tanh(inner, out=hidden[:, :-1])
+        logits = np.matmul(np.vstack([self.classes, self.class_bias]).T, hidden.T, out=_columns(side, len(kind)))
+        log_class, p_class = _softmax(logits, kind, learn)
+        cuts = np.searchsorted(kind, np.arange(side + 1)).tolist()
+        slices = [(c, slice(a, b)) for c, (a, b) in enumerate(zip(cuts, cuts[1:])) if a < b]
+        words = np.concatenate([self.words, self.word_bias[:, None]], axis=1)
+        logits = _columns(side, len(kind))
+        for c, at in slices:
+            np.matmul(words[c].T, hidden[at].T, out=logits[:, at])
+        log_word, p_word = _softmax(logits, word, learn)
+        logs = np.empty(len(kind), np.float32)
+        logs[order] = log_class + log_word
+        return logs, {"context": context, "x": x, "hidden": hidden, "kind": kind, "word": word, "p": p_class, "p_word": p_word,
+                      "slices": slices}
 
     def gradient(self, context: np.ndarray, seen: dict) -> list[np.ndarray]:
         """Of the mean negative log-probability, for each part."""
-        n, hidden = len(context), seen["hidden"]
-        error = seen["p"]
-        error[np.arange(n), seen["kind"]] -= 1
-        back = error @ self.classes.T
-        words, word_bias = np.zeros_like(self.words), np.zeros_like(self.word_bias)
-        for c, rows, p in seen["inside"]:
-            p[np.arange(len(rows)), seen["word"][rows]] -= 1
-            words[c], word_bias[c] = hidden[rows].T @ p, p.sum(axis=0)
-            back[rows] += p @ self.words[c].T
-        back *= 1 - hidden ** 2
-        down = (back @ self.inner.T).reshape(-1, WIDTH)
-        ids = context.ravel().astype(np.int16 if self.edge < 1 << 15 else np.int64)
-        order = np.argsort(ids, kind="stable")  # of short integers: a radix sort
-        ids = ids[order]
-        starts = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
-        embed = np.zeros_like(self.embed)
-        embed[ids[starts]] = np.add.reduceat(down[order], starts, axis=0)
-        found = [embed, seen["x"].T @ back, back.sum(axis=0), hidden.T @ error, error.sum(axis=0), words, word_bias]
-        return [g.astype(np.float32) / n for g in found]
+        context, hidden, each = seen["context"], seen["hidden"], np.arange(len(seen["kind"]))
+        error, inside = seen["p"], seen["p_word"]
+        error[seen["kind"], each] -= 1
+        inside[seen["word"], each] -= 1
+        back = error.T @ self.classes.T
+        words = np.zeros((len(self.words), HIDDEN + 1, len(error)), np.float32)
+        for c, at in seen["slices"]:
+            p = inside[:, at]
+            words[c] = (p @ hidden[at]).T
+            back[at] += p.T @ self.words[c].T
+        back *= 1 - hidden[:, :-1] ** 2
+        down = (self.inner @ back.T).reshape(2 * WINDOW, WIDTH, -1)
+        ids = context.T.ravel()
+        embed = np.stack([np.bincount(ids, down[:, k].ravel(), len(self.embed)) for k in range(WIDTH)], axis=1)
+        classes = (error @ hidden).T
+        found = [embed, seen["x"].T @ back, back.sum(axis=0), classes[:-1], classes[-1], words[:, :-1], words[:, -1]]
+        return [np.divide(g, len(each), dtype=np.float32, casting="same_kind") for g in found]
 
 
 def _size(side: int) -> int:
@@ -140,74 +151,152 @@ def side_for(tokens: int) -> int:
     return max(SIDE, int(tokens ** 0.25 / 2))
 
 
-def _softmax(logits: np.ndarray, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    logits -= logits.max(axis=1, keepdims=True)
-    p = np.exp(logits)
-    total = p.sum(axis=1, keepdims=True)
-    return logits[np.arange(len(chosen)), chosen] - np.log(total[:, 0]), p / total
+def _columns(rows: int, n: int) -> np.ndarray:
+    """Room for n columns; rows that lie a power of two apart would push each other out of a processor's cache."""
+    return np.empty((rows, n + 16), np.float32)[:, :n]
 
 
-class Vocabulary:
-    """Ids of words: frequent ones their own, others one of the rest (of ``size`` ids) by a hash."""
+def _softmax(logits: np.ndarray, chosen: np.ndarray, learn: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Of each column the logarithm at the chosen row, and the probabilities (if they are to be learned from)."""
+    logits -= logits.max(axis=0)
+    own = logits[chosen, np.arange(len(chosen))]
+    np.exp(logits, out=logits)
+    total = logits.sum(axis=0)
+    if learn:
+        logits /= total
+    return own - np.log(total), logits
+
+
+def words_of(texts: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """How many words each text has, and the words of all texts in a row: those of ``text.lower().split()``."""
+    low = pc.utf8_trim_whitespace(pa.array([t.lower() for t in texts.to_pylist()], pa.string()))
+    lists = pc.utf8_split_whitespace(low)
+    blank = pc.equal(low, "").to_numpy(zero_copy_only=False)
+    words = lists.flatten()
+    return pc.list_value_length(lists).to_numpy() - blank, words.filter(pc.not_equal(words, "")) if blank.any() else words
+
+
+def by_size(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Smaller record batches, of about BYTES of text each, or one text."""
+    for batch in batches:
+        ends = np.cumsum(pc.binary_length(batch["text"]).to_numpy().astype(np.int64))
+        cuts = [0, *(np.flatnonzero(np.diff(ends // BYTES)) + 1).tolist(), batch.num_rows]
+        for a, b in zip(cuts, cuts[1:]):
+            if a < b:
+                yield batch.slice(a, b - a)
 
-    def __init__(self, words: list[str], size: int = IDS, entries: int = 300_000):
-        self.known, self.size, self.entries = {w: k for k, w in enumerate(words)}, size, entries
-        self.first = len(words)
-        self.kept: dict[str, int] = {}
+
+class Vocabulary:
+    """Ids of words: frequent ones their own, others one of the rest (of ``size`` ids) by a hash.  The first entries
+    are the frequent words, the others ``held`` ones; ``table`` has their ids."""
+
+    def __init__(self, words: list[str], size: int = IDS, held: Iterable[str] = ()):
+        self.size, self.first = size, len(words)
+        self.known = pa.array([*words, *held], pa.string())
+        self.table = np.concatenate([np.arange(self.first), self.hashed(self.known[self.first:]), [0]])
+
+    def hashed(self, words: pa.Array) -> np.ndarray:
+        """Ids of words that share theirs."""
+        found = map(zlib.crc32, words.cast(pa.binary()).to_pylist())
+        return self.first + np.fromiter(found, np.int64, len(words)) % (self.size - self.first)
+
+    def of(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array]:
+        """Ids and entries (-1: none) of words; places of those that have no entry, and these words."""
+        entries = pc.fill_null(pc.index_in(words, value_set=self.known), -1).to_numpy()
+        ids, at = self.table[entries], np.flatnonzero(entries < 0)
+        rest = words.take(pa.array(at))
+        ids[at] = self.hashed(rest)
+        return ids, entries, at, rest
 
     def ids(self, text: str) -> np.ndarray:
-        return self.of(text.lower().split())
-
-    def of(self, words: list[str]) -> np.ndarray:
-        found = list(map(self.kept.get, words))
-        if None in found:
-            if len(self.kept) > self.entries:
-                self.kept.clear()
-            for k, i in enumerate(found):
-                if i is None:
-                    w = words[k]
-                    known = self.known.get(w)
-                    if known is None:
-                        known = self.first + zlib.crc32(w.encode("utf-8", "surrogatepass")) % (self.size - self.first)
-                    found[k] = self.kept[w] = known
-        return np.array(found, np.int64)
+        return self.of(words_of(pa.array([text], pa.string()))[1])[0]
 
 
-def windows(ids: list[np.ndarray], outside: int = _EDGE) -> tuple[np.ndarray, np.ndarray]:
-    """Contexts and targets of all tokens of some documents; no window reaches into a neighbour."""
+def _line(ids: list[np.ndarray], outside: int) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of some documents in a row with edges between them, and the places of the ids."""
     edge = np.full(WINDOW, outside, np.int64)
     joined = np.concatenate([p for i in ids for p in (edge, i)] + [edge])
-    at = np.flatnonzero(joined != outside)
-    return joined[at[:, None] + _OFFSETS[None, :]], joined[at]
+    return joined, np.flatnonzero(joined != outside)
+
+
+def windows(ids: list[np.ndarray], outside: int = _EDGE) -> tuple[np.ndarray, np.ndarray]:
+    """Contexts and targets of all tokens of some documents; no window reaches into a neighbour."""
+    joined, at = _line(ids, outside)
+    return joined.take(at[:, None] + _OFFSETS), joined[at]
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
     """word, n over all documents; each task counts its own before anything is shuffled."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter = Counter()
+        waiting: list[pa.Array] = []
 
         def rows() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())],
-                                              names=["word", "n"])
+            found = pa.chunked_array(waiting, pa.string()).value_counts()
+            return pa.RecordBatch.from_arrays([found.field("values"), found.field("counts")], names=["word", "n"])
 
-        for batch in batch_rows(batches, 1024):
-            for text in batch["text"].to_pylist():
-                seen.update(text.lower().split())
-            if len(seen) > COUNT_ENTRIES:
+        for batch in by_size(batches):
+            waiting.append(words_of(batch["text"])[1])
+            if sum(map(len, waiting)) > COUNT_WORDS:
                 yield rows()
-                seen.clear()
+                waiting.clear()
         yield rows()
 
     return texts(docs).select("text").mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def trained(docs: DataFrame, vocabulary: list[str], start: np.ndarray, every: int) -> np.ndarray:
-    """One round: the mean, weighted by tokens, of the networks that the tasks have trained from ``start``."""
+def coded(docs: DataFrame, vocabulary: list[str], size: int, held: dict[str, int], shared: dict[int, tuple[int, int]]) -> DataFrame:
+    """A written table, one row for each row: row (a number), doc_id, n_tokens, pick (a hash), ids, known (what the counts of
+    words that share an id add to the score, as far as they are held), rare (the other words that share an id, with
+    what each adds if the corpus lacks it)."""
+    def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        words = Vocabulary(vocabulary, size, held)
+        # of an id: the logarithm of its occurrences with those set aside, and that of the latter
+        whole, aside = np.zeros(size), np.zeros(size)
+        for i, (n, once) in shared.items():
+            whole[i], aside[i] = math.log(n + once + 1), math.log(once + 1)
+        adds = np.log([1.0] * len(vocabulary) + list(held.values()) + [1.0]) - whole[words.table]
+        kind = _id_type(size)
+        row = TaskContext.get().partitionId() << 33
+        for batch in by_size(batches):
+            lengths, own = words_of(batch["text"])
+            ids, entries, at, rest = words.of(own)
+            known = adds[entries]
+            known[at] = -whole[ids[at]]
+            ends = np.concatenate([[0], np.cumsum(lengths)])
+            spelled = (pc.binary_length(rest).to_numpy() + 1) * _BYTE
+            rare = pa.StructArray.from_arrays([rest, pa.array(aside[ids[at]] - spelled)], names=["word", "lacking"])
+            n = batch.num_rows
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(range(row, row + n), pa.int64()), batch["doc_id"], pa.array(lengths, pa.int64()), batch["pick"],
+                 pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer((ends * kind.itemsize).astype(np.int32)),
+                                                        pa.py_buffer(ids.astype(kind))]),
+                 pa.array(np.diff(np.concatenate([[0.0], np.cumsum(known)])[ends])),
+                 pa.ListArray.from_arrays(pa.array(np.searchsorted(at, ends), pa.int32()), rare)],
+                names=["row", "doc_id", "n_tokens", "pick", "ids", "known", "rare"])
+            row += n
+
+    rows = texts(docs).select(F.col("doc_id").cast("long"), "text", F.xxhash64("doc_id", "text").alias("pick"))
+    rows = rows.mapInArrow(code, "row long, doc_id long, n_tokens long, pick long, ids binary, known double, "
+                                 "rare array<struct<word: string, lacking: double>>")
+    return materialize(rows, "lm-ids")  # numbers of rows must not change between readings
+
+
+def _id_type(size: int) -> np.dtype:
+    return np.dtype("<u2" if size <= 1 << 16 else "<u4")
+
+
+def _ids(column: pa.Array, size: int) -> list[np.ndarray]:
+    return [np.frombuffer(i, _id_type(size)).astype(np.int64) for i in column.to_pylist()]
+
+
+def trained(rows: DataFrame, start: np.ndarray, every: int) -> np.ndarray:
+    """One round over coded rows: the mean, weighted by tokens, of the networks that the tasks have trained from ``start``."""
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         net = Network.unflat(start)
-        words = Vocabulary(vocabulary, net.edge)
         memory = [np.full(p.shape, 1e-4, np.float32) for p in net.parts()]
         waiting: list[np.ndarray] = []
         held = total = 0
@@ -217,17 +306,19 @@ def trained(docs: DataFrame, vocabulary: list[str], start: np.ndarray, every: in
             context, target = windows(waiting, net.edge)
             order = np.random.default_rng(len(target)).permutation(len(target))
             for at in range(0, len(order), BATCH):
-                rows = order[at:at + BATCH]
-                _, seen = net.forward(context[rows], target[rows])
-                for part, past, g in zip(net.parts(), memory, net.gradient(context[rows], seen), strict=True):
+                some = order[at:at + BATCH]
+                found = context.take(some, axis=0)
+                _, seen = net.forward(found, target[some])
+                for part, past, g in zip(net.parts(), memory, net.gradient(found, seen), strict=True):
                     past += g * g
-                    part -= RATE * g / np.sqrt(past)
+                    g /= np.sqrt(past)
+                    g *= RATE
+                    part -= g
             total += len(target)
             waiting, held = [], 0
 
         for batch in batch_rows(batches, 256):
-            for text in batch["text"].to_pylist():
-                ids = words.ids(text)
+            for ids in _ids(batch["ids"], net.edge):
                 for at in range(0, len(ids), 8 * BATCH):
                     waiting.append(ids[at:at + 8 * BATCH])
                     held += len(waiting[-1])
@@ -255,12 +346,11 @@ def trained(docs: DataFrame, vocabulary: list[str], start: np.ndarray, every: in
             [pa.array(list(sums), pa.int32()), pa.array([t for t, _ in sums.values()], pa.int64()),
              pa.array([s.tobytes() for _, s in sums.values()], pa.binary())], names=["piece", "tokens", "data"])
 
-    rows = texts(docs)
     if every > 1:
-        rows = rows.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(every)) == 0)
+        rows = rows.where(F.pmod("pick", F.lit(every)) == 0)
     schema = "piece int, tokens long, data binary"
-    pieces = rows.select("text").mapInArrow(learn, schema)
-    found = pieces.repartition(partitions(docs.sparkSession), "piece").mapInArrow(add, schema).collect()
+    pieces = rows.select("ids").mapInArrow(learn, schema)
+    found = pieces.repartition(partitions(rows.sparkSession), "piece").mapInArrow(add, schema).collect()
     if not found:
         return start
     out, weight = np.zeros(len(start)), np.zeros(-(-len(start) // PIECE))
@@ -275,13 +365,16 @@ def trained(docs: DataFrame, vocabulary: list[str], start: np.ndarray, every: in
 @dataclass
 class Model:
     """counts: word, n of all words that share an id; the counts of the most frequent ones of them are in ``held``.
-    shared: of each shared id the occurrences, and those among them of words seen once."""
+    shared: of each shared id the occurrences, and those among them of words seen once.  docs, rows: the table that the
+    model was fitted to, and its coded rows."""
 
     vocabulary: list[str]
     flat: np.ndarray
     counts: DataFrame
     held: dict[str, int]
     shared: dict[int, tuple[int, int]]
+    docs: DataFrame
+    rows: DataFrame
 
 
 def fit(docs: DataFrame, rounds: tuple[int, ...] = ROUNDS, side: int | None = None, held: int = HELD) -> Model:
@@ -305,17 +398,19 @@ def fit(docs: DataFrame, rounds: tuple[int, ...] = ROUNDS, side: int | None = No
             break
         least = r["step"]
     near = {} if least is None else {r["word"]: r["n"] for r in tail.where(step >= least).collect()}
+    rows = coded(docs, vocabulary, size, near, shared)
     flat = Network.fresh(side=side).flat()
     for every in rounds:
-        flat = trained(docs, vocabulary, flat, every)
-    return Model(vocabulary, flat, tail, near, shared)
+        flat = trained(rows, flat, every)
+    return Model(vocabulary, flat, tail, near, shared, docs, rows)
 
 
 def log_probabilities(net: Network, ids: list[np.ndarray]) -> list[float]:
     """The summed log-probability of each of some documents."""
-    context, target = windows(ids, net.edge)
-    each = np.concatenate([net.forward(context[a:a + BATCH], target[a:a + BATCH])[0].astype(np.float64)
-                           for a in range(0, len(target), BATCH)] or [np.zeros(0)])
+    joined, places = _line(ids, net.edge)
+    pieces = [places[a:a + BATCH] for a in range(0, len(places), BATCH)]
+    each = np.concatenate([net.forward(joined.take(at[:, None] + _OFFSETS), joined[at], learn=False)[0].astype(np.float64)
+                           for at in pieces] or [np.zeros(0)])
     ends = np.cumsum([0] + [len(i) for i in ids])
     sums = np.concatenate([[0.0], np.cumsum(each)])[ends]
     return np.diff(sums).tolist()
@@ -327,57 +422,18 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     Without a word (null texts too) the score is 0 and the mean null.  Repeated rows are scored each on its own, an empty
     table gives no rows, other columns are ignored.
     """
-    vocabulary, flat, held, shared = model.vocabulary, model.flat, model.held, model.shared
-    names = ["row", "doc_id", "n_tokens", "score", "word", "times", "base", "lacking"]
+    flat = model.flat
+    rows = model.rows if docs is model.docs else coded(docs, model.vocabulary, Network.unflat(flat).edge, model.held, model.shared)
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
         net = Network.unflat(flat)
-        words, first = Vocabulary(vocabulary, net.edge), len(vocabulary)
-        # of an id: the logarithm of its occurrences with those set aside, and that of the latter's part
-        whole, lack = np.zeros(net.edge), np.zeros(net.edge)
-        for i, (n, once) in shared.items():
-            whole[i], lack[i] = math.log(n + once + 1), math.log(once + 1) - math.log(n + once + 1)
-        near = {w: math.log(n) for w, n in held.items()}
-        row = TaskContext.get().partitionId() << 33
         for batch in batch_rows(batches, 64):
-            split = [t.lower().split() for t in batch["text"].to_pylist()]
-            ids = [words.of(w) for w in split]
-            found = log_probabilities(net, ids)
-            rest: list[tuple] = []
-            for k, (own, i) in enumerate(zip(split, ids, strict=True)):
-                at = np.flatnonzero(i >= first)
-                if not len(at):
-                    continue
-                logs = list(map(near.get, [own[j] for j in at.tolist()]))
-                known = np.array([math.nan if x is None else x for x in logs])
-                found[k] += float(np.nansum(known - whole[i[at]]))
-                if None in logs:
-                    ask = Counter(own[j] for j in at[np.isnan(known)].tolist())
-                    for w, b in zip(ask, words.of(list(ask)).tolist(), strict=True):
-                        spelled = (len(w.encode("utf-8", "surrogatepass")) + 1) * _BYTE
-                        rest.append((row + k, w, ask[w], whole[b], lack[b] - spelled))
-            n = len(ids)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(range(row, row + n), pa.int64()), batch["doc_id"], pa.array([len(i) for i in ids], pa.int64()),
-                 pa.array(found, pa.float64()), pa.nulls(n, pa.string()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.float64()),
-                 pa.nulls(n, pa.float64())], names=names)
-            if rest:
-                m = len(rest)
-                at, asked, times, base, lacking = zip(*rest, strict=True)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(at, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.float64()),
-                     pa.array(asked, pa.string()), pa.array(times, pa.int64()), pa.array(base, pa.float64()),
-                     pa.array(lacking, pa.float64())], names=names)
-            row += n
-
-    rows = texts(docs).select(F.col("doc_id").cast("long"), "text")
-    rows = rows.mapInArrow(scored, "row long, doc_id long, n_tokens long, score double, word string, times long, base double, lacking double")
-    found = materialize(rows, "lm-scores")  # numbers of rows must not change between the two readings
-    asked = found.where("word is not null").join(model.counts, "word", "left")
-    part = F.col("times") * F.coalesce(F.log("n") - F.col("base"), F.col("lacking"))
-    more = asked.groupBy("row").agg(F.sum(part).alias("more"))
-    out = found.where("word is null").select("row", "doc_id", "n_tokens", "score").join(more, "row", "left")
-    out = out.withColumn("score", F.col("score") + F.coalesce("more", F.lit(0.0)))
+            found = np.array(log_probabilities(net, _ids(batch["ids"], net.edge))) + batch["known"].to_numpy()
+            yield pa.RecordBatch.from_arrays([batch["row"], batch["doc_id"], batch["n_tokens"], pa.array(found, pa.float64())],
+                                             names=["row", "doc_id", "n_tokens", "score"])
+
+    asked = rows.select("row", F.inline("rare")).join(model.counts, "word", "left")
+    more = asked.groupBy("row").agg(F.sum(F.coalesce(F.log("n"), "lacking")).alias("more"))
+    out = rows.select("row", "doc_id", "n_tokens", "ids", "known").mapInArrow(scored, "row long, doc_id long, n_tokens long, score double")
+    out = out.join(more, "row", "left").withColumn("score", F.col("score") + F.coalesce("more", F.lit(0.0)))
     return out.select("doc_id", "n_tokens", "score", F.when(F.col("n_tokens") > 0, F.col("score") / F.col("n_tokens")).alias("mean"))

@@ -3,7 +3,9 @@ import zlib
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from llm import lm_score, toxicity
 
@@ -171,6 +173,49 @@ def test_words_that_share_an_id_have_their_own_part_of_it(llm_spark, make_docs):
         assert [g[2] for g in got] == pytest.approx([plain(text), plain(text), plain("qzxv"), 0.0], rel=1e-4)
 
 
+def test_texts_are_read_twice_whatever_the_rounds(llm_spark, make_docs):
+    read = llm_spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def counted(text):
+        read.add(1)
+        return text
+
+    rows = [(k, f"the {k % 7} cat sat on mat{k}") for k in range(40)]
+    docs = make_docs(rows).withColumn("text", counted("text"))
+    model = lm_score.fit(docs, rounds=(2, 1, 1))
+    own = sorted((r["doc_id"], r["score"]) for r in lm_score.score(docs, model).collect())
+    assert read.value == 2 * len(rows)  # to count words, and to make ids of them
+    other = sorted((r["doc_id"], r["score"]) for r in lm_score.score(make_docs(rows), model).collect())
+    assert [k for k, _ in own] == [k for k, _ in other] == list(range(40))
+    assert [s for _, s in own] == pytest.approx([s for _, s in other], rel=1e-5)
+
+
+def test_words_are_those_of_split():
+    texts = ["", " ", "a\u2003B\x1fc\u0085d \n", "\u0130x \u03a3\u03a3 \u200b", "\u00a0", "Ein Wort", "\u1680\u2028\u3000 z"]
+    texts += [f"a{chr(c)}b{chr(c)}" for c in range(0x3100)]
+    lengths, words = lm_score.words_of(pa.array(texts))
+    assert lengths.tolist() == [len(t.lower().split()) for t in texts]
+    assert words.to_pylist() == [w for t in texts for w in t.lower().split()]
+    assert lm_score.words_of(pa.array([], pa.string()))[0].tolist() == []
+    batch = pa.RecordBatch.from_arrays([pa.array(["x" * n for n in (0, 10, 3 * lm_score.BYTES, 0, lm_score.BYTES, 5)])], names=["text"])
+    cut = list(lm_score.by_size([batch, batch.slice(2, 0)]))
+    assert pa.Table.from_batches(cut).equals(pa.Table.from_batches([batch])) and len(cut) > 2
+
+
+def test_logits_of_a_plain_network():
+    net = lm_score.Network.fresh(side=33)
+    ids = np.random.default_rng(2).integers(0, 200, 90)  # few of the classes
+    context, target = lm_score.windows([ids[:50], ids[50:]], net.edge)
+    for learn in (True, False):
+        got, _ = net.forward(context, target, learn)
+        for c, t, g in zip(context, target, got, strict=True):
+            hidden = np.tanh(np.concatenate([net.embed[i] for i in c]).astype(float) @ net.inner + net.inner_bias)
+            of_class, of_word = hidden @ net.classes + net.class_bias, hidden @ net.words[t // 33] + net.word_bias[t // 33]
+            plain = of_class[t // 33] - np.log(np.exp(of_class).sum()) + of_word[t % 33] - np.log(np.exp(of_word).sum())
+            assert g == pytest.approx(plain, abs=1e-4)
+
+
 def test_ids_follow_the_corpus():
     sides = [lm_score.side_for(10 ** k) for k in range(12)]
     assert sides == sorted(sides) and sides[7] < sides[8] < sides[10]
