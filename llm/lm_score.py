@@ -46,6 +46,10 @@ BYTES = 1 << 20  # of texts that a task takes at once
 IDS = SIDE * SIDE
 _EDGE = IDS  # stands before and after a document (in a larger network: its number of ids)
 _BYTE = math.log(257)  # a byte, or the end, of a word that the corpus lacks
+LONG = 64
+_CRC = np.arange(256, dtype=np.uint32)
+for _ in range(8):
+    _CRC = np.where(_CRC & 1, _CRC >> 1 ^ np.uint32(0xEDB88320), _CRC >> 1)
 _OFFSETS = np.array([k for k in range(-WINDOW, WINDOW + 1) if k])
 
 
@@ -186,6 +190,27 @@ def by_size(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield batch.slice(a, b - a)
 
 
+def crc32(words: pa.Array) -> np.ndarray:
+    """zlib.crc32 of each word: a byte of all words at a time, and words of more than LONG bytes one by one."""
+    out = np.zeros(len(words), np.int64)
+    if not len(words):
+        return out
+    lengths = pc.binary_length(words).to_numpy()
+    order = np.argsort(-np.minimum(lengths, LONG + 1).astype(np.int16), kind="stable")
+    first, short = np.searchsorted(-lengths[order], [-LONG, 0])  # the longer ones, and those with a byte
+    for k in order[:first].tolist():
+        out[k] = zlib.crc32(words[k].as_buffer())
+    order = order[first:short]
+    starts = np.frombuffer(words.buffers()[1], np.int32)[words.offset:][order].astype(np.int64)
+    data, lengths = np.frombuffer(words.buffers()[2], np.uint8) if short else None, lengths[order]
+    found = np.full(len(order), 0xFFFFFFFF, np.uint32)
+    for j in range(lengths[0] if len(order) else 0):
+        n = np.searchsorted(-lengths, -j)
+        found[:n] = _CRC.take((found[:n] ^ data.take(starts[:n] + j)) & 255) ^ (found[:n] >> 8)
+    out[order] = found ^ np.uint32(0xFFFFFFFF)
+    return out
+
+
 class Vocabulary:
     """Ids of words: frequent ones their own, others one of the rest (of ``size`` ids) by a hash.  The first entries
     are the frequent words, the others ``held`` ones; ``table`` has their ids."""
@@ -197,8 +222,7 @@ class Vocabulary:
 
     def hashed(self, words: pa.Array) -> np.ndarray:
         """Ids of words that share theirs."""
-        found = map(zlib.crc32, words.cast(pa.binary()).to_pylist())
-        return self.first + np.fromiter(found, np.int64, len(words)) % (self.size - self.first)
+        return self.first + crc32(words) % (self.size - self.first)
 
     def of(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array]:
         """Ids and entries (-1: none) of words; places of those that have no entry, and these words."""

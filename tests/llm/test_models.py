@@ -216,6 +216,25 @@ def test_logits_of_a_plain_network():
             assert g == pytest.approx(plain, abs=1e-4)
 
 
+def test_hash_of_many_words():
+    rng = random.Random(6)
+    texts = ["".join(rng.choices("aé中😀", k=rng.randint(0, n))) for n in (3, 9, 30, 90) for _ in range(50)]
+    words = pa.array([*texts, "", "x" * 64, "y" * 65, "z" * 40_000])
+    for some in (words, words[7:150], words[:0], words[-1:], pa.array(["", ""])):
+        assert lm_score.crc32(some).tolist() == [zlib.crc32(w.encode()) for w in some.to_pylist()]
+
+
+def test_large_logits_stay_numbers():
+    net = lm_score.Network.fresh()
+    ids = np.random.default_rng(5).integers(0, lm_score.IDS, 200)
+    context, target = lm_score.windows([ids])
+    usual, _ = net.forward(context, target)
+    net.class_bias += 500
+    net.word_bias -= 500
+    moved, seen = net.forward(context, target)
+    assert moved == pytest.approx(usual, abs=1e-2) and all(np.isfinite(g).all() for g in net.gradient(context, seen))
+
+
 def test_ids_follow_the_corpus():
     sides = [lm_score.side_for(10 ** k) for k in range(12)]
     assert sides == sorted(sides) and sides[7] < sides[8] < sides[10]
