@@ -1,6 +1,9 @@
 """Whole passages searched in whole reports: every (passage, report) pair in which the report grounds the passage.
 
-Grounding is containment of matching forms, so a passage of three or more words can only lie in a report that holds each of its
+Grounding is containment of matching forms.  Passages that a task can hold are searched in each report where it is read, all
+in one pass: no text, word or candidate moves.  A larger set is looked up by words.
+
+A passage of three or more words can only lie in a report that holds each of its
 inner words as a word.  Each passage is looked up by the inner word that the fewest reports hold.  Shorter passages may
 begin or end inside a word; they are looked up by all words of the reports that end with their first word, or hold it.  A report
 with a word that holds a passage of one word grounds it; all other candidates are verified in the text.  No pair of a passage and a report without such a word is ever made.
@@ -11,12 +14,22 @@ count asks for, and the passages that look for the word are copied to these part
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from itertools import pairwise
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from spanledger.functions.search import Sought, packed
 from spanledger.functions.text import matching_form
 from spanledger.session import materialize
 
+SCANNED = 32 << 20  # bytes of passages, with EACH more for every one, that the driver and each task may hold
+EACH = 64
+ROWS = 100_000  # found pairs that leave a task at once, or those of one report
 PART = 10_000  # reports of one word that one part of a join may hold
 AFFIX = 8  # letters of a word that a short passage is looked up by
 
@@ -60,19 +73,11 @@ def _words_around(passages: DataFrame, counts: DataFrame) -> DataFrame:
     return met.filter(fits).select("passage_id", "word", "n_reports", F.col("alone").alias("certain"))
 
 
-def find_passages(passages: DataFrame, reports: DataFrame, *, part: int = PART) -> DataFrame:
-    """(passage_id, case_id) of every row of ``reports`` (case_id, text) whose text grounds the passage (passage_id, text).
-
-    Blank and NULL passages are grounded nowhere, as in ``functions.text.grounded``.  Reports that share a case_id are searched
-    each on its own; of passages that share a passage_id, name them apart first.
-    """
+def _by_words(asked: DataFrame, reports: DataFrame, part: int) -> DataFrame:
+    """Passages looked up by words of the reports."""
     forms = materialize(
         reports.select("case_id", matching_form(F.col("text")).alias("form")).filter("form <> ''")
         .withColumn("report", F.monotonically_increasing_id()), "report-forms")
-    form = matching_form(F.col("text"))
-    asked = materialize(
-        passages.select("passage_id", form.alias("passage")).filter("passage <> ''").withColumn("words", _words(F.col("passage"))),
-        "passages")
     counts = materialize(word_counts(forms), "report-words")
     keys = materialize(_rarest_words(asked, counts).unionByName(_words_around(asked, counts))
                        .withColumn("parts", F.ceil(F.col("n_reports") / F.lit(part)).cast("int")), "passage-words")
@@ -88,3 +93,53 @@ def find_passages(passages: DataFrame, reports: DataFrame, *, part: int = PART)
     named = pairs(False).select("passage_id", "report").join(asked.select("passage_id", "passage"), "passage_id")
     verified = forms.join(named, "report").filter(F.contains("form", "passage"))
     return verified.select("passage_id", "case_id").unionByName(pairs(True).select("passage_id", "case_id"))
+
+
+def _scanned(asked: DataFrame, reports: DataFrame) -> DataFrame:
+    """All passages searched in each row of ``reports`` (case_id, text).  As when they are looked up by words, those of one
+    word that share a passage_id are one, and a NULL passage_id names only passages of one word."""
+    text = F.col("passage").cast("binary")
+    several = asked.filter("size(words) > 1 and passage_id is not null").select("passage_id", F.array(text).alias("texts"))
+    alone = asked.filter("size(words) = 1").groupBy("passage_id").agg(F.collect_set(text).alias("texts"))
+    held = several.unionByName(alone).toArrow()
+    ids, texts = (held[c].combine_chunks() for c in ("passage_id", "texts"))
+    distinct = texts.flatten().dictionary_encode()
+    number = distinct.indices.to_numpy()
+    named = np.repeat(np.arange(len(ids)), texts.value_lengths().to_numpy())[np.argsort(number, kind="stable")]
+    first = np.append(0, np.cumsum(np.bincount(number, minlength=len(distinct.dictionary))))  # of each text's places in named
+    shared = asked.sparkSession.sparkContext.broadcast((Sought(*packed(distinct.dictionary)), ids, named, first))
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sought, ids, named, first = shared.value
+        for batch in batches:
+            report, text = sought.find(*packed(batch.column(1)))
+            many = first[text + 1] - first[text]
+            begins = np.flatnonzero(np.diff(report, prepend=-1))
+            portion = (np.cumsum(many) // ROWS)[begins]
+            cuts = begins[np.flatnonzero(np.diff(portion, prepend=-1))].tolist()
+            for a, b in pairwise([*cuts, len(report)]):
+                each = many[a:b]
+                place = np.arange(each.sum()) + np.repeat(first[text[a:b]] - np.cumsum(each) + each, each)
+                row, name = np.divmod(np.unique(np.repeat(report[a:b], each) * len(ids) + named[place]), len(ids))
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(name)), batch.column(0).take(pa.array(row))],
+                                                 names=["passage_id", "case_id"])
+
+    forms = reports.select("case_id", F.coalesce(matching_form(F.col("text")), F.lit("")).cast("binary").alias("form"))
+    schema = T.StructType([T.StructField("passage_id", asked.schema["passage_id"].dataType),
+                           T.StructField("case_id", forms.schema["case_id"].dataType)])
+    return forms.mapInArrow(search, schema)
+
+
+def find_passages(passages: DataFrame, reports: DataFrame, *, part: int = PART, scanned: int = SCANNED) -> DataFrame:
+    """(passage_id, case_id) of every row of ``reports`` (case_id, text) whose text grounds the passage (passage_id, text).
+
+    Blank and NULL passages are grounded nowhere, as in ``functions.text.grounded``.  Reports that share a case_id are searched
+    each on its own; of passages that share a passage_id, name them apart first.  Up to ``scanned`` bytes of passages are
+    searched in one pass over the reports, more are looked up by words.
+    """
+    form = matching_form(F.col("text"))
+    asked = materialize(
+        passages.select("passage_id", form.alias("passage")).filter("passage <> ''").withColumn("words", _words(F.col("passage"))),
+        "passages")
+    size = asked.agg(F.sum(F.octet_length("passage") + F.lit(EACH))).first()[0] or 0
+    return _scanned(asked, reports) if size <= scanned else _by_words(asked, reports, part)
